@@ -17,7 +17,7 @@ PERCENT_UNITS = ["%", "percent", "percentage", "bps", "basis points"]
 def parse_num(cell: Column) -> Column:
     """Statement cell to double: drops ``%`` and ``,``; blank, nan and none are null."""
     t = F.trim(F.regexp_replace(cell, "[%,]", ""))
-    return F.when(F.lower(t).isin("", "nan", "none"), F.lit(None)).otherwise(F.try_cast(t, "double") if hasattr(F, "try_cast") else t.try_cast("double"))
+    return F.when(F.lower(t).isin("", "nan", "none"), F.lit(None)).otherwise(t.try_cast("double"))
 
 
 def to_base_unit(value: Column, unit: Column, kind: Column) -> Column:

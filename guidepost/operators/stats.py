@@ -30,22 +30,25 @@ def average_rank(values: DataFrame, group: str, value: str, lower_is_better: Seq
     return r.withColumn("avg_rank", F.col("rank") + (F.col("__peers") - 1) / 2).drop("__v", "__peers", "rank", "total")
 
 
-def set_overlap(pairs: DataFrame, entity: str, member: str, by: Sequence[str]) -> DataFrame:
-    """Shared, left-only, right-only counts and Jaccard percent for every pair of entities.
+def set_overlap(members: DataFrame, requested: DataFrame, entity: str, member: str, by: Sequence[str]) -> DataFrame:
+    """Shared, one-sided and Jaccard counts for the requested pairs of entities.
 
-    Members are joined to members on equality; only pairs that share something
-    exist, and each set size is counted once.
+    ``requested`` lists (left_id, right_id). The left set of each pair is looked up
+    in the right one by equality, so work is the size of the left sets; pairs that
+    nobody asked for are never formed.
     """
     by = list(by)
-    d = pairs.select(*by, entity, member).distinct()
+    d = members.select(*by, entity, member).distinct()
     sizes = d.groupBy(*by, entity).agg(F.count("*").alias("size"))
-    a, b = d.withColumnRenamed(entity, "left_id"), d.withColumnRenamed(entity, "right_id")
-    shared = a.join(b, [*by, member]).filter("left_id < right_id").groupBy(*by, "left_id", "right_id").agg(F.count("*").alias("shared"))
-    j = shared.join(sizes.withColumnRenamed(entity, "left_id").withColumnRenamed("size", "ls"), [*by, "left_id"])
-    j = j.join(sizes.withColumnRenamed(entity, "right_id").withColumnRenamed("size", "rs"), [*by, "right_id"])
+    left = requested.join(d.withColumnRenamed(entity, "left_id"), "left_id")
+    right = d.withColumnRenamed(entity, "right_id").withColumn("hit", F.lit(1))
+    shared = left.join(right, [*by, "right_id", member], "left").groupBy(*by, "left_id", "right_id").agg(F.sum("hit").alias("shared"), F.count("*").alias("ls"))
+    j = shared.join(sizes.withColumnRenamed(entity, "right_id").withColumnRenamed("size", "rs"), [*by, "right_id"], "left")
+    n = F.coalesce("shared", F.lit(0))
+    rs = F.coalesce("rs", F.lit(0))
     return j.select(
-        *by, "left_id", "right_id", "shared", (F.col("ls") - F.col("shared")).alias("only_left"), (F.col("rs") - F.col("shared")).alias("only_right"),
-        (100 * F.col("shared") / (F.col("ls") + F.col("rs") - F.col("shared"))).alias("jaccard_pct"),
+        *by, "left_id", "right_id", n.alias("shared"), (F.col("ls") - n).alias("only_left"), (rs - n).alias("only_right"),
+        (100 * n / (F.col("ls") + rs - n)).alias("jaccard_pct"),
     )
 
 
