@@ -198,7 +198,7 @@ def _(spark, sf):
 @query("a6_series_stats", """
 SELECT company_id, metric, count(*) AS n, min(value) AS min_value, max(value) AS max_value, avg(value) AS avg_value, min_by(value, ord) AS start_value, max_by(value, ord) AS end_value,
   CASE WHEN min_by(value, ord) <> 0 THEN (max_by(value, ord) - min_by(value, ord)) / abs(min_by(value, ord)) * 100 END AS total_change_pct
-FROM financials WHERE period_type = 'annual' GROUP BY 1, 2""", rounds="avg_value total_change_pct", digits=2)
+FROM financials WHERE period_type = 'annual' GROUP BY 1, 2""", rounds="avg_value total_change_pct", digits=4)
 def _(spark, sf):
     return A.series_stats(annual(spark, sf), ["company_id", "metric"]).drop("cagr_pct")
 

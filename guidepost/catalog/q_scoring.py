@@ -219,7 +219,7 @@ FROM companies c LEFT JOIN cred USING (company_id) LEFT JOIN truth USING (compan
 def _(spark, sf):
     dev = deviations(spark, sf)
     comp = V.companies(spark, sf)
-    return S.management_credibility(comp, S.credibility(dev), S.truthfulness(dev), S.risk_score(comp, V.risk_flags(spark, sf)))
+    return S.management_credibility(comp, dev, S.risk_score(comp, V.risk_flags(spark, sf)))
 
 
 view("cov_base", "SELECT company_id, opm, borrowings / 1000 AS debt, CASE WHEN interest > 0 THEN operating_profit / interest END AS base_icr FROM latest_prev")

@@ -45,15 +45,17 @@ def query(name: str, sql: str | None = None, rounds: str = "", digits: int = 6):
     """Register ``fn(spark, sf_dir)`` under ``name``; ``sql`` is its twin.
 
     ``rounds`` names the double columns that both sides round the same way, for
-    results whose last bits depend on summation order.
+    results whose last bits depend on summation order. A small shift moves the
+    rounding boundaries off exact decimal ties, where those last bits would decide.
     """
     cols = rounds.split()
+    shift = 2137 * 10.0 ** (-digits - 4)
 
     def wrap(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             df = fn(spark, sf_dir)
             if cols:
-                df = df.withColumns({c: F.round(F.col(c), digits) + F.lit(0.0) for c in cols})
+                df = df.withColumns({c: F.round(F.col(c) + F.lit(shift), digits) + F.lit(0.0) for c in cols})
             return df
 
         run.__name__ = name
@@ -62,7 +64,7 @@ def query(name: str, sql: str | None = None, rounds: str = "", digits: int = 6):
         if sql is not None:
             text = with_views(sql)
             if cols:
-                rep = ", ".join(f"round({c}, {digits}) + 0.0::DOUBLE AS {c}" for c in cols)
+                rep = ", ".join(f"round({c} + {shift!r}::DOUBLE, {digits}) + 0.0::DOUBLE AS {c}" for c in cols)
                 text = f"SELECT * REPLACE ({rep}) FROM ({text})"
             ORACLES[name] = text
         return fn

@@ -22,10 +22,9 @@ def fiscal_quarter(date: Column) -> Column:
     return (F.floor(((F.month(date) + 8) % 12) / 3) + 1).cast("int")
 
 
-def full_year(two_or_four: Column, pivot: int = 50) -> Column:
-    """``24`` -> 2024, ``97`` -> 1997, four digits unchanged."""
-    y = two_or_four.cast("int")
-    return F.when(y >= 100, y).when(y < pivot, y + 2000).otherwise(y + 1900)
+def full_year(two_digits: Column) -> Column:
+    """``24`` -> 2024 and ``97`` -> 1997: the century is chosen around 2000."""
+    return (two_digits.cast("int") + 50) % 100 + 1950
 
 
 def fy_label(fy: Column) -> Column:
@@ -39,39 +38,40 @@ def quarter_label(fy: Column, q: Column) -> Column:
 def month_number(name: Column) -> Column:
     """Three-letter month name to 1..12, null when unknown."""
     pos = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(F.substring(name, 1, 3)))
-    return F.when(pos > 0, pos).cast("int")
+    return F.nullif(pos.cast("int"), F.lit(0))
 
 
 def month_name(number: Column) -> Column:
     return F.initcap(F.element_at(F.array(*[F.lit(m) for m in MONTHS]), number.cast("int")))
 
 
+_FY = r"(?i)FY\s*'?(?:19|20)?(\d{2})(?!\d)"
+_MONTH = r"(?i)(?:^|[^a-z])(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)"
+_YEAR = r"((?:19|20)\d{2})"
+
+
 def _digits(c: Column, pattern: str, group: int) -> Column:
-    hit = F.regexp_extract(c, pattern, group)
-    return F.when(hit != "", hit)
+    return F.nullif(F.regexp_extract(c, pattern, group), F.lit(""))
 
 
 def label_fy(label: Column) -> Column:
     """Fiscal year named by a label in any grammar, else null."""
-    explicit = full_year(_digits(label, r"(?i)FY\s*'?(\d{4}|\d{2})", 1))
-    month = month_number(_digits(label, r"(?i)(?:^|[^a-z])(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)", 1))
-    year = _digits(label, r"((?:19|20)\d{2})", 1).cast("int")
-    return F.coalesce(explicit, F.when(month <= 3, year).otherwise(F.when(month.isNotNull(), year + 1)))
+    return F.ceil((period_key(label) - 3) / 12).cast("int")
 
 
 def period_key(label: Column) -> Column:
-    """Sortable ``year*12 + month`` of the last month a label covers, else null."""
-    fy = full_year(_digits(label, r"(?i)FY\s*'?(\d{4}|\d{2})", 1))
-    q = _digits(label, r"(?i)Q([1-4])\s*FY", 1).cast("int")
-    h = _digits(label, r"(?i)H([12])\s*FY", 1).cast("int")
-    month = month_number(_digits(label, r"(?i)(?:^|[^a-z])(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)", 1))
-    year = _digits(label, r"((?:19|20)\d{2})", 1).cast("int")
-    return (
-        F.when(q.isNotNull() & fy.isNotNull(), (fy - 1) * 12 + 3 + q * 3)
-        .when(h.isNotNull() & fy.isNotNull(), (fy - 1) * 12 + 3 + h * 6)
-        .when(fy.isNotNull(), fy * 12 + 3)
-        .when(month.isNotNull() & year.isNotNull(), year * 12 + month)
-    ).cast("int")
+    """Sortable ``year*12 + month`` of the last month a label covers, else null.
+
+    Written so that every pattern is evaluated once per row.
+    """
+    back = F.coalesce(
+        _digits(label, r"(?i)Q([1-4])\s*FY", 1).cast("int") * 3 - 12,
+        _digits(label, r"(?i)H([12])\s*FY", 1).cast("int") * 6 - 12,
+        F.lit(0),
+    )
+    fiscal = full_year(_digits(label, _FY, 1)) * 12 + 3 + back
+    calendar = _digits(label, _YEAR, 1).cast("int") * 12 + month_number(_digits(label, _MONTH, 1))
+    return F.coalesce(fiscal, calendar).cast("int")
 
 
 def key_to_column_label(key: Column) -> Column:
@@ -81,24 +81,34 @@ def key_to_column_label(key: Column) -> Column:
     return F.concat(month_name(month), F.lit(" "), year.cast("string"))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once however often it is used."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _column_key(label: Column) -> Column:
+    month = month_number(F.substring_index(label, " ", 1))
+    return _digits(label, _YEAR, 1).cast("int") * 12 + month
+
+
+def _fiscal_of_key(k: Column, label: Column, half: bool) -> Column:
+    m = (k - 1) % 12 + 1
+    fy = F.ceil((k - 3) / 12).cast("int")
+    q = F.floor(((m + 8) % 12) / 3).cast("int") + 1
+    out = F.when(k.isNull(), label).when(m == 3, fy_label(fy))
+    if half:
+        out = out.when(m == 9, F.concat(F.lit("H1 "), fy_label(fy)))
+    return out.otherwise(quarter_label(fy, q))
+
+
 def column_label_to_fiscal(label: Column) -> Column:
     """``Mar 2025`` -> ``FY25``, ``Dec 2024`` -> ``Q3 FY25``; other text unchanged."""
-    m = month_number(F.substring_index(label, " ", 1))
-    y = _digits(label, r"((?:19|20)\d{2})", 1).cast("int")
-    fy = y + F.when(m >= 4, 1).otherwise(0)
-    q = F.floor(((m + 8) % 12) / 3).cast("int") + 1
-    return (
-        F.when(m.isNull() | y.isNull(), label)
-        .when(m == 3, fy_label(fy))
-        .otherwise(quarter_label(fy, q))
-    )
+    return let(_column_key(label), lambda k: _fiscal_of_key(k, label, False))
 
 
 def half_year_label(label: Column) -> Column:
     """Interim balance-sheet columns: ``Sep 2024`` -> ``H1 FY25``, ``Mar`` -> year."""
-    m = month_number(F.substring_index(label, " ", 1))
-    y = _digits(label, r"((?:19|20)\d{2})", 1).cast("int")
-    return F.when(m == 9, F.concat(F.lit("H1 "), fy_label(y + 1))).otherwise(column_label_to_fiscal(label))
+    return let(_column_key(label), lambda k: _fiscal_of_key(k, label, True))
 
 
 def normalise_period(label: Column, compat: bool = False) -> Column:

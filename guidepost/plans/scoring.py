@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import periods as P
 from ..operators.ordered import blocked_running, global_rank, latest_prev_wide
+from ..session import cut_lineage
 
 # Fixed values of the scoring rules (thresholds, points, weights).
 INLINE_PCT = 5.0
@@ -130,34 +131,53 @@ def repeat_pattern(dev: DataFrame) -> DataFrame:
     )
 
 
-def credibility(dev: DataFrame, variant: str = "code") -> DataFrame:
-    """Credibility row per company from its deviations.
+def delivery_profile(dev: DataFrame) -> DataFrame:
+    """Every per-company count the credibility and truthfulness scores need.
 
-    ``variant='code'`` is the weighted hit-rate form; ``variant='document'`` uses
-    the spread of deviations for consistency and the driver check for honesty.
+    One blocked ordering of the deviations gives each row its position and its
+    streak; one aggregate per (company, streak) and one per company follow, so both
+    scores share a single pass. Unused columns are pruned by the optimiser.
     """
     hit, miss = F.col("flag") != "MISS", F.col("flag") == "MISS"
     ordered = blocked_running(
         dev.withColumn("blk", F.substring("claim_id", 1, 1)), ["company_id"], ["period_ord", "blk"], ["claim_id"],
         {"pos": F.lit(1), "island": ~miss},
     )
-    first = F.col("pos") < F.floor(F.col("pos_total") / 2)
+    mid = F.floor(F.col("pos_total") / 2)
+    late = F.col("pos") >= mid
+    hard = F.lower(F.trim("confidence_language")).isin(HARD_WORDS)
+    fam = metric_family(F.col("metric_type"))
     dp = F.col("delta_pct")
-    runs = ordered.groupBy("company_id", "island").agg(
-        F.count("*").alias("n"), F.count_if(hit).alias("hits"), F.count_if(miss).alias("run"),
-        F.sum(F.abs(dp)).alias("sum_abs"), F.sum(dp).alias("s1"), F.sum(dp * dp).alias("s2"),
-        F.count_if(first & hit).alias("first_hits"), F.count_if(~first & hit).alias("second_hits"),
-        *[F.count_if(F.col("check_type") == c).alias(f"n_{c}") for c in CHECKS],
-        *[F.count_if((F.col("check_type") == c) & hit).alias(f"h_{c}") for c in CHECKS],
-    )
-    sums = ["n", "hits", "sum_abs", "s1", "s2", "first_hits", "second_hits"]
-    sums += [f"{p}_{c}" for c in CHECKS for p in ("n", "h")]
-    agg = runs.groupBy("company_id").agg(F.max("run").alias("consecutive_misses"), *[F.sum(c).alias(c) for c in sums])
-    hit_rate = 100 * F.col("hits") / F.col("n")
-    avg_dev = F.col("sum_abs") / F.col("n")
-    agg = agg.withColumn("hit_rate", hit_rate).withColumn("avg_deviation", avg_dev)
+    sums = {
+        "n": F.count("*"), "hits": F.count_if(hit), "sum_abs": F.sum(F.abs(dp)), "s1": F.sum(dp), "s2": F.sum(dp * dp),
+        "first_n": F.count_if(~late), "first_hits": F.count_if(~late & hit), "second_hits": F.count_if(late & hit),
+        "hard_n": F.count_if(hard), "hard_m": F.count_if(hard & miss),
+    }
     for c in CHECKS:
-        agg = agg.withColumn(f"{c}_score", F.when(F.col(f"n_{c}") > 0, 100 * F.col(f"h_{c}") / F.col(f"n_{c}")))
+        sums[f"n_{c}"] = F.count_if(F.col("check_type") == c)
+        sums[f"h_{c}"] = F.count_if((F.col("check_type") == c) & hit)
+    for f, _ in METRIC_FAMILIES:
+        sums[f"n_{f}"] = F.count_if(fam == f)
+        sums[f"m_{f}"] = F.count_if((fam == f) & miss)
+    runs = ordered.groupBy("company_id", "island").agg(F.count_if(miss).alias("run"), *[e.alias(k) for k, e in sums.items()])
+    return runs.groupBy("company_id").agg(F.max("run").alias("consecutive_misses"), *[F.sum(k).alias(k) for k in sums])
+
+
+def credibility(dev: DataFrame, variant: str = "code") -> DataFrame:
+    """Credibility row per company from its deviations.
+
+    ``variant='code'`` is the weighted hit-rate form; ``variant='document'`` uses
+    the spread of deviations for consistency and the driver check for honesty.
+    """
+    return credibility_columns(delivery_profile(dev), variant).select(
+        "company_id", "overall_score", *[f"{c}_score" for c in CHECKS],
+        "hit_rate", "avg_deviation", F.col("n").alias("total_matched"), "consecutive_misses", "trend",
+    )
+
+
+def credibility_columns(agg: DataFrame, variant: str = "code") -> DataFrame:
+    agg = agg.withColumns({"hit_rate": 100 * F.col("hits") / F.col("n"), "avg_deviation": F.col("sum_abs") / F.col("n")})
+    agg = agg.withColumns({f"{c}_score": F.when(F.col(f"n_{c}") > 0, 100 * F.col(f"h_{c}") / F.col(f"n_{c}")) for c in CHECKS})
     pattern_points = F.when(F.col("consecutive_misses") >= 3, 0.0).otherwise(20.0)
     if variant == "code":
         score = (
@@ -181,28 +201,35 @@ def credibility(dev: DataFrame, variant: str = "code") -> DataFrame:
         .when((F.col("n") >= 4) & (F.col("second_hits") < F.col("first_hits")), "declining")
         .otherwise("stable")
     )
-    return agg.select(
-        "company_id", clamp(score).alias("overall_score"), *[f"{c}_score" for c in CHECKS],
-        "hit_rate", "avg_deviation", F.col("n").alias("total_matched"), "consecutive_misses", trend.alias("trend"),
-    )
+    return agg.withColumns({"overall_score": clamp(score), "trend": trend})
+
+
+LATEST_METRICS = ["revenue", "opm", "operating_profit", "interest", "net_profit", "borrowings"]
 
 
 def financial_quality(facts: DataFrame) -> DataFrame:
     """50 plus points for growth, margin, coverage and profit of the latest year."""
-    w = latest_prev_wide(facts, ["revenue", "opm", "operating_profit", "interest", "net_profit"])
+    return financial_quality_columns(latest_prev_wide(facts, LATEST_METRICS)).select(
+        "company_id", "growth_points", "margin_points", "coverage_points", "profit_points",
+        "revenue_growth", "opm", "coverage", "net_profit", "financial_quality",
+    )
+
+
+def financial_quality_columns(w: DataFrame) -> DataFrame:
     prev = F.col("revenue_prev")
-    w = w.withColumn("revenue_growth", F.when(prev > 0, (F.col("revenue") - prev) / prev * 100))
-    w = w.withColumn("coverage", F.when(F.col("interest") > 0, F.col("operating_profit") / F.col("interest")))
+    w = w.withColumns({
+        "revenue_growth": F.when(prev > 0, (F.col("revenue") - prev) / prev * 100),
+        "coverage": F.when(F.col("interest") > 0, F.col("operating_profit") / F.col("interest")),
+    })
     g, m, c, np_ = F.col("revenue_growth"), F.col("opm"), F.col("coverage"), F.col("net_profit")
-    gp = F.when(g.isNull(), 0).when(g > 20, 15).when(g > 10, 10).when(g > 0, 5).when(g > -10, -5).otherwise(-15)
-    mp = F.when(m.isNull(), 0).when(m > 25, 15).when(m > 15, 10).when(m > 10, 5).otherwise(-5)
-    cp = F.when(c.isNull(), 0).when(c > 5, 10).when(c > 3, 5).when(c > 1.5, 0).otherwise(-10)
-    pp = F.when(np_.isNull(), 0).when(np_ > 0, 5).otherwise(-10)
-    return w.select(
-        "company_id", gp.alias("growth_points"), mp.alias("margin_points"), cp.alias("coverage_points"), pp.alias("profit_points"),
-        "revenue_growth", "opm", "coverage", "net_profit",
-        clamp((F.lit(50) + gp + mp + cp + pp).cast("double")).alias("financial_quality"),
-    )
+    w = w.withColumns({
+        "growth_points": F.when(g.isNull(), 0).when(g > 20, 15).when(g > 10, 10).when(g > 0, 5).when(g > -10, -5).otherwise(-15),
+        "margin_points": F.when(m.isNull(), 0).when(m > 25, 15).when(m > 15, 10).when(m > 10, 5).otherwise(-5),
+        "coverage_points": F.when(c.isNull(), 0).when(c > 5, 10).when(c > 3, 5).when(c > 1.5, 0).otherwise(-10),
+        "profit_points": F.when(np_.isNull(), 0).when(np_ > 0, 5).otherwise(-10),
+    })
+    total = F.lit(50) + F.col("growth_points") + F.col("margin_points") + F.col("coverage_points") + F.col("profit_points")
+    return w.withColumn("financial_quality", clamp(total.cast("double")))
 
 
 def penalties(flags: DataFrame) -> DataFrame:
@@ -247,42 +274,34 @@ def truthfulness(dev: DataFrame, claims: DataFrame | None = None) -> DataFrame:
     """
     if claims is not None:
         dev = dev.drop("confidence_language").join(claims.select("claim_id", "confidence_language"), "claim_id", "left")
-    miss = F.col("flag") == "MISS"
-    hard = F.lower(F.trim("confidence_language")).isin(HARD_WORDS)
-    pos = blocked_running(
-        dev.withColumn("blk", F.substring("claim_id", 1, 1)), ["company_id"], ["period_ord", "blk"], ["claim_id"], {"pos": F.lit(1)}
-    )
-    mid = F.floor(F.col("pos_total") / 2)
-    # a single row belongs to both halves, so that its trend is zero
-    first, second = (F.col("pos") < mid) | (mid == 0), F.col("pos") >= mid
-    fam = metric_family(F.col("metric_type"))
-    names = [f for f, _ in METRIC_FAMILIES]
-    agg = pos.groupBy("company_id").agg(
-        F.count("*").alias("n"), F.count_if(miss).alias("misses"),
-        F.count_if(first).alias("n1"), F.count_if(first & miss).alias("m1"),
-        F.count_if(second).alias("n2"), F.count_if(second & miss).alias("m2"),
-        F.count_if(hard).alias("hard_n"), F.count_if(hard & miss).alias("hard_m"),
-        *[F.count_if(fam == f).alias(f"n_{f}") for f in names],
-        *[F.count_if((fam == f) & miss).alias(f"m_{f}") for f in names],
+    return truthfulness_columns(delivery_profile(dev)).select(
+        "company_id", "overall_miss_rate", "trend_penalty", "hard_language_miss_rate", "language_penalty",
+        *[f"miss_rate_{f}" for f, _ in METRIC_FAMILIES], "truthfulness",
     )
-    trend = F.greatest(F.lit(0.0), F.col("m2") / F.col("n2") - F.col("m1") / F.col("n1")) * 25
+
+
+def truthfulness_columns(p: DataFrame) -> DataFrame:
+    n, n1 = F.col("n"), F.col("first_n")
+    m1, m2 = n1 - F.col("first_hits"), (n - n1) - F.col("second_hits")
+    # a single row is both halves at once, so its trend is zero
+    trend = F.when(n1 == 0, 0.0).otherwise(F.greatest(F.lit(0.0), m2 / (n - n1) - m1 / n1) * 25)
     hard_rate = F.when(F.col("hard_n") > 0, F.col("hard_m") / F.col("hard_n")).otherwise(0.0)
-    rate = F.col("misses") / F.col("n")
-    return agg.select(
-        "company_id", rate.alias("overall_miss_rate"), trend.alias("trend_penalty"), hard_rate.alias("hard_language_miss_rate"),
-        (hard_rate * 20).alias("language_penalty"),
-        *[F.when(F.col(f"n_{f}") > 0, F.col(f"m_{f}") / F.col(f"n_{f}")).alias(f"miss_rate_{f}") for f in names],
-        clamp(100 - rate * 60 - trend - hard_rate * 20).alias("truthfulness"),
-    )
+    p = p.withColumns({
+        "overall_miss_rate": (n - F.col("hits")) / n, "trend_penalty": trend, "hard_language_miss_rate": hard_rate,
+        **{f"miss_rate_{f}": F.when(F.col(f"n_{f}") > 0, F.col(f"m_{f}") / F.col(f"n_{f}")) for f, _ in METRIC_FAMILIES},
+    })
+    p = p.withColumn("language_penalty", F.col("hard_language_miss_rate") * 20)
+    return p.withColumn("truthfulness", clamp(100 - F.col("overall_miss_rate") * 60 - F.col("trend_penalty") - F.col("language_penalty")))
 
 
-def management_credibility(companies: DataFrame, cred: DataFrame, truth: DataFrame, risk: DataFrame) -> DataFrame:
-    j = (
-        companies.select("company_id")
-        .join(cred.select("company_id", "overall_score", "hit_rate", "avg_deviation", "consecutive_misses", "trend"), "company_id", "left")
-        .join(truth.select("company_id", "truthfulness", "overall_miss_rate"), "company_id", "left")
-        .join(risk.select("company_id", "mgmt_penalty"), "company_id", "left")
-    )
+def management_credibility(companies: DataFrame, dev: DataFrame, risk: DataFrame) -> DataFrame:
+    profile = truthfulness_columns(credibility_columns(delivery_profile(dev)))
+    keep = ["company_id", "overall_score", "hit_rate", "avg_deviation", "consecutive_misses", "trend", "truthfulness", "overall_miss_rate"]
+    j = companies.select("company_id").join(profile.select(*keep), "company_id", "left").join(risk.select("company_id", "mgmt_penalty"), "company_id", "left")
+    return management_columns(j).select("company_id", "management_credibility", "overall_score", "overall_miss_rate")
+
+
+def management_columns(j: DataFrame) -> DataFrame:
     bonus = F.when(F.col("trend") == "improving", 4).when(F.col("trend") == "declining", -4).otherwise(0)
     score = (
         F.coalesce("overall_score", F.lit(50.0)) * 0.45
@@ -293,7 +312,7 @@ def management_credibility(companies: DataFrame, cred: DataFrame, truth: DataFra
         - F.least(F.lit(12), F.coalesce("consecutive_misses", F.lit(0)) * 4)
         - F.coalesce("mgmt_penalty", F.lit(0))
     )
-    return j.select("company_id", clamp(score).alias("management_credibility"), "overall_score", F.coalesce("overall_miss_rate", F.lit(0.0)).alias("overall_miss_rate"))
+    return j.withColumns({"management_credibility": clamp(score), "overall_miss_rate": F.coalesce("overall_miss_rate", F.lit(0.0))})
 
 
 def coverage_points(icr: Column) -> Column:
@@ -306,10 +325,12 @@ def stress_cells():
 
 def base_coverage(facts: DataFrame, debt_divisor: float = 1.0) -> DataFrame:
     w = latest_prev_wide(facts, ["opm", "operating_profit", "interest", "borrowings"])
-    return w.select(
-        "company_id", "opm", (F.col("borrowings") / debt_divisor).alias("debt"),
-        F.when(F.col("interest") > 0, F.col("operating_profit") / F.col("interest")).alias("base_icr"),
-    )
+    return coverage_columns(w, debt_divisor).select("company_id", "opm", "debt", "base_icr")
+
+
+def coverage_columns(w: DataFrame, debt_divisor: float = 1.0) -> DataFrame:
+    icr = F.when(F.col("interest") > 0, F.col("operating_profit") / F.col("interest"))
+    return w.withColumns({"debt": F.col("borrowings") / debt_divisor, "base_icr": icr})
 
 
 def stress_matrix(base: DataFrame) -> DataFrame:
@@ -325,6 +346,11 @@ def stress_matrix(base: DataFrame) -> DataFrame:
 
 def stress_test(base: DataFrame, risk: DataFrame) -> DataFrame:
     """Probability-weighted stress score; the nine cells are one row expression."""
+    j = base.join(risk.select("company_id", "cyclical_penalty"), "company_id", "left")
+    return stress_columns(j).select("company_id", "base_icr", "weighted_icr", "breach_probability", "stress_test_resilience")
+
+
+def stress_columns(j: DataFrame) -> DataFrame:
     icr = F.col("base_icr")
     score = breach = weighted = F.lit(0.0)
     for _, _, dm, rm, p in stress_cells():
@@ -335,11 +361,10 @@ def stress_test(base: DataFrame, risk: DataFrame) -> DataFrame:
     opm, debt = F.col("opm"), F.col("debt")
     buffer = F.when(opm >= 25, 8).when(opm >= 15, 4).when(opm < 10, -8).otherwise(0)
     debt_points = F.when(debt <= 500, 6).when(debt > 3000, -8).otherwise(0)
-    j = base.join(risk.select("company_id", "cyclical_penalty"), "company_id", "left")
-    return j.select(
-        "company_id", "base_icr", weighted.alias("weighted_icr"), breach.alias("breach_probability"),
-        clamp(score + buffer + debt_points - F.coalesce("cyclical_penalty", F.lit(0))).alias("stress_test_resilience"),
-    )
+    return j.withColumns({
+        "weighted_icr": weighted, "breach_probability": breach,
+        "stress_test_resilience": clamp(score + buffer + debt_points - F.coalesce("cyclical_penalty", F.lit(0))),
+    })
 
 
 def forward_risk(df: DataFrame) -> DataFrame:
@@ -356,14 +381,16 @@ def forward_risk(df: DataFrame) -> DataFrame:
 def industry_position(facts: DataFrame, metric: str = "operating_profit") -> DataFrame:
     """Rank on the latest annual value; percentile banded to 30..85, 70 when alone."""
     latest = facts.filter(F.col("metric") == metric).groupBy("company_id").agg(F.max_by("value", "ord").alias("value"))
-    latest = latest.withColumn("value", F.coalesce("value", F.lit(0.0)))
-    r = global_rank(latest, "value")
+    return industry_columns(latest.withColumn("value", F.coalesce("value", F.lit(0.0)))).select(
+        "company_id", "value", "rank", "total", "percentile", "industry_position")
+
+
+def industry_columns(latest: DataFrame, value: str = "value") -> DataFrame:
     pct = 1 - (F.col("rank") - 1) / (F.col("total") - 1)
-    return r.select(
-        "company_id", "value", "rank", "total",
-        F.when(F.col("total") > 1, pct * 100).otherwise(100.0).alias("percentile"),
-        F.when(F.col("total") > 1, 30 + pct * 55).otherwise(70.0).alias("industry_position"),
-    )
+    return global_rank(latest, value).withColumns({
+        "percentile": F.when(F.col("total") > 1, pct * 100).otherwise(100.0),
+        "industry_position": F.when(F.col("total") > 1, 30 + pct * 55).otherwise(70.0),
+    })
 
 
 def composite(df: DataFrame) -> Column:
@@ -373,7 +400,8 @@ def composite(df: DataFrame) -> Column:
 def peer_normalise(snapshot: DataFrame, dims: Sequence[str] | None = None) -> DataFrame:
     """z-score, competition rank and percentile of every dimension across peers."""
     dims = list(dims or [*DIMENSION_WEIGHTS, "composite"])
-    long = snapshot.unpivot(["company_id"], dims, "dimension", "value")
+    # read five times below, so computed once
+    long = cut_lineage(snapshot.unpivot(["company_id"], dims, "dimension", "value"))
     stats = long.groupBy("dimension").agg(
         F.avg("value").alias("peer_mean"), F.stddev_pop("value").alias("peer_std"))
     ranked = global_rank(long, "value", ["dimension"])
@@ -412,23 +440,36 @@ def data_coverage(companies: DataFrame, tables: Sequence[DataFrame]) -> DataFram
 def scorecard(companies, facts, claims, dev, flags, chunks, debt_divisor=1.0) -> DataFrame:
     """Five dimensions, composite, confidence, band and forward risks per company.
 
-    ``facts`` holds annual rows. All inputs cover every company; each dimension is
-    one aggregate keyed by company, so the final joins share that key.
+    ``facts`` holds annual rows. Each input is aggregated once to one row per
+    company and the dimensions are columns of the joined frame. The aggregated
+    frame is checkpointed: the ranking reads it several times.
     """
-    risk = risk_score(companies, flags)
-    cred = credibility(dev)
-    truth = truthfulness(dev)
-    snapshot = (
+    keep = ["company_id", "overall_score", "hit_rate", "avg_deviation", "consecutive_misses", "trend", "truthfulness", "overall_miss_rate"]
+    profile = truthfulness_columns(credibility_columns(delivery_profile(dev))).select(*keep)
+    newest = facts.groupBy("company_id").agg(F.max_by("period", "ord").alias("period"))
+    claimed = claims.select("company_id").distinct().withColumn("in_claims", F.lit(1))
+    chunked = chunks.select("company_id").distinct().withColumn("in_chunks", F.lit(1))
+    base = (
         companies.select("company_id", "segment")
-        .join(industry_position(facts).select("company_id", "industry_position", F.col("rank").alias("industry_rank")), "company_id", "left")
-        .join(financial_quality(facts).select("company_id", "financial_quality"), "company_id", "left")
-        .join(management_credibility(companies, cred, truth, risk), "company_id", "left")
-        .join(risk, "company_id", "left")
-        .join(stress_test(base_coverage(facts, debt_divisor), risk).select("company_id", "stress_test_resilience", "breach_probability"), "company_id", "left")
-        .join(data_coverage(companies, [facts, claims, flags, chunks]), "company_id", "left")
-        .join(facts.groupBy("company_id").agg(F.max_by("period", "ord").alias("period")), "company_id", "left")
-        .na.fill(50.0, ["industry_position", "financial_quality", "management_credibility", "stress_test_resilience"])
-        .withColumn("delivery_credibility", F.coalesce("overall_score", F.lit(50.0)))
+        .join(latest_prev_wide(facts, LATEST_METRICS), "company_id", "left")
+        .join(newest, "company_id", "left")
+        .join(profile, "company_id", "left")
+        .join(penalties(flags), "company_id", "left")
+        .join(claimed, "company_id", "left")
+        .join(chunked, "company_id", "left")
     )
-    snapshot = snapshot.withColumn("composite", composite(snapshot))
-    return forward_risk(uncertainty_band(snapshot))
+    base = cut_lineage(base)
+    points = sum((F.when(F.col(c).isNotNull(), 1).otherwise(0) for c in ("period", "in_claims", "n_flags", "in_chunks")), F.lit(0)).cast("long")
+    base = base.withColumns({
+        "data_points": points,
+        "delivery_credibility": F.coalesce("overall_score", F.lit(50.0)),
+        "forward_weight": F.coalesce("forward_weight", F.lit(0.0)),
+        "risk_identification": F.when(F.col("n_flags").isNull(), 75.0).otherwise(clamp((100 - F.col("risk_penalty")).cast("double"))),
+    })
+    base = base.withColumn("confidence", F.when(points >= 3, "high").when(points >= 2, "medium").otherwise("low"))
+    base = stress_columns(coverage_columns(management_columns(financial_quality_columns(base)), debt_divisor))
+    ranked = industry_columns(base.filter("period is not null").select("company_id", F.coalesce("operating_profit", F.lit(0.0)).alias("value")))
+    base = base.join(ranked.select("company_id", "industry_position", F.col("rank").alias("industry_rank")), "company_id", "left")
+    base = base.withColumn("industry_position", F.coalesce("industry_position", F.lit(50.0)))
+    base = base.withColumn("composite", composite(base))
+    return forward_risk(uncertainty_band(base))
