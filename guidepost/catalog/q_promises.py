@@ -174,9 +174,8 @@ def _(spark, sf):
     """Best-scored number of each promise sentence; offsets rebuilt from split lengths."""
     s = F.col("sentence")
     d = M.candidate_sentences(call_text(spark, sf)).filter(F.size(M.metrics_of(s, only=L.VERIFIABLE_METRICS)) > 0)
-    d = d.withColumn("kws", M.keyword_positions(s, L.PROMISE_METRICS, L.VERIFIABLE_METRICS))
-    d = d.withColumn("t", F.array_max(M.target_candidates(s, F.col("kws")))).filter("t is not null")
-    return d.select("chunk_id", "sentence_no", "t.raw", "t.low", "t.high", "t.unit", "t.comparator", "t.score", "t.pos")
+    d = d.withColumn("b", M.best_target(s)).filter("b is not null").select("chunk_id", "sentence_no", "b.t.*")
+    return d.select("chunk_id", "sentence_no", "raw", "low", "high", "unit", "comparator", "score", "pos")
 
 
 view("prom_primary", """
@@ -187,9 +186,7 @@ SELECT b.*, m.metric AS primary_metric FROM prom_best b JOIN (SELECT b.chunk_id,
 def _(spark, sf):
     s = F.col("sentence")
     d = M.candidate_sentences(call_text(spark, sf)).filter(F.size(M.metrics_of(s, only=L.VERIFIABLE_METRICS)) > 0)
-    d = d.withColumn("kws", M.keyword_positions(s, L.PROMISE_METRICS, L.VERIFIABLE_METRICS))
-    d = d.withColumn("t", F.array_max(M.target_candidates(s, F.col("kws")))).filter("t is not null")
-    return d.select("chunk_id", "sentence_no", M.nearest_metric(F.col("kws"), F.col("t.pos")).alias("primary_metric"))
+    return d.withColumn("b", M.best_target(s)).filter("b is not null").select("chunk_id", "sentence_no", F.col("b.metric").alias("primary_metric"))
 
 
 _TPSQL = """SELECT chunk_id, sentence_no, target_period, basis, sfy FROM (SELECT *, CASE WHEN y2 <> '' THEN 'FY' || y2 WHEN nextfy THEN 'FY' || lpad(CAST((sfy + 1) % 100 AS VARCHAR), 2, '0') WHEN thisfy THEN 'FY' || lpad(CAST(sfy % 100 AS VARCHAR), 2, '0') WHEN hz THEN 'FY' || lpad(CAST((sfy + 3) % 100 AS VARCHAR), 2, '0') ELSE 'Unknown' END AS target_period,

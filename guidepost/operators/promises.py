@@ -90,8 +90,11 @@ def _around(low: Column, pos: Column, n: Column, width: int) -> Column:
 
 def target_candidates(text: Column, kws: Column) -> Column:
     """Scored numeric candidates after the first forward word, context rules applied."""
-    low = F.lower(text)
-    first = F.regexp_instr(low, F.lit(FORWARD)) - 1
+    bound = F.struct(F.lower(text).alias("low"), (F.regexp_instr(F.lower(text), F.lit(FORWARD)) - 1).alias("first"))
+    return P.let(bound, lambda b: _candidates(text, kws, b["low"], b["first"]))
+
+
+def _candidates(text: Column, kws: Column, low: Column, first: Column) -> Column:
     group = lambda h, i: F.regexp_extract(h, TARGET, i)
     number = lambda s: F.replace(s, F.lit(","), F.lit("")).try_cast("double")
     parsed = F.transform(match_spans(text, TARGET), lambda m, i: F.struct(
@@ -106,8 +109,8 @@ def target_candidates(text: Column, kws: Column) -> Column:
         near = F.aggregate(kws, F.lit(0), lambda acc, k: acc + P.let(
             F.array_min(F.transform(k["at"], lambda p: F.abs(p - c["pos"]))),
             lambda d: F.when(d <= 140, F.greatest(F.lit(1), F.floor(F.lit(12) - d / 15).cast("int"))).otherwise(1)))
-        window = _around(low, c["pos"], c["n"], 90)
         yes = lambda cond, n: F.when(cond, n).otherwise(0)
+        window = _around(low, c["pos"], c["n"], 90)
         return (near + yes(_has(window, FORWARD), 4) + yes(_has(window, CUE), 3) - yes(_has(window, SPEND), 4)
                 + yes(c["unit"] != "", 2) + yes(c["prefix"] != "", 2) + yes(c["high"].isNotNull(), 2))
 
@@ -117,6 +120,13 @@ def target_candidates(text: Column, kws: Column) -> Column:
         F.when(c["unit"] != "", c["unit"]).otherwise("currency").alias("unit")))
 
 
+def best_target(text: Column, words=L.PROMISE_METRICS, verifiable: Sequence[str] = L.VERIFIABLE_METRICS) -> Column:
+    """``struct<t,metric>``: best-scored candidate and the metric nearest to it."""
+    return P.let(keyword_positions(text, words, list(verifiable)), lambda k: P.let(
+        F.array_max(target_candidates(text, k)),
+        lambda t: F.when(t.isNotNull(), F.struct(t.alias("t"), nearest_metric(k, t["pos"]).alias("metric")))))
+
+
 def nearest_metric(kws: Column, pos: Column) -> Column:
     """Metric whose keyword lies closest to the target; list order on ties."""
     near = F.transform(kws, lambda k: F.struct(F.array_min(F.transform(k["at"], lambda p: F.abs(p - pos))).alias("d"), k["ord"].alias("o"), k["metric"].alias("m")))
@@ -157,40 +167,47 @@ def candidate_sentences(chunks: DataFrame, skip: Sequence[str] = L.NON_MANAGEMEN
     return s.filter(is_forward(F.col("sentence")) & is_company_scoped(F.col("sentence")))
 
 
-def extract_promises(chunks: DataFrame, words=L.PROMISE_METRICS, verifiable: Sequence[str] = L.VERIFIABLE_METRICS) -> DataFrame:
-    """Measurable promises, one row per promise id.
-
-    Gates run from cheap to expensive on exploded sentences; the only shuffle is the
-    final de-duplication on the id.
-    """
-    s = F.col("sentence")
-    d = candidate_sentences(chunks).withColumn("metrics", metrics_of(s, words, verifiable)).filter(F.size("metrics") > 0)
-    d = d.withColumn("kws", keyword_positions(s, words, list(verifiable)))
-    d = d.withColumn("t", F.array_max(target_candidates(s, F.col("kws")))).filter("t is not null")
-    u = F.col("t.unit")
-    low = F.lower(s)
-    d = d.withColumn("primary_metric", nearest_metric(F.col("kws"), F.col("t.pos"))).withColumn("tp", target_period(s, F.col("period")))
-    m = F.col("primary_metric")
-    ratio = _has(s, RATIO_TALK)
+def _passes(low: Column, t: Column, m: Column, tp: Column, source_period: Column) -> Column:
+    """Unit, scope and period gates of a promise with target ``t`` on metric ``m``."""
+    u = t["unit"]
+    ratio = _has(low, RATIO_TALK)
     financial = m.isin("Revenue", "EBITDA Margin", "Net Profit")
     flow = u.isin(PERCENT) & F.contains(low, F.lit("flow through"))
-    ok = (
+    return (
         ~u.isin("rooms", "keys", "hotels", "properties", "sqft", "square feet")
-        & ~(u.isin("lakh", "lakhs") & (F.col("t.prefix") == ""))
+        & ~(u.isin("lakh", "lakhs") & (t["prefix"] == ""))
         & ~((m == "Debt") & u.isin(PERCENT) & ~ratio)
         & ~(u.isin("x", "times") & ((m != "Debt") | ~ratio))
         & ~(financial & (flow | (_has(low, PROJECT) & ~_has(low, COMPANY))))
-        & ~((F.col("tp.period") == "Unknown") & (F.col("tp.basis") == "unknown"))
+        & ~((tp["period"] == "Unknown") & (tp["basis"] == "unknown"))
+        & F.coalesce(P.period_key(tp["period"]) > P.period_key(source_period), F.lit(True))
     )
-    tk, sk = P.period_key(F.col("tp.period")), P.period_key(F.col("period"))
-    d = d.filter(ok & F.coalesce(tk > sk, F.lit(True)))
-    direction = F.when(m == "Debt", "down").when(_has(low, HOLD), "maintain").otherwise("up")
+
+
+def extract_promises(chunks: DataFrame, words=L.PROMISE_METRICS, verifiable: Sequence[str] = L.VERIFIABLE_METRICS) -> DataFrame:
+    """Measurable promises, one row per promise id.
+
+    Cheap gates run as filters; the expensive part is one expression per sentence
+    with every intermediate bound once, so the optimiser has nothing to duplicate.
+    The only shuffle is the final de-duplication on the id.
+    """
+    s = F.col("sentence")
+    d = candidate_sentences(chunks).withColumn("metrics", metrics_of(s, words, verifiable)).filter(F.size("metrics") > 0)
+
+    def assemble(x: Column) -> Column:
+        t, m = x["t"], x["metric"]
+        return P.let(F.struct(target_period(s, F.col("period")).alias("tp"), F.lower(s).alias("low")), lambda y: F.when(
+            _passes(y["low"], t, m, y["tp"], F.col("period")),
+            F.struct(
+                y["tp"]["period"].alias("target_period"), y["tp"]["basis"].alias("target_period_basis"), m.alias("primary_metric"),
+                t["raw"].alias("target"), t["low"].alias("target_low"), t["high"].alias("target_high"), t["unit"].alias("target_unit"), t["comparator"].alias("comparator"),
+                F.when(m == "Debt", "down").when(_has(y["low"], HOLD), "maintain").otherwise("up").alias("direction"))))
+
+    d = d.withColumn("p", P.let(best_target(s, words, verifiable), lambda x: F.when(x.isNotNull(), assemble(x)))).filter("p is not null")
     out = d.select(
-        promise_id(F.col("company"), F.col("source_file"), F.coalesce("speaker", F.lit("Management")), s, F.col("t.raw")).alias("id"),
-        "company", F.col("period").alias("source_period"), F.col("tp.period").alias("target_period"), F.col("tp.basis").alias("target_period_basis"),
-        "doc_type", "speaker", "source_file", s.alias("text"), F.array_join("metrics", ",").alias("metrics"), "primary_metric",
-        F.col("t.raw").alias("target"), F.col("t.low").alias("target_low"), F.col("t.high").alias("target_high"), u.alias("target_unit"),
-        F.col("t.comparator").alias("comparator"), direction.alias("direction"), "sentence_no")
+        promise_id(F.col("company"), F.col("source_file"), F.coalesce("speaker", F.lit("Management")), s, F.col("p.target")).alias("id"),
+        "company", F.col("period").alias("source_period"), "doc_type", "speaker", "source_file", s.alias("text"), F.array_join("metrics", ",").alias("metrics"),
+        "p.*", "sentence_no")
     return keep_first(out, ["id"], ["company", "source_file", "sentence_no"]).drop("sentence_no")
 
 
@@ -243,34 +260,42 @@ def verify_promises(promises: DataFrame, facts: DataFrame) -> DataFrame:
     p = choose_verification(promises).withColumns({"target_key": P.period_key(F.col("target_period")), "source_key": P.period_key(F.col("source_period"))})
     pts = series(facts, ["company", "period_type", "metric"], "key", "value", "period").withColumnRenamed("metric", "v_metric")
     j = p.join(pts, ["company", "period_type", "v_metric"])
-    exact = F.filter("points", lambda x: x["o"] == F.col("target_key"))
-    later = F.slice(F.filter("points", lambda x: (x["o"] > F.col("source_key")) & x["v"].isNotNull()), F.lit(1), F.when(F.col("period_type") == "quarterly", 4).otherwise(2))
-    prior = F.filter("points", lambda x: x["o"] <= F.col("source_key"))
-    j = j.withColumns({"win": later, "dated": F.col("target_key").isNotNull()})
-    up = F.array_max(F.transform("win", lambda x: F.struct(x["v"].alias("v"), (-x["o"]).alias("o"), x["p"].alias("p"))))
-    down = F.array_min(F.transform("win", lambda x: F.struct(x["v"].alias("v"), x["o"].alias("o"), x["p"].alias("p"))))
-    best = lambda f: F.when(F.col("v_direction") == "down", down[f]).otherwise(up[f])
-    first = lambda f: F.get(exact, F.lit(0))[f]
-    j = j.withColumns({
-        "ending_value": F.when(F.col("dated"), first("v")).otherwise(best("v")),
-        "actual_period": F.when(F.col("dated"), F.coalesce(first("p"), F.col("target_period"))).otherwise(best("p")),
-        "pending": F.when(F.col("dated"), F.size(exact) == 0).otherwise(F.size("win") == 0),
-        "base_value": F.when(F.col("v_kind") == "debt_reduction", F.try_element_at(prior, F.lit(-1))["v"]),
-        "latest_period": F.try_element_at("points", F.lit(-1))["p"],
-        "low": to_base_unit(F.col("target_low"), F.col("target_unit"), F.col("v_kind")),
-        "high": to_base_unit(F.col("target_high"), F.col("target_unit"), F.col("v_kind")),
-    })
-    j = j.withColumn("actual_value", F.when(F.col("v_kind") == "debt_reduction", F.col("base_value") - F.col("ending_value")).otherwise(F.col("ending_value")))
-    status = F.when(F.col("pending"), "PENDING").otherwise(classify(F.col("actual_value"), F.col("low"), F.col("high"), F.col("v_direction"), F.col("comparator")))
-    j = j.filter(F.col("pending") | (F.col("actual_value").isNotNull() & F.col("low").isNotNull())).withColumn("status", status)
-    g = lambda c: F.format_number(c, 2)
-    rationale = F.when(F.col("pending"), F.concat(F.lit("Actual data only runs through "), "latest_period", F.lit("."))).otherwise(
-        F.concat("v_metric", F.lit(" in "), "actual_period", F.lit(" was "), g(F.col("actual_value")), F.lit(" versus target "), g(F.col("low")), F.lit("; "), "status", F.lit(".")))
+    def slices(x: Column) -> Column:
+        """Best of the forward window, exact point and last prior point of a series."""
+        up = F.array_max(F.transform(x["win"], lambda w: F.struct(w["v"].alias("v"), (-w["o"]).alias("o"), w["p"].alias("p"))))
+        down = F.array_min(F.transform(x["win"], lambda w: F.struct(w["v"].alias("v"), w["o"].alias("o"), w["p"].alias("p"))))
+        best = lambda f: F.when(F.col("v_direction") == "down", down[f]).otherwise(up[f])
+        dated = F.col("target_key").isNotNull()
+        exact = lambda f: F.get(x["exact"], F.lit(0))[f]
+        return F.struct(
+            F.when(dated, exact("v")).otherwise(best("v")).alias("ending"),
+            F.when(dated, F.coalesce(exact("p"), F.col("target_period"))).otherwise(best("p")).alias("period"),
+            F.when(dated, F.size(x["exact"]) == 0).otherwise(F.size(x["win"]) == 0).alias("pending"),
+            F.when(F.col("v_kind") == "debt_reduction", F.try_element_at(x["prior"], F.lit(-1))["v"]).alias("base"),
+            F.when(~dated, F.array_join(F.transform(x["win"], lambda w: w["p"]), ",")).alias("window"))
+
+    src, tgt = F.col("source_key"), F.col("target_key")
+    later = F.slice(F.filter("points", lambda x: (x["o"] > src) & x["v"].isNotNull()), F.lit(1), F.when(F.col("period_type") == "quarterly", 4).otherwise(2))
+    parts = F.struct(F.filter("points", lambda x: x["o"] == tgt).alias("exact"), later.alias("win"), F.filter("points", lambda x: x["o"] <= src).alias("prior"))
+    goal = F.struct(*[to_base_unit(F.col(f"target_{e}"), F.col("target_unit"), F.col("v_kind")).alias(e) for e in ("low", "high")])
+
+    def judge(y: Column) -> Column:
+        e, g = y["e"], y["g"]
+        actual = F.when(F.col("v_kind") == "debt_reduction", e["base"] - e["ending"]).otherwise(e["ending"])
+        return P.let(actual, lambda a: F.when(e["pending"] | (a.isNotNull() & g["low"].isNotNull()), F.struct(
+            e["period"].alias("actual_period"), F.when(~e["pending"], a).alias("actual_value"), e["base"].alias("base_value"),
+            g["low"].alias("low"), g["high"].alias("high"), e["pending"].alias("pending"), e["window"].alias("window_periods"),
+            F.when(e["pending"], "PENDING").otherwise(classify(a, g["low"], g["high"], F.col("v_direction"), F.col("comparator"))).alias("status"))))
+
+    j = j.withColumn("r", P.let(P.let(parts, slices), lambda e: judge(F.struct(e.alias("e"), goal.alias("g"))))).filter("r is not null")
+    money = lambda c: F.format_number(c, 2)
+    last = F.try_element_at("points", F.lit(-1))["p"]
+    rationale = F.when(F.col("r.pending"), F.concat(F.lit("Actual data only runs through "), last, F.lit("."))).otherwise(
+        F.concat("v_metric", F.lit(" in "), "r.actual_period", F.lit(" was "), money(F.col("r.actual_value")), F.lit(" versus target "), money(F.col("r.low")), F.lit("; "), "r.status", F.lit(".")))
     return j.select(
-        "id", "company", "primary_metric", "v_metric", "v_kind", "period_type", "source_period", "target_period", "actual_period",
-        F.when(F.col("pending"), None).otherwise(F.col("actual_value")).alias("actual_value"), "base_value", F.col("low").alias("target_low"), F.col("high").alias("target_high"),
-        "status", F.when(F.col("dated"), "exact_period").otherwise("forward_window").alias("method"),
-        F.when(~F.col("dated"), F.array_join(F.transform("win", lambda x: x["p"]), ",")).alias("window_periods"), rationale.alias("rationale"))
+        "id", "company", "primary_metric", "v_metric", "v_kind", "period_type", "source_period", "target_period", "r.actual_period", "r.actual_value", "r.base_value",
+        F.col("r.low").alias("target_low"), F.col("r.high").alias("target_high"), "r.status",
+        F.when(tgt.isNotNull(), "exact_period").otherwise("forward_window").alias("method"), "r.window_periods", rationale.alias("rationale"))
 
 
 def status_rollup(verified: DataFrame) -> DataFrame:
