@@ -1 +1,170 @@
-"""Queries."""
+"""Source, sink and routing queries; files written along the way go to the scratch folder."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.values import recover_json_array
+from ..session import scratch_path
+from ..sources import documents as D
+from ..sources import sinks as K
+from ..sources import statements as ST
+from . import views as V
+from .q_facts import COLUMNS
+from .q_scoring import annual
+from .q_text import chunks
+from .registry import query, view
+
+_ST_METRICS = list(ST.STATEMENT_METRICS.values())
+
+
+def write_company_statements(spark, sf):
+    """A statement CSV per company with header, metric rows, marker and trailing block."""
+    cols = list(COLUMNS.values())
+    wide = ST.statement_table(annual(spark, sf, _ST_METRICS), COLUMNS)
+    cell = lambda c: F.coalesce(F.concat(F.lit('"'), F.format_number(F.col(f"`{c}`"), 2), F.lit('"')), F.lit(""))
+    rows = wide.select("company_id", F.concat(F.lit("1"), "row").alias("line_no"), F.concat_ws(",", F.concat("row", F.lit(" ")), *[cell(c) for c in cols], F.lit("99")).alias("line"))
+    ids = V.companies(spark, sf).select("company_id", "skey")
+    line = lambda no, text: F.struct(F.lit(no).alias("line_no"), text.alias("line"))
+    fixed = ids.select("company_id", F.inline(F.array(
+        line("0", F.lit(",".join(["", *cols, "TTM"]))), line("1zz", F.lit(",,")), line("2", F.lit("Additional Metrics")),
+        line("3a", F.concat(F.lit("Market Cap (Cr),"), F.lit('"'), F.format_number(F.col("skey") * 1000 + 5, 0), F.lit('"'))),
+        line("3b", F.concat(F.lit("Dividend Yield %,"), F.col("skey") % 9, F.lit("%"))), line("3c", F.lit("Face Value,nan")))))
+    path = scratch_path(spark, "statements")
+    K.write_statements(rows.unionByName(fixed), path)
+    return path
+
+
+_COMPANY = lambda: F.regexp_extract("file", r"company_id=([^/]+)/", 1)
+_BACK = " ".join(f"WHEN '{v}' THEN '{k}'" for k, v in ST.STATEMENT_METRICS.items())
+
+
+@query("s1_wide_scan", f"""
+SELECT company_id, CASE metric {_BACK} END AS metric, 'Mar ' || fy AS period, CAST(round(value * 100) AS BIGINT) AS cents FROM financials WHERE period_type = 'annual' AND metric IN ({', '.join(repr(m) for m in _ST_METRICS)})
+UNION ALL SELECT DISTINCT company_id, CASE metric {_BACK} END, 'TTM', 9900 FROM financials WHERE period_type = 'annual' AND metric IN ({', '.join(repr(m) for m in _ST_METRICS)})""")
+def _(spark, sf):
+    from ..functions.values import parse_num
+
+    path = write_company_statements(spark, sf)
+    w = ST.read_wide_financials(spark, path).withColumn("value", parse_num(F.col("cell"))).filter("value is not null")
+    return w.select(_COMPANY().alias("company_id"), "metric", "period", F.round(F.col("value") * 100).cast("bigint").alias("cents"))
+
+
+@query("s2_additional", """
+SELECT company_id, unnest(['market_cap_cr', 'dividend_yield', 'face_value']) AS metric, 'LTM' AS period, unnest([CAST(skey * 1000 + 5 AS DOUBLE), CAST(skey % 9 AS DOUBLE), NULL]) AS value FROM companies""")
+def _(spark, sf):
+    a = ST.read_additional_metrics(spark, write_company_statements(spark, sf))
+    return a.select(_COMPANY().alias("company_id"), "metric", "period", "value")
+
+
+@query("s3_file_meta", """
+SELECT doc_type, period, company_id, count(*) AS n FROM (SELECT CASE doc_id % 4 WHEN 0 THEN 'annual_report' WHEN 1 THEN 'call_transcript' WHEN 2 THEN 'quarterly_results' ELSE 'other' END AS doc_type,
+  CASE doc_id % 4 WHEN 0 THEN 'FY' || (10 + doc_id % 15) WHEN 1 THEN 'Feb ' || (2010 + doc_id % 15) WHEN 2 THEN 'Sep ' || (2010 + doc_id % 15) END AS period, CASE source WHEN 'src0' THEN 'ALPHA' WHEN 'src1' THEN 'BETA' ELSE 'UNMAPPED' END AS company_id FROM documents) GROUP BY ALL""")
+def _(spark, sf):
+    """Folder, file name and type of every document path; unmapped folders are counted."""
+    k, y = F.col("doc_id") % 4, (2010 + F.col("doc_id") % 15).cast("string")
+    name = (F.when(k == 0, F.concat(F.lit("Annual_Reports/"), y, F.lit(".pdf"))).when(k == 1, F.concat(F.lit("Call_Notes/"), y, F.lit("_Feb.json")))
+            .when(k == 2, F.concat(F.lit("Quarterly/Sep_"), y, F.lit(".pdf"))).otherwise("Misc/notes.txt"))
+    files = V.table(spark, sf, "documents").select(F.concat(F.lit("/data/"), "source", F.lit("/"), name).alias("path"))
+    return D.file_meta(files, {"src0": "ALPHA", "src1": "BETA"}).groupBy("doc_type", "period", "company_id").agg(F.count("*").alias("n"))
+
+
+view("raw_scores", "SELECT company_id, period, metric, value, 0 AS version FROM financials WHERE period_type = 'annual' AND metric = 'opm'")
+
+
+@query("s9_upsert", """
+SELECT company_id, period, CASE WHEN (skey + fy) % 3 = 0 THEN value + 2 ELSE value END AS value, CAST(CASE WHEN (skey + fy) % 3 = 0 THEN 2 ELSE 0 END AS INT) AS version FROM financials WHERE period_type = 'annual' AND metric = 'opm'
+UNION ALL SELECT company_id, 'ALL', 1.0::DOUBLE, 1 FROM companies""")
+def _(spark, sf):
+    """Every third key is updated twice, and one new key per company is added."""
+    f = annual(spark, sf, ["opm"])
+    target = f.select("company_id", "period", "value", F.lit(0).alias("version"))
+    third = f.filter((F.col("skey") + F.col("fy")) % 3 == 0)
+    up = third.select("company_id", "period", F.explode(F.array(F.lit(1), F.lit(2))).alias("version"), "value").select("company_id", "period", (F.col("value") + F.col("version")).alias("value"), "version")
+    new = V.companies(spark, sf).select("company_id", F.lit("ALL").alias("period"), F.lit(1.0).alias("value"), F.lit(1).alias("version"))
+    return K.upsert(target, up.unionByName(new), ["company_id", "period"], ["version"])
+
+
+@query("s10_replace_partition", "SELECT strftime(ts, '%Y-%m-%d') AS day, CASE WHEN day(ts) % 2 = 0 THEN 'second' ELSE 'first' END AS load, count(*) AS n FROM events GROUP BY ALL")
+def _(spark, sf):
+    """All days written, then the even days written again; odd days keep the first load."""
+    e = V.table(spark, sf, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), (F.dayofmonth("ts") % 2).alias("odd"))
+    path = scratch_path(spark, "by-day")
+    K.replace_partitions(e.select("event_id", F.lit("first").alias("load"), "day"), path, "day")
+    K.replace_partitions(e.filter("odd = 0").select("event_id", F.lit("second").alias("load"), "day"), path, "day")
+    return spark.read.parquet(path).groupBy(F.col("day").cast("string").alias("day"), "load").agg(F.count("*").alias("n"))
+
+
+@query("s11_append_new", """
+SELECT company_id, metric, period, value FROM financials WHERE period_type = 'annual' AND metric = 'revenue' UNION ALL SELECT company_id, 'revenue_growth', period, value * 2 FROM financials WHERE period_type = 'annual' AND metric = 'revenue'""")
+def _(spark, sf):
+    """Updates hold known revenue rows (ignored) and new growth rows (added)."""
+    rev = annual(spark, sf, ["revenue"]).select("company_id", "metric", "period", "value")
+    new = rev.select("company_id", F.lit("revenue_growth").alias("metric"), "period", (F.col("value") * 2).alias("value"))
+    return K.append_new(rev, rev.withColumn("value", F.lit(-1.0)).unionByName(new), ["company_id", "metric", "period"])
+
+
+@query("s12_json_export", """
+SELECT segment, count(*) AS n_companies, string_agg(name, ',' ORDER BY name) AS names FROM companies GROUP BY 1""")
+def _(spark, sf):
+    """Nested rows written as JSON lines and read back."""
+    c = V.companies(spark, sf).groupBy("segment").agg(F.sort_array(F.collect_list(F.struct("name", "market"))).alias("companies"))
+    path = scratch_path(spark, "export")
+    K.write_json(c, path)
+    back = spark.read.schema("segment string, companies array<struct<market:string,name:string>>").json(path)
+    return back.select("segment", F.size("companies").cast("bigint").alias("n_companies"), F.array_join(F.transform("companies", lambda x: x["name"]), ",").alias("names"))
+
+
+_TABLES = ["financial_metric", "GUIDANCE_CLAIM", "risk_flag", "CREDIT_RATING", "RAW_DATA", "mystery"]
+
+
+def raw_items(spark, sf):
+    """Events as extracted items: a table tag, keys (some blank) and a value that may not parse."""
+    e = V.table(spark, sf, "events")
+    k = F.get_json_object("props", "$.k").cast("int")
+    val = F.when(k % 5 == 0, "n/a").otherwise(F.col("value").cast("string"))
+    fields = {
+        "table": V._pick(_TABLES, F.col("event_id") % 6), "company_id": F.when(k % 11 == 0, "").otherwise(F.concat(F.lit("C"), F.col("user_id") % 20)), "source_document": F.lit("log.pdf"),
+        "period": F.lit("FY24"), "value": val, "value_numeric": val, "verbatim_quote": F.when(k % 7 == 0, "  ").otherwise("we will"), "description": F.when(k % 7 == 0, None).otherwise("risk"),
+        "rating_agency": F.when(k % 3 == 0, "").otherwise("AGENCY"), "value_text": F.lit("text"), "guidance_value_low": val,
+    }
+    return e.select("event_id", *[v.alias(n) for n, v in fields.items()], *[F.lit(None).cast("string").alias(c) for c in D.ITEM_FIELDS if c not in fields])
+
+
+@query("s13_route_items", """
+SELECT route, reason, count(*) AS n, count(num) AS n_numeric FROM (SELECT *, CASE WHEN reason <> 'accepted' THEN NULL WHEN route IN ('financials', 'guidance_claims', 'raw_data') AND k % 5 <> 0 THEN 1 END AS num FROM (
+  SELECT *, CASE WHEN event_id % 6 = 5 THEN 'unknown_table' WHEN k % 11 = 0 THEN 'missing_source' WHEN (route = 'financials' AND k % 5 = 0) OR (route IN ('guidance_claims', 'risk_flags') AND k % 7 = 0) OR (route = 'credit_ratings' AND k % 3 = 0) THEN 'missing_required' ELSE 'accepted' END AS reason
+  FROM (SELECT event_id, (['financials', 'guidance_claims', 'risk_flags', 'credit_ratings', 'raw_data', 'mystery'])[event_id % 6 + 1] AS route, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events))) GROUP BY 1, 2""")
+def _(spark, sf):
+    tables, rejects = D.route_items(raw_items(spark, sf))
+    num = {"financials": "value", "guidance_claims": "guidance_value_low", "raw_data": "value_numeric"}
+    parts = [t.select("route", F.lit("accepted").alias("reason"), (F.col(num[n]).cast("double") if n in num else F.lit(None).cast("double")).alias("v")) for n, t in tables.items()]
+    parts.append(rejects.select("route", F.col("reject_reason").alias("reason"), F.lit(None).cast("double").alias("v")))
+    return V.union_all(parts).groupBy("route", "reason").agg(F.count("*").alias("n"), F.count("v").alias("n_numeric"))
+
+
+@query("s14_json_recover", """
+SELECT event_id, n::INT AS n_items FROM (SELECT event_id, CASE event_id % 4 WHEN 3 THEN 0 ELSE event_id % 3 + 1 END AS n FROM events)""")
+def _(spark, sf):
+    """Arrays wrapped in fences and prose are recovered; the last kind holds no array."""
+    e = V.table(spark, sf, "events").select("event_id")
+    items = F.array_join(F.transform(F.sequence(F.lit(1), (F.col("event_id") % 3 + 1).cast("int")), lambda i: F.concat(F.lit('{"table": "risk_flag", "period": "P'), i.cast("string"), F.lit('"}'))), ", ")
+    k = F.col("event_id") % 4
+    raw = (F.when(k == 0, F.concat(F.lit("```json\n["), items, F.lit("]\n```"))).when(k == 1, F.concat(F.lit("Here you go: ["), items, F.lit("] hope it helps")))
+           .when(k == 2, F.concat(F.lit("["), items, F.lit("]"))).otherwise("no list here"))
+    got = F.from_json(recover_json_array(raw), "array<struct<`table`:string,period:string>>")
+    return e.select("event_id", F.coalesce(F.nullif(F.size(got), F.lit(-1)), F.lit(0)).alias("n_items"))
+
+
+@query("s15_registry", """
+SELECT d.company_id, d.document, coalesce(c.n, 0) AS n_chunks, coalesce(k.n, 0) AS n_claims, coalesce(r.n, 0) AS n_risks, CASE WHEN coalesce(k.n, 0) + coalesce(r.n, 0) > 0 THEN 'extracted' WHEN coalesce(c.n, 0) > 0 THEN 'chunked' ELSE 'registered' END AS status
+FROM (SELECT DISTINCT 'C' || (doc_id % 200) AS company_id, source || '.pdf' AS document FROM documents UNION SELECT DISTINCT company_id, source_document FROM claims UNION SELECT DISTINCT company_id, source_document FROM risk_flags) d
+LEFT JOIN (SELECT company_id, source || '.pdf' AS document, count(*) AS n FROM chunks GROUP BY 1, 2) c USING (company_id, document) LEFT JOIN (SELECT company_id, source_document AS document, count(*) AS n FROM claims GROUP BY 1, 2) k USING (company_id, document)
+LEFT JOIN (SELECT company_id, source_document AS document, count(*) AS n FROM risk_flags GROUP BY 1, 2) r USING (company_id, document)""")
+def _(spark, sf):
+    c = chunks(spark, sf).select("company_id", F.concat("source", F.lit(".pdf")).alias("document"))
+    k = V.claims(spark, sf).select("company_id", F.col("source_document").alias("document"))
+    r = V.risk_flags(spark, sf).select("company_id", F.col("source_document").alias("document"))
+    owned = V.table(spark, sf, "documents").select(F.concat(F.lit("C"), F.col("doc_id") % 200).alias("company_id"), F.concat("source", F.lit(".pdf")).alias("document"))
+    docs = owned.unionByName(k).unionByName(r).distinct()
+    return K.document_registry(docs, c, k, r)

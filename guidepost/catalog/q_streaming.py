@@ -1 +1,89 @@
-"""Queries."""
+"""Streaming jobs drained over the given tables, with batch twins."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..session import scratch_path
+from ..sources.documents import visible_text
+from ..streaming import jobs as S
+from . import views as V
+from .registry import query, view
+
+_FLAG = "CASE event_type WHEN 'error' THEN 'MISS' WHEN 'purchase' THEN 'BEAT' ELSE 'IN-LINE' END"
+view("outcomes", f"SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, {_FLAG} AS flag FROM events")
+_METER = """
+WITH walk(user_id, i, meter, misses, beats) AS (
+  SELECT DISTINCT user_id, 0::BIGINT, 80.0::DOUBLE, 0::BIGINT, 0::BIGINT FROM outcomes
+  UNION ALL SELECT w.user_id, o.i, CASE o.flag WHEN 'MISS' THEN greatest(0, w.meter - 8) WHEN 'BEAT' THEN least(100, w.meter + 3) ELSE w.meter END, w.misses + (o.flag = 'MISS')::BIGINT, w.beats + (o.flag = 'BEAT')::BIGINT
+  FROM walk w JOIN outcomes o ON o.user_id = w.user_id AND o.i = w.i + 1)
+SELECT user_id, max_by(meter, i) AS meter, max(misses) AS misses, max(beats) AS beats FROM walk GROUP BY 1"""
+
+
+def stream_of(spark, sf, table):
+    """The table's file as an unbounded source, timestamps zoned."""
+    schema = V.table(spark, sf, table).schema
+    df = spark.readStream.schema(schema).parquet(f"{sf.rstrip('/')}/{table}*.parquet")
+    return df.withColumns({f.name: F.col(f.name).cast("timestamp") for f in schema if f.dataType.typeName() == "timestamp_ntz"})
+
+
+def flagged(df):
+    return df.select("user_id", "event_id", "ts", F.when(F.col("event_type") == "error", "MISS").when(F.col("event_type") == "purchase", "BEAT").otherwise("IN-LINE").alias("flag"))
+
+
+@query("st3_meter", _METER)
+def _(spark, sf):
+    """Batch form: one clamped-shift map per (user, minute), composed in order."""
+    e = flagged(V.table(spark, sf, "events")).withColumn("minute", F.date_trunc("minute", "ts"))
+    return S.meter_batch(e, "user_id", "minute", ["ts", "event_id"])
+
+
+@query("st3_meter_stream", _METER)
+def _(spark, sf):
+    """Stateful stream form; the last update of each user is the final meter."""
+    path = scratch_path(spark, "meter")
+    out = S.meter_stream(flagged(stream_of(spark, sf, "events")), "user_id", "ts", "event_id")
+
+    def keep(batch, batch_id):
+        batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/b={batch_id}")
+
+    S.drain(out.writeStream.outputMode("update").foreachBatch(keep), spark, "meter-ckpt")
+    return spark.read.parquet(path).groupBy("user_id").agg(F.max_by(F.struct("meter", "misses", "beats"), "batch").alias("r")).select("user_id", "r.*")
+
+
+@query("st1_stream_dedup", """
+SELECT user_id % 40 AS topic, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY 1, 2""")
+def _(spark, sf):
+    """Items with one content key arrive once while the watermark has not passed them."""
+    e = stream_of(spark, sf, "events").select("ts", "user_id", "event_type", F.concat(F.lit("https://x.example.com/"), "user_id", F.lit("?utm_source="), F.col("event_id") % 5).alias("url"), F.upper("event_type").alias("title"))
+    path = scratch_path(spark, "dedup")
+    S.run_to_end(S.dedupe_stream(e, "ts", "60 days"), path)
+    return spark.read.parquet(f"{path}/data").groupBy((F.col("user_id") % 40).alias("topic"), "event_type").agg(F.count("*").alias("n"))
+
+
+@query("st2_page_change", "SELECT url, 1::INT AS batch_id FROM (SELECT url, arg_max(page_id, page_id) AS page_id FROM pages GROUP BY 1) WHERE page_id % 3 = 0")
+def _(spark, sf):
+    """Two snapshots of the pages arrive one after the other; edited pages are reported."""
+    src, state, out = (scratch_path(spark, n) for n in ("pages-src", "pages-state", "pages-out"))
+    p = V.table(spark, sf, "pages").select("page_id", "url", visible_text(F.col("html"), None).alias("page_text"))
+    edited = p.withColumn("page_text", F.when(F.col("page_id") % 3 == 0, F.concat("page_text", F.lit(" updated"))).otherwise(F.col("page_text")))
+    p.write.parquet(f"{src}/s=0")
+    ckpt = scratch_path(spark, "pages-ckpt")
+    reader = spark.readStream.schema(p.schema).option("recursiveFileLookup", True)
+    for i, snap in enumerate((None, edited)):
+        if snap is not None:
+            snap.write.parquet(f"{src}/s={i}")
+        w = S.page_changes(reader.parquet(src), state, out)
+        w.option("checkpointLocation", ckpt).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("url string, prev_hash string, cur_hash string, batch_id int").option("recursiveFileLookup", True).parquet(out).select("url", "batch_id")
+
+
+@query("st4_event_upsert", "SELECT user_id, event_type, count(*) AS n, max_by(event_id, ts) AS event_id FROM events GROUP BY ALL")
+def _(spark, sf):
+    """Latest event per (user, type) through a versioned table, one version per batch."""
+    path = scratch_path(spark, "upsert")
+    e = stream_of(spark, sf, "events").select("user_id", "event_type", "event_id", "ts")
+    S.drain(S.upsert_stream(e, path, ["user_id", "event_type"], ["ts", "event_id"]), spark, "upsert-ckpt")
+    latest = spark.read.parquet(f"{path}/v0")
+    n = V.table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    return latest.join(n, ["user_id", "event_type"]).select("user_id", "event_type", "n", "event_id")

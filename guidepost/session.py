@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,3 +45,8 @@ def local_session(cpus: str | int = "*", app: str = "guidepost", shuffle: int |
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """Fresh path in the shared checkpoint folder for tables written along the way."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
