@@ -82,7 +82,7 @@ def file_meta(files: DataFrame, folder_map: Mapping[str, str], path: str = "path
 
 def load_entity_dirs(spark: SparkSession, root: str, folder_map: Mapping[str, str]) -> DataFrame:
     """Every file below ``root/<folder>/<kind>/`` with its text and derived keys."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(root)
+    raw = spark.read.text(root, wholetext=True, recursiveFileLookup=True)
     return file_meta(raw.select("value", F.col("_metadata.file_path").alias("path")), folder_map)
 
 

@@ -42,7 +42,7 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     A statement is one small file, so it is read whole and split in the row that
     holds it; files spread over tasks.
     """
-    raw = spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    raw = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
     rows = raw.select("file", F.filter(F.transform(F.split("value", r"\r?\n"), _cells), lambda r: F.exists(r, lambda c: c != "")).alias("rows"))
     at = F.array_position(F.transform("rows", lambda r: F.lower(r[0]) == MARKER), F.lit(True)).cast("int")
     return rows.withColumn("marker", F.when(at > 0, at).otherwise(F.size("rows") + 1))
