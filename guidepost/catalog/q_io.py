@@ -22,7 +22,7 @@ def write_company_statements(spark, sf):
     """A statement CSV per company with header, metric rows, marker and trailing block."""
     cols = list(COLUMNS.values())
     wide = ST.statement_table(annual(spark, sf, _ST_METRICS), COLUMNS)
-    cell = lambda c: F.coalesce(F.concat(F.lit('"'), F.format_number(F.col(f"`{c}`"), 2), F.lit('"')), F.lit(""))
+    cell = lambda c: F.coalesce(F.concat(F.lit('"'), F.format_number(F.col(f"`{c}`"), 6), F.lit('"')), F.lit(""))
     rows = wide.select("company_id", F.concat(F.lit("1"), "row").alias("line_no"), F.concat_ws(",", F.concat("row", F.lit(" ")), *[cell(c) for c in cols], F.lit("99")).alias("line"))
     ids = V.companies(spark, sf).select("company_id", "skey")
     line = lambda no, text: F.struct(F.lit(no).alias("line_no"), text.alias("line"))
@@ -40,14 +40,14 @@ _BACK = " ".join(f"WHEN '{v}' THEN '{k}'" for k, v in ST.STATEMENT_METRICS.items
 
 
 @query("s1_wide_scan", f"""
-SELECT company_id, CASE metric {_BACK} END AS metric, 'Mar ' || fy AS period, CAST(round(value * 100) AS BIGINT) AS cents FROM financials WHERE period_type = 'annual' AND metric IN ({', '.join(repr(m) for m in _ST_METRICS)})
+SELECT company_id, CASE metric {_BACK} END AS metric, 'Mar ' || fy AS period, CAST(floor(value * 100 + 0.00003::DOUBLE) AS BIGINT) AS cents FROM financials WHERE period_type = 'annual' AND metric IN ({', '.join(repr(m) for m in _ST_METRICS)})
 UNION ALL SELECT DISTINCT company_id, CASE metric {_BACK} END, 'TTM', 9900 FROM financials WHERE period_type = 'annual' AND metric IN ({', '.join(repr(m) for m in _ST_METRICS)})""")
 def _(spark, sf):
     from ..functions.values import parse_num
 
     path = write_company_statements(spark, sf)
     w = ST.read_wide_financials(spark, path).withColumn("value", parse_num(F.col("cell"))).filter("value is not null")
-    return w.select(_COMPANY().alias("company_id"), "metric", "period", F.round(F.col("value") * 100).cast("bigint").alias("cents"))
+    return w.select(_COMPANY().alias("company_id"), "metric", "period", F.floor(F.col("value") * 100 + 0.00003).cast("bigint").alias("cents"))
 
 
 @query("s2_additional", """

@@ -14,6 +14,7 @@ from ..functions import lexicons as L
 from ..functions.values import content_signature, item_key, normalize_url, normalize_whitespace, parse_date, short_summary
 from ..session import cut_lineage
 from .ordered import keep_first
+from .rows import computed_once
 from .text import any_hit, detect, group_scores, hits, word_hits
 
 
@@ -76,10 +77,12 @@ def enrich(items: DataFrame, lex: NewsLexicon, as_of: str, match: str = "substri
     text = F.lower(F.concat_ws(" ", "title", "summary", "content", "source"))
     df = items.withColumns({"title": normalize_whitespace(F.col("title")), "url": normalize_url(F.col("url")), "scoring_text": text})
     t = F.col("scoring_text")
-    df = df.withColumns({
+    # every scan of the text happens in this one step
+    df = computed_once(df, {
         "company_tags": detect(t, lex.companies) if lex.companies else F.array().cast("array<string>"),
         "dims": group_scores(t, lex.dimensions, lex.rules), "materiality": hits(t, lex.material), "noise_hits": count(t, lex.noise),
         "specificity": F.least(hits(t, lex.specific), F.lit(4)), "press": any_hit(t, lex.press),
+        "in_world": any_hit(t, lex.world), "in_sector": any_hit(t, lex.sector), "linguistic_sentiment": sentiment(t, lex.positive, lex.negative, lex.watch),
     })
     n_comp = F.size("company_tags")
     df = df.withColumns({
@@ -96,16 +99,14 @@ def enrich(items: DataFrame, lex: NewsLexicon, as_of: str, match: str = "substri
         .when((n_comp == 0) & (F.col("specificity") < 2), "no_company_no_specificity")
         .when(F.col("stage2_confidence") < 0.45, "low_stage2_confidence")
     )
-    tone = sentiment(t, lex.positive, lex.negative, lex.watch)
     df = df.withColumns({
         "drop_reason": F.when((F.col("title") == "") | (F.col("url") == ""), "missing_title_or_url").when(F.col("press"), "press_release")
         .when(F.size("dims") == 0, "no_dimension").when(F.col("relevance_score") < 4, "low_relevance").otherwise(stage2),
-        "market_scope": F.when(any_hit(t, lex.world), "global").when(any_hit(t, lex.sector), "sector").when(n_comp > 0, "company").otherwise("sector"),
-        "linguistic_sentiment": tone,
-        "sentiment": impact(t, F.col("dimensions"), tone, lex.impact),
+        "market_scope": F.when(F.col("in_world"), "global").when(F.col("in_sector"), "sector").when(n_comp > 0, "company").otherwise("sector"),
+        "sentiment": impact(t, F.col("dimensions"), F.col("linguistic_sentiment"), lex.impact),
         "published_date": parse_date(F.col("published_date"), as_of),
     })
-    return df.drop("dims", "press")
+    return df.drop("dims", "press", "in_world", "in_sector")
 
 
 def accept(enriched: DataFrame) -> DataFrame:

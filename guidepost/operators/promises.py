@@ -12,6 +12,7 @@ from ..functions import periods as P
 from ..functions.values import clean_text, promise_id, to_base_unit
 from .joins import series
 from .ordered import keep_first
+from .rows import computed_once
 from .text import any_hit, is_management, match_spans, sentences_of
 
 # Fixed patterns of the promise language.
@@ -75,12 +76,17 @@ def metrics_of(text: Column, words: Mapping[str, Sequence[str]] = L.PROMISE_METR
 
 def keyword_positions(text: Column, words: Mapping[str, Sequence[str]], only: Sequence[str]) -> Column:
     """``array<struct<ord,metric,at>>``: every keyword that occurs and all its offsets."""
-    low, cells = F.lower(text), []
-    for i, m in enumerate(only):
-        for w in words[m]:
-            at = F.transform(match_spans(low, rf"\Q{w}\E"), lambda s: s["pos"])
-            cells.append(F.struct(F.lit(i).alias("ord"), F.lit(m).alias("metric"), at.alias("at")))
-    return F.filter(F.array(*cells), lambda k: F.size(k["at"]) > 0)
+    entry = lambda i, m, w: F.struct(F.lit(i).alias("ord"), F.lit(m).alias("metric"), F.lit(w).alias("w"))
+    table = F.array(*[entry(i, m, w) for i, m in enumerate(only) for w in words[m]])
+
+    def offsets(low: Column, w: Column) -> Column:
+        gaps = F.split(low, F.concat(F.lit(r"\Q"), w, F.lit(r"\E")), -1)
+        before = lambda g, i: F.aggregate(F.slice(g, F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x)) + (i - 1) * F.length(w)
+        return P.let(gaps, lambda g: F.transform(F.sequence(F.lit(1), F.size(g) - 1), lambda i: before(g, i)))
+
+    return P.let(F.lower(text), lambda low: F.transform(
+        F.filter(table, lambda k: F.contains(low, k["w"])),
+        lambda k: F.struct(k["ord"].alias("ord"), k["metric"].alias("metric"), offsets(low, k["w"]).alias("at"))))
 
 
 def _around(low: Column, pos: Column, n: Column, width: int) -> Column:
@@ -203,7 +209,7 @@ def extract_promises(chunks: DataFrame, words=L.PROMISE_METRICS, verifiable: Seq
                 t["raw"].alias("target"), t["low"].alias("target_low"), t["high"].alias("target_high"), t["unit"].alias("target_unit"), t["comparator"].alias("comparator"),
                 F.when(m == "Debt", "down").when(_has(y["low"], HOLD), "maintain").otherwise("up").alias("direction"))))
 
-    d = d.withColumn("p", P.let(best_target(s, words, verifiable), lambda x: F.when(x.isNotNull(), assemble(x)))).filter("p is not null")
+    d = computed_once(d, {"p": P.let(best_target(s, words, verifiable), lambda x: F.when(x.isNotNull(), assemble(x)))}).filter("p is not null")
     out = d.select(
         promise_id(F.col("company"), F.col("source_file"), F.coalesce("speaker", F.lit("Management")), s, F.col("p.target")).alias("id"),
         "company", F.col("period").alias("source_period"), "doc_type", "speaker", "source_file", s.alias("text"), F.array_join("metrics", ",").alias("metrics"),
@@ -231,7 +237,7 @@ def choose_verification(p: DataFrame) -> DataFrame:
         .when((m == "Debt") & de, pick("debt_to_equity", "ratio", "down")).when((m == "Debt") & _has(low, REPAY), pick("borrowings", "debt_reduction", "up"))
         .when(m == "Debt", pick("borrowings", "currency", "down"))
     )
-    p = p.withColumn("v", v).filter("v is not null")
+    p = computed_once(p, {"v": v}).filter("v is not null")
     period_type = F.when((m != "Debt") & quarter, "quarterly").otherwise("annual")
     direction = F.when(F.col("v.kind") == "debt_reduction", "up").when(F.col("v.dir") == "down", "down").otherwise(F.coalesce("direction", F.col("v.dir")))
     return p.withColumns({"v_metric": F.col("v.metric"), "v_kind": F.col("v.kind"), "v_direction": direction, "period_type": period_type}).drop("v")
@@ -287,7 +293,7 @@ def verify_promises(promises: DataFrame, facts: DataFrame) -> DataFrame:
             g["low"].alias("low"), g["high"].alias("high"), e["pending"].alias("pending"), e["window"].alias("window_periods"),
             F.when(e["pending"], "PENDING").otherwise(classify(a, g["low"], g["high"], F.col("v_direction"), F.col("comparator"))).alias("status"))))
 
-    j = j.withColumn("r", P.let(P.let(parts, slices), lambda e: judge(F.struct(e.alias("e"), goal.alias("g"))))).filter("r is not null")
+    j = computed_once(j, {"r": P.let(P.let(parts, slices), lambda e: judge(F.struct(e.alias("e"), goal.alias("g"))))}).filter("r is not null")
     money = lambda c: F.format_number(c, 2)
     last = F.try_element_at("points", F.lit(-1))["p"]
     rationale = F.when(F.col("r.pending"), F.concat(F.lit("Actual data only runs through "), last, F.lit("."))).otherwise(

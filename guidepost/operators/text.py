@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
+from ..functions.periods import let
 from ..functions.values import clean_text
 
 MARK = "\u0001"
@@ -199,12 +200,15 @@ def time_refs(text: Column) -> Column:
 
 def match_spans(text: Column, pattern: str) -> Column:
     """``array<struct<pos,hit>>`` of every match: positions rebuilt from the gaps between."""
-    all_hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    before = lambda i: (
-        F.aggregate(F.slice(gaps, F.lit(1), i + 1), F.lit(0), lambda a, g: a + F.length(g))
-        + F.aggregate(F.slice(all_hits, F.lit(1), i), F.lit(0), lambda a, h: a + F.length(h)))
-    return F.transform(all_hits, lambda h, i: F.struct(before(i).alias("pos"), h.alias("hit")))
+    parts = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("h"), F.split(text, pattern, -1).alias("g"))
+
+    def place(x: Column) -> Column:
+        before = lambda i: (
+            F.aggregate(F.slice(x["g"], F.lit(1), i + 1), F.lit(0), lambda a, g: a + F.length(g))
+            + F.aggregate(F.slice(x["h"], F.lit(1), i), F.lit(0), lambda a, h: a + F.length(h)))
+        return F.transform(x["h"], lambda h, i: F.struct(before(i).alias("pos"), h.alias("hit")))
+
+    return let(parts, place)
 
 
 def numeric_metrics(df: DataFrame, text: str, keep: Sequence[str], around: int = 40) -> DataFrame:

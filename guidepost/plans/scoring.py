@@ -138,29 +138,29 @@ def delivery_profile(dev: DataFrame) -> DataFrame:
     streak; one aggregate per (company, streak) and one per company follow, so both
     scores share a single pass. Unused columns are pruned by the optimiser.
     """
-    hit, miss = F.col("flag") != "MISS", F.col("flag") == "MISS"
-    ordered = blocked_running(
-        dev.withColumn("blk", F.substring("claim_id", 1, 1)), ["company_id"], ["period_ord", "blk"], ["claim_id"],
-        {"pos": F.lit(1), "island": ~miss},
+    # everything the counts test is reduced to small columns before the ordering
+    slim = dev.select(
+        "company_id", "period_ord", "claim_id", "check_type", "delta_pct", F.substring("claim_id", 1, 1).alias("blk"),
+        (F.col("flag") != "MISS").alias("hit"), F.lower(F.trim("confidence_language")).isin(HARD_WORDS).alias("hard"),
+        metric_family(F.col("metric_type")).alias("family"),
     )
-    mid = F.floor(F.col("pos_total") / 2)
-    late = F.col("pos") >= mid
-    hard = F.lower(F.trim("confidence_language")).isin(HARD_WORDS)
-    fam = metric_family(F.col("metric_type"))
-    dp = F.col("delta_pct")
+    hit = F.col("hit")
+    ordered = blocked_running(slim, ["company_id"], ["period_ord", "blk"], ["claim_id"], {"pos": F.lit(1), "island": hit})
+    ordered = ordered.withColumn("late", F.col("pos") >= F.floor(F.col("pos_total") / 2))
+    late, hard, dp = F.col("late"), F.col("hard"), F.col("delta_pct")
     sums = {
         "n": F.count("*"), "hits": F.count_if(hit), "sum_abs": F.sum(F.abs(dp)), "s1": F.sum(dp), "s2": F.sum(dp * dp),
         "first_n": F.count_if(~late), "first_hits": F.count_if(~late & hit), "second_hits": F.count_if(late & hit),
-        "hard_n": F.count_if(hard), "hard_m": F.count_if(hard & miss),
+        "hard_n": F.count_if(hard), "hard_m": F.count_if(hard & ~hit),
     }
     for c in CHECKS:
         sums[f"n_{c}"] = F.count_if(F.col("check_type") == c)
         sums[f"h_{c}"] = F.count_if((F.col("check_type") == c) & hit)
     for f, _ in METRIC_FAMILIES:
-        sums[f"n_{f}"] = F.count_if(fam == f)
-        sums[f"m_{f}"] = F.count_if((fam == f) & miss)
-    runs = ordered.groupBy("company_id", "island").agg(F.count_if(miss).alias("run"), *[e.alias(k) for k, e in sums.items()])
-    return runs.groupBy("company_id").agg(F.max("run").alias("consecutive_misses"), *[F.sum(k).alias(k) for k in sums])
+        sums[f"n_{f}"] = F.count_if(F.col("family") == f)
+        sums[f"m_{f}"] = F.count_if((F.col("family") == f) & ~hit)
+    per = ordered.groupBy("company_id", "island").agg(F.count_if(~hit).alias("run"), *[e.alias(k) for k, e in sums.items()])
+    return per.groupBy("company_id").agg(F.max("run").alias("consecutive_misses"), *[F.sum(k).alias(k) for k in sums])
 
 
 def credibility(dev: DataFrame, variant: str = "code") -> DataFrame:

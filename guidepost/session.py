@@ -39,6 +39,8 @@ def local_session(cpus: str | int = "*", app: str = "guidepost", shuffle: int |
         .config("spark.sql.shuffle.partitions", str(parts))
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        # small local inputs: keep every core busy instead of merging to 1 MB partitions
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import periods as P
 from ..functions.values import clean_text, normalize_whitespace, recover_json_array
+from ..operators.rows import computed_once
 from ..operators.text import is_useful, words_of
 
 DOCUMENT_SCHEMA = (
@@ -42,7 +43,7 @@ def flatten_documents(docs: DataFrame, min_words: int = 5) -> DataFrame:
     keep = [c for c in docs.columns if c != "pages"]
     pages = docs.select(*keep, F.inline("pages"))
     paras = pages.select(*keep, "page_number", F.posexplode("paragraphs").alias("paragraph_no", "raw"))
-    return paras.withColumn("text", clean_text(F.col("raw"))).filter(is_useful(F.col("text"), min_words)).drop("raw")
+    return computed_once(paras, {"text": clean_text(F.col("raw"))}).filter(is_useful(F.col("text"), min_words)).drop("raw")
 
 
 def read_transcripts_json(spark: SparkSession, path: str, min_words: int = 8) -> DataFrame:
@@ -54,7 +55,7 @@ def read_transcripts_json(spark: SparkSession, path: str, min_words: int = 8) ->
 def transcript_turns(turns: DataFrame, min_words: int = 8) -> DataFrame:
     stem = F.regexp_replace("file", r"\.json$", "")
     month, year = F.substring_index(stem, "_", -1), F.substring_index(stem, "_", 1)
-    t = turns.withColumns({"text": clean_text(F.col("text")), "period": F.concat(month, F.lit(" "), year)})
+    t = computed_once(turns, {"text": clean_text(F.col("text")), "period": F.concat(month, F.lit(" "), year)})
     t = t.withColumn("reported_quarter", P.call_month_to_quarter(year.cast("int"), P.month_number(month)))
     return t.filter(F.size(words_of(F.col("text"))) >= min_words)
 
@@ -116,7 +117,7 @@ def extract_links(df: DataFrame, html: str, url: str, keywords: Sequence[str], m
     href = F.trim(F.regexp_extract("a", r"(?is)href=\"([^\"]*)\"", 1))
     text = normalize_whitespace(unescape(F.regexp_replace("a", r"(?s)<[^>]*>", " ")))
     root = F.regexp_extract(F.col(url), r"^(https?://[^/?#]+)", 1)
-    one = one.withColumns({"link_text": text, "href": F.when(F.startswith(href, F.lit("/")), F.concat(root, href)).otherwise(href)}).drop("a")
+    one = computed_once(one, {"link_text": text, "href": F.when(F.startswith(href, F.lit("/")), F.concat(root, href)).otherwise(href)}).drop("a")
     gate = F.lit(False) if keywords else F.lit(True)
     for k in keywords:
         gate = gate | F.contains(F.lower("link_text"), F.lit(k))
