@@ -11,9 +11,9 @@ from .registry import query, view
 
 LEX = N.NewsLexicon(
     companies={"C_EN": ["thther", "inging"], "C_DE": ["undich", "schsch"], "C_ES": ["quelos", "ciónar"], "C_FR": ["eauxch", "elleen"]},
-    dimensions={"d_one": ["therthe", "undschen", "entedel"], "d_two": ["tional", "schver", "reeau"], "d_three": ["inthe", "lichge", "osla"]},
+    dimensions={"d_one": ["thethe", "schen", "entedel", "dela"], "d_two": ["tiona", "schver", "reeau", "enle"], "d_three": ["inthe", "lichge", "osla", "aier"]},
     rules={"d_one": ["thand", "ichder"], "d_two": ["erthing", "keitung"], "d_three": ["quela", "menten"]},
-    material=["ingtion", "heitsch", "ciónes", "menteau"], press=["zzpress", "andthesh "], specific=["stth", "ndnd", "ungun", "aren", "auxau", "oiou"],
+    material=["ingti", "heits", "iónes", "enteau"], press=["zzpress", "andthesh "], specific=["stth", "onth", "ungun", "aren", "auxau", "lasel", "ichge", "enver", "uxai", "ionan"],
     noise=["hahaha", "thhahe", "gegege"], positive=["ing ", "keit ", "ado "], negative=["ed ", "lich ", "tion "], watch=["ough", "schen", "eau "],
     sector=["ment", "ver"], world=["whst", "dadel", "eauvi"],
     impact=((None, ("therthher", "undund"), "Watch"), ("d_two", ("ouen", "enle"), "Neutral"), ("d_one", ("ndes", "este"), "Negative"), (None, ("ereres", "unglich"), "Positive"), ("d_three", ("atan", "vien"), "Watch")),

@@ -9,6 +9,7 @@ from ..functions import lexicons as L
 from ..functions import periods as P
 from ..operators import promises as M
 from ..operators import text as T
+from ..session import cut_lineage
 from . import views as V
 from .q_text import CLEAN_SQL, WORDS_SQL, contains_any
 from .registry import query, view
@@ -41,11 +42,11 @@ def _fill_spark(t, a, b, p, r, y):
     return F.concat(*parts)
 
 
-def call_text(spark, sf):
-    """One transcript turn per claim: a statement built from it, then an opening of a document."""
-    c = V.claims(spark, sf).join(F.broadcast(V.metric_map(spark).select("metric_type", "metric", "mi")), "metric_type")
-    f = V.financials(spark, sf, ["revenue", "borrowings"]).filter("period_type = 'annual'")
-    f = f.groupBy("company_id", "fy").agg(F.max(F.when(F.col("metric") == "revenue", F.col("value"))).alias("rev"), F.max(F.when(F.col("metric") == "borrowings", F.col("value"))).alias("bor"))
+def call_text(spark, sf, wide=None):
+    """One transcript turn per claim: a statement written from its figures."""
+    c = V.claims(spark, sf, wide).join(F.broadcast(V.metric_map(spark).select("metric_type", "metric", "mi")), "metric_type")
+    w = V.facts_wide(spark, sf) if wide is None else wide
+    f = w.filter("period_type = 'annual'").select("company_id", "fy", F.col("revenue").alias("rev"), F.col("borrowings").alias("bor"))
     c = c.join(f, ["company_id", "fy"])
     k = (F.col("skey") * 3 + F.col("fy") + F.col("mi")) % 8
     base = F.when(k.isin(2, 7), F.col("bor")).otherwise(F.col("rev"))
@@ -216,9 +217,9 @@ def _(spark, sf):
 _VM = ["revenue", "revenue_growth", "opm", "operating_profit", "net_profit", "net_profit_growth", "debt_to_equity", "borrowings"]
 
 
-def verification_facts(spark, sf):
+def verification_facts(spark, sf, wide=None):
     """Long facts for verification: money in thousands, growth against the year before."""
-    w = V.facts_wide(spark, sf)
+    w = V.facts_wide(spark, sf) if wide is None else wide
     win = Window.partitionBy("company_id", "period_type").orderBy("ord")
     back = lambda c: F.when(F.col("period_type") == "annual", F.lag(c, 1).over(win)).otherwise(F.lag(c, 4).over(win))
     pct = lambda c: (F.col(c) - back(c)) / F.abs(back(c)) * 100
@@ -265,9 +266,15 @@ WHERE pending OR (actual IS NOT NULL AND low IS NOT NULL)""")
 _VCOLS = "id company primary_metric v_metric v_kind period_type source_period target_period actual_period actual_value base_value target_low target_high status method window_periods".split()
 
 
+def verified(spark, sf):
+    """Statement rows are computed once and feed both the promises and the facts."""
+    wide = cut_lineage(V.facts_wide(spark, sf))
+    return M.verify_promises(M.extract_promises(call_text(spark, sf, wide)), verification_facts(spark, sf, wide))
+
+
 @query("x15_verify", f"SELECT {', '.join(_VCOLS)} FROM verified", rounds="actual_value base_value")
 def _(spark, sf):
-    return M.verify_promises(M.extract_promises(call_text(spark, sf)), verification_facts(spark, sf)).select(*_VCOLS)
+    return verified(spark, sf).select(*_VCOLS)
 
 
 @query("a4_status_rollup", """
@@ -276,4 +283,4 @@ SELECT coalesce(company, 'ALL') AS company, count(*) AS total, count(*) FILTER (
   coalesce(greatest(0, least(100, sum(CASE status WHEN 'EXCEEDED' THEN 1.2::DOUBLE WHEN 'KEPT' THEN 1 WHEN 'PARTIAL' THEN 0.5 WHEN 'BROKEN' THEN -0.5 ELSE 0 END) / nullif(count(*) FILTER (WHERE status <> 'PENDING'), 0) * 100)), 50.0) AS fulfilment
 FROM verified GROUP BY ROLLUP (company)""", rounds="fulfilment")
 def _(spark, sf):
-    return M.status_rollup(M.verify_promises(M.extract_promises(call_text(spark, sf)), verification_facts(spark, sf)))
+    return M.status_rollup(verified(spark, sf))

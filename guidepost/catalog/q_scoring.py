@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..plans import scoring as S
+from ..session import cut_lineage
 from . import views as V
 from .registry import query, view
 
 
-def annual(spark, sf, metrics=None):
-    return V.financials(spark, sf, metrics).filter("period_type = 'annual'")
+def annual(spark, sf, metrics=None, wide=None):
+    return V.financials(spark, sf, metrics, wide).filter("period_type = 'annual'")
 
 
-def deviations(spark, sf):
-    actual = V.actual_revisions(spark, sf)
-    matched = S.match_claims(V.claims(spark, sf), actual, V.metric_map(spark))
+def deviations(spark, sf, wide=None):
+    actual = V.actual_revisions(spark, sf, wide)
+    matched = S.match_claims(V.claims(spark, sf, wide), actual, V.metric_map(spark))
     return S.flag_deviation(matched)
 
 
@@ -67,6 +68,26 @@ def _(spark, sf):
     return S.match_claims(V.claims(spark, sf), V.actual_revisions(spark, sf), V.metric_map(spark)).select(*_DEV_COLS)
 
 
+@query("j1b_growth_basis", """
+SELECT c.company_id, c.period, c.metric_type, c.guided_value, g.growth AS actual_value, CASE WHEN abs(pct) <= 5 THEN 'IN-LINE' WHEN pct > 0 THEN 'BEAT' ELSE 'MISS' END AS flag
+FROM (SELECT company_id, period, metric || ' growth' AS metric_type, metric, fy, CAST((skey * 7 + fy * 3) % 41 - 20 AS DOUBLE) AS guided_value FROM financials WHERE period_type = 'annual' AND metric IN ('revenue', 'revpar')) c
+JOIN (SELECT company_id, metric, period, CASE WHEN lag(value) OVER w <> 0 THEN (value - lag(value) OVER w) / abs(lag(value) OVER w) * 100 END AS growth FROM financials WHERE period_type = 'annual' WINDOW w AS (PARTITION BY company_id, metric, period_type ORDER BY ord)) g
+  ON g.company_id = c.company_id AND g.metric = c.metric AND g.period = c.period AND g.growth IS NOT NULL,
+LATERAL (SELECT CASE WHEN c.guided_value = 0 THEN 0 ELSE (g.growth - c.guided_value) / abs(c.guided_value) * 100 END AS pct)""", rounds="guided_value actual_value")
+def _(spark, sf):
+    """Claims stated in growth percent meet growth of the actual, not its level."""
+    f = annual(spark, sf, ["revenue", "revpar"])
+    said = f.select("company_id", "period", F.concat("metric", F.lit(" growth")).alias("metric_type"), ((F.col("skey") * 7 + F.col("fy") * 3) % 41 - 20).cast("double").alias("guidance_point"))
+    none = F.lit(None).cast("double")
+    text = F.lit(None).cast("string")
+    claims = said.select(F.concat_ws("|", "company_id", "period", "metric_type").alias("claim_id"), "company_id", "metric_type", F.col("period").alias("target_period"), "guidance_point", none.alias("guidance_low"), none.alias("guidance_high"),
+                         text.alias("check_type"), text.alias("confidence_language"), text.alias("source_document"), F.lit(None).cast("int").alias("source_page"), text.alias("source_timestamp"), text.alias("statement_quarter"))
+    actual = f.select("company_id", "period", "period_type", "ord", "metric", "value", F.lit(0).alias("created_at"), F.concat_ws("|", "company_id", "period", "metric").alias("id"), text.alias("source_document"), F.lit(None).cast("int").alias("source_page"))
+    mmap = spark.createDataFrame([("revenue growth", "revenue", "growth"), ("revpar growth", "revpar", "growth")], "metric_type string, metric string, basis string")
+    dev = S.flag_deviation(S.match_claims(claims, S.growth_actuals(actual), S.basis_metrics(mmap)))
+    return dev.select("company_id", "period", "metric_type", "guided_value", "actual_value", "flag")
+
+
 @query("x1_flag", "SELECT claim_id, company_id, metric_type, period, delta, delta_pct, flag, severity FROM deviations", rounds="delta delta_pct")
 def _(spark, sf):
     return deviations(spark, sf).select("claim_id", "company_id", "metric_type", "period", "delta", "delta_pct", "flag", "severity")
@@ -292,8 +313,10 @@ FROM (SELECT *, CASE confidence WHEN 'high' THEN 6.0 WHEN 'medium' THEN 9.0 ELSE
 
 
 def scorecard_frame(spark, sf):
+    """The line items are read once: annual rows are cut and feed facts, claims and actuals."""
+    wide = cut_lineage(V.facts_wide(spark, sf).filter("period_type = 'annual'"))
     return S.scorecard(
-        V.companies(spark, sf), annual(spark, sf), V.claims(spark, sf), deviations(spark, sf), V.risk_flags(spark, sf), chunk_owners(spark, sf), 1000.0)
+        V.companies(spark, sf), annual(spark, sf, wide=wide), V.claims(spark, sf, wide), deviations(spark, sf, wide), V.risk_flags(spark, sf), chunk_owners(spark, sf), 1000.0)
 
 
 _SC = "company_id segment period industry_rank industry_position financial_quality management_credibility delivery_credibility risk_identification stress_test_resilience composite confidence data_points band_width band_low band_high p_margin_compression p_guidance_miss p_liquidity_stress".split()

@@ -144,9 +144,12 @@ FROM (SELECT *, revenue - expenses AS operating_profit FROM (
 _FACT_IDS = ["skey", "company_id", "fy", "q", "period_type", "period", "ord"]
 
 
-def financials(spark, sf, metrics=None):
-    """Long fact table (company, period, metric, value); missing cells dropped."""
-    wide = facts_wide(spark, sf)
+def financials(spark, sf, metrics=None, wide=None):
+    """Long fact table (company, period, metric, value); missing cells dropped.
+
+    ``wide`` passes statement rows that a caller has computed already.
+    """
+    wide = facts_wide(spark, sf) if wide is None else wide
     cells = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in metrics or METRICS])
     return wide.select(*_FACT_IDS, F.inline(F.filter(cells, lambda c: c["value"].isNotNull())))
 
@@ -156,9 +159,9 @@ SELECT skey, company_id, fy, q, period_type, period, ord, metric, value
 FROM (UNPIVOT facts_wide ON {', '.join(METRICS)} INTO NAME metric VALUE value)""")
 
 
-def actual_revisions(spark, sf):
+def actual_revisions(spark, sf, wide=None):
     """Facts as reported: every seventh (company, year) row was revised once later."""
-    f = financials(spark, sf)
+    f = financials(spark, sf, wide=wide)
     return (
         f.withColumn("rev_no", F.explode(F.when((F.col("skey") + F.col("fy")) % 7 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
         .select(
@@ -192,9 +195,9 @@ def _pick(options, idx):
     return F.element_at(F.array(*[F.lit(o) for o in options]), (idx + 1).cast("int"))
 
 
-def claims(spark, sf):
+def claims(spark, sf, wide=None):
     """One claim per (company, year, mapped metric), derived from the prior year."""
-    annual = financials(spark, sf, [m for m, _, _ in CLAIM_METRICS.values()]).filter("period_type = 'annual'")
+    annual = financials(spark, sf, [m for m, _, _ in CLAIM_METRICS.values()], wide).filter("period_type = 'annual'")
     w = Window.partitionBy("company_id", "metric").orderBy("fy")
     v = F.col("prev") * (100 + (F.col("skey") * 7 + F.col("fy") * 3 + F.col("mi") * 5) % 41 - 20) / 100
     ranged = (F.col("skey") + F.col("fy")) % 5 == 0

@@ -83,6 +83,8 @@ def asof_backward(
 def nearest_in_window(left: DataFrame, right: DataFrame, keys: Sequence[str], lo: str, hi: str, at: str, item: str) -> DataFrame:
     """Right row closest to the middle of the inclusive window ``[lo, hi]``.
 
+    Left rows must be distinct: they are grouped back by all their columns.
+
     The window is a handful of integer steps, so each left row is expanded to
     those steps and joined by equality.
     """
@@ -96,7 +98,10 @@ def nearest_in_window(left: DataFrame, right: DataFrame, keys: Sequence[str], lo
 
 
 def interval_lookup(points: DataFrame, spans: DataFrame, keys: Sequence[str], pos: str, start: str, end: str, value: str, width: int) -> DataFrame:
-    """Span with ``start <= pos < end`` per key, matched through fixed-width cells."""
+    """Span with ``start <= pos < end`` per key, matched through fixed-width cells.
+
+    Points must be distinct rows. Each meets only the spans of its own cell.
+    """
     keys = list(keys)
     cell = lambda c: F.floor(c / width).cast("long")
     s = spans.select(*keys, start, end, value, F.explode(F.sequence(cell(F.col(start)), cell(F.greatest(F.col(start), F.col(end) - 1)))).alias("__cell"))

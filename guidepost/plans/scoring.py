@@ -88,6 +88,24 @@ def match_claims(claims: DataFrame, actuals: DataFrame, metric_map: DataFrame, c
     )
 
 
+def growth_actuals(actuals: DataFrame) -> DataFrame:
+    """Actuals as percent growth against the previous period, under ``<metric>:growth``.
+
+    Claims stated in growth percent must meet these and not the level metric.
+    """
+    w = Window.partitionBy("company_id", "metric", "period_type").orderBy("ord", "created_at")
+    newest = actuals.groupBy("company_id", "metric", "period_type", "ord").agg(F.max_by(F.struct(*[c for c in actuals.columns if c not in ("company_id", "metric", "period_type", "ord")]), F.struct("created_at", "id")).alias("a"))
+    flat = newest.select("company_id", "metric", "period_type", "ord", "a.*")
+    prev = F.lag("value").over(w)
+    g = flat.withColumn("value", F.when(prev != 0, (F.col("value") - prev) / F.abs(prev) * 100))
+    return g.withColumn("metric", F.concat("metric", F.lit(":growth"))).select(*actuals.columns)
+
+
+def basis_metrics(metric_map: DataFrame) -> DataFrame:
+    """Metric map whose ``basis`` column sends growth claims to growth actuals."""
+    return metric_map.withColumn("metric", F.when(F.col("basis") == "growth", F.concat("metric", F.lit(":growth"))).otherwise(F.col("metric")))
+
+
 def citation(doc: Column, page: Column, period: Column) -> Column:
     return F.concat(F.lit("["), F.coalesce(doc, F.lit("")), F.lit(" | "), page, F.lit(" | "), F.coalesce(period, F.lit("")), F.lit("]"))
 

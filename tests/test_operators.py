@@ -145,3 +145,13 @@ def test_ivf_recall_is_full_when_all_lists_are_probed(spark, sf):
     index, cents = R.build_ivf(e, "embedding", 4)
     near = {r.vec_id for r in R.ivf_topk(index, cents, "embedding", q, 10, 4, "vec_id").collect()}
     assert near == {r.vec_id for r in R.cosine_topk(e, "embedding", q, 10, "vec_id").collect()}
+
+
+def test_health_counters_observed_on_a_stream(spark, sf):
+    events = spark.readStream.schema(spark.read.parquet(f"{sf}/events.parquet").schema).parquet(f"{sf}/events*.parquet")
+    tagged = ST.observe_health(events.withColumn("drop_reason", F.when(F.col("value") < 10, "low_relevance")))
+    q = tagged.writeStream.format("noop").trigger(availableNow=True).start()
+    q.awaitTermination()
+    rows = [p["observedMetrics"]["health"] for p in q.recentProgress if p.get("observedMetrics")]
+    n = spark.read.parquet(f"{sf}/events.parquet").count()
+    assert sum(r["input"] for r in rows) == n and sum(r["accepted"] + r["dropped"] for r in rows) == n
