@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from guidepost.llm import bpe, chat
-from guidepost.llm.common import table
+from guidepost.llm import bpe, chat, quality_classifier, toxicity
+from guidepost.llm.common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -70,3 +70,23 @@ SELECT conv_id, count(*) AS n_turns,
   sum(escaped_chars + CASE WHEN first_of_run THEN length('### ' || role || ':') + 1 + length('</turn>') + 2 ELSE length('<turn/>') + 2 END)::BIGINT AS formatted_chars
 FROM parts GROUP BY conv_id
 """
+
+
+def _judged(scored: DataFrame, folds: int, held_fold: int, threshold: float = 0.3) -> DataFrame:
+    return scored.select("doc_id", (crc_mod(F.col("doc_id"), folds) == held_fold).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+@query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole document."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), "toxic", 4, 2)
+    return _judged(toxicity.score(docs, model), 4, 2)
+
+
+@query
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every whole document."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality_classifier.train(docs, table(spark, sf_dir, "labels"), "quality", 5, 0)
+    return _judged(quality_classifier.score(docs, model), 5, 0)

@@ -8,10 +8,12 @@ off, signs between letters dropped, look-alike digits read as letters; a row of
 letters (``i d i o t``) is read as one word.
 
 Landmarks are word beginnings, mined from labelled documents: frequent in the toxic
-ones, hardly found in the others. A sentence is the largest kernel value of its words against each landmark,
+ones between ever different words, hardly found in the others. The clean
+words that most often come close to them join as contrast. A sentence is the largest kernel value of its words against each landmark,
 mapped by the inverse root of the landmarks' kernel matrix; a linear SVM with a sigmoid
 is trained on sentences. Of a toxic training document the sentence closest to the
-landmarks stands for it, of a clean one its closest sentences. A document scores as its
+landmarks stands for it, of a clean one all
+sentences with a word near a landmark. A document scores as its
 highest sentence, and as the bias alone if it has no word near a landmark, as do null
 and empty texts.
 
@@ -37,7 +39,10 @@ DECAY = 0.6
 #: Longest stretch of a word that meets a landmark at once; longer words slide.
 WINDOW = 12
 LANDMARKS = 48
+CONTRAST = 24
 MAX_TRAINING_ROWS = 3000
+#: The sample holds half toxic rows, the corpus about a tenth: weight of a clean sentence.
+CLEAN_WEIGHT = 5.0
 
 #: Signs and digits read as letters.
 LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
@@ -59,25 +64,40 @@ def fold(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return code[keep], word[keep]
 
 
-def spelled(text: bytes) -> list[bytes]:
-    """Rows of at least three single characters, joined."""
-    b = np.frombuffer(text, np.uint8)
-    if len(b) < 5:
-        return []
+def spelled(texts: list[bytes]) -> list[list[bytes]]:
+    """For each text its rows of at least three single characters, joined."""
+    gap = b" \0\0 "  # ends every row
+    buf = gap.join(texts)
+    ends = np.cumsum([len(t) + len(gap) for t in texts])
+    out: list[list[bytes]] = [[] for _ in texts]
+    b = np.frombuffer(buf, np.uint8)
+    if not len(b):
+        return out
     space = (b == 32) | ((b >= 9) & (b <= 13))
-    start = (b & 0xC0) != 0x80
-    edge = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]]).astype(np.int8)))
+    edge = np.flatnonzero(np.diff(space, prepend=True, append=True))
     s, e = edge[::2], edge[1::2]
-    count = np.concatenate([[0], np.cumsum(start & ~space)])
-    one = (count[e] - count[s]) == 1
-    if not one.any():
-        return []
-    change = np.flatnonzero(np.diff(np.concatenate([[False], one, [False]]).astype(np.int8)))
-    return [b"".join(text[s[i] : e[i]] for i in range(lo, hi)) for lo, hi in zip(change[::2], change[1::2]) if hi - lo >= 3]
+    count = np.concatenate([[0], np.cumsum((b & 0xC0) != 0x80)])
+    one = np.diff((count[e] - count[s]) == 1, prepend=False, append=False).nonzero()[0]
+    for lo, hi in zip(one[::2].tolist(), one[1::2].tolist()):
+        if hi - lo >= 3:
+            out[np.searchsorted(ends, s[lo], side="right")].append(b"".join(buf[s[i] : e[i]] for i in range(lo, hi)))
+    return out
+
+
+def words_of(texts: list[bytes]) -> list[set[bytes]]:
+    return [set(t.split()).union(more) for t, more in zip(texts, spelled(texts))]
 
 
-def words_of(text: bytes) -> set[bytes]:
-    return set(text.split()) | set(spelled(text))
+def sentence_values(text: bytes, words: set[bytes], value: dict[bytes, np.ndarray]) -> list[np.ndarray]:
+    """Largest kernel values of each sentence that has a word near a landmark; a spelled
+    word stands for itself."""
+    mine = words & value.keys()
+    rows, found = [], set()
+    for part in _SENTENCE.split(text) if mine else ():
+        if own := mine.intersection(part.split()):
+            rows.append(np.max([value[w] for w in own], axis=0))
+            found |= own
+    return rows + [value[w] for w in sorted(mine - found)]
 
 
 def pair_kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -108,10 +128,10 @@ def padded(words: list[np.ndarray], width: int) -> np.ndarray:
 
 
 class Landmarks:
-    """The landmark strings, their pair masks and self-kernels."""
+    """The landmark strings, toxic ones first, their pair masks and self-kernels."""
 
-    def __init__(self, strings: list[str]):
-        self.strings = strings
+    def __init__(self, strings: list[str], toxic: int):
+        self.strings, self.toxic = strings, toxic
         codes = [_CODE[np.frombuffer(s.encode("ascii"), np.uint8)] for s in strings]
         self.rows = padded(codes, max([len(c) for c in codes], default=1))
         self.own = np.maximum(pair_kernel(self.rows, self.rows), 1e-9)
@@ -130,7 +150,8 @@ class Landmarks:
                 self.masks[k // 64, l] |= np.uint64(1) << np.uint64(k % 64)
 
     def near(self, code: np.ndarray, word: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of a word and a landmark of which it has enough letter pairs."""
+        """Pairs of a word and a landmark of which it has enough letter pairs, for words
+        that are near a toxic landmark at all."""
         seen = np.zeros((len(self.bits), n), np.uint64)
         if len(code) < 2:
             return np.empty(0, np.int64), np.empty(0, np.int64)
@@ -151,6 +172,8 @@ class Landmarks:
             n_bits = sum(np.bitwise_count(seen[k, some] & self.masks[k, l]) for k in range(len(self.bits)))
             words.append(some[n_bits >= need])
             marks.append(np.full(len(words[-1]), l))
+            if l + 1 == self.toxic:
+                some = np.unique(np.concatenate(words))
         return np.concatenate(words), np.concatenate(marks)
 
     def features(self, words: list[np.ndarray], word: np.ndarray, mark: np.ndarray) -> np.ndarray:
@@ -178,25 +201,37 @@ def split_words(code: np.ndarray, word: np.ndarray, numbers: np.ndarray) -> list
     return [code[a:b] for a, b in zip(lo, hi)]
 
 
-def mine(texts: list[set[bytes]], y: np.ndarray) -> list[str]:
-    """Word beginnings that cover the toxic texts and hardly occur in the others."""
+def heads(words: list[bytes]) -> list[list[str]]:
+    """For each word its folded beginnings of 4 to 10 letters."""
+    code, word = fold(words)
+    line = (code + 96).astype(np.uint8).tobytes().decode("ascii")
+    out: list[list[str]] = [[] for _ in words]
+    at = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])).tolist() if len(word) else []
+    for s, e in zip(at, [*at[1:], len(line)]):
+        out[word[s]] = [line[s : s + k] for k in range(4, min(10, e - s) + 1)]
+    return out
+
+
+def mine(texts: list[bytes], y: np.ndarray) -> list[str]:
+    """Word beginnings found often in toxic texts and hardly in the others. In toxic
+    texts they count once for each pair of neighbours, so that copies of one text,
+    which repeat all its words in their places, lend weight to none of them."""
     where: dict[str, set[int]] = {}
     clean: dict[str, int] = {}
-    for i, words in enumerate(texts):
-        code, word = fold(sorted(words))
-        line = (code + 96).astype(np.uint8).tobytes().decode("ascii")
-        at = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])).tolist() if len(word) else []
-        heads = {line[s:e][:k] for s, e in zip(at, [*at[1:], len(line)]) for k in (4, 5, 6, 7, 8, 9, 10) if e - s >= k}
+    for i, text in enumerate(texts):
         if y[i]:
-            for h in heads:
-                where.setdefault(h, set()).add(i)
+            words = text.split()
+            around = [b"", *words, b""]
+            for k, hs in enumerate(heads(words)):
+                for h in hs:
+                    where.setdefault(h, set()).add(hash((around[k], around[k + 2])))
         else:
-            for h in heads:
+            for h in {h for hs in heads(sorted(set(text.split()))) for h in hs}:
                 clean[h] = clean.get(h, 0) + 1
     n_clean = max(1, int((y == 0).sum()))
     n_toxic = max(1, int((y == 1).sum()))
-    least = max(3, n_toxic // 250)
-    pure = {h: s for h, s in where.items() if len(s) >= least and clean.get(h, 0) / n_clean <= 0.02 * len(s) / n_toxic}
+    least = max(3, n_toxic // 60)
+    pure = {h: s for h, s in where.items() if len(s) >= least and clean.get(h, 0) / n_clean <= 0.02 * min(1, len(s) / n_toxic)}
     chosen: list[str] = []
     while pure and len(chosen) < LANDMARKS:
         best = max(pure, key=lambda h: (len(pure[h]), -len(h), h))
@@ -209,30 +244,34 @@ def mine(texts: list[set[bytes]], y: np.ndarray) -> list[str]:
 def fit(texts: list[bytes], y: list[int]) -> dict:
     """Landmarks, Nyström map, SVM weights and sigmoid, as strings and numbers."""
     y = np.array(y, np.int64)
-    sets = [words_of(t) for t in texts]
-    toxic = mine(sets, y) if len(y) and y.any() else []
+    toxic = mine(texts, y) if len(y) and y.any() else []
     rate = (y.sum() + 0.5) / (len(y) + 1.0)
     if not toxic:
-        return {"landmarks": [[]], "weights": [[]], "bias": [0.0], "slope": [0.0], "offset": [float(np.log(rate / (1 - rate)))]}
-    sentences = [[words_of(s) for s in _SENTENCE.split(t)] for t in texts]
-    marks = Landmarks(toxic)
+        return {"landmarks": [[]], "toxic": [0], "weights": [[]], "bias": [0.0], "slope": [0.0], "offset": [float(np.log(rate / (1 - rate)))]}
+    sets = words_of(texts)
+    value = word_values(Landmarks(toxic, len(toxic)), sets)
+    tough: dict[str, float] = {}
+    for words, t in zip(sets, y):
+        for w in () if t else words & value.keys():
+            c, _ = fold([w])
+            h = (c + 96).tobytes().decode("ascii")[:WINDOW]
+            tough[h] = tough.get(h, 0.0) + float(value[w].max()) ** 4
+    contrast = sorted(tough, key=lambda h: (-tough[h], h))[:CONTRAST]
+    marks = Landmarks(toxic + contrast, len(toxic))
     value = word_values(marks, sets)
     X, Y = [], []
-    for parts, t in zip(sentences, y):
-        rows = [np.max([value[w] for w in p if w in value], axis=0) for p in parts if any(w in value for w in p)]
-        rows.sort(key=lambda r: -r.max())
-        X += rows[:1] if t else rows[:3]
-        Y += [t] * len(rows[: 1 if t else 3])
-        if not rows and not t:
-            X.append(np.zeros(len(marks.strings), np.float32))
-            Y.append(0)
+    for text, words, t in zip(texts, sets, y):
+        rows = sentence_values(text, words, value)
+        rows.sort(key=lambda r: -r[: len(toxic)].max())
+        X += rows[:1] if t else rows or [np.zeros(len(marks.strings), np.float32)]
+        Y += [t] * (len(X) - len(Y))
     X, Y = np.array(X, np.float64), np.array(Y)
     root = nystrom_root(marks)
     Z = X @ root
     w, b = svm(Z, Y)
     margin = Z @ w + b
     slope, offset = sigmoid_fit(margin, Y)
-    return {"landmarks": [marks.strings], "weights": [(root @ w).tolist()], "bias": [float(b)], "slope": [float(slope)], "offset": [float(offset)]}
+    return {"landmarks": [marks.strings], "toxic": [len(toxic)], "weights": [(root @ w).tolist()], "bias": [float(b)], "slope": [float(slope)], "offset": [float(offset)]}
 
 
 def nystrom_root(marks: Landmarks) -> np.ndarray:
@@ -243,10 +282,10 @@ def nystrom_root(marks: Landmarks) -> np.ndarray:
     return vecs @ np.diag(1 / np.sqrt(np.maximum(vals, 1e-3))) @ vecs.T
 
 
-def svm(Z: np.ndarray, Y: np.ndarray, cost: float = 10.0, rounds: int = 400) -> tuple[np.ndarray, float]:
-    """Linear SVM with squared hinge loss, classes weighed alike, by Newton steps."""
+def svm(Z: np.ndarray, Y: np.ndarray, cost: float = 100.0, rounds: int = 400) -> tuple[np.ndarray, float]:
+    """Linear SVM with squared hinge loss by Newton steps."""
     s = np.where(Y > 0, 1.0, -1.0)
-    weigh = np.where(Y > 0, 0.5 / max((Y > 0).sum(), 1), 0.5 / max((Y == 0).sum(), 1)) * len(Y)
+    weigh = np.where(Y > 0, 1.0, CLEAN_WEIGHT)
     A = np.hstack([Z, np.ones((len(Z), 1))])
     theta = np.zeros(A.shape[1])
     ridge = np.eye(A.shape[1])
@@ -270,8 +309,9 @@ def sigmoid_fit(margin: np.ndarray, Y: np.ndarray) -> tuple[float, float]:
     a, b = 1.0, 0.0
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a * margin + b, -30, 30)))
-        g = np.array([((p - t) * margin).sum(), (p - t).sum()])
-        v = p * (1 - p) + 1e-9
+        weigh = np.where(Y > 0, 1.0, CLEAN_WEIGHT)
+        g = np.array([(weigh * (p - t) * margin).sum(), (weigh * (p - t)).sum()])
+        v = weigh * p * (1 - p) + 1e-9
         H = np.array([[(v * margin * margin).sum() + 1e-6, (v * margin).sum()], [(v * margin).sum(), v.sum() + 1e-6]])
         d = np.linalg.solve(H, g)
         d *= min(1.0, 2.0 / max(np.abs(d).max(), 1e-12))
@@ -297,22 +337,18 @@ def word_values(marks: Landmarks, sets: list[set[bytes]]) -> dict[bytes, np.ndar
 class Scorer:
     """Trained model, ready for texts."""
 
-    def __init__(self, landmarks: list[str], weights: list[float], bias: float, slope: float, offset: float):
-        self.marks = Landmarks(list(landmarks)) if landmarks else None
+    def __init__(self, landmarks: list[str], toxic: int, weights: list[float], bias: float, slope: float, offset: float):
+        self.marks = Landmarks(list(landmarks), toxic) if landmarks else None
         self.weights, self.bias, self.slope, self.offset = np.array(weights), bias, slope, offset
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         margin = np.full(len(texts), self.bias)
         if self.marks:
-            sets = [words_of(t) for t in texts]
+            sets = words_of(texts)
             value = word_values(self.marks, sets)
-            known = value.keys()
-            for i, s in enumerate(sets):
-                if not known.isdisjoint(s):
-                    for part in _SENTENCE.split(texts[i]):
-                        mine = words_of(part) & known
-                        if mine:
-                            margin[i] = max(margin[i], np.max([value[w] for w in mine], axis=0) @ self.weights + self.bias)
+            for i, words in enumerate(sets):
+                if not value.keys().isdisjoint(words):
+                    margin[i] = max(self.bias, (np.array(sentence_values(texts[i], words, value)) @ self.weights).max() + self.bias)
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -40, 40)))
 
 
@@ -322,11 +358,11 @@ def _scorer(model: tuple) -> Scorer:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 4, held_fold: int = 2, max_rows: int = MAX_TRAINING_ROWS) -> tuple:
-    """Trained model as a tuple of plain values, at most ``LANDMARKS`` long each."""
+    """Trained model as a tuple of plain values, at most ``LANDMARKS + CONTRAST`` long each."""
     rows = training_rows(docs, labels, label, folds, held_fold, max_rows, balanced=True)
-    got = trained_in_one_task(rows, fit, "landmarks array<string>, weights array<double>, bias double, slope double, offset double")
+    got = trained_in_one_task(rows, fit, "landmarks array<string>, toxic int, weights array<double>, bias double, slope double, offset double")
     r = got[0] if got else {k: v[0] for k, v in fit([], []).items()}
-    return tuple(r["landmarks"]), tuple(r["weights"]), r["bias"], r["slope"], r["offset"]
+    return tuple(r["landmarks"]), r["toxic"], tuple(r["weights"]), r["bias"], r["slope"], r["offset"]
 
 
 def score(docs: DataFrame, model: tuple) -> DataFrame:
