@@ -360,7 +360,7 @@ def _scorer(model: tuple) -> Scorer:
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 4, held_fold: int = 2, max_rows: int = MAX_TRAINING_ROWS) -> tuple:
     """Trained model as a tuple of plain values, at most ``LANDMARKS + CONTRAST`` long each."""
     rows = training_rows(docs, labels, label, folds, held_fold, max_rows, balanced=True)
-    got = trained_in_one_task(rows, fit, "landmarks array<string>, toxic int, weights array<double>, bias double, slope double, offset double")
+    got = trained_in_one_task(rows, fit, "landmarks array<string>, toxic long, weights array<double>, bias double, slope double, offset double")
     r = got[0] if got else {k: v[0] for k, v in fit([], []).items()}
     return tuple(r["landmarks"]), r["toxic"], tuple(r["weights"]), r["bias"], r["slope"], r["offset"]
 
