@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from guidepost.llm import bpe, chat, quality_classifier, toxicity
+from guidepost.llm import bpe, chat, quality_classifier, quality_rules, toxicity
 from guidepost.llm.common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,68 @@ def byte_bpe_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@query
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of every whole document, base rules, and limits from quantile sketches."""
+    got = quality_rules.judge(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+ORACLES["op1_quality_rules"] = r"""
+WITH base AS (
+  SELECT doc_id, lang, source, coalesce(text, '') AS text,
+    list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+  FROM documents
+), wins AS (
+  SELECT doc_id, i, array_to_string(ws[i:i+4], ' ') AS win
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM base WHERE len(ws) >= 5)
+), often AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS c FROM wins) WHERE c > 1
+), reps AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n FROM often, (SELECT unnest(range(5)) AS k) GROUP BY doc_id
+), facts AS (
+  SELECT b.doc_id, lang, source, len(ws)::BIGINT AS n_words,
+    coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+    coalesce(r.n, 0)::BIGINT AS n_repeat_words
+  FROM base b LEFT JOIN reps r ON r.doc_id = b.doc_id
+), judged AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM facts
+), measured AS (
+  SELECT doc_id, lang, source, n_words, base_failed, m.measure, m.num, m.free, m.slack,
+    CASE WHEN n_words > 0 THEN 1000 * m.num // n_words END AS v
+  FROM judged, LATERAL (VALUES ('symbols', n_symbols, 5, 20), ('lines', n_dup_lines, 2, 10), ('repeats', n_repeat_words, 20, 25), ('chars', word_chars, 20, 250)) AS m(measure, num, free, slack)
+), sketch AS (
+  SELECT lang, source, measure, slack, (v >> greatest(length(bin(v)) - 6, 0)) << greatest(length(bin(v)) - 6, 0) AS b, count(*) AS n
+  FROM measured WHERE NOT base_failed GROUP BY ALL
+), levels AS (
+  SELECT 1 AS level, lang, source, measure, slack, b, n FROM sketch
+  UNION ALL SELECT 2, lang, NULL, measure, slack, b, sum(n) FROM sketch GROUP BY ALL
+  UNION ALL SELECT 3, NULL, NULL, measure, slack, b, sum(n) FROM sketch GROUP BY ALL
+), ranked AS (
+  SELECT *, sum(n) OVER (PARTITION BY level, lang, source, measure ORDER BY b) AS upto, sum(n) OVER (PARTITION BY level, lang, source, measure) AS total FROM levels
+), q AS (
+  SELECT level, lang, source, measure, slack, max(total) AS rows,
+    min(b) FILTER (10 * upto >= total) AS low, min(b) FILTER (10 * upto >= 5 * total) AS mid, min(b) FILTER (10 * upto >= 9 * total) AS high
+  FROM ranked GROUP BY ALL
+), lim AS (
+  SELECT a.lang, a.source, a.measure,
+    CASE WHEN a.rows >= 200 THEN a.mid + 4 * (a.mid - a.low + a.slack) WHEN l.rows >= 200 THEN l.mid + 4 * (l.mid - l.low + l.slack) ELSE e.mid + 4 * (e.mid - e.low + e.slack) END AS most,
+    CASE WHEN a.rows >= 200 THEN a.mid - 4 * (a.high - a.mid + a.slack) WHEN l.rows >= 200 THEN l.mid - 4 * (l.high - l.mid + l.slack) ELSE e.mid - 4 * (e.high - e.mid + e.slack) END AS least
+  FROM q a JOIN q l ON l.level = 2 AND l.lang IS NOT DISTINCT FROM a.lang AND l.measure = a.measure
+  JOIN q e ON e.level = 3 AND e.measure = a.measure WHERE a.level = 1
+), out AS (
+  SELECT m.doc_id, bool_or(coalesce(1000 * (num - free) > most * n_words OR (m.measure = 'chars' AND 1000 * (num + free) < least * n_words), false)) AS outlier
+  FROM measured m LEFT JOIN lim ON lim.lang IS NOT DISTINCT FROM m.lang AND lim.source IS NOT DISTINCT FROM m.source AND lim.measure = m.measure
+  GROUP BY m.doc_id
+)
+SELECT j.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT o.outlier AS kept
+FROM judged j JOIN out o ON o.doc_id = j.doc_id
+"""
+
+
 @query
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole document encoded with forced boundaries, and decoded again."""
