@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from guidepost.llm import bpe, chat, embedding_dedup, mixing, quality_classifier, quality_rules, toxicity
+from guidepost.llm import bpe, chat, embedding_dedup, jaccard, mixing, quality_classifier, quality_rules, toxicity
 from guidepost.llm.common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -184,3 +184,30 @@ SELECT v.vec_id, coalesce(l.n, 0)::BIGINT AS n_links, least(v.vec_id, coalesce(c
 FROM v LEFT JOIN (SELECT a, count(*) AS n FROM pairs GROUP BY a) l ON l.a = v.vec_id
 LEFT JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) c ON c.a = v.vec_id
 """
+
+
+@query
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents under five-word shingles and similarity 0.75."""
+    return jaccard.join_components(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op4_jaccard_join"] = r"""
+WITH RECURSIVE base AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), sh AS (
+  SELECT DISTINCT doc_id, s FROM (
+    SELECT doc_id, array_to_string(ws[i:i+4], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM base WHERE len(ws) >= 5)
+    UNION ALL SELECT doc_id, array_to_string(ws, ' ') FROM base WHERE len(ws) BETWEEN 1 AND 4)
+), sz AS (
+  SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT x, y FROM common JOIN sz p ON p.doc_id = x JOIN sz q ON q.doc_id = y WHERE 100 * c >= 75 * (p.n + q.n - c)
+), reach AS (
+  SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y
+)
+SELECT b.doc_id, coalesce(sz.n, 0)::BIGINT AS n_shingles, least(b.doc_id, coalesce(m.y, b.doc_id)) AS component_id
+FROM base b LEFT JOIN sz ON sz.doc_id = b.doc_id LEFT JOIN (SELECT x, min(y) AS y FROM reach GROUP BY x) m ON m.x = b.doc_id
+"""
