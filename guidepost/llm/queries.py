@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from guidepost.llm import bpe, chat, embedding_dedup, jaccard, mixing, quality_classifier, quality_rules, toxicity
+from guidepost.llm import bpe, chat, embedding_dedup, jaccard, mixing, ppm, quality_classifier, quality_rules, toxicity
 from guidepost.llm.common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -211,3 +211,9 @@ WITH RECURSIVE base AS (
 SELECT b.doc_id, coalesce(sz.n, 0)::BIGINT AS n_shingles, least(b.doc_id, coalesce(m.y, b.doc_id)) AS component_id
 FROM base b LEFT JOIN sz ON sz.doc_id = b.doc_id LEFT JOIN (SELECT x, min(y) AS y FROM reach GROUP BY x) m ON m.x = b.doc_id
 """
+
+
+@query
+def op6_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code length of every whole document under a byte trie, beside word unigrams."""
+    return ppm.score(table(spark, sf_dir, "documents"))
