@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,6 +61,23 @@ def map_text(df: DataFrame, fn: Callable[[pa.RecordBatch, list[bytes]], dict], s
     return df.mapInArrow(run, schema)
 
 
+def text_scores(fn: Callable[[list[bytes]], np.ndarray]):
+    """A column function that scores texts, given as bytes, in slices of bounded size."""
+
+    @F.pandas_udf("double")
+    def run(text: pd.Series) -> pd.Series:
+        texts = text.tolist()
+        ends = np.cumsum([len(t) for t in texts])
+        out, lo = [], 0
+        while lo < len(texts):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + STEP_BYTES, side="right")))
+            out.append(fn(texts[lo:hi]))
+            lo = hi
+        return pd.Series(np.concatenate(out) if out else np.empty(0))
+
+    return run
+
+
 def _parsed(df: DataFrame, schema: str):
     from pyspark.sql.types import StructType
 

@@ -109,10 +109,10 @@ def class_copies(classes: DataFrame, cap: int = CAP) -> DataFrame:
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", base: str | None = None, carry: list[str] | None = None) -> DataFrame:
-    """``doc_id``, ``size``, ``source_size``, ``target``, ``copies`` and the columns that
-    ``carry`` names, of every row. ``base`` names a column of base rates, a few levels
+    """``doc_id``, ``size``, ``source_size``, ``target``, ``copies`` of every row, and in a
+    struct ``carried`` the columns that ``carry`` names. ``base`` names a column of base rates, a few levels
     between 0 and the cap; without it every document starts at 1."""
-    keep = [F.col(c).alias(f"kept_{i}") for i, c in enumerate(carry or [])]
+    keep = [F.struct(*[F.col(c) for c in carry]).alias("carried")] if carry else []
     src = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), (F.col(base).cast("double") if base else F.lit(1.0)).alias("base"), *keep)
     src = src.withColumns({"key": source_key(F.col("source")), "cls": bucket(F.col("size"))})
     if not carry:
@@ -132,4 +132,4 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     kb = F.least(CAP * F.col("nb"), F.floor(F.col("nb") * F.col("k") / F.col("n") + walk)).cast("long")
     dealt = dealt.withColumn("kb", kb)
     copies = F.expr("rn * kb div nb - (rn - 1) * kb div nb")
-    return dealt.select("doc_id", "size", "source_size", "target", copies.cast("int").alias("copies"), *[F.col(f"kept_{i}").alias(c) for i, c in enumerate(carry or [])])
+    return dealt.select("doc_id", "size", "source_size", "target", copies.cast("int").alias("copies"), *(["carried"] if carry else []))

@@ -15,10 +15,10 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from guidepost.llm.common import map_text, utf8
+from guidepost.llm.common import text_scores, utf8
 from guidepost.llm.labels import trained_in_one_task, training_rows
 
 BITS = 17
@@ -143,12 +143,12 @@ def scores(texts: list[bytes], logit: np.ndarray, base: float) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``doc_id`` and ``score`` (0 to 1, higher: label 1 likelier) of every row."""
-    src = docs.select(F.col("doc_id").alias("doc_id"), utf8(F.col("text")).alias("text"))
+def score_column(model: Model, text: Column) -> Column:
+    """Score of a text column."""
     logit, base = model.logit, model.base  # 2**BITS numbers, whatever the input
+    return text_scores(lambda texts: scores(texts, logit, base))(utf8(text))
 
-    def work(rows, texts):
-        return {"doc_id": rows.column("doc_id"), "score": scores(texts, logit, base)}
 
-    return map_text(src, work, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, score double")
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """``doc_id`` and ``score`` (0 to 1, higher: label 1 likelier) of every row."""
+    return docs.select("doc_id", score_column(model, F.col("text")).alias("score"))

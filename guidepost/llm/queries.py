@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from guidepost.llm import bpe, chat, embedding_dedup, jaccard, mixing, ppm, quality_classifier, quality_rules, toxicity
-from guidepost.llm.common import crc_mod, table
+from guidepost.llm import bpe, chat, embedding_dedup, jaccard, mixing, ppm, quality_classifier, quality_rules, token_counts, toxicity
+from guidepost.llm.common import crc_mod, table, utf8
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -217,3 +217,16 @@ FROM base b LEFT JOIN sz ON sz.doc_id = b.doc_id LEFT JOIN (SELECT x, min(y) AS
 def op6_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Code length of every whole document under a byte trie, beside word unigrams."""
     return ppm.score(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every whole document before and after three edits of it: twelve
+    bytes at a third of the text replaced by its first twenty, thirty bytes at two
+    thirds deleted, the first twenty put to the end."""
+    raw = utf8(F.col("text"))
+    n, head = F.octet_length(raw), F.substring(raw, 1, 20)
+    edit = lambda seq, start, end, new: F.struct(F.lit(seq).alias("seq"), start.cast("int").alias("start"), end.cast("int").alias("end"), new.alias("new"))
+    edits = F.array(edit(1, n / 3, n / 3 + 12, head), edit(2, n * 2 / 3, n * 2 / 3 + 30, F.lit(b"")), edit(3, n + 20, n + 20, head))
+    got = token_counts.recount_inline(table(spark, sf_dir, "documents"), byte_bpe_path(), edits)
+    return got.select("doc_id", "n_before", "n_after", "n_bytes", "n_encoded", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))

@@ -28,10 +28,10 @@ import unicodedata
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from guidepost.llm.common import map_text, utf8
+from guidepost.llm.common import text_scores, utf8
 from guidepost.llm.labels import trained_in_one_task, training_rows
 
 ORDER = 3
@@ -365,11 +365,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
     return tuple(r["landmarks"]), r["toxic"], tuple(r["weights"]), r["bias"], r["slope"], r["offset"]
 
 
-def score(docs: DataFrame, model: tuple) -> DataFrame:
-    """``doc_id`` and ``score`` (0 to 1, higher: more toxic) of every row's whole text."""
-    src = docs.select(F.col("doc_id").alias("doc_id"), utf8(F.col("text")).alias("text"))
+def score_column(model: tuple, text: Column) -> Column:
+    """Score of a text column."""
+    return text_scores(lambda texts: _scorer(model).scores(texts))(utf8(text))
 
-    def work(rows, texts):
-        return {"doc_id": rows.column("doc_id"), "score": _scorer(model).scores(texts)}
 
-    return map_text(src, work, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, score double")
+def score(docs: DataFrame, model: tuple) -> DataFrame:
+    """``doc_id`` and ``score`` (0 to 1, higher: more toxic) of every row's whole text."""
+    return docs.select("doc_id", score_column(model, F.col("text")).alias("score"))
