@@ -124,7 +124,8 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     # blocks of a class: how many, and the copies each one gets
     blocks = F.ceil(F.col("n") / BLOCK)
     dealt = src.join(plan, ["key", "base", "cls"]).withColumn("order", F.xxhash64(F.lit("mix"), "doc_id"))
-    dealt = dealt.withColumn("block", F.pmod(F.col("order"), blocks))
+    # dealt out by block, not by class as the join leaves them: a class may be large
+    dealt = dealt.withColumn("block", F.pmod(F.col("order"), blocks)).repartition("key", "base", "cls", "block")
     inside = W.partitionBy("key", "base", "cls", "block")
     dealt = dealt.select("*", F.count("*").over(inside).alias("nb"), F.row_number().over(inside.orderBy("order", "doc_id")).alias("rn"))
     # a fraction of a copy is rounded at a threshold that walks evenly over the blocks
