@@ -129,8 +129,8 @@ class Trie:
             keys, n = keys[order].astype(np.uint64), n[order].astype(np.float64)
             ctx, at = np.unique(keys >> np.uint64(8), return_inverse=True)
             T, D = np.bincount(at, weights=n, minlength=len(ctx)), np.bincount(at, minlength=len(ctx)).astype(np.float64)
-            exT, exD = np.zeros(len(ctx)), np.zeros(len(ctx))
-            if k:
+            exT, exD = np.zeros(max(len(ctx), 1)), np.zeros(max(len(ctx), 1))
+            if k and len(ctx):
                 mask = np.uint64((1 << (8 * k)) - 1)
                 below = np.searchsorted(self.keys[k - 1], keys & mask)
                 taken = np.bincount(at, weights=self.n[k - 1][below], minlength=len(ctx))
