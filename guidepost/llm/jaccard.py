@@ -13,22 +13,25 @@ hashes of either sketch (``k`` its length, the order the same everywhere): hashe
 no other sketch has come first and are never shuffled again, and passages common to
 many documents come last and fall away.
 
-1. Groups. Each document is compared to the least document with which it shares most
-   of these hashes, exactly, by its text; links found make groups of similar
-   documents, each connected already.
-2. Matrix. Groups are cut into blocks of some ``BLOCK`` documents, each stored with the
-   union of its sketches. A query document and a block of another group that share a
-   rare hash are held against the bound: the query must share ``shared(n)`` hashes with
-   the block's union, for no member shares more than the union does. Only blocks that
-   pass are opened, and of their members only those whose size and sketch allow a link
-   go on to the exact comparison of whole sets.
-3. Links between groups join the groups into components.
-
-A large group of near copies so costs one comparison a document, and one row a block
-for any query from outside. Each comparison is between whole texts. Null, empty and
-white-space texts have empty sets and link with nothing; rows that repeat an id or a
-text are in one class; an empty table gives no rows; a null id never labels a component
-unless all of its documents have none.
+1. Groups. Each document is compared, whole text to whole text, to one pivot: of the
+   documents met under these hashes the one that shares most with it, where every hash
+   offers its most typical document, whose sketch has the fewest hashes of its own. An
+   original so is the pivot of its copies. The pivot is the document's group; links found
+   connect a group already.
+2. Matrix. Groups are cut into blocks of about ``BLOCK_SHINGLES`` shingles, linked and
+   other members apart. The matrix holds which block has which rare hash; two blocks that
+   share one and are not of one component yet are held against each other in a task. The
+   bound comes first: a document of one block can link into the other only if three
+   quarters of its shingles are in the other's union. Only documents that pass are opened,
+   and of those only members of different components are compared, by one product of
+   their shingle matrices.
+3. Links from both steps join the documents into components.
+
+A group of near copies so costs one comparison a document; those its pivot does not link
+meet the others block by block, never as rows of pairs. Null, empty and white-space
+texts have empty sets and link with nothing; rows that repeat an id or a text are in one
+class; an empty table gives no rows; a null id never labels a component unless all of its
+documents have none.
 """
 
 from __future__ import annotations
@@ -44,10 +47,11 @@ from guidepost.operators.graph import components
 from guidepost.session import scratch_path
 
 WORDS = 5
-SKETCH = 48
-#: Shared hashes of two long sketches at least: below that with a chance of 3.4e-11 at similarity 0.75.
-LEAST_SHARED = 15
-BLOCK = 16
+SKETCH = 128
+#: Shared hashes of two long sketches at least: below that with a chance of 3.3e-11 at similarity 0.75.
+LEAST_SHARED = 62
+#: Shingles in a block, about; each document counts 64 more, so a block has at most some 256.
+BLOCK_SHINGLES = 16_384
 #: Words that a task remembers the hashes of.
 CACHE_WORDS = 400_000
 
@@ -115,8 +119,9 @@ def facts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 
 def shared(n: Column) -> Column:
     """Hashes that the sketch of a set of ``n`` shares at least with that of a linked set."""
-    own = F.ceil(n * 3 / 4) - F.greatest(F.lit(0), F.floor(n * 4 / 3) - SKETCH)
-    return F.when(n > SKETCH, LEAST_SHARED).otherwise(own).cast("int")
+    beyond = F.floor(n * 4 / 3) - SKETCH  # hashes that a linked set may have outside its sketch
+    whole = F.ceil(n * 3 / 4)
+    return F.when(n > SKETCH, LEAST_SHARED).when(beyond > 0, F.greatest(whole - beyond, F.lit(LEAST_SHARED))).otherwise(whole).cast("int")
 
 
 def fits(a: Column, b: Column) -> Column:
@@ -125,14 +130,16 @@ def fits(a: Column, b: Column) -> Column:
 
 
 def rare_hashes(reps: DataFrame) -> DataFrame:
-    """(token, doc, n): of the rarest hashes of each sketch those that other sketches have."""
+    """(token, doc, n, alone): of the rarest hashes of each sketch those that other sketches
+    have, with the share of the sketch that no other has."""
     all_tokens = reps.select("doc", "n", F.size("sketch").alias("k"), F.explode("sketch").alias("token"))
     often = all_tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     met = all_tokens.join(often, "token")
     mine = met.groupBy("doc").agg(F.first("n").alias("n"), F.first("k").alias("k"), F.array_sort(F.collect_list(F.struct("df", "token"))).alias("own"))
     # the hashes that only this sketch has are rarer still and use up the first places
     left = F.greatest(F.lit(0), F.col("k") - shared(F.col("n")) + 1 - (F.col("k") - F.size("own")))
-    return mine.select("doc", "n", F.explode(F.slice("own", 1, left)).alias("o")).select("o.token", "doc", "n")
+    alone = 1 - F.size("own") / F.col("k")
+    return mine.select("doc", "n", alone.alias("alone"), F.explode(F.slice("own", 1, left)).alias("o")).select("o.token", "doc", "n", "alone")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -159,6 +166,56 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def matrix_links(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Links (a, b) between members of each pair of blocks (p, q) that are in different
+    components; ``blocks`` has members (doc, group, text)."""
+    one = blocks.select(F.col("block").alias("p"), F.col("members").alias("left"))
+    two = blocks.select(F.col("block").alias("q"), F.col("members").alias("right"))
+    met = pairs.join(one, "p").join(two, "q").select("p", "q", "left", "right")
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):  # one pair of blocks at a time
+                row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+                a, b = _block_links(row["left"], row["right"], row["p"] == row["q"])
+                yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], names=["a", "b"])
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    doc = blocks.schema["members"].dataType.elementType["doc"].dataType
+    kind = to_arrow_type(doc)
+    return met.mapInArrow(run, f"a {doc.simpleString()}, b {doc.simpleString()}")
+
+
+def _block_links(left: list[dict], right: list[dict], same: bool) -> tuple[list, list]:
+    xs, ys = shingle_sets([m["text"] for m in left]), shingle_sets([m["text"] for m in right])
+    ux, uy = np.unique(np.concatenate(xs)), np.unique(np.concatenate(ys))
+    both = np.intersect1d(ux, uy, assume_unique=True)
+
+    def opened(sets):
+        """Members that pass the bound, as a 0/1 matrix over the shared shingles."""
+        own = [np.searchsorted(both, s[np.isin(s, both, assume_unique=True)]) for s in sets]
+        keep = [i for i, (s, o) in enumerate(zip(sets, own)) if len(s) and 4 * len(o) >= 3 * len(s)]
+        rows = np.zeros((len(keep), len(both)), np.float32)
+        for k, i in enumerate(keep):
+            rows[k, own[i]] = 1
+        return keep, rows
+
+    kx, mx = opened(xs)
+    ky, my = opened(ys)
+    if not kx or not ky:
+        return [], []
+    common = (mx @ my.T).astype(np.int64)
+    size = np.array([len(xs[i]) for i in kx])[:, None] + np.array([len(ys[j]) for j in ky])[None, :]
+    groups: dict = {}
+    gx, gy = (np.array([groups.setdefault(m[i]["group"], len(groups)) for i in k]) for m, k in ((left, kx), (right, ky)))
+    link = (100 * common >= 75 * (size - common)) & (gx[:, None] != gy[None, :])
+    i, j = np.nonzero(np.triu(link, 1) if same and kx == ky else link)
+    # one link joins two components as well as all of them do
+    _, first = np.unique(np.stack([gx[i], gy[j]]), axis=1, return_index=True) if len(i) else (None, [])
+    return [left[kx[i[f]]]["doc"] for f in first], [right[ky[j[f]]]["doc"] for f in first]
+
+
 def labelled(docs: DataFrame, links: DataFrame) -> DataFrame:
     """``doc`` and its ``group``: the component by ``links``, itself without any."""
     comp = components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("node").alias("doc"), "component")
@@ -182,35 +239,37 @@ def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     own = docs.select(F.col(doc_id).alias("doc"), utf8(F.col(text)).alias("text")).where("doc is not null")
     texts = stored(one_text(own.join(ids, "doc", "left_semi")), "texts")
 
-    # 1. groups around the least document of each hash
-    least = tokens.groupBy("token").agg(F.min(F.struct("doc", "n")).alias("least"), F.count("*").alias("df")).where("df > 1")
-    near = tokens.join(least, "token").where(F.col("doc") != F.col("least.doc")).where(fits(F.col("n"), F.col("least.n")))
-    near = near.groupBy("doc", F.col("least.doc").alias("other")).agg(F.count("*").alias("c"))
-    near = near.groupBy(F.col("doc").alias("a")).agg(F.max_by("other", F.struct("c", -F.col("other").cast("double"))).alias("b"))
+    # 1. groups around the most typical document of each hash
+    best = tokens.groupBy("token").agg(F.min(F.struct("alone", "doc", "n")).alias("best"), F.count("*").alias("df")).where("df > 1")
+    near = tokens.join(best, "token").where((F.col("doc") != F.col("best.doc")) & (F.struct("alone", "doc") > F.struct("best.alone", "best.doc")))
+    near = near.where(fits(F.col("n"), F.col("best.n"))).groupBy("doc", "best").agg(F.count("*").alias("c"))
+    near = stored(near.groupBy(F.col("doc").alias("a")).agg(F.max_by("best.doc", F.struct("c", -F.col("best.alone"))).alias("b")), "near")
     first = stored(verified(near, texts), "first")
-    grouped = stored(labelled(tokens.select("doc").distinct(), first), "groups")
-
-    # 2. blocks of the groups with their unions; queries meet them by rare hashes
-    members = grouped.join(reps.select("doc", "n", "sketch"), "doc")
-    size = grouped.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    members = members.join(size, "group").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")))
-    members = stored(members.select("doc", "n", "sketch", "group", "block"), "members")
-    matrix = tokens.join(members.select("doc", "group", "block"), "doc").groupBy("token", "group", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    asked = tokens.join(members.select("doc", F.col("group").alias("of")), "doc")
-    mixed = tokens.join(grouped, "doc").groupBy("token").agg(F.min("group").alias("g0"), F.max("group").alias("g1")).where("g0 <> g1").select("token")
-    meet = asked.join(mixed, "token").join(matrix, "token").where("of < group").where((4 * F.col("n") >= 3 * F.col("low")) & (4 * F.col("high") >= 3 * F.col("n")))
-    meet = meet.select("doc", "group", "block").distinct()
-    union = members.groupBy("group", "block").agg(F.array_distinct(F.flatten(F.collect_list("sketch"))).alias("union"))
-    ask = members.select("doc", "n", "sketch")
-    bound = F.size(F.array_intersect("sketch", "union")) >= shared(F.col("n"))
-    opened = meet.join(ask, "doc").join(union, ["group", "block"]).where(bound).select("doc", "n", "sketch", "group", "block")
-    other = members.select("group", "block", F.col("doc").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("other"))
-    pair = opened.join(other, ["group", "block"]).where(fits(F.col("n"), F.col("m")))
-    pair = pair.where(F.size(F.array_intersect("sketch", "other")) >= F.greatest(shared(F.col("n")), shared(F.col("m"))))
-    pairs = stored(pair.select(F.col("doc").alias("a"), "b"), "pairs")
-
-    # 3. links between groups
-    second = verified(pairs, texts)
+    docs_met = tokens.groupBy("doc").agg(F.first("n").alias("n"))
+    grouped = stored(labelled(docs_met, first), "groups")
+
+    # 2. blocks of the groups, and which of them share rare hashes
+    home = grouped.join(near.withColumnRenamed("a", "doc"), "doc", "left").withColumn("pivot", F.coalesce("b", "doc"))
+    of_pivot = grouped.select(F.col("doc").alias("pivot"), F.col("group").alias("pivot_group"))
+    home = home.join(of_pivot, "pivot", "left").withColumn("linked", F.coalesce(F.col("group") == F.col("pivot_group"), F.lit(False)))
+    size = home.groupBy("pivot", "linked").agg(F.ceil(F.sum(F.col("n") + 64) / BLOCK_SHINGLES).alias("blocks"))
+    home = home.join(size, ["pivot", "linked"]).withColumn("block", F.xxhash64("pivot", "linked", F.pmod(F.xxhash64("doc"), F.col("blocks"))))
+    members = stored(home.select("doc", "n", "group", "block"), "members")
+    held = tokens.select("token", "doc").join(members, "doc").groupBy("token", "block")
+    matrix = held.agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("group").alias("g0"), F.max("group").alias("g1"))
+    shared_by = matrix.groupBy("token").agg(F.min("g0").alias("least"), F.max("g1").alias("most")).where("least <> most").select("token")
+    matrix = stored(matrix.join(shared_by, "token"), "matrix")
+    one = matrix.select("token", *[F.col(c).alias(f"{c}_p") for c in ("block", "low", "high", "g0", "g1")])
+    two = matrix.select("token", *[F.col(c).alias(f"{c}_q") for c in ("block", "low", "high", "g0", "g1")])
+    met = one.join(two, "token").where((F.col("block_p") <= F.col("block_q")) & (F.least("g0_p", "g0_q") != F.greatest("g1_p", "g1_q")))
+    met = met.where((4 * F.col("high_p") >= 3 * F.col("low_q")) & (4 * F.col("high_q") >= 3 * F.col("low_p")))
+    pairs = stored(met.select(F.col("block_p").alias("p"), F.col("block_q").alias("q")).distinct(), "pairs")
+    asked = pairs.select(F.col("p").alias("block")).unionByName(pairs.select(F.col("q").alias("block"))).distinct()
+    inside = members.join(asked, "block", "left_semi").join(texts, "doc")
+    blocks = inside.groupBy("block").agg(F.collect_list(F.struct("doc", "group", "text")).alias("members"))
+
+    # 3. links between documents of different components
+    second = matrix_links(pairs, blocks)
     links = stored(first.unionByName(second), "links")
     comp = labelled(grouped.select("doc"), links)
     of_class = reps.select("h1", "h2", "n", "doc").join(comp, "doc", "left").select("h1", "h2", "n", F.coalesce("group", "doc").alias("component"))
