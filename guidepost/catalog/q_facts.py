@@ -15,8 +15,6 @@ from . import views as V
 from .q_scoring import annual, deviations
 from .registry import query, view
 
-YEARS = list(range(1995, 2003))
-COLUMNS = {f"FY{y % 100:02d}": f"Mar {y}" for y in YEARS}
 MONTH_SQL = "(['Jan','Feb','Mar','Apr','May','Jun','Jul','Aug','Sep','Oct','Nov','Dec'])"
 
 
@@ -25,8 +23,10 @@ SELECT company_id, metric, period, value FROM financials WHERE period_type = 'an
 AND metric IN ({', '.join(repr(m) for m in ST.STATEMENT_METRICS.values())})""")
 def _(spark, sf):
     """Statement table (metric rows, period columns, a TTM column) back to long facts."""
-    wide = ST.statement_table(annual(spark, sf, list(ST.STATEMENT_METRICS.values())), COLUMNS)
-    wide = wide.withColumn("TTM", F.col("`Mar 2001`"))
+    facts = annual(spark, sf, list(ST.STATEMENT_METRICS.values()))
+    columns = ST.year_columns(facts)
+    wide = ST.statement_table(facts, columns)
+    wide = wide.withColumn("TTM", F.col(f"`{max(columns.values())}`") if columns else F.lit(None).cast("double"))
     return ST.melt_statement(wide, ["company_id"], "row")
 
 

@@ -132,34 +132,23 @@ def _(spark, sf):
     return G.summary(nodes, edges)
 
 
-# links between documents: each to the next one with the same opening, or the same closing words
-view("copy_links", """
-SELECT src, dst FROM (SELECT doc_id AS src, lead(doc_id) OVER (PARTITION BY substr(text, 1, 20) ORDER BY doc_id) AS dst FROM documents UNION SELECT doc_id, lead(doc_id) OVER (PARTITION BY right(text, 6), lang ORDER BY doc_id) FROM documents) WHERE dst IS NOT NULL""")
-
-
-def copy_links(spark, sf):
-    d = V.table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 20).alias("head"), F.concat(F.right("text", F.lit(6)), "lang").alias("tail"))
-    nxt = lambda k: d.select(F.col("doc_id").alias("src"), F.lead("doc_id").over(Window.partitionBy(k).orderBy("doc_id")).alias("dst"))
-    return nxt("head").unionByName(nxt("tail")).filter("dst is not null").distinct()
-
-
 @query("g7_components", """
-WITH both_links AS (SELECT src, dst FROM copy_links UNION SELECT dst, src FROM copy_links),
-reach(node, seen) AS (SELECT DISTINCT src, src FROM both_links UNION SELECT r.node, b.dst FROM reach r JOIN both_links b ON b.src = r.seen)
+WITH reach(node, seen) AS (SELECT DISTINCT src, src FROM g_both UNION SELECT r.node, b.dst FROM reach r JOIN g_both b ON b.src = r.seen)
 SELECT node, min(seen) AS component FROM reach GROUP BY 1""")
 def _(spark, sf):
-    return G.components(copy_links(spark, sf))
+    """Connected components of the entity graph."""
+    return G.components(built(spark, sf)[1].select("src", "dst"))
 
 
 @query("g4_shortest_path", """
-WITH both_links AS (SELECT src, dst FROM copy_links UNION SELECT dst, src FROM copy_links), start AS (SELECT min(src) AS s FROM copy_links),
-reach(node, hop) AS (SELECT s, 0 FROM start UNION SELECT b.dst, r.hop + 1 FROM reach r JOIN both_links b ON b.src = r.node WHERE r.hop < 5)
+WITH start AS (SELECT min(src) AS s FROM g_both),
+reach(node, hop) AS (SELECT s, 0 FROM start UNION SELECT b.dst, r.hop + 1 FROM reach r JOIN g_both b ON b.src = r.node WHERE r.hop < 12)
 SELECT node, CAST(min(hop) AS INT) AS hops, CAST(min(hop) + 1 AS INT) AS path_nodes FROM reach GROUP BY 1""")
 def _(spark, sf):
-    """Hops from the first linked document to all within five, with one path each."""
-    e = copy_links(spark, sf)
-    start = e.agg(F.min("src")).first()[0]
-    return G.hop_distances(e, start, 5).select("node", "hops", F.size("path").alias("path_nodes"))
+    """Hops from the first node of the entity graph to all it reaches, with one path each."""
+    e = built(spark, sf)[1].select("src", "dst")
+    start = G.both_ways(e).agg(F.min("src")).first()[0]
+    return G.hop_distances(e, start).select("node", "hops", F.size("path").alias("path_nodes"))
 
 
 @query("g10_collision", """

@@ -10,7 +10,6 @@ from ..sources import documents as D
 from ..sources import sinks as K
 from ..sources import statements as ST
 from . import views as V
-from .q_facts import COLUMNS
 from .q_scoring import annual
 from .q_text import chunks
 from .registry import query, view
@@ -20,8 +19,10 @@ _ST_METRICS = list(ST.STATEMENT_METRICS.values())
 
 def write_company_statements(spark, sf):
     """A statement CSV per company with header, metric rows, marker and trailing block."""
-    cols = list(COLUMNS.values())
-    wide = ST.statement_table(annual(spark, sf, _ST_METRICS), COLUMNS)
+    facts = annual(spark, sf, _ST_METRICS)
+    columns = ST.year_columns(facts)
+    cols = list(columns.values())
+    wide = ST.statement_table(facts, columns)
     cell = lambda c: F.coalesce(F.concat(F.lit('"'), F.format_number(F.col(f"`{c}`"), 6), F.lit('"')), F.lit(""))
     rows = wide.select("company_id", F.concat(F.lit("1"), "row").alias("line_no"), F.concat_ws(",", F.concat("row", F.lit(" ")), *[cell(c) for c in cols], F.lit("99")).alias("line"))
     ids = V.companies(spark, sf).select("company_id", "skey")

@@ -80,10 +80,19 @@ def _(spark, sf):
 
 @query("st4_event_upsert", "SELECT user_id, event_type, count(*) AS n, max_by(event_id, ts) AS event_id FROM events GROUP BY ALL")
 def _(spark, sf):
-    """Latest event per (user, type) through a versioned table, one version per batch."""
-    path = scratch_path(spark, "upsert")
-    e = stream_of(spark, sf, "events").select("user_id", "event_type", "event_id", "ts")
-    S.drain(S.upsert_stream(e, path, ["user_id", "event_type"], ["ts", "event_id"]), spark, "upsert-ckpt")
-    latest = spark.read.parquet(f"{path}/v0")
+    """Latest event per (user, type) through a versioned table, one version per batch.
+
+    The events arrive in two batches, odd ids after even ones, so each batch also
+    brings events older than the stored ones.
+    """
+    path, src = scratch_path(spark, "upsert"), scratch_path(spark, "upsert-src")
+    e = V.table(spark, sf, "events").select("user_id", "event_type", "event_id", F.col("ts").cast("timestamp").alias("ts"))
+    ckpt = scratch_path(spark, "upsert-ckpt")
+    reader = spark.readStream.schema(e.schema).option("recursiveFileLookup", True)
+    for odd in (0, 1):
+        e.where(F.col("event_id") % 2 == odd).write.parquet(f"{src}/odd={odd}")
+        w = S.upsert_stream(reader.parquet(src), path, ["user_id", "event_type"], ["ts", "event_id"])
+        w.option("checkpointLocation", ckpt).trigger(availableNow=True).start().awaitTermination()
+    latest = spark.read.parquet(f"{path}/v1")
     n = V.table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
     return latest.join(n, ["user_id", "event_type"]).select("user_id", "event_type", "n", "event_id")

@@ -89,7 +89,7 @@ _VIS = NORM_SQL.format(c=_unesc(_STRIP.format(c="html")))
 view("page_texts", f"SELECT page_id, url, {NORM_SQL.format(c=_unesc('''regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)'''))} AS title, {_VIS} AS full_text FROM pages")
 
 
-@query("s6_page_text", "SELECT page_id, url, title, substr(full_text, 1, 5000) AS page_text FROM page_texts")
+@query("s6_page_text", "SELECT page_id, url, title, full_text AS page_text FROM page_texts")
 def _(spark, sf):
     return D.pages_text(V.table(spark, sf, "pages")).drop("html")
 
@@ -100,7 +100,7 @@ _LINK_WORDS = ["the", "en", "der", "que", "att"]
 @query("s7_links", f"""
 SELECT page_id, url, CAST(link_no - 1 AS INT) AS link_no, link_text, CASE WHEN starts_with(h, '/') THEN regexp_extract(url, '^(https?://[^/?#]+)', 1) || h ELSE h END AS href, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host
 FROM (SELECT page_id, url, link_no, trim(regexp_extract(a, '(?is)href="([^"]*)"', 1)) AS h, {NORM_SQL.format(c=_unesc("regexp_replace(a, '(?s)<[^>]*>', ' ', 'g')"))} AS link_text
-  FROM (SELECT page_id, url, unnest(l) AS a, generate_subscripts(l, 1) AS link_no FROM (SELECT page_id, url, list_slice(regexp_extract_all(html, '(?is)(<a\\s[^>]*href="[^"]*"[^>]*>.*?</a>)', 1), 1, 250) AS l FROM pages)))
+  FROM (SELECT page_id, url, unnest(l) AS a, generate_subscripts(l, 1) AS link_no FROM (SELECT page_id, url, regexp_extract_all(html, '(?is)(<a\\s[^>]*href="[^"]*"[^>]*>.*?</a>)', 1) AS l FROM pages)))
 WHERE length(link_text) >= 3 AND {contains_any('lower(link_text)', _LINK_WORDS)}""")
 def _(spark, sf):
     return D.extract_links(V.table(spark, sf, "pages"), "html", "url", _LINK_WORDS, min_len=3)

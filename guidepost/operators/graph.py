@@ -6,6 +6,7 @@ membership table, not as an array on the node, so no row grows with the data.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -155,8 +156,8 @@ def company_subgraph(nodes: DataFrame, edges: DataFrame, members: DataFrame, com
     return top, semi_edges(edges, top).orderBy(F.round("weight", 9).desc(), "src", "dst").limit(limit * 3)
 
 
-def hop_distances(edges: DataFrame, source: str, max_hops: int = 5, target: str | None = None) -> DataFrame:
-    """(node, hops, path) for every node within ``max_hops`` of ``source``.
+def hop_distances(edges: DataFrame, source: str, max_hops: int | None = None, target: str | None = None) -> DataFrame:
+    """(node, hops, path) for every node within ``max_hops`` of ``source``, or at any distance.
 
     A frontier is joined to the edges once per hop, reached nodes are removed, and
     one shortest path per node (first in text order) is carried. Stops early at
@@ -164,7 +165,9 @@ def hop_distances(edges: DataFrame, source: str, max_hops: int = 5, target: str
     """
     links = cut_lineage(both_ways(edges).distinct())
     seen = frontier = cut_lineage(links.filter(F.col("src") == source).select(F.col("src").alias("node")).distinct().withColumns({"hops": F.lit(0), "path": F.array("node")}))
-    for hop in range(1, max_hops + 1):
+    for hop in itertools.count(1):
+        if max_hops is not None and hop > max_hops:
+            break
         step = frontier.join(links.withColumnRenamed("src", "node"), "node").groupBy(F.col("dst").alias("node")).agg(F.min("path").alias("p"))
         frontier = cut_lineage(step.join(seen.select("node"), "node", "left_anti").select("node", F.lit(hop).alias("hops"), F.concat("p", F.array("node")).alias("path")))
         if frontier.isEmpty():
@@ -175,7 +178,7 @@ def hop_distances(edges: DataFrame, source: str, max_hops: int = 5, target: str
     return seen
 
 
-def shortest_path(edges: DataFrame, source: str, target: str, max_hops: int = 5) -> DataFrame:
+def shortest_path(edges: DataFrame, source: str, target: str, max_hops: int | None = None) -> DataFrame:
     return hop_distances(edges, source, max_hops, target).filter(F.col("node") == target)
 
 

@@ -148,33 +148,61 @@ def title_sets(items: DataFrame, ident: str, day: str, title: str) -> DataFrame:
     return s.groupBy("day", "tokens").agg(F.min("id").alias("id"))
 
 
-def _one_edit_keys(w: Column) -> Column:
-    """The token and its single deletions: tokens one edit apart share a key."""
-    cut = F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
-    return F.array_distinct(F.concat(F.array(w), cut))
-
-
-def candidate_pairs(sets: DataFrame, near: bool = True) -> DataFrame:
-    """(id, other) pairs on one day that can reach a 0.92 token-set ratio.
-
-    A title of ``n`` characters within the limit has at most ``0.087 n`` tokens that
-    are more than one edit away from every token of its partner. So it is enough
-    to look it up under its ``0.087 n + 1`` least common tokens (each with its one-edit keys);
-    frequent words are never joined on unless a title has nothing rarer. With
-    ``near=False`` only the single least common token is used, enough for
-    containment of one set in the other.
+def _chars() -> Column:
+    """Length of a token set written out with single blanks."""
+    return F.aggregate("tokens", F.lit(-1), lambda a, w: a + F.length(w) + 1)
+
+
+def containment_candidates(sets: DataFrame, spare: float = 0.0) -> DataFrame:
+    """(day, id, other) where all tokens of ``id`` but ``spare`` of its characters may be
+    in ``other``. Its rarest tokens whose lengths add up to more than that are looked up:
+    they can't all be missing. Frequent words are joined on only if a title has nothing
+    rarer."""
+    tok = sets.select("day", "id", _chars().alias("n"), F.explode("tokens").alias("token"))
+    df = tok.groupBy("day", "token").agg(F.count("*").alias("df"))
+    w = Window.partitionBy("day", "id").orderBy("df", "token")
+    before = F.coalesce(F.sum(F.length("token")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    probe = tok.join(df, ["day", "token"]).withColumn("before", before).filter(F.col("before") <= spare * F.col("n")).select("day", "id", "token")
+    return probe.join(tok.select("day", F.col("id").alias("other"), "token"), ["day", "token"]).filter("id <> other").select("day", "id", "other").distinct()
+
+
+def edit_candidates(sets: DataFrame, threshold: float) -> DataFrame:
+    """(day, id, other) whose written-out sets may be within ``d`` inserted and deleted
+    characters of each other, ``d`` at most ``2 (1 - t) / t`` of either length.
+
+    Each of those characters spoils at most two letter pairs inside tokens, wherever the
+    tokens stand. So of a title's letter pairs (numbered where they repeat) any
+    ``2 d + 1`` hold one that the other title has too; the rarest are taken on both
+    sides. Titles with fewer pairs than that (of one- and two-letter tokens) meet the
+    titles of every length in reach instead.
+    """
+    slack = 2 * (100 - threshold) / threshold
+    t = sets.select("day", "id", "tokens", _chars().alias("n")).withColumn("d", F.floor(slack * F.col("n") + 1e-9).cast("int"))
+    pairs = F.flatten(F.transform("tokens", lambda w: F.when(F.length(w) > 1, F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: F.substring(w, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))))
+    each = t.select("day", "id", "n", "d", F.explode(pairs).alias("gram")).groupBy("day", "id", "n", "d", "gram").agg(F.count("*").alias("times"))
+    grams = each.select("day", "id", "n", "d", "gram", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("k"))
+    df = grams.groupBy("day", "gram", "k").agg(F.count("*").alias("df"))
+    w = Window.partitionBy("day", "id").orderBy("df", "gram", "k")
+    rare = grams.join(df.filter("df > 1"), ["day", "gram", "k"], "left").withColumn("df", F.coalesce("df", F.lit(1))).withColumn("rk", F.row_number().over(w))
+    rare = cut_lineage(rare.filter((F.col("rk") <= 2 * F.col("d") + 1) & (F.col("df") > 1)).select("day", "gram", "k", "id", "n", "d"))
+    other = rare.select("day", "gram", "k", F.col("id").alias("other"), F.col("n").alias("m"), F.col("d").alias("e"))
+    near = F.abs(F.col("n") - F.col("m")) <= F.least("d", "e")
+    met = rare.join(other, ["day", "gram", "k"]).filter((F.col("id") < F.col("other")) & near).select("day", "id", "other")
+    count = F.aggregate("tokens", F.lit(0), lambda a, x: a + F.length(x) - 1)
+    weak = t.filter(count <= 2 * F.col("d")).select("day", "id", F.explode(F.sequence(F.col("n") - F.col("d"), F.col("n") + F.col("d"))).alias("m"))
+    reach = weak.join(t.select("day", F.col("id").alias("other"), F.col("n").alias("m")), ["day", "m"]).filter("id <> other").select("day", "id", "other")
+    return met.unionByName(reach).distinct()
+
+
+def candidate_pairs(sets: DataFrame, threshold: float = 92.0) -> DataFrame:
+    """(day, id, other) of one day, every pair among them that can reach ``threshold``.
+
+    The token-set ratio is the best of three: the shared tokens against either title,
+    which needs all but ``2 (1 - t) / (2 - t)`` of that title's characters in shared tokens,
+    and one title against the other, which bounds their edits.
     """
-    size = F.aggregate("tokens", F.lit(-1), lambda a, w: a + F.length(w) + 1)
-    tok = sets.select("day", "id", size.alias("n"), F.explode("tokens").alias("token"))
-    keyed = tok.select("day", "id", "n", "token", F.explode(_one_edit_keys(F.col("token")) if near else F.array("token")).alias("key"))
-    df = keyed.groupBy("day", "key").agg(F.count("*").alias("df"))
-    fan = keyed.join(df, ["day", "key"]).groupBy("day", "id", "n", "token").agg(F.sum("df").alias("fan"))
-    k = F.floor(F.col("n") * 0.087) + 1 if near else F.lit(1)
-    rank = F.row_number().over(Window.partitionBy("day", "id").orderBy("fan", "token"))
-    probe = fan.withColumn("rk", rank).filter(F.col("rk") <= k).select("day", "id", "token")
-    probe = probe.select("day", "id", F.explode(_one_edit_keys(F.col("token")) if near else F.array("token")).alias("key"))
-    index = keyed.select("day", F.col("id").alias("other"), "key")
-    return probe.join(index, ["day", "key"]).filter("id <> other").select("day", "id", "other").distinct()
+    t = threshold / 100
+    return containment_candidates(sets, 2 * (1 - t) / (2 - t) + 1e-9).unionByName(edit_candidates(sets, threshold)).distinct()
 
 
 def _lcs(a: str, b: str) -> int:
@@ -241,7 +269,7 @@ def fuzzy_dedupe(items: DataFrame, ident: str, day: str, title: str, threshold:
     Items without any title token are kept, as they match nothing.
     """
     sets = cut_lineage(title_sets(items, ident, day, title))
-    pairs = candidate_pairs(sets).select("day", F.least("id", "other").alias("src"), F.greatest("id", "other").alias("dst")).distinct()
+    pairs = candidate_pairs(sets, threshold).select("day", F.least("id", "other").alias("src"), F.greatest("id", "other").alias("dst")).distinct()
     a = sets.select("day", F.col("id").alias("src"), F.col("tokens").alias("ta"))
     b = sets.select("day", F.col("id").alias("dst"), F.col("tokens").alias("tb"))
     scored = pairs.join(a, ["day", "src"]).join(b, ["day", "dst"]).withColumn("ratio", _ratio("ta", "tb"))
@@ -253,7 +281,7 @@ def fuzzy_dedupe(items: DataFrame, ident: str, day: str, title: str, threshold:
 
 def subset_pairs(sets: DataFrame) -> DataFrame:
     """Pairs of a day where one title's token set contains the other's (ratio 100)."""
-    pairs = candidate_pairs(sets, near=False)
+    pairs = containment_candidates(sets)
     small = sets.select("day", "id", F.col("tokens").alias("ta"))
     big = sets.select("day", F.col("id").alias("other"), F.col("tokens").alias("tb"))
     j = pairs.join(small, ["day", "id"]).join(big, ["day", "other"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,7 +13,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Folder used by :meth:`DataFrame.checkpoint`.
 
     The cluster names it in ``spark.checkpoint.dir``; only a session without that
-    setting (tests, laptops) gets a temporary folder.
+    setting in local mode (tests, laptops) gets a temporary folder. On a cluster the
+    setting must be there: its machines don't share their temporary folders.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -20,6 +22,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         path = tempfile.mkdtemp(prefix="spark-ckpt-")
     sc.setCheckpointDir(path)
     return path

@@ -98,7 +98,7 @@ def unescape(text: Column) -> Column:
     return out
 
 
-def visible_text(html: Column, n: int | None = 5000) -> Column:
+def visible_text(html: Column, n: int | None = None) -> Column:
     """Tags, scripts, styles and comments out, entities decoded, blanks folded."""
     t = F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")
     t = F.regexp_replace(F.regexp_replace(t, r"(?s)<!--.*?-->", " "), r"(?s)<[^>]*>", " ")
@@ -106,13 +106,14 @@ def visible_text(html: Column, n: int | None = 5000) -> Column:
     return F.substring(t, 1, n) if n else t
 
 
-def pages_text(df: DataFrame, html: str = "html", n: int | None = 5000) -> DataFrame:
+def pages_text(df: DataFrame, html: str = "html", n: int | None = None) -> DataFrame:
     return df.withColumns({"title": page_title(F.col(html)), "page_text": visible_text(F.col(html), n)})
 
 
-def extract_links(df: DataFrame, html: str, url: str, keywords: Sequence[str], max_links: int = 250, min_len: int = 25) -> DataFrame:
-    """First ``max_links`` anchors whose text is long enough and names a keyword."""
-    anchors = F.slice(F.regexp_extract_all(F.col(html), F.lit(r"(?is)(<a\s[^>]*href=\"[^\"]*\"[^>]*>.*?</a>)"), F.lit(1)), F.lit(1), F.lit(max_links))
+def extract_links(df: DataFrame, html: str, url: str, keywords: Sequence[str], max_links: int | None = None, min_len: int = 25) -> DataFrame:
+    """Anchors, all or the first ``max_links``, whose text is long enough and names a keyword."""
+    anchors = F.regexp_extract_all(F.col(html), F.lit(r"(?is)(<a\s[^>]*href=\"[^\"]*\"[^>]*>.*?</a>)"), F.lit(1))
+    anchors = anchors if max_links is None else F.slice(anchors, 1, max_links)
     one = df.select(*[c for c in df.columns if c != html], F.posexplode(anchors).alias("link_no", "a"))
     href = F.trim(F.regexp_extract("a", r"(?is)href=\"([^\"]*)\"", 1))
     text = normalize_whitespace(unescape(F.regexp_replace("a", r"(?s)<[^>]*>", " ")))

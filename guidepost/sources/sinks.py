@@ -9,16 +9,21 @@ from pyspark.sql import functions as F
 
 
 def upsert(target: DataFrame, updates: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
-    """Target rows with the rows of ``updates`` put in by key; the newest update wins.
+    """Target rows with the rows of ``updates`` put in by key.
 
-    Only target keys that are updated meet in the anti join; new columns of the
-    updates become nulls on old rows.
+    With ``order`` the newest row of a key wins, be it an update or the stored one, so
+    updates may come late; on a tie an update replaces. Without it an update always
+    replaces. Only keys that are updated meet in the joins; new columns of the updates
+    become nulls on old rows.
     """
     keys = list(keys)
     fresh = updates
     if order:
         rest = [c for c in updates.columns if c not in keys]
         fresh = updates.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("__r")).select(*keys, "__r.*").select(*updates.columns)
+        stored = target.select(*keys, F.struct(*[F.col(c) for c in order]).alias("__stored"))
+        late = F.coalesce(F.col("__stored") > F.struct(*order), F.lit(False))
+        fresh = fresh.join(stored, keys, "left").where(~late).select(*updates.columns)
     return target.join(fresh.select(*keys), keys, "left_anti").unionByName(fresh, allowMissingColumns=True)
 
 

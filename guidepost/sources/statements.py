@@ -97,6 +97,12 @@ def pivot_metrics(facts: DataFrame, keys: Sequence[str], metrics: Sequence[str])
     return facts.groupBy(*keys).pivot("metric", list(metrics)).agg(F.first("value"))
 
 
+def year_columns(facts: DataFrame, period: str = "period", year: str = "fy") -> dict[str, str]:
+    """Statement column of every fiscal year that the facts have, in order."""
+    years = facts.select(F.col(year).cast("int").alias("y"), F.col(period).alias("p")).distinct().collect()  # one row a year
+    return {r.p: f"Mar {r.y}" for r in sorted(years, key=lambda r: r.y)}
+
+
 def statement_table(facts: DataFrame, columns: Mapping[str, str], names: Mapping[str, str] = STATEMENT_METRICS) -> DataFrame:
     """Long facts to the wide statement form: metric rows, one column per period label.
 

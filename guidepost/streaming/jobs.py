@@ -122,6 +122,8 @@ def observe_health(items: DataFrame, reason: str = "drop_reason", name: str = "h
     return items.observe(name, F.count(F.lit(1)).alias("input"), F.count_if(F.col(reason).isNull()).alias("accepted"), F.count_if(F.col(reason).isNotNull()).alias("dropped"))
 
 
-def drain(writer, spark: SparkSession, name: str) -> None:
-    """Run a ``foreachBatch`` writer over what has arrived."""
-    writer.option("checkpointLocation", scratch_path(spark, name)).trigger(availableNow=True).start().awaitTermination()
+def drain(writer, spark: SparkSession, name: str) -> int:
+    """Run a ``foreachBatch`` writer over what has arrived; number of the last batch."""
+    q = writer.option("checkpointLocation", scratch_path(spark, name)).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return max(p["batchId"] for p in q.recentProgress)

@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from guidepost.operators import graph as G
@@ -155,3 +157,60 @@ def test_health_counters_observed_on_a_stream(spark, sf):
     rows = [p["observedMetrics"]["health"] for p in q.recentProgress if p.get("observedMetrics")]
     n = spark.read.parquet(f"{sf}/events.parquet").count()
     assert sum(r["input"] for r in rows) == n and sum(r["accepted"] + r["dropped"] for r in rows) == n
+
+
+def test_fuzzy_dedupe_finds_split_joined_and_long_tokens(spark):
+    rnd = random.Random(23)
+    long = ["annuityfundmanagement", "counterrevolutionaryinterdenominational", "donaudampfschifffahrtsgesellschaft", "rindfleischetikettierungsgesetz", "kraftfahrzeughaftpflichtversicherung", "a", "of", "q4", "ebitda"]
+    titles = ["annuity fundmanagement", "annuityfundmanagement", "counterrevolutionaryinterdenominational", "counterrevolutionaryinterdenominatil", "a b c d e f g", "a b c d e f h", "x y", "x z"]
+    for _ in range(180):
+        words = [rnd.choice(long) for _ in range(rnd.randrange(1, 5))]
+        for _ in range(rnd.randrange(3)):
+            k = rnd.randrange(len(words))
+            w, cut = words[k], rnd.randrange(len(words[k]) + 1)
+            words[k] = rnd.choice([w[:cut] + w[cut + 1 :], w[:cut] + "z" + w[cut:], w[:cut] + " " + w[cut:]])
+        titles.append(" ".join(words))
+    rows = [(i, f"d{i % 2}" if i >= 8 else "d0", t) for i, t in enumerate(titles)]
+    df = spark.createDataFrame(rows, "doc_id int, day string, title string")
+    got = {r.doc_id for r in N.fuzzy_dedupe(df, "doc_id", "day", "title").select("doc_id").collect()}
+    assert got == brute_dedupe(rows)
+    assert 1 not in got and 3 not in got
+
+
+def test_upsert_keeps_a_newer_stored_row(spark):
+    t = spark.createDataFrame([(1, "new", 10), (2, "old", 1)], "id int, v string, ver int")
+    late = spark.createDataFrame([(1, "late", 5), (2, "mid", 3), (2, "up", 4), (3, "first", 2)], "id int, v string, ver int")
+    assert {(r.id, r.v) for r in K.upsert(t, late, ["id"], ["ver"]).collect()} == {(1, "new"), (2, "up"), (3, "first")}
+    assert {(r.id, r.v) for r in K.upsert(K.upsert(t.limit(0), late, ["id"], ["ver"]), t, ["id"], ["ver"]).collect()} == {(1, "new"), (2, "up"), (3, "first")}
+
+
+def test_facts_of_any_year_and_whole_pages(spark):
+    from guidepost.sources import documents as D
+    from guidepost.sources import statements as ST
+
+    facts = spark.createDataFrame([("C1", "revenue", "FY95", 1995, 1.5), ("C1", "revenue", "FY30", 2030, 2.5)], "company_id string, metric string, period string, fy int, value double")
+    columns = ST.year_columns(facts)
+    assert columns == {"FY95": "Mar 1995", "FY30": "Mar 2030"}
+    back = ST.melt_statement(ST.statement_table(facts, columns), ["company_id"], "row")
+    assert {(r.period, r.value) for r in back.collect()} == {("FY95", 1.5), ("FY30", 2.5)}
+    page = spark.createDataFrame([("<title>t</title>" + "<p>word</p>" * 2000 + "".join(f'<a href="/{i}">a link text of some length {i}</a>' for i in range(300)),)], "html string")
+    assert len(D.pages_text(page).first().page_text) > 6000
+    assert D.extract_links(page.selectExpr("html", "'http://h/x' as url"), "html", "url", []).count() == 300
+
+
+def test_cluster_needs_a_shared_folder():
+    from guidepost import session
+
+    class Conf:
+        def get(self, key, default):
+            return default
+
+    class Spark:
+        conf = Conf()
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(RuntimeError):
+        session.ensure_checkpoint_dir(Spark())
