@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import news as N
+from ..session import cut_lineage, scratch_path
+from ..sources import sinks as K
 from . import views as V
 from .q_text import NORM_SQL, _gs_sql, contains_any, contains_sum
 from .registry import query, view
@@ -170,6 +172,25 @@ def _(spark, sf):
     return e.select("section", "rank", "doc_id", "citation")
 
 
+@query("n7_daily")
+def _(spark, sf):
+    """The whole daily run; its flat rows replace the days they hold, and the nested
+    digest goes to JSON. Tested against brute force, as the fuzzy step has no SQL form."""
+    entries, _n, _m = N.daily_run(enriched(spark, sf), "doc_id", 12, {"sector": 15, "global": 15})
+    entries, path = cut_lineage(entries), scratch_path(spark, "digest")
+    K.replace_partitions(entries.select("section", "rank", "doc_id", "title", "citation", "published_date"), f"{path}/flat", "published_date")
+    K.write_json(N.digest(entries), f"{path}/json")
+    flat = spark.read.parquet(f"{path}/flat").select(F.col("published_date").cast("string").alias("day"), "section", "rank", "doc_id", "citation")
+    nested = spark.read.json(f"{path}/json").select("section", F.explode("items").alias("i")).select("section", F.col("i.rank").cast("int").alias("rank"), F.col("i.url").alias("url"))
+    return flat.join(nested, ["section", "rank"])
+
+
+@query("n7_health")
+def _(spark, sf):
+    """Items by source after each step of the daily run."""
+    return N.daily_run(enriched(spark, sf), "doc_id")[1]
+
+
 _EV = "SELECT event_id, event_type, 'src_' || (user_id % 7) AS source, 'bucket_' || (event_id % 3) AS source_bucket, CASE WHEN value >= 50 THEN 'large' ELSE 'small' END AS dimension_primary, CASE WHEN user_id % 4 = 0 THEN ['C' || (user_id % 20), 'C' || (user_id % 11)] ELSE ['C' || (user_id % 20)] END AS companies, CASE WHEN event_type = 'purchase' THEN ['revenue', 'orders'] ELSE [] END AS metrics FROM events"
 view("news_events", _EV)
 

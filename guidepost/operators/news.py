@@ -320,6 +320,26 @@ def digest(entries: DataFrame) -> DataFrame:
     return entries.groupBy("section").agg(F.sort_array(F.collect_list(item)).alias("items"))
 
 
+def daily_run(enriched: DataFrame, ident: str, cap: int = 12, caps: Mapping[str, int] | None = None, bucket: str = "source") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One day's flow over collected and enriched items: gates, exact and fuzzy
+    de-duplication in order of ``ident``, evidence gate, digest.
+
+    Returns the digest's flat rows, item counts by step and bucket, and the missing
+    fields of the items that the evidence gate dropped. Each step reads the last one's
+    result once.
+    """
+    passed = cut_lineage(accept(enriched).drop("content"))
+    once = cut_lineage(exact_dedupe(passed, [ident]))
+    apart = cut_lineage(fuzzy_dedupe(once, ident, "published_date", "title"))
+    safe, missing = evidence_gate(apart)
+    steps = {"collected": enriched, "accepted": passed, "exact": once, "fuzzy": apart, "evidence": safe}
+    counts = None
+    for name, df in steps.items():
+        n = df.groupBy(F.lit(name).alias("step"), F.col(bucket).alias("bucket")).agg(F.count("*").alias("n"))
+        counts = n if counts is None else counts.unionByName(n)
+    return digest_entries(safe, cap, caps), counts, missing
+
+
 def event_graph(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Items to typed node and edge rows (source, bucket, dimension, company, metric, topic).
 

@@ -214,3 +214,21 @@ def test_cluster_needs_a_shared_folder():
 
     with pytest.raises(RuntimeError):
         session.ensure_checkpoint_dir(Spark())
+
+
+def test_daily_run_is_its_steps(spark, sf):
+    from guidepost.catalog import QUERIES
+    from guidepost.catalog import q_news as Q
+
+    items = sorted(Q.accepted(spark, sf).select("doc_id", "uid", "published_date", "content_signature", "title").collect())
+    first, second, titles = {}, {}, []
+    for r in items:
+        if first.setdefault(r.uid, r.doc_id) == r.doc_id and second.setdefault((r.published_date, r.content_signature), r.doc_id) == r.doc_id:
+            titles.append((r.doc_id, r.published_date, r.title))
+    kept = brute_dedupe(titles)
+    rows = QUERIES["n7_daily"](spark, sf).collect()
+    assert rows and {r.doc_id for r in rows} <= kept and all(r.url for r in rows)
+    steps = {}
+    for r in QUERIES["n7_health"](spark, sf).collect():
+        steps[r.step] = steps.get(r.step, 0) + r.n
+    assert (steps["accepted"], steps["exact"], steps["fuzzy"]) == (len(items), len(titles), len(kept)) and steps["evidence"] <= len(kept)
