@@ -8,6 +8,7 @@ row gives one output row, also when rows repeat. Texts cross to Python as UTF-8
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -33,6 +34,19 @@ def utf8(col: Column) -> Column:
     return F.coalesce(col.cast("binary"), F.lit(b""))
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "8m"):
+    """Arrow batches of about ``size`` for the jobs that run inside, also if the session
+    allows more: rows that hold several whole texts would fill a Python worker."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def steps(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = STEP_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the incoming batches with about ``limit`` bytes of text each, whole rows only."""
     for batch in batches:
