@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from guidepost.llm import bpe, jaccard, mixing, quality_classifier, toxicity
-from guidepost.llm.common import table
+from guidepost.llm.common import store, table
 from guidepost.llm.queries import byte_bpe_path
 from guidepost.session import scratch_path
 
@@ -69,6 +69,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     root = scratch_path(spark, "pipeline")
     for i, (_, stage) in enumerate(STAGES[:-1]):
-        stage(spark, docs, sf_dir).write.parquet(f"{root}/{i}")
-        docs = spark.read.parquet(f"{root}/{i}")
+        docs = store(stage(spark, docs, sf_dir), f"{root}/{i}")
     return STAGES[-1][1](spark, docs, sf_dir)

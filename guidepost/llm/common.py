@@ -35,16 +35,26 @@ def utf8(col: Column) -> Column:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, size: str = "8m"):
-    """Arrow batches of about ``size`` for the jobs that run inside, also if the session
-    allows more: rows that hold several whole texts would fill a Python worker."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, size)
+def settings(spark: SparkSession, **values: str):
+    """Session settings for the jobs that run inside; ``__`` stands for a dot."""
+    before = {k: spark.conf.get(k.replace("__", ".")) for k in values}
     try:
+        for k, v in values.items():
+            spark.conf.set(k.replace("__", "."), v)
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.set(k.replace("__", "."), v)
+
+
+def store(df: DataFrame, path: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage and is read many
+    times. Rows that hold several whole texts go to Python in small batches, and shuffle
+    files go when the write is done, as nothing reads them again."""
+    spark = df.sparkSession
+    with settings(spark, spark__sql__execution__arrow__maxBytesPerBatch="8m", spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+        df.write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def steps(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = STEP_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:

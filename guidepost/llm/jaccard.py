@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from guidepost.llm.common import map_text, mix64, small_batches, utf8
+from guidepost.llm.common import map_text, mix64, store, utf8
 from guidepost.operators.graph import components
 from guidepost.session import scratch_path
 
@@ -228,9 +228,7 @@ def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     root = scratch_path(spark, "jaccard")
 
     def stored(df: DataFrame, name: str) -> DataFrame:
-        with small_batches(spark):
-            df.write.parquet(f"{root}/{name}")
-        return spark.read.parquet(f"{root}/{name}")
+        return store(df, f"{root}/{name}")
 
     known = stored(facts(docs, doc_id, text), "facts")
     classes = known.where("n > 0 and doc_id is not null").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("doc"), F.max("sketch").alias("sketch"))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from guidepost.llm.common import crc_mod, map_text, steps, utf8
+from guidepost.llm.common import crc_mod, map_text, steps, store, utf8
 from guidepost.llm.quality_rules import bucket
 from guidepost.session import scratch_path
 
@@ -259,8 +259,7 @@ def score(docs: DataFrame, folds: int = 7, held_fold: int = 2, doc_id: str = "do
     root = scratch_path(spark, "ppm")
 
     def stored(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{root}/{name}")
-        return spark.read.parquet(f"{root}/{name}")
+        return store(df, f"{root}/{name}")
 
     src = docs.select(F.col(doc_id).alias("doc_id"), (crc_mod(F.col(doc_id), folds) == held_fold).alias("held_out"), utf8(F.col(text)).alias("text"))
     counts = stored(counted(src.where("not held_out").select("text")).groupBy("word", "gram").agg(F.sum("n").alias("n")), "counts")
