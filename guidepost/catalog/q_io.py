@@ -106,14 +106,16 @@ def _(spark, sf):
 
 
 @query("s12_json_export", """
-SELECT segment, count(*) AS n_companies, string_agg(name, ',' ORDER BY name) AS names FROM companies GROUP BY 1""")
+SELECT 'node' AS kind, node AS id, type AS label, NULL AS target, NULL::DOUBLE AS weight FROM g_nodes UNION ALL SELECT 'edge', src, NULL, dst, weight FROM g_edges""", rounds="weight")
 def _(spark, sf):
-    """Nested rows written as JSON lines and read back."""
-    c = V.companies(spark, sf).groupBy("segment").agg(F.sort_array(F.collect_list(F.struct("name", "market"))).alias("companies"))
+    """The entity graph as JSON lines, a node or an edge each, written and read back."""
+    from .q_graph import built
+
+    nodes, edges, _m = built(spark, sf)
     path = scratch_path(spark, "export")
-    K.write_json(c, path)
-    back = spark.read.schema("segment string, companies array<struct<market:string,name:string>>").json(path)
-    return back.select("segment", F.size("companies").cast("bigint").alias("n_companies"), F.array_join(F.transform("companies", lambda x: x["name"]), ",").alias("names"))
+    K.write_json(nodes.select(F.lit("node").alias("kind"), F.col("node").alias("id"), F.col("type").alias("label")), f"{path}/nodes")
+    K.write_json(edges.select(F.lit("edge").alias("kind"), F.col("src").alias("id"), F.col("dst").alias("target"), "weight"), f"{path}/edges")
+    return spark.read.schema("kind string, id string, label string, target string, weight double").json([f"{path}/nodes", f"{path}/edges"])
 
 
 _TABLES = ["financial_metric", "GUIDANCE_CLAIM", "risk_flag", "CREDIT_RATING", "RAW_DATA", "mystery"]

@@ -42,7 +42,8 @@ def _(spark, sf):
     return R.cosine_topk_many(e, q, 5)
 
 
-@query("v2_embed")
+@query("v2_embed", """
+SELECT doc_id, lang, 384 AS dim, CASE WHEN regexp_matches(coalesce(text, ''), '[\\p{L}\\p{N}_]') THEN 1.0 ELSE 0.0 END::DOUBLE AS norm FROM documents""")
 def _(spark, sf):
     """Unit vectors of every document; rows, dimension and length are reported."""
     d = R.embed(V.table(spark, sf, "documents").select("doc_id", "lang", "text"), "text")

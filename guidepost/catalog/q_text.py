@@ -8,6 +8,7 @@ from ..functions import values as X
 from ..functions.citations import parse_citation
 from ..operators import joins as J
 from ..operators import text as T
+from ..session import scratch_path
 from ..sources import documents as D
 from . import views as V
 from .registry import query, view
@@ -62,7 +63,13 @@ _CL = CLEAN_SQL.format(c="line")
 
 @query("s4_doc_flatten", f"SELECT doc_id, page_number, paragraph_no, md5(text) AS text_md5, source FROM (SELECT *, {_CL} AS text FROM paras) WHERE {USEFUL_SQL.format(c='text')}")
 def _(spark, sf):
-    return D.flatten_documents(paged(spark, sf)).select("doc_id", "page_number", "paragraph_no", F.md5("text").alias("text_md5"), "source")
+    """Nested documents written as JSON arrays, a bounded number to a file, and read back."""
+    path = scratch_path(spark, "documents-json")
+    one = F.to_json(F.struct(F.col("doc_id").cast("string").alias("source_file"), F.col("source").alias("company_id"), "pages"))
+    files = paged(spark, sf).select(F.floor(F.col("doc_id") / 64).alias("file"), one.alias("doc")).groupBy("file").agg(F.concat(F.lit("["), F.array_join(F.collect_list("doc"), ","), F.lit("]")).alias("value"))
+    files.write.partitionBy("file").text(path)
+    back = D.read_documents_json(spark, path)
+    return back.select(F.col("source_file").cast("long").alias("doc_id"), "page_number", "paragraph_no", F.md5("text").alias("text_md5"), F.col("company_id").alias("source"))
 
 
 @query("s5_turns", f"""
