@@ -353,18 +353,14 @@ def _(spark, sf):
 
 
 @query("x10b_evidence", """
-SELECT company_id, count(*) AS n_citations, string_agg(dimension || ':' || coalesce(document, ''), ';' ORDER BY dimension, document) AS citations
-FROM (SELECT DISTINCT company_id, 'management_truthfulness' AS dimension, source_guidance AS document FROM deviations WHERE confidence_language IN ('will', 'confident', 'expect')
-  UNION ALL SELECT DISTINCT company_id, 'risk_identification', '[' || source_document || ' | p.' || source_page || ' | ' || period || ']' FROM risk_flags
-  UNION ALL SELECT DISTINCT company_id, 'financial_quality', '[' || period || ' | p.? | ' || metric || ']' FROM (SELECT company_id, metric, max_by(period, ord) AS period FROM financials WHERE period_type = 'annual' AND metric IN ('revenue', 'opm', 'operating_profit', 'interest', 'net_profit') GROUP BY 1, 2))
-GROUP BY 1""")
+SELECT DISTINCT company_id, 'management_truthfulness' AS dimension, source_guidance AS document FROM deviations WHERE confidence_language IN ('will', 'confident', 'expect')
+UNION ALL SELECT DISTINCT company_id, 'risk_identification', '[' || source_document || ' | p.' || source_page || ' | ' || period || ']' FROM risk_flags
+UNION ALL SELECT DISTINCT company_id, 'financial_quality', '[' || period || ' | p.? | ' || metric || ']' FROM (SELECT company_id, metric, max_by(period, ord) AS period FROM financials WHERE period_type = 'annual' AND metric IN ('revenue', 'opm', 'operating_profit', 'interest', 'net_profit') GROUP BY 1, 2)""")
 def _(spark, sf):
-    """Citation list per company behind its scores; distinct before the list is built."""
+    """Citations behind a company's scores, a row each."""
     dev = deviations(spark, sf).filter(F.col("confidence_language").isin(S.HARD_WORDS)).select("company_id", F.lit("management_truthfulness").alias("dimension"), F.col("source_guidance").alias("document"))
     risk = V.risk_flags(spark, sf).select("company_id", F.lit("risk_identification").alias("dimension"), S.citation(F.col("source_document"), F.concat(F.lit("p."), F.col("source_page").cast("string")), F.col("period")).alias("document"))
     fin = annual(spark, sf, ["revenue", "opm", "operating_profit", "interest", "net_profit"]).groupBy("company_id", "metric").agg(F.max_by("period", "ord").alias("period"))
     fin = fin.select("company_id", F.lit("financial_quality").alias("dimension"), S.citation(F.col("period"), F.lit("p.?"), F.col("metric")).alias("document"))
     cites = dev.unionByName(risk).unionByName(fin).distinct()
-    return cites.groupBy("company_id").agg(
-        F.count("*").alias("n_citations"),
-        F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "dimension", "document"))), ";").alias("citations"))
+    return cites

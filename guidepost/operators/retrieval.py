@@ -15,7 +15,8 @@ from pyspark.sql import types as T
 from ..functions.values import normalize_whitespace
 from .text import hits
 
-MAX_BROADCAST_QUERIES = 4096
+#: Rows in a block of queries and of the corpus.
+QUERY_BLOCK, CORPUS_BLOCK = 512, 4096
 
 
 def cosine_topk(corpus: DataFrame, vector: str, query: Sequence[float], k: int, ident: str) -> DataFrame:
@@ -34,44 +35,44 @@ def cosine_topk(corpus: DataFrame, vector: str, query: Sequence[float], k: int,
     return scored.orderBy(F.desc("similarity"), ident).limit(k)
 
 
-def cosine_topk_many(corpus: DataFrame, queries: DataFrame, k: int, ident: str = "vec_id", vector: str = "embedding", max_queries: int = MAX_BROADCAST_QUERIES) -> DataFrame:
+def cosine_topk_many(corpus: DataFrame, queries: DataFrame, k: int, ident: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Top ``k`` corpus rows of every query row ``(query_id, vector)``.
 
-    Queries travel to the tasks as one matrix of at most ``max_queries`` rows; more
-    of them are served in further passes over the corpus. Each Arrow batch does
-    one matrix product and returns its own top ``k`` per query, then a limited
-    window merges the batches.
+    Both sides are dealt into blocks of bounded size; each block of queries meets each
+    block of the corpus in one row, as one matrix product that keeps ``k`` rows per
+    query, and a limited window merges the blocks. Nothing passes through the driver.
     """
-    out, block = None, []
-
-    def flush(rows):
-        ids = [r[0] for r in rows]
-        mat = np.asarray([r[1] for r in rows], dtype=float)
-        mat = mat / np.linalg.norm(mat, axis=1, keepdims=True)
-        part = corpus.filter(F.col(vector).isNotNull()).select(F.col(ident).alias("vec_id"), F.col(vector).alias("v")).mapInPandas(_block_topk(ids, mat, k), "query_id long, vec_id long, similarity double")
-        return part if out is None else out.unionByName(part)
-
-    for row in queries.select("query_id", vector).toLocalIterator():
-        block.append((row[0], row[1]))
-        if len(block) == max_queries:
-            out, block = flush(block), []
-    if block:
-        out = flush(block)
+    ids = {"query_id": queries.schema["query_id"].dataType.simpleString(), "vec_id": corpus.schema[ident].dataType.simpleString()}
+    q, n_q = _blocks(queries.select(F.col("query_id").alias("id"), F.col(vector).alias("v")), QUERY_BLOCK, "qs")
+    c, _ = _blocks(corpus.select(F.col(ident).alias("id"), F.col(vector).alias("v")), CORPUS_BLOCK, "cs")
+    met = c.select("cs", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_q - 1).cast("bigint"))).alias("block")).join(q, "block")
+    out = met.select("qs", "cs").mapInPandas(_top_of_blocks(k), f"query_id {ids['query_id']}, vec_id {ids['vec_id']}, similarity double")
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def _block_topk(ids: list[int], mat: np.ndarray, k: int) -> Callable:
+def _blocks(rows: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
+    """(block, array of (id, v)) with about ``size`` rows each, and their number."""
+    rows = rows.filter(F.col("v").isNotNull())
+    n = max(1, -(-rows.count() // size))
+    return rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias("block")).agg(F.collect_list(F.struct("id", "v")).alias(name)), n
+
+
+def _top_of_blocks(k: int) -> Callable:
+    def unit(rows) -> tuple[np.ndarray, np.ndarray]:
+        x = np.stack([np.asarray(r["v"], dtype=float) for r in rows])
+        return np.asarray([r["id"] for r in rows]), x / np.linalg.norm(x, axis=1, keepdims=True)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            if not len(f):
-                continue
-            x = np.stack(f["v"].to_numpy()).astype(float)
-            sim = mat @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
-            keys = f["vec_id"].to_numpy()
-            for i, qid in enumerate(ids):
-                top = np.lexsort((keys, -sim[i]))[:k]
-                yield pd.DataFrame({"query_id": qid, "vec_id": keys[top], "similarity": sim[i][top]})
+            for qs, cs in zip(f["qs"], f["cs"]):
+                (qid, q), (cid, c) = unit(qs), unit(cs)
+                sim = q @ c.T
+                for i in range(len(qid)):
+                    least = np.partition(sim[i], -k)[-k] if k < len(cid) else -np.inf
+                    near = np.flatnonzero(sim[i] >= least)
+                    top = near[np.lexsort((cid[near], -sim[i][near]))[:k]]
+                    yield pd.DataFrame({"query_id": qid[i], "vec_id": cid[top], "similarity": sim[i][top]})
 
     return run
 
