@@ -1,13 +1,13 @@
-"""Graph queries over the transcript statements, and components over document copies."""
+"""Graph queries over the transcript statements: build, look-ups, paths, components, merge."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
 from ..operators import text as T
 from ..session import cut_lineage
+from ..sources import sinks as K
 from . import views as V
 from .q_facts import market_revenue
 from .q_promises import call_text, q
@@ -151,6 +151,19 @@ def _(spark, sf):
     return G.hop_distances(e, start).select("node", "hops", F.size("path").alias("path_nodes"))
 
 
+@query("g8_graph_upsert", """
+SELECT node, type, CAST(count + CASE WHEN length(node) % 3 = 0 THEN 10 ELSE 0 END AS BIGINT) AS count FROM g_nodes UNION ALL SELECT 'COMPANY::NEW', 'COMPANY', 1""")
+def _(spark, sf):
+    """Node table merged by key: newer rows replace, late ones do not, new ones are added."""
+    nodes = built(spark, sf)[0].select("node", "type", F.col("count").cast("bigint").alias("count"))
+    third = F.length("node") % 3
+    newer = nodes.where(third == 0).withColumns({"count": F.col("count") + 10, "version": F.lit(2)})
+    late = nodes.where(third == 1).withColumns({"count": F.lit(-1).cast("bigint"), "version": F.lit(0)})
+    added = spark.range(1).select(F.lit("COMPANY::NEW").alias("node"), F.lit("COMPANY").alias("type"), F.lit(1).cast("bigint").alias("count"), F.lit(1).alias("version"))
+    out = K.upsert(nodes.withColumn("version", F.lit(1)), newer.unionByName(late).unionByName(added), ["node"], ["version"])
+    return out.drop("version")
+
+
 @query("g10_collision", """
 WITH s AS (SELECT company_id, market, revenue / sum(revenue) OVER (PARTITION BY market) * 100 AS share FROM market_revenue)
 SELECT a.market, a.company_id AS left_id, b.company_id AS right_id, a.share + b.share AS combined_share FROM s a JOIN s b ON a.market = b.market AND a.company_id < b.company_id WHERE a.share + b.share >= 2.4""", rounds="combined_share")

@@ -96,3 +96,13 @@ def _(spark, sf):
     latest = spark.read.parquet(f"{path}/v1")
     n = V.table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
     return latest.join(n, ["user_id", "event_type"]).select("user_id", "event_type", "n", "event_id")
+
+
+@query("st5_health", "SELECT count(*) AS input, count(*) FILTER (event_type <> 'error') AS accepted, count(*) FILTER (event_type = 'error') AS dropped FROM events")
+def _(spark, sf):
+    """Counters that arrive with the progress of each micro-batch, added up."""
+    e = stream_of(spark, sf, "events").withColumn("drop_reason", F.when(F.col("event_type") == "error", "error"))
+    q = S.observe_health(e).writeStream.format("noop").option("checkpointLocation", scratch_path(spark, "health-ckpt")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    seen = [p["observedMetrics"]["health"] for p in q.recentProgress if "health" in p["observedMetrics"]]
+    return spark.createDataFrame([tuple(sum(int(m[c]) for m in seen) for c in ("input", "accepted", "dropped"))], "input long, accepted long, dropped long")
