@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from guidepost.llm.common import map_text, utf8
 
 #: Fragments that a task remembers at most.
-CACHE_FRAGMENTS = 400_000
+CACHE_FRAGMENTS = 200_000
 
 
 def byte_alphabet() -> dict[str, int]:

@@ -11,13 +11,12 @@ from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one step inside a task works on; bounds the memory of a task.
-STEP_BYTES = 2_000_000
+STEP_BYTES = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,16 +87,10 @@ def map_text(df: DataFrame, fn: Callable[[pa.RecordBatch, list[bytes]], dict], s
 def text_scores(fn: Callable[[list[bytes]], np.ndarray]):
     """A column function that scores texts, given as bytes, in slices of bounded size."""
 
-    @F.pandas_udf("double")
-    def run(text: pd.Series) -> pd.Series:
-        texts = text.tolist()
-        ends = np.cumsum([len(t) for t in texts])
-        out, lo = [], 0
-        while lo < len(texts):
-            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + STEP_BYTES, side="right")))
-            out.append(fn(texts[lo:hi]))
-            lo = hi
-        return pd.Series(np.concatenate(out) if out else np.empty(0))
+    @F.arrow_udf("double")
+    def run(text: pa.Array) -> pa.Array:
+        out = [fn(texts) for _, texts in steps([pa.RecordBatch.from_arrays([text], names=["text"])])]
+        return pa.array(np.concatenate(out) if out else np.empty(0), pa.float64())
 
     return run
 

@@ -53,7 +53,7 @@ LEAST_SHARED = 62
 #: Shingles in a block, about; each document counts 64 more, so a block has at most some 256.
 BLOCK_SHINGLES = 16_384
 #: Words that a task remembers the hashes of.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 
 class _Hashes(dict):
