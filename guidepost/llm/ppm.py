@@ -10,9 +10,12 @@ never seen share what is left alike. The code length of a document is the sum.
 
 Counting: each task adds up its (context, byte) pairs of full length; shorter contexts
 are sums of these, because every byte has a full context (texts begin with end signs).
-The trie has a capacity: entries whose count is below the least power of two that lets
-``MAX_ENTRIES`` fit are left out at all orders alike, so a shorter context always knows
-what a longer one does. Counts are taken before that, from the whole corpus.
+All contexts of each order are a stored table with their followers (at most 256) and
+the constants that escapes need; no entry is ever left out. The most frequent pairs of
+full length, at most ``MAX_ENTRIES``, travel to the tasks with their final probability.
+All others, and pairs never seen, are looked up through joins, each distinct one once
+per order from the longest context downwards: a key meets at most 256 rows in any of
+these joins. How many pairs travel changes no score.
 
 Beside it stands the add-one unigram score over words, from the counts of all distinct
 words of the corpus. Words above a count that at most ``TOP_WORDS`` reach are looked up
@@ -25,11 +28,12 @@ table gives no rows, an empty training set a uniform model. A null id is in trai
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from guidepost.llm.common import crc_mod, map_text, steps, store, utf8
@@ -37,6 +41,7 @@ from guidepost.llm.quality_rules import bucket
 from guidepost.session import scratch_path
 
 ORDER = 5
+#: Pairs of full length that are looked up in the task; all others through joins.
 MAX_ENTRIES = 2_000_000
 TOP_WORDS = 150_000
 #: Distinct words and pairs that a task gathers before it passes them on.
@@ -119,35 +124,61 @@ def least_count(counts: DataFrame, most: int) -> int:
     return 1
 
 
-class Trie:
-    """Sorted entries of each order with the constants that escapes need."""
+def low_bytes(col: Column, k: int) -> Column:
+    return col.bitwiseAND((1 << (8 * k)) - 1)
 
-    def __init__(self, entries: list[tuple[np.ndarray, np.ndarray]]):
-        self.keys, self.n, self.ctx, self.T, self.D, self.exT, self.exD = [], [], [], [], [], [], []
-        for k, (keys, n) in enumerate(entries):
-            order = np.argsort(keys)
-            keys, n = keys[order].astype(np.uint64), n[order].astype(np.float64)
-            ctx, at = np.unique(keys >> np.uint64(8), return_inverse=True)
-            T, D = np.bincount(at, weights=n, minlength=len(ctx)), np.bincount(at, minlength=len(ctx)).astype(np.float64)
-            exT, exD = np.zeros(max(len(ctx), 1)), np.zeros(max(len(ctx), 1))
-            if k and len(ctx):
-                mask = np.uint64((1 << (8 * k)) - 1)
-                below = np.searchsorted(self.keys[k - 1], keys & mask)
-                taken = np.bincount(at, weights=self.n[k - 1][below], minlength=len(ctx))
-                up = np.searchsorted(self.ctx[k - 1], ctx & (mask >> np.uint64(8)))
-                exT, exD = self.T[k - 1][up] - taken, self.D[k - 1][up] - D
-            for a, x in zip((self.keys, self.n, self.ctx, self.T, self.D, self.exT, self.exD), (keys, n, ctx, T, D, exT, exD)):
-                a.append(x)
-        self._table()
 
-    def _table(self) -> None:
-        """Hash table from the longest entries to their log10 probabilities."""
-        keys = self.keys[ORDER]
+def context_tables(full: DataFrame, stored: Callable[[DataFrame, str], DataFrame]) -> list[DataFrame]:
+    """By order: every context ``ctx`` with its count ``T``, distinct followers ``D`` and
+    their counts ``of``; ``exT`` and ``exD`` are what the next shorter context has left
+    without these followers."""
+    out: list[DataFrame] = []
+    for k in range(ORDER + 1):
+        entries = full.groupBy(low_bytes(F.col("gram"), k + 1).alias("gram")).agg(F.sum("n").alias("n"))
+        follower = F.struct(low_bytes(F.col("gram"), 1).alias("byte"), "n")
+        own = entries.groupBy(F.shiftright("gram", 8).alias("ctx")).agg(F.sum("n").alias("T"), F.count("*").alias("D"), F.map_from_entries(F.collect_list(follower)).alias("of"))
+        if k:
+            up = out[-1].select(F.col("ctx").alias("up"), F.col("T").alias("up_T"), F.col("D").alias("up_D"), F.col("of").alias("up_of"))
+            taken = F.aggregate(F.map_keys("of"), F.lit(0).cast("long"), lambda t, y: t + F.try_element_at("up_of", y))
+            own = own.join(up, low_bytes(F.col("ctx"), k - 1) == F.col("up")).select("ctx", "T", "D", "of", (F.col("up_T") - taken).alias("exT"), (F.col("up_D") - F.col("D")).alias("exD"))
+        out.append(stored(own, f"order{k}"))
+    return out
+
+
+def looked_up(asked: DataFrame, tables: list[DataFrame], stored: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """``gram`` and ``cost``, its log10 probability, of each distinct ``gram`` in ``asked``."""
+    need: list[DataFrame] = []
+    for k in range(ORDER, -1, -1):
+        # pairs that a longer context has not settled, with what their context of this order knows
+        asked = (asked if k == ORDER else need[-1].where("n is null").select(low_bytes(F.col("gram"), k + 1).alias("gram"))).distinct()
+        own = asked.withColumn("ctx", F.shiftright("gram", 8)).join(tables[k], "ctx", "left")
+        own = own.withColumn("n", F.try_element_at("of", low_bytes(F.col("gram"), 1)))
+        need.append(stored(own.drop("ctx", "of"), f"need{k}"))
+    lg, half = F.log10, F.lit(0.5)
+    got = None
+    for k, own in enumerate(reversed(need)):
+        # ``below``: cost in shorter contexts after an escape; ``cost``: all of it
+        if got is None:
+            own = own.withColumn("below", -lg(F.greatest(256 - F.coalesce("D", F.lit(0)), F.lit(1))))
+            unknown = F.col("below")
+        else:
+            down = got.select(F.col("gram").alias("down"), F.col("n").alias("n_down"), F.col("below").alias("below_down"), F.col("cost").alias("cost_down"))
+            own = own.join(down, low_bytes(F.col("gram"), k) == F.col("down"), "left")
+            escape = F.when(F.col("exD") > 0, lg(F.try_divide(half * F.col("exD"), F.col("exT")))).otherwise(0.0)
+            own = own.withColumn("below", F.when(F.col("n_down").isNotNull(), lg(F.try_divide(F.col("n_down") - half, F.col("exT")))).otherwise(escape + F.col("below_down")))
+            unknown = F.col("cost_down")
+        cost = F.when(F.col("T").isNull(), unknown).when(F.col("n").isNotNull(), lg((F.col("n") - half) / F.col("T"))).otherwise(lg(half * F.col("D") / F.col("T")) + F.col("below"))
+        got = stored(own.select("gram", "n", "below", cost.alias("cost")), f"cost{k}")
+    return got.select("gram", "cost")
+
+
+class Top:
+    """Hash table from (context, byte) numbers to their log10 probabilities."""
+
+    def __init__(self, keys: np.ndarray, logp: np.ndarray):
         self.bits = max(4, int(2 * max(len(keys), 1)).bit_length())
         self.slots = np.full(1 << self.bits, np.uint64(1 << 63))
-        self.value = np.zeros(1 << self.bits, np.float32)
-        at = np.searchsorted(self.ctx[ORDER], keys >> np.uint64(8))
-        logp = np.log10((self.n[ORDER] - 0.5) / self.T[ORDER][at]) if len(keys) else np.empty(0)
+        self.value = np.zeros(1 << self.bits)
         left, slot = np.arange(len(keys)), self._slot(keys)
         self.probes = 0
         while len(left):
@@ -164,12 +195,12 @@ class Trie:
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
-    def log10(self, key: np.ndarray) -> np.ndarray:
-        """log10 probability of each (context, byte) number."""
+    def get(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 probability of each number, 0 for those not in the table, and the places of these."""
         slot = self._slot(key)
         hit = self.slots[slot] == key
-        out = self.value[slot].astype(np.float64)
-        left = np.flatnonzero(~hit)
+        out = np.where(hit, self.value[slot], 0.0)
+        left, gone = np.flatnonzero(~hit), []
         for _ in range(self.probes - 1):
             if not len(left):
                 break
@@ -178,12 +209,38 @@ class Trie:
             hit = found == key[left]
             out[left[hit]] = self.value[slot[hit]]
             empty = found == np.uint64(1 << 63)
-            if empty.any():
-                gone = left[empty]
-                out[gone] = self._escaped(key[gone])
+            gone.append(left[empty])
             left = left[~hit & ~empty]
-        if len(left):
-            out[left] = self._escaped(key[left])
+        return out, np.sort(np.concatenate([*gone, left]))
+
+
+class Trie:
+    """The whole model in memory, for tables that fit: sorted entries of each order with
+    the constants that escapes need. Tests hold the joins against it."""
+
+    def __init__(self, entries: list[tuple[np.ndarray, np.ndarray]]):
+        self.keys, self.n, self.ctx, self.T, self.D, self.exT, self.exD = [], [], [], [], [], [], []
+        for k, (keys, n) in enumerate(entries):
+            order = np.argsort(keys)
+            keys, n = keys[order].astype(np.uint64), n[order].astype(np.float64)
+            ctx, at = np.unique(keys >> np.uint64(8), return_inverse=True)
+            T, D = np.bincount(at, weights=n, minlength=len(ctx)), np.bincount(at, minlength=len(ctx)).astype(np.float64)
+            exT, exD = np.zeros(max(len(ctx), 1)), np.zeros(max(len(ctx), 1))
+            if k and len(ctx):
+                mask = np.uint64((1 << (8 * k)) - 1)
+                below = np.searchsorted(self.keys[k - 1], keys & mask)
+                taken = np.bincount(at, weights=self.n[k - 1][below], minlength=len(ctx))
+                up = np.searchsorted(self.ctx[k - 1], ctx & (mask >> np.uint64(8)))
+                exT, exD = self.T[k - 1][up] - taken, self.D[k - 1][up] - D
+            for a, x in zip((self.keys, self.n, self.ctx, self.T, self.D, self.exT, self.exD), (keys, n, ctx, T, D, exT, exD)):
+                a.append(x)
+        at = np.searchsorted(self.ctx[ORDER], self.keys[ORDER] >> np.uint64(8))
+        self.top = Top(self.keys[ORDER], np.log10((self.n[ORDER] - 0.5) / self.T[ORDER][at]) if len(at) else np.empty(0))
+
+    def log10(self, key: np.ndarray) -> np.ndarray:
+        """log10 probability of each (context, byte) number."""
+        out, left = self.top.get(key)
+        out[left] = self._escaped(key[left])
         return out
 
     def _escaped(self, key: np.ndarray) -> np.ndarray:
@@ -220,15 +277,15 @@ class Trie:
 
 
 @lru_cache(maxsize=1)
-def _trie(stamp: str, model: tuple) -> Trie:
-    return Trie(list(model))
+def _top(model: _Model) -> Top:
+    return Top(model.keys, model.logp)
 
 
 class _Model:
-    """Arrays of a trained trie, hashable by a stamp of its own."""
+    """Arrays of a table of pairs, hashable by a stamp of its own."""
 
-    def __init__(self, stamp: str, entries: tuple):
-        self.stamp, self.entries = stamp, entries
+    def __init__(self, stamp: str, keys: np.ndarray, logp: np.ndarray):
+        self.stamp, self.keys, self.logp = stamp, keys, logp
 
     def __hash__(self):
         return hash(self.stamp)
@@ -236,20 +293,26 @@ class _Model:
     def __eq__(self, other):
         return self.stamp == other.stamp
 
-    def __iter__(self):
-        return iter(self.entries)
+
+def most_frequent(longest: DataFrame, stamp: str) -> _Model:
+    """Pairs of full length with their log10 probabilities, at most ``MAX_ENTRIES``."""
+    pairs = longest.select("ctx", "T", F.explode("of").alias("byte", "n"))
+    top = pairs.where(F.col("n") >= least_count(pairs, MAX_ENTRIES))
+    got = top.select((F.col("ctx") * 256 + F.col("byte")).alias("gram"), F.log10((F.col("n") - F.lit(0.5)) / F.col("T")).alias("logp")).toArrow()
+    return _Model(stamp, got.column("gram").to_numpy().astype(np.uint64), got.column("logp").to_numpy())
 
 
-def train(counts: DataFrame, stamp: str) -> _Model:
-    """The trie's entries by order, at most ``MAX_ENTRIES`` in all."""
-    full = counts.where("gram is not null")
-    by_order = [full.groupBy(F.lit(k).alias("k"), F.col("gram").bitwiseAND((1 << (8 * (k + 1))) - 1).alias("gram")).agg(F.sum("n").alias("n")) for k in range(ORDER)]
-    every = full.select(F.lit(ORDER).alias("k"), "gram", "n")
-    for e in by_order:
-        every = every.unionByName(e)
-    got = every.where(F.col("n") >= least_count(every, MAX_ENTRIES)).toArrow()
-    k, gram, n = (got.column(c).to_numpy() for c in ("k", "gram", "n"))
-    return _Model(stamp, tuple((gram[k == i].astype(np.uint64), n[k == i]) for i in range(ORDER + 1)))
+def missed(key: np.ndarray, n: np.ndarray, at: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """For each line the distinct numbers of ``key`` at the places ``at``, and how often each."""
+    line = np.repeat(np.arange(len(n)), n)[at]
+    order = np.lexsort((key[at], line))
+    line, own = line[order], key[at][order]
+    new = np.ones(len(own), bool)
+    new[1:] = (own[1:] != own[:-1]) | (line[1:] != line[:-1])
+    first = np.flatnonzero(new)
+    ends = pa.array(np.searchsorted(line[first], np.arange(len(n) + 1)).astype(np.int32))
+    times = np.diff(np.append(first, len(own)))
+    return tuple(pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int64))) for x in (own[first], times))
 
 
 def score(docs: DataFrame, folds: int = 7, held_fold: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -269,10 +332,10 @@ def score(docs: DataFrame, folds: int = 7, held_fold: int = 2, doc_id: str = "do
     bound = least_count(words, TOP_WORDS)
     top = words.where(F.col("n") >= bound).toArrow()
     part = {w: np.log10((n + 1) / (N + V + 1)) for w, n in zip(top.column("word").to_pylist(), top.column("n").to_pylist())}
-    model = train(counts, root)
+    tables = context_tables(counts.where("gram is not null").select("gram", "n"), stored)
+    model = most_frequent(tables[ORDER], root)
 
     def work(rows, texts):
-        trie = _trie(model.stamp, model)
         lines, known, base, rare = [], [], [], []
         for t in texts:
             w = read(t)
@@ -283,24 +346,29 @@ def score(docs: DataFrame, folds: int = 7, held_fold: int = 2, doc_id: str = "do
             base.append(float(sum(found)))
             rare.append([x for x in w if x not in part] if len(found) < len(w) else [])
         key, n = grams(lines)
-        cost = np.add.reduceat(trie.log10(key), np.cumsum(n) - n)
+        logp, others = _top(model).get(key)
+        cost = np.add.reduceat(logp, np.cumsum(n) - n)
+        gram, times = missed(key, n, others)
         return {
             "doc_id": rows.column("doc_id"), "held_out": rows.column("held_out"), "n_tokens": np.array([k + len(r) for k, r in zip(known, rare)], np.int64),
-            "n_top": np.array(known, np.int64), "base_top": np.array(base), "score": cost, "rare": pa.array(rare, pa.list_(pa.binary())),
+            "n_top": np.array(known, np.int64), "base_top": np.array(base), "cost_top": cost, "rare": pa.array(rare, pa.list_(pa.binary())), "gram": gram, "times": times,
         }
 
     kind = src.schema["doc_id"].dataType.simpleString()
-    first = map_text(src, work, f"doc_id {kind}, held_out boolean, n_tokens long, n_top long, base_top double, score double, rare array<binary>")
+    first = map_text(src, work, f"doc_id {kind}, held_out boolean, n_tokens long, n_top long, base_top double, cost_top double, rare array<binary>, gram array<long>, times array<long>")
     first = stored(first.withColumn("row", F.monotonically_increasing_id()), "first")
     asked = first.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("tf"))
     less = asked.join(words.where(F.col("n") < bound), "word", "left")
     c = F.coalesce(F.col("n"), F.lit(0))
     rest = less.groupBy("row").agg(F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("n_rare"), F.sum(F.col("tf") * F.log10((c + 1) / F.lit(float(N + V + 1)))).alias("base_rare"))
-    got = first.drop("rare").join(rest, "row", "left")
+    pairs = first.select("row", F.explode(F.arrays_zip("gram", "times")).alias("p")).select("row", "p.gram", "p.times")
+    found = looked_up(pairs.select("gram"), tables, stored)
+    more = pairs.join(found, "gram").groupBy("row").agg(F.sum(F.col("times") * F.col("cost")).alias("cost_rare"))
+    got = first.drop("rare", "gram", "times").join(rest, "row", "left").join(more, "row", "left")
     return got.select(
         "doc_id", "held_out", "n_tokens",
         (F.col("n_top") + F.coalesce("n_rare", F.lit(0))).alias("n_known"),
         F.lit(int(N)).cast("long").alias("train_tokens"),
         (F.col("base_top") + F.coalesce("base_rare", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("cost_top") + F.coalesce("cost_rare", F.lit(0.0))).alias("score"),
     )

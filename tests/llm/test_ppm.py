@@ -75,6 +75,18 @@ def test_small_capacity_keeps_contexts_nested(spark, monkeypatch):
     assert all(math.isfinite(x.score) and x.score < 0 for x in got)
 
 
+@pytest.mark.parametrize("most", [0, 60])
+def test_no_entry_is_cut(spark, monkeypatch, most):
+    monkeypatch.setattr(ppm, "MAX_ENTRIES", most)
+    r = random.Random(9)
+    rows = [(i, " ".join(r.choice(["the", "of", "thé", f"n{r.randint(0, 99)}"]) for _ in range(r.randint(0, 12)))) for i in range(80)] + [(500, None), (501, "Ж seen once"), (502, "zq" * 40)]
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    got = {x.doc_id: x.score for x in ppm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute([t for i, t in rows if not held(i)], [t for _, t in rows])
+    for (i, _), w in zip(rows, want):
+        assert got[i] == pytest.approx(w[-1], rel=1e-6)
+
+
 def test_odd_rows(odd_docs, no_docs):
     got = ppm.score(odd_docs).collect()
     assert len(got) == odd_docs.count() and all(math.isfinite(x.score) for x in got)
