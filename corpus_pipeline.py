@@ -33,11 +33,14 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each component of near duplicates; of rows
-    that repeat an id one, the smallest; rows without an id all."""
-    comp = jaccard.join_components(docs)
-    stay = comp.where("doc_id = component_id").select("doc_id").distinct()
+    that repeat an id and its text one, those with other texts by their own components;
+    rows without an id all."""
+    comp = jaccard.row_components(docs).where("doc_id is not null")
+    stay = comp.where("first is null or first = struct(doc_id, t1, t2)").select("doc_id", "t1", "t2").distinct()
+    key = ["doc_id", "t1", "t2"]
     rest = [c for c in docs.columns if c != "doc_id"]
-    once = docs.join(stay, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("r")).select("doc_id", *[F.col("r")[c].alias(c) for c in rest])
+    row = docs.select("doc_id", F.struct(*rest).alias("r"), *[h.alias(c) for c, h in jaccard.text_digest(F.col("text")).items()])
+    once = row.join(stay, key, "left_semi").groupBy(*key).agg(F.min("r").alias("r")).select("doc_id", *[F.col("r")[c].alias(c) for c in rest])
     return once.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 

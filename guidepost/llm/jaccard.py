@@ -4,7 +4,8 @@ A document's set holds its distinct five-word shingles (words lower-cased A-Z on
 fewer words the whole sequence is the one shingle), as 64-bit hashes. Documents link
 when 100 * intersection >= 75 * union.
 
-Documents of equal sets form one class; its smallest id stands for it from there on.
+Documents of equal sets form one class, which has a number of its own from there on;
+only at the end classes become ids again, so texts that share an id stay apart.
 Each set is sketched by its ``SKETCH`` smallest hashes, the whole set if it has no more.
 Linked sets share at least ``shared(n)`` hashes of their sketches: for whole sets by
 arithmetic, beyond that but for a chance under 4e-11 for a pair right at the threshold,
@@ -29,8 +30,8 @@ many documents come last and fall away.
 
 A group of near copies so costs one comparison a document; those its pivot does not link
 meet the others block by block, never as rows of pairs. Null, empty and white-space
-texts have empty sets and link with nothing; rows that repeat an id or a text are in one
-class; an empty table gives no rows; a null id never labels a component unless all of its
+texts have empty sets and link with nothing; rows that repeat a text are in one class,
+rows that repeat an id are judged by their own texts each; an empty table gives no rows; a null id never labels a component unless all of its
 documents have none.
 """
 
@@ -95,9 +96,15 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     return out
 
 
+def text_digest(text: Column) -> dict[str, Column]:
+    """Two hashes of the whole text, which tell rows of one id apart."""
+    return {"t1": F.xxhash64(utf8(text)), "t2": F.xxhash64(F.lit("second"), utf8(text))}
+
+
 def facts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id``, set size ``n``, a 128-bit digest ``h1``, ``h2`` of the set, ``sketch``."""
-    src = docs.select(F.col(doc_id).alias("doc_id"), utf8(F.col(text)).alias("text"))
+    """``doc_id``, ``t1`` and ``t2`` of the text, set size ``n``, a 128-bit digest ``h1``,
+    ``h2`` of the set, ``sketch``."""
+    src = docs.select(F.col(doc_id).alias("doc_id"), utf8(F.col(text)).alias("text")).withColumns(text_digest(F.col("text")))
 
     def work(rows, texts):
         sets = shingle_sets(texts)
@@ -108,13 +115,15 @@ def facts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
         flat = np.concatenate(parts) if parts else np.empty(0, np.uint64)
         return {
             "doc_id": rows.column("doc_id"),
+            "t1": rows.column("t1"),
+            "t2": rows.column("t2"),
             "n": np.array([len(s) for s in sets], np.int64),
             "h1": digest[:, 0].copy(),
             "h2": digest[:, 1].copy(),
             "sketch": pa.ListArray.from_arrays(pa.array(at), pa.array(flat.view(np.int64))),
         }
 
-    return map_text(src, work, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, n long, h1 long, h2 long, sketch array<long>")
+    return map_text(src, work, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, t1 long, t2 long, n long, h1 long, h2 long, sketch array<long>")
 
 
 def shared(n: Column) -> Column:
@@ -224,6 +233,13 @@ def labelled(docs: DataFrame, links: DataFrame) -> DataFrame:
 
 def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` of every row."""
+    return row_components(docs, doc_id, text).select("doc_id", "n_shingles", "component_id")
+
+
+def row_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``join_components`` with the digest ``t1``, ``t2`` of each row's text and in ``first``
+    the (doc_id, t1, t2) that stands for its component: the smallest. Null for rows that
+    are in none."""
     spark = docs.sparkSession
     root = scratch_path(spark, "jaccard")
 
@@ -231,12 +247,12 @@ def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         return store(df, f"{root}/{name}")
 
     known = stored(facts(docs, doc_id, text), "facts")
-    classes = known.where("n > 0 and doc_id is not null").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("doc"), F.max("sketch").alias("sketch"))
-    reps = stored(classes, "reps")
+    classes = known.where("n > 0 and doc_id is not null").groupBy("h1", "h2", "n").agg(F.min(F.struct("doc_id", "t1", "t2")).alias("row"), F.max("sketch").alias("sketch"))
+    reps = stored(classes.withColumn("doc", F.monotonically_increasing_id()), "reps")  # numbers hold once written
     tokens = stored(rare_hashes(reps), "tokens")
-    ids = tokens.select("doc").distinct()
-    own = docs.select(F.col(doc_id).alias("doc"), utf8(F.col(text)).alias("text")).where("doc is not null")
-    texts = stored(one_text(own.join(ids, "doc", "left_semi")), "texts")
+    ids = tokens.select("doc").distinct().join(reps, "doc").select("doc", "row.*")
+    own = docs.select(F.col(doc_id).alias("doc_id"), utf8(F.col(text)).alias("text")).where("doc_id is not null").withColumns(text_digest(F.col("text")))
+    texts = stored(one_text(own.join(ids, ["doc_id", "t1", "t2"])), "texts")
 
     # 1. groups around the most typical document of each hash
     best = tokens.groupBy("token").agg(F.min(F.struct("alone", "doc", "n")).alias("best"), F.count("*").alias("df")).where("df > 1")
@@ -271,11 +287,13 @@ def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     second = matrix_links(pairs, blocks)
     links = stored(first.unionByName(second), "links")
     comp = labelled(grouped.select("doc"), links)
-    of_class = reps.select("h1", "h2", "n", "doc").join(comp, "doc", "left").select("h1", "h2", "n", F.coalesce("group", "doc").alias("component"))
-    out = known.select("doc_id", "n", "h1", "h2").join(of_class, ["h1", "h2", "n"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    of_class = reps.select("h1", "h2", "n", "row", "doc").join(comp, "doc", "left").withColumn("group", F.coalesce("group", "doc"))
+    firsts = of_class.groupBy("group").agg(F.min("row").alias("first"))
+    of_class = of_class.select("h1", "h2", "n", "group").join(firsts, "group").drop("group")
+    out = known.select("doc_id", "t1", "t2", "n", "h1", "h2").join(of_class, ["h1", "h2", "n"], "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("first.doc_id", "doc_id").alias("component_id"), "t1", "t2", "first")
 
 
 def one_text(texts: DataFrame) -> DataFrame:
-    """One text for each id, the smallest where ids repeat with other texts."""
+    """One text for each class; rows that repeat have equal ones."""
     return texts.groupBy("doc").agg(F.min("text").alias("text"))

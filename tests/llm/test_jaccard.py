@@ -63,6 +63,17 @@ def test_threshold_is_exact(spark):
     check(spark, rows)
 
 
+def test_one_id_on_two_texts(spark):
+    import corpus_pipeline as P
+
+    x, y = (" ".join(f"{c}{i}" for i in range(40)) for c in "xy")
+    rows = [(7, x), (7, y), (7, y), (8, x + " more"), (9, y + " more")]
+    got = jaccard.join_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(tuple(r) for r in got) == [(7, 36, 7), (7, 36, 7), (7, 36, 7), (8, 37, 7), (9, 37, 7)]
+    full = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted((r.doc_id, r.text) for r in P.one_of_each_group(spark, full, "").collect()) == [(7, x), (7, y)]
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     got = jaccard.join_components(odd_docs).collect()
     assert len(got) == odd_docs.count()
