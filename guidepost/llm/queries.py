@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from guidepost.llm import bpe, chat, embedding_dedup, jaccard, mixing, ppm, quality_classifier, quality_rules, token_counts, toxicity
+from guidepost.llm import bpe, centroid_clustering, chat, embedding_dedup, jaccard, mixing, ppm, quality_classifier, quality_rules, token_counts, toxicity, vector_codes, warc
 from guidepost.llm.common import crc_mod, table, utf8
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -230,3 +230,103 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     edits = F.array(edit(1, n / 3, n / 3 + 12, head), edit(2, n * 2 / 3, n * 2 / 3 + 30, F.lit(b"")), edit(3, n + 20, n + 20, head))
     got = token_counts.recount_inline(table(spark, sf_dir, "documents"), byte_bpe_path(), edits)
     return got.select("doc_id", "n_before", "n_after", "n_bytes", "n_encoded", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
+
+
+@query
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records in ZIP archives and read back by ranges."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+ORACLES["op11_warc"] = """
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS b FROM pages
+), f AS (
+  SELECT page_id, octet_length(b) AS n, sha256(b) AS digest, min(page_id) OVER (PARTITION BY sha256(b)) AS first FROM p
+), r AS (
+  SELECT *, coalesce(n >= 100 AND first IS DISTINCT FROM page_id AND first IS NOT NULL, false) AS again FROM f
+)
+SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
+  CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first END AS refers_to
+FROM r
+"""
+
+
+@query
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors in sixteen clusters, found by Orchard's search."""
+    return centroid_clustering.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def _whole_sql(scale: int, where: str, columns: str) -> str:
+    """``kept``: usable rows with whole components ``x``, numbered by ``row``."""
+    return f"""raw AS (
+  SELECT {columns}, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+), fine AS (
+  SELECT * FROM raw WHERE len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, {columns}, list_transform(v, lambda x: floor(least(greatest({scale} * x, -33554432.0), 33554432.0))::BIGINT) AS x FROM fine {where}
+)"""
+
+
+def _rounds_sql(rounds: int, part: bool) -> str:
+    """Assign and move in turn. ``px`` has (row, part, pos, x), ``c0`` (c, part, pos, x);
+    ``part`` only where vectors are cut into parts."""
+    key = "part, " if part else ""
+    p, c = ("p.part, ", "c.part, ") if part else ("", "")
+    both = lambda x, y: f" AND {x}.part = {y}.part" if part else ""
+    out = []
+    for r in range(rounds + 1):
+        out.append(f"""d{r} AS (
+  SELECT p.row, {p}c.c, sum((p.x - c.x) * (p.x - c.x)) AS d FROM px p JOIN c{r} c ON p.pos = c.pos{both('p', 'c')} GROUP BY ALL
+), a{r} AS MATERIALIZED (
+  SELECT row, {key}c, d FROM d{r} QUALIFY row_number() OVER (PARTITION BY {key}row ORDER BY d, c) = 1
+)""")
+        if r < rounds:
+            out.append(f"""m{r} AS (
+  SELECT a.c, {p}p.pos, sum(p.x) AS s, count(*) AS n FROM px p JOIN a{r} a ON a.row = p.row{both('a', 'p')} GROUP BY ALL
+), c{r + 1} AS MATERIALIZED (
+  SELECT c.c, {c}c.pos, coalesce((m.s - ((m.s % m.n) + m.n) % m.n) // m.n, c.x)::BIGINT AS x
+  FROM c{r} c LEFT JOIN m{r} m ON m.c = c.c AND m.pos = c.pos{both('m', 'c')}
+)""")
+    return ",\n".join(out)
+
+
+ORACLES["op12_centroids"] = f"""
+WITH {_whole_sql(64, "WHERE len(v) = 64", "vec_id")}, start AS (
+  SELECT row, row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, x) - 1 AS c FROM kept QUALIFY c < 16
+), px AS MATERIALIZED (
+  SELECT row, unnest(range(64)) AS pos, unnest(x) AS x FROM kept
+), c0 AS MATERIALIZED (
+  SELECT s.c, p.pos, p.x FROM start s JOIN px p ON p.row = s.row
+), {_rounds_sql(3, False)}, sums AS (
+  SELECT c, least(sum(d), 9223372036854775807)::BIGINT AS cluster_inertia, least(sum(sum(d)) OVER (), 9223372036854775807)::BIGINT AS inertia FROM a3 GROUP BY c
+), digest AS (
+  SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY pos)) AS centroid_sha256 FROM c3 GROUP BY c
+)
+SELECT k.vec_id, a.c::INT AS cluster, a.d::BIGINT AS distance, cluster_inertia, inertia, centroid_sha256
+FROM kept k JOIN a3 a ON a.row = k.row JOIN sums USING (c) JOIN digest USING (c)
+"""
+
+
+@query
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight-part codes of all vectors, refined under adaptive distance bounds."""
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op13_vector_codes"] = f"""
+WITH {_whole_sql(4096, "WHERE len(v) = (SELECT len(v) FROM fine WHERE len(v) % 8 = 0 GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)", "vec_id, label")}, start AS (
+  SELECT row, row_number() OVER (ORDER BY vec_id NULLS LAST, x) - 1 AS c FROM kept QUALIFY c < 16
+), px AS MATERIALIZED (
+  SELECT row, i * 8 // n AS part, i % (n // 8) AS pos, x FROM (SELECT row, len(x) AS n, unnest(range(len(x))) AS i, unnest(x) AS x FROM kept)
+), c0 AS MATERIALIZED (
+  SELECT s.c, p.part, p.pos, p.x FROM start s JOIN px p ON p.row = s.row
+), {_rounds_sql(6, True)}, coded AS (
+  SELECT row, string_agg(printf('%02x', c::INT), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a6 GROUP BY row
+), digest AS (
+  SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY part, c, pos)) AS codebooks_sha256 FROM c6
+)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256
+FROM kept JOIN coded USING (row), digest
+"""
