@@ -9,6 +9,7 @@ from ..session import scratch_path
 from ..sources import documents as D
 from ..sources import sinks as K
 from ..sources import statements as ST
+from ..sources.tables import KeyedTable
 from . import views as V
 from .q_scoring import annual
 from .q_text import chunks
@@ -77,13 +78,17 @@ view("raw_scores", "SELECT company_id, period, metric, value, 0 AS version FROM
 SELECT company_id, period, CASE WHEN (skey + fy) % 3 = 0 THEN value + 2 ELSE value END AS value, CAST(CASE WHEN (skey + fy) % 3 = 0 THEN 2 ELSE 0 END AS INT) AS version FROM financials WHERE period_type = 'annual' AND metric = 'opm'
 UNION ALL SELECT company_id, 'ALL', 1.0::DOUBLE, 1 FROM companies""")
 def _(spark, sf):
-    """Every third key is updated twice, and one new key per company is added."""
+    """Every third key is updated twice, and one new key per company is added: a second
+    batch into a keyed table."""
     f = annual(spark, sf, ["opm"])
     target = f.select("company_id", "period", "value", F.lit(0).alias("version"))
     third = f.filter((F.col("skey") + F.col("fy")) % 3 == 0)
     up = third.select("company_id", "period", F.explode(F.array(F.lit(1), F.lit(2))).alias("version"), "value").select("company_id", "period", (F.col("value") + F.col("version")).alias("value"), "version")
     new = V.companies(spark, sf).select("company_id", F.lit("ALL").alias("period"), F.lit(1.0).alias("value"), F.lit(1).alias("version"))
-    return K.upsert(target, up.unionByName(new), ["company_id", "period"], ["version"])
+    table = KeyedTable(spark, scratch_path(spark, "scores"), ["company_id", "period"], 16)
+    table.upsert(target)
+    table.upsert(up.unionByName(new), ["version"])
+    return table.read().select("company_id", "period", "value", "version")
 
 
 @query("s10_replace_partition", "SELECT strftime(ts, '%Y-%m-%d') AS day, CASE WHEN day(ts) % 2 = 0 THEN 'second' ELSE 'first' END AS load, count(*) AS n FROM events GROUP BY ALL")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from ..sources.documents import visible_text
+from ..sources.tables import KeyedTable
 from ..streaming import jobs as S
 from . import views as V
 from .registry import query, view
@@ -38,17 +39,25 @@ def _(spark, sf):
     return S.meter_batch(e, "user_id", "minute", ["ts", "event_id"])
 
 
-@query("st3_meter_stream", _METER)
-def _(spark, sf):
-    """Stateful stream form; the last update of each user is the final meter."""
-    path = scratch_path(spark, "meter")
-    out = S.meter_stream(flagged(stream_of(spark, sf, "events")), "user_id", "ts", "event_id")
+def in_parts(spark, df, part, n, name):
+    """Write the rows of each ``part`` 0 to ``n - 1`` in turn and give the stream over all
+    that has arrived, so that each is drained as batches of its own."""
+    src = scratch_path(spark, name)
+    for i in range(n):
+        df.where(part == i).write.parquet(f"{src}/p={i}")
+        yield spark.readStream.schema(df.schema).option("recursiveFileLookup", True).parquet(src)
 
-    def keep(batch, batch_id):
-        batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/b={batch_id}")
 
-    S.drain(out.writeStream.outputMode("update").foreachBatch(keep), spark, "meter-ckpt")
-    return spark.read.parquet(path).groupBy("user_id").agg(F.max_by(F.struct("meter", "misses", "beats"), "batch").alias("r")).select("user_id", "r.*")
+@query("st3_meter_stream", _METER)
+def _(spark, sf):
+    """Stream form over a keyed table; the events arrive in three batches, by time."""
+    e = flagged(V.table(spark, sf, "events")).withColumn("ts", F.col("ts").cast("timestamp"))
+    at = e.agg(F.percentile_approx("ts", [1 / 3, 2 / 3]).alias("q")).first()["q"] or [None, None]
+    part = F.when(F.col("ts") <= F.lit(at[0]), 0).when(F.col("ts") <= F.lit(at[1]), 1).otherwise(2)
+    table, ckpt = KeyedTable(spark, scratch_path(spark, "meter"), ["user_id"], 16), scratch_path(spark, "meter-ckpt")
+    for stream in in_parts(spark, e, part, 3, "meter-src"):
+        S.drain(S.meter_stream(stream, table, ["ts", "event_id"]), ckpt)
+    return table.read().select("user_id", "meter", "misses", "beats")
 
 
 @query("st1_stream_dedup", """
@@ -64,45 +73,45 @@ def _(spark, sf):
 @query("st2_page_change", "SELECT url, 1::INT AS batch_id FROM (SELECT url, arg_max(page_id, page_id) AS page_id FROM pages GROUP BY 1) WHERE page_id % 3 = 0")
 def _(spark, sf):
     """Two snapshots of the pages arrive one after the other; edited pages are reported."""
-    src, state, out = (scratch_path(spark, n) for n in ("pages-src", "pages-state", "pages-out"))
     p = V.table(spark, sf, "pages").select("page_id", "url", visible_text(F.col("html"), None).alias("page_text"))
-    edited = p.withColumn("page_text", F.when(F.col("page_id") % 3 == 0, F.concat("page_text", F.lit(" updated"))).otherwise(F.col("page_text")))
-    p.write.parquet(f"{src}/s=0")
-    ckpt = scratch_path(spark, "pages-ckpt")
-    reader = spark.readStream.schema(p.schema).option("recursiveFileLookup", True)
-    for i, snap in enumerate((None, edited)):
-        if snap is not None:
-            snap.write.parquet(f"{src}/s={i}")
-        w = S.page_changes(reader.parquet(src), state, out)
-        w.option("checkpointLocation", ckpt).trigger(availableNow=True).start().awaitTermination()
+    edited = F.when(F.col("page_id") % 3 == 0, F.concat("page_text", F.lit(" updated"))).otherwise(F.col("page_text"))
+    both = p.withColumn("snap", F.lit(0)).unionByName(p.withColumns({"page_text": edited, "snap": F.lit(1)}))
+    table, out, ckpt = KeyedTable(spark, scratch_path(spark, "pages"), ["url"], 16), scratch_path(spark, "pages-out"), scratch_path(spark, "pages-ckpt")
+    for stream in in_parts(spark, both, F.col("snap"), 2, "pages-src"):
+        S.drain(S.page_changes(stream, table, out), ckpt)
     return spark.read.schema("url string, prev_hash string, cur_hash string, batch_id int").option("recursiveFileLookup", True).parquet(out).select("url", "batch_id")
 
 
 @query("st4_event_upsert", "SELECT user_id, event_type, count(*) AS n, max_by(event_id, ts) AS event_id FROM events GROUP BY ALL")
 def _(spark, sf):
-    """Latest event per (user, type) through a versioned table, one version per batch.
+    """Latest event per (user, type) through a keyed table, one version per batch.
 
     The events arrive in two batches, odd ids after even ones, so each batch also
     brings events older than the stored ones.
     """
-    path, src = scratch_path(spark, "upsert"), scratch_path(spark, "upsert-src")
     e = V.table(spark, sf, "events").select("user_id", "event_type", "event_id", F.col("ts").cast("timestamp").alias("ts"))
-    ckpt = scratch_path(spark, "upsert-ckpt")
-    reader = spark.readStream.schema(e.schema).option("recursiveFileLookup", True)
-    for odd in (0, 1):
-        e.where(F.col("event_id") % 2 == odd).write.parquet(f"{src}/odd={odd}")
-        w = S.upsert_stream(reader.parquet(src), path, ["user_id", "event_type"], ["ts", "event_id"])
-        w.option("checkpointLocation", ckpt).trigger(availableNow=True).start().awaitTermination()
-    latest = spark.read.parquet(f"{path}/v1")
+    table, ckpt = KeyedTable(spark, scratch_path(spark, "upsert"), ["user_id", "event_type"], 16), scratch_path(spark, "upsert-ckpt")
+    for stream in in_parts(spark, e, F.col("event_id") % 2, 2, "upsert-src"):
+        S.drain(S.upsert_stream(stream, table, ["ts", "event_id"]), ckpt)
     n = V.table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
-    return latest.join(n, ["user_id", "event_type"]).select("user_id", "event_type", "n", "event_id")
+    return table.read().join(n, ["user_id", "event_type"]).select("user_id", "event_type", "n", "event_id")
 
 
 @query("st5_health", "SELECT count(*) AS input, count(*) FILTER (event_type <> 'error') AS accepted, count(*) FILTER (event_type = 'error') AS dropped FROM events")
 def _(spark, sf):
-    """Counters that arrive with the progress of each micro-batch, added up."""
-    e = stream_of(spark, sf, "events").withColumn("drop_reason", F.when(F.col("event_type") == "error", "error"))
-    q = S.observe_health(e).writeStream.format("noop").option("checkpointLocation", scratch_path(spark, "health-ckpt")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    seen = [p["observedMetrics"]["health"] for p in q.recentProgress if "health" in p["observedMetrics"]]
-    return spark.createDataFrame([tuple(sum(int(m[c]) for m in seen) for c in ("input", "accepted", "dropped"))], "input long, accepted long, dropped long")
+    """Counters of each micro-batch, written to a table by a listener and added up."""
+    e = V.table(spark, sf, "events").select("event_id", "event_type")
+    src, path = scratch_path(spark, "health-src"), scratch_path(spark, "health")
+    e.repartition(6, "event_id").write.parquet(src)
+    listener = S.HealthListener(spark, path)
+    spark.streams.addListener(listener)
+    try:
+        stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 2).parquet(src)
+        tagged = stream.withColumn("drop_reason", F.when(F.col("event_type") == "error", "error"))
+        q = S.observe_health(tagged).writeStream.format("noop").option("checkpointLocation", scratch_path(spark, "health-ckpt")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        if not listener.wait(q.runId):
+            raise TimeoutError("the counters of the run did not arrive")
+    finally:
+        spark.streams.removeListener(listener)
+    return S.health_totals(spark, path).groupBy().pivot("counter", ["input", "accepted", "dropped"]).agg(F.first("n"))
