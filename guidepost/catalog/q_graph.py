@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
 from ..operators import text as T
-from ..session import cut_lineage
+from ..session import cut_lineage, scratch_path
 from ..sources import sinks as K
 from . import views as V
 from .q_facts import market_revenue
@@ -43,6 +46,24 @@ def built(spark, sf):
     return G.build_graph(call_text(spark, sf), "chunk_id", DICTS, recency_table=RECENT)
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def loaded(spark, sf):
+    """(nodes, edges, members, contexts) of the graph as tables in the shared folder, built
+    by the first look-up of a session, as a user loads a graph once and asks it many times."""
+    key = (spark.sparkContext.applicationId, sf)
+    names = ("nodes", "edges", "members", "contexts")
+    if key not in _STORED:
+        root = scratch_path(spark, "graph")
+        tagged = G.entities(call_text(spark, sf), DICTS)
+        contexts = G.edge_contexts(G.cooccurrences(tagged.select("chunk_id", "text", "entities"), "chunk_id"), "chunk_id", "text")
+        for name, df in zip(names, (*built(spark, sf), contexts)):
+            df.write.parquet(f"{root}/{name}")
+        _STORED[key] = root
+    return tuple(spark.read.parquet(f"{_STORED[key]}/{n}") for n in names)
+
+
 @query("j9_cooccur", "SELECT src, dst, count(*) AS n FROM g_pairs GROUP BY 1, 2")
 def _(spark, sf):
     t = G.entities(call_text(spark, sf), DICTS)
@@ -79,31 +100,31 @@ def _(spark, sf):
 @query("g2_profile", """
 SELECT m.company, n.type, n.label, n.count AS mentions, CAST(row_number() OVER (PARTITION BY m.company, n.type ORDER BY n.count DESC, n.node) AS INT) AS rank FROM (SELECT DISTINCT node, company FROM mentions) m JOIN g_nodes n USING (node) WHERE n.type <> 'COMPANY'""")
 def _(spark, sf):
-    nodes, _e, members = built(spark, sf)
+    nodes, _e, members, _c = loaded(spark, sf)
     return G.profile(nodes, members)
 
 
 @query("g3_topic_leaders", "SELECT src AS topic, string_split(dst, '::')[2] AS company, weight, count FROM g_both WHERE src = 'TOPIC::margin' AND starts_with(dst, 'COMPANY::')", rounds="weight")
 def _(spark, sf):
-    nodes, edges, _m = built(spark, sf)
+    nodes, edges, _m, _c = loaded(spark, sf)
     return G.topic_leaders(nodes, edges, "Marg")
 
 
 @query("k2_top_degree", "SELECT src AS node, count(*) AS degree FROM g_both GROUP BY 1 ORDER BY degree DESC, node LIMIT 15")
 def _(spark, sf):
-    return G.degrees(built(spark, sf)[1]).orderBy(F.desc("degree"), "node").limit(15)
+    return G.degrees(loaded(spark, sf)[1]).orderBy(F.desc("degree"), "node").limit(15)
 
 
 @query("k3_tier_search", "SELECT node, count, CASE WHEN lower(label) = 'fy0' THEN 3 WHEN starts_with(lower(label), 'fy0') THEN 2 ELSE 1 END AS relevance FROM g_nodes WHERE contains(lower(label), 'fy0') ORDER BY relevance DESC, count DESC, node LIMIT 50")
 def _(spark, sf):
-    nodes, _e, _m = built(spark, sf)
+    nodes, _e, _m, _c = loaded(spark, sf)
     return G.tier_search(nodes, "FY0").select("node", "count", "relevance")
 
 
 @query("j14_array_contains", "SELECT company, count(*) AS n_nodes, sum(count)::BIGINT AS mentions FROM (SELECT DISTINCT m.company, n.node, n.count FROM mentions m JOIN g_nodes n USING (node)) GROUP BY 1")
 def _(spark, sf):
     """Nodes of every company through the membership table instead of array search."""
-    nodes, _e, members = built(spark, sf)
+    nodes, _e, members, _c = loaded(spark, sf)
     return members.join(nodes.select("node", "count"), "node").groupBy("company").agg(F.count("*").alias("n_nodes"), F.sum("count").alias("mentions"))
 
 
@@ -112,7 +133,7 @@ _NB = "SELECT dst FROM g_both WHERE src = 'TOPIC::debt' ORDER BY round(weight, 9
 
 @query("g5_neighbors", f"WITH ids AS (SELECT dst AS node FROM ({_NB}) UNION ALL SELECT 'TOPIC::debt') SELECT src, dst, weight FROM g_edges WHERE src IN (SELECT node FROM ids) AND dst IN (SELECT node FROM ids)", rounds="weight")
 def _(spark, sf):
-    nodes, edges, _m = built(spark, sf)
+    nodes, edges, _m, _c = loaded(spark, sf)
     return G.neighbourhood(nodes, edges, "TOPIC::debt", 25)[1].select("src", "dst", "weight")
 
 
@@ -120,24 +141,31 @@ def _(spark, sf):
 WITH top AS (SELECT node FROM g_nodes WHERE node IN (SELECT node FROM mentions WHERE company = 'C3') ORDER BY count DESC, node LIMIT 20)
 SELECT src, dst, weight FROM g_edges WHERE src IN (SELECT node FROM top) AND dst IN (SELECT node FROM top) ORDER BY round(weight, 9) DESC, src, dst LIMIT 60""", rounds="weight")
 def _(spark, sf):
-    nodes, edges, members = built(spark, sf)
+    nodes, edges, members, _c = loaded(spark, sf)
     return G.company_subgraph(nodes, edges, members, "C3", 20)[1].select("src", "dst", "weight")
 
 
 @query("g7_summary", """
+WITH reach(node, seen) AS (SELECT DISTINCT src, src FROM g_both UNION SELECT r.node, b.dst FROM reach r JOIN g_both b ON b.src = r.seen)
 SELECT 'nodes' AS stat, count(*)::DOUBLE AS value FROM g_nodes UNION ALL SELECT 'edges', count(*)::DOUBLE FROM g_edges UNION ALL SELECT 'type:' || type, count(*)::DOUBLE FROM g_nodes GROUP BY type
+UNION ALL SELECT 'components', count(DISTINCT coalesce(c.component, n.node))::DOUBLE FROM g_nodes n LEFT JOIN (SELECT node, min(seen) AS component FROM reach GROUP BY 1) c USING (node)
 UNION ALL SELECT 'max_degree', max(d)::DOUBLE FROM (SELECT count(*) AS d FROM g_both GROUP BY src) UNION ALL SELECT 'density', 2.0 * (SELECT count(*) FROM g_edges) / ((SELECT count(*) FROM g_nodes) * ((SELECT count(*) FROM g_nodes) - 1.0))""", rounds="value")
 def _(spark, sf):
-    nodes, edges, _m = built(spark, sf)
+    nodes, edges, _m, _c = loaded(spark, sf)
     return G.summary(nodes, edges)
 
 
+@query("g7_topics", "SELECT label, count FROM g_nodes WHERE type = 'TOPIC'")
+def _(spark, sf):
+    return G.topics(loaded(spark, sf)[0])
+
+
 @query("g7_components", """
 WITH reach(node, seen) AS (SELECT DISTINCT src, src FROM g_both UNION SELECT r.node, b.dst FROM reach r JOIN g_both b ON b.src = r.seen)
 SELECT node, min(seen) AS component FROM reach GROUP BY 1""")
 def _(spark, sf):
     """Connected components of the entity graph."""
-    return G.components(built(spark, sf)[1].select("src", "dst"))
+    return G.components(loaded(spark, sf)[1].select("src", "dst"))
 
 
 @query("g4_shortest_path", """
@@ -145,17 +173,49 @@ WITH start AS (SELECT min(src) AS s FROM g_both),
 reach(node, hop) AS (SELECT s, 0 FROM start UNION SELECT b.dst, r.hop + 1 FROM reach r JOIN g_both b ON b.src = r.node WHERE r.hop < 12)
 SELECT node, CAST(min(hop) AS INT) AS hops, CAST(min(hop) + 1 AS INT) AS path_nodes FROM reach GROUP BY 1""")
 def _(spark, sf):
-    """Hops from the first node of the entity graph to all it reaches, with one path each."""
-    e = built(spark, sf)[1].select("src", "dst")
+    """Hops from the first node of the entity graph to all it reaches, each with the node
+    before it on a shortest path."""
+    e = loaded(spark, sf)[1].select("src", "dst")
     start = G.both_ways(e).agg(F.min("src")).first()[0]
-    return G.hop_distances(e, start).select("node", "hops", F.size("path").alias("path_nodes"))
+    return G.hop_distances(e, start).select("node", "hops", (F.col("hops") + 1).alias("path_nodes"))
+
+
+_ASKS = [("margin", "debt"), ("C3", "growth"), ("C1", "C2"), ("ours", "C12"), ("debt", "debt"), ("fy0", "no such term"), ("no such term", "margin")]
+view("g_asks", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _ASKS) + ") t(term1, term2)")
+view("g_found", """
+SELECT term, arg_min(node, struct_pack(t := -tier, c := -count, n := node)) AS node FROM (
+  SELECT t.term, n.node, n.count, CASE WHEN lower(n.label) = lower(t.term) THEN 3 WHEN starts_with(lower(n.label), lower(t.term)) THEN 2 ELSE 1 END AS tier
+  FROM (SELECT term1 AS term FROM g_asks UNION SELECT term2 FROM g_asks) t JOIN g_nodes n ON contains(lower(n.label), lower(t.term))) GROUP BY 1""")
+view("g_contexts", "SELECT src, dst, string_agg(md5(substr(text, 1, 200)), ',' ORDER BY chunk_id) AS contexts FROM (SELECT * FROM g_pairs QUALIFY row_number() OVER (PARTITION BY src, dst ORDER BY chunk_id) <= 2) GROUP BY 1, 2")
+
+
+@query("g4_connections", """
+WITH asked AS (SELECT a.*, x.node AS node1, y.node AS node2 FROM g_asks a LEFT JOIN g_found x ON x.term = a.term1 LEFT JOIN g_found y ON y.term = a.term2),
+reach(node1, node, hop) AS (SELECT DISTINCT node1, node1, 0 FROM asked WHERE node1 IS NOT NULL UNION SELECT r.node1, b.dst, r.hop + 1 FROM reach r JOIN g_both b ON b.src = r.node WHERE r.hop < 8),
+far AS (SELECT node1, node, min(hop) AS hop FROM reach GROUP BY 1, 2)
+SELECT a.term1, a.term2, a.node1, a.node2, e.weight IS NOT NULL AS directly_connected, coalesce(f.hop, -1)::INT AS path_length, f.hop IS NOT NULL AS path_fits, e.weight, e.count, c.contexts
+FROM asked a LEFT JOIN far f ON f.node1 = a.node1 AND f.node = a.node2
+LEFT JOIN g_edges e ON e.src = least(a.node1, a.node2) AND e.dst = greatest(a.node1, a.node2) LEFT JOIN g_contexts c ON c.src = e.src AND c.dst = e.dst""", rounds="weight")
+def _(spark, sf):
+    """Connections of several pairs of terms: direct, over others, with itself, unknown.
+    Of the paths, which need not be the only ones, the steps are checked to be edges."""
+    nodes, edges, _m, contexts = loaded(spark, sf)
+    got = reduce(DataFrame.unionByName, [G.connections(nodes, edges, a, b, contexts) for a, b in _ASKS])
+    got = cut_lineage(got)
+    label = nodes.select(F.col("label").alias("l"), F.col("node").alias("n"))
+    steps = got.where("path is not null").select("term1", "term2", F.posexplode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("path") - 1, F.lit(1))), lambda i: F.struct(F.col("path")[i - 1].alias("x"), F.try_element_at("path", i + 1).alias("y")))).alias("i", "s")).select("term1", "term2", "i", "s.*")
+    ways = G.both_ways(edges).join(label, F.col("src") == F.col("n")).select(F.col("l").alias("x"), "dst").join(label, F.col("dst") == F.col("n")).select("x", F.col("l").alias("y"), F.lit(1).alias("edge")).distinct()
+    fits = steps.join(ways, ["x", "y"], "left").groupBy("term1", "term2").agg(F.min(F.coalesce("edge", F.when(F.col("y").isNull(), 1), F.lit(0))).alias("fits"))
+    out = got.join(fits, ["term1", "term2"], "left").withColumn("path_fits", F.coalesce(F.col("fits") == 1, F.lit(False)))
+    hashed = F.array_join(F.transform("contexts", lambda x: F.md5(x)), ",")
+    return out.select("term1", "term2", "node1", "node2", "directly_connected", "path_length", "path_fits", "weight", "count", hashed.alias("contexts"))
 
 
 @query("g8_graph_upsert", """
 SELECT node, type, CAST(count + CASE WHEN length(node) % 3 = 0 THEN 10 ELSE 0 END AS BIGINT) AS count FROM g_nodes UNION ALL SELECT 'COMPANY::NEW', 'COMPANY', 1""")
 def _(spark, sf):
     """Node table merged by key: newer rows replace, late ones do not, new ones are added."""
-    nodes = built(spark, sf)[0].select("node", "type", F.col("count").cast("bigint").alias("count"))
+    nodes = loaded(spark, sf)[0].select("node", "type", F.col("count").cast("bigint").alias("count"))
     third = F.length("node") % 3
     newer = nodes.where(third == 0).withColumns({"count": F.col("count") + 10, "version": F.lit(2)})
     late = nodes.where(third == 1).withColumns({"count": F.lit(-1).cast("bigint"), "version": F.lit(0)})

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -156,30 +157,103 @@ def company_subgraph(nodes: DataFrame, edges: DataFrame, members: DataFrame, com
     return top, semi_edges(edges, top).orderBy(F.round("weight", 9).desc(), "src", "dst").limit(limit * 3)
 
 
-def hop_distances(edges: DataFrame, source: str, max_hops: int | None = None, target: str | None = None) -> DataFrame:
-    """(node, hops, path) for every node within ``max_hops`` of ``source``, or at any distance.
+def _links(edges: DataFrame) -> DataFrame:
+    return cut_lineage(both_ways(edges).distinct())
 
-    A frontier is joined to the edges once per hop, reached nodes are removed, and
-    one shortest path per node (first in text order) is carried. Stops early at
-    ``target`` or when nothing new is found.
-    """
-    links = cut_lineage(both_ways(edges).distinct())
-    seen = frontier = cut_lineage(links.filter(F.col("src") == source).select(F.col("src").alias("node")).distinct().withColumns({"hops": F.lit(0), "path": F.array("node")}))
-    for hop in itertools.count(1):
-        if max_hops is not None and hop > max_hops:
-            break
-        step = frontier.join(links.withColumnRenamed("src", "node"), "node").groupBy(F.col("dst").alias("node")).agg(F.min("path").alias("p"))
-        frontier = cut_lineage(step.join(seen.select("node"), "node", "left_anti").select("node", F.lit(hop).alias("hops"), F.concat("p", F.array("node")).alias("path")))
-        if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier)
-        if target is not None and not frontier.filter(F.col("node") == target).isEmpty():
+
+def _start(node: str, links: DataFrame) -> DataFrame:
+    return cut_lineage(links.filter(F.col("src") == node).select(F.col("src").alias("node"), F.lit(None).cast("string").alias("parent")).limit(1))
+
+
+def _next_level(links: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """Nodes one hop beyond the last level, each with its least neighbour there. Neighbours
+    of a level lie in it, before it or beyond it, so only the last two are taken out."""
+    step = levels[-1].select(F.col("node").alias("src")).join(links, "src").groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
+    for near in levels[-2:]:
+        step = step.join(near.select("node"), "node", "left_anti")
+    return cut_lineage(step)
+
+
+def hop_distances(edges: DataFrame, source: str, max_hops: int | None = None) -> DataFrame:
+    """(node, hops, parent) for every node within ``max_hops`` of ``source``, or at any
+    distance; following ``parent`` gives a shortest path. A level is one join."""
+    links = _links(edges)
+    levels = [_start(source, links)]
+    for _ in itertools.count(1) if max_hops is None else range(max_hops):
+        level = _next_level(links, levels)
+        if level.isEmpty():
             break
-    return seen
+        levels.append(level)
+    return reduce(DataFrame.unionByName, [level.withColumn("hops", F.lit(h)) for h, level in enumerate(levels)]).select("node", "hops", "parent")
 
 
 def shortest_path(edges: DataFrame, source: str, target: str, max_hops: int | None = None) -> DataFrame:
-    return hop_distances(edges, source, max_hops, target).filter(F.col("node") == target)
+    """One row (``hops``, ``path``) for a shortest path between two nodes, none if there is
+    no path (of at most ``max_hops``).
+
+    The search goes on from both ends in turn and always from the smaller level, so it sees
+    about the square root of what one end alone would reach. Levels keep parents; the path
+    is put together once the ends have met.
+    """
+    links = _links(edges)
+    none = links.limit(0).select(F.lit(0).alias("hops"), F.array("src").alias("path"))
+    sides = [[_start(source, links)], [_start(target, links)]]
+    if any(s[0].isEmpty() for s in sides):
+        return none
+    if source == target:
+        return sides[0][0].select(F.lit(0).alias("hops"), F.array("node").alias("path"))
+    sizes = [1, 1]
+    for hop in itertools.count(1):
+        if max_hops is not None and hop > max_hops:
+            return none
+        own = 0 if sizes[0] <= sizes[1] else 1
+        level = _next_level(links, sides[own])
+        sides[own].append(level)
+        other = sides[1 - own][-1].select("node", F.lit(1).alias("met"))
+        seen = level.join(other, "node", "left").agg(F.count("*").alias("n"), F.min(F.when(F.col("met") == 1, F.col("node"))).alias("met")).first()
+        if not seen["n"]:
+            return none
+        if seen["met"] is not None:
+            break
+        sizes[own] = seen["n"]
+    path = sides[0][-1].filter(F.col("node") == seen["met"]).select(F.array("node").alias("path"))
+    for levels, first in ((sides[0], True), (sides[1], False)):
+        for level in reversed(levels[1:]):
+            end = F.element_at("path", 1 if first else -1)
+            up = level.select(F.col("node").alias("__n"), "parent")
+            path = path.withColumn("__n", end).join(up, "__n")
+            path = path.select((F.concat(F.array("parent"), "path") if first else F.concat("path", F.array("parent"))).alias("path"))
+    return path.select((F.size("path") - 1).alias("hops"), "path")
+
+
+def connections(nodes: DataFrame, edges: DataFrame, term1: str, term2: str, contexts: DataFrame | None = None) -> DataFrame:
+    """How two terms are connected, as one row.
+
+    Each term means the node that :func:`tier_search` puts first; ``node1`` or ``node2`` is
+    null where there is none. ``directly_connected`` comes with the edge's ``weight``,
+    ``count`` and (of ``contexts``, by edge) sample ``contexts``; ``path`` holds the labels
+    of a shortest path, ``path_length`` its hops, -1 without one.
+    """
+    spark = nodes.sparkSession
+    ends = [next(iter(tier_search(nodes, t, limit=1).select("node", "label").collect()), None) for t in (term1, term2)]
+    one = spark.range(1).select(
+        *[F.lit(t).alias(f"term{i}") for i, t in enumerate((term1, term2), 1)], *[F.lit(e and e["node"]).cast("string").alias(f"node{i}") for i, e in enumerate(ends, 1)])
+    empty = {"directly_connected": "boolean", "path_length": "int", "path": "array<string>", "weight": "double", "count": "long", "contexts": "array<string>"}
+    if None in ends:
+        given = {"directly_connected": False, "path_length": -1}
+        return one.select("*", *[F.lit(given.get(c)).cast(t).alias(c) for c, t in empty.items()])
+    a, b = (e["node"] for e in ends)
+    found = shortest_path(edges, a, b)
+    labels = found.select(F.posexplode("path").alias("at", "node")).join(nodes.select("node", "label"), "node")
+    labels = labels.agg(F.array_sort(F.collect_list(F.struct("at", "label"))).alias("steps")).select(F.col("steps.label").alias("path"))
+    own = lambda df: df.filter((F.col("src") == min(a, b)) & (F.col("dst") == max(a, b)))
+    edge = own(edges).select("weight", F.col("count").cast("long").alias("count")).limit(1)
+    sample = (own(contexts).select("contexts") if contexts is not None else edge.select(F.lit(None).cast("array<string>").alias("contexts"))).limit(1)
+    for part in (labels, edge, sample):
+        one = one.join(F.broadcast(part), how="left")  # one row each
+    n = F.size("path")
+    return one.select("term1", "term2", "node1", "node2", F.col("weight").isNotNull().alias("directly_connected"), (n - 1).alias("path_length"),
+                      F.when(n > 0, F.col("path")).alias("path"), "weight", "count", "contexts")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -218,18 +292,23 @@ def components(edges: DataFrame) -> DataFrame:
     return everyone.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
+def topics(nodes: DataFrame, kind: str = "TOPIC") -> DataFrame:
+    """Labels of all nodes of a type with their mentions, in order of text."""
+    return nodes.filter(F.col("type") == kind).select("label", "count").orderBy("label")
+
+
 def summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row per number: nodes and edges, density, nodes by type, largest degree."""
+    """One row per number: nodes and edges, density, nodes by type, largest degree,
+    connected components (a node without edges is one)."""
     n = nodes.agg(F.count("*").cast("double").alias("v")).withColumn("stat", F.lit("nodes"))
     m = edges.agg(F.count("*").cast("double").alias("v")).withColumn("stat", F.lit("edges"))
     kinds = nodes.groupBy(F.concat(F.lit("type:"), "type").alias("stat")).agg(F.count("*").cast("double").alias("v"))
     deg = degrees(edges).agg(F.max("degree").cast("double").alias("v")).withColumn("stat", F.lit("max_degree"))
+    label = nodes.select("node").join(components(edges.select("src", "dst")), "node", "left")
+    parts = label.agg(F.count_distinct(F.coalesce("component", "node")).cast("double").alias("v")).withColumn("stat", F.lit("components"))
     pair = n.select(F.col("v").alias("n"), F.lit(1).alias("k")).join(m.select(F.col("v").alias("m"), F.lit(1).alias("k")), "k")
     density = pair.select(F.lit("density").alias("stat"), F.when(F.col("n") > 1, 2 * F.col("m") / (F.col("n") * (F.col("n") - 1))).otherwise(0.0).alias("v"))
-    out = density
-    for part in (n, m, kinds, deg):
-        out = out.unionByName(part)
-    return out.select("stat", F.col("v").alias("value"))
+    return reduce(DataFrame.unionByName, (density, n, m, kinds, deg, parts)).select("stat", F.col("v").alias("value"))
 
 
 def collisions(shares: DataFrame, threshold: float) -> DataFrame:
