@@ -258,6 +258,28 @@ def _(spark, sf):
     return out.filter(F.col("shared") + F.col("only_right") > 0)
 
 
+view("bought", """
+SELECT o_custkey % 5 AS grp, o_custkey AS customer, l_partkey % 12 AS member FROM orders JOIN lineitem ON l_orderkey = o_orderkey""")
+view("bought_sets", "SELECT grp, customer, list_sort(list(DISTINCT member)) AS m FROM bought GROUP BY 1, 2")
+view("bought_classes", "SELECT grp, m, min(customer) AS rep, count(*) AS n FROM bought_sets GROUP BY 1, 2")
+
+
+@query("a10_all_pairs", """
+SELECT grp, left_id, right_id, shared, only_left, only_right, 100.0 * shared / (shared + only_left + only_right) AS jaccard_pct, n_left, n_right FROM (
+  SELECT a.grp, a.rep AS left_id, b.rep AS right_id, len(list_intersect(a.m, b.m)) AS shared, len(a.m) - len(list_intersect(a.m, b.m)) AS only_left, len(b.m) - len(list_intersect(a.m, b.m)) AS only_right, a.n AS n_left, b.n AS n_right
+  FROM bought_classes a JOIN bought_classes b ON a.grp = b.grp AND a.rep < b.rep)
+WHERE 100 * shared >= 80 * (shared + only_left + only_right)""", rounds="jaccard_pct")
+def _(spark, sf):
+    """All pairs of customers' sets of bought kinds that overlap by 80 percent, by group:
+    pairs of classes of equal sets, with how many customers each class has."""
+    li = V.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), (F.col("l_partkey") % 12).alias("member"))
+    b = V.table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("customer"), (F.col("o_custkey") % 5).alias("grp")).join(li, "o_orderkey")
+    pairs, held = A.similar_sets(b, "customer", "member", ["grp"], 80)
+    n = held.groupBy("grp", "rep").agg(F.count("*").alias("n"))
+    side = lambda s: n.select("grp", F.col("rep").alias(f"{s}_id"), F.col("n").alias(f"n_{s}"))
+    return pairs.join(side("left"), ["grp", "left_id"]).join(side("right"), ["grp", "right_id"])
+
+
 @query("w1_latest_prev", "SELECT company_id, revenue, revenue_prev, opm, opm_prev, net_profit, net_profit_prev FROM latest_prev")
 def _(spark, sf):
     return O.latest_prev_wide(annual(spark, sf, ["revenue", "opm", "net_profit"]), ["revenue", "opm", "net_profit"])

@@ -8,11 +8,12 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.values import normalize_whitespace
+from ..session import cut_lineage
 from .text import hits
 
 #: Rows in a block of queries and of the corpus.
@@ -68,11 +69,13 @@ def _top_of_blocks(k: int) -> Callable:
             for qs, cs in zip(f["qs"], f["cs"]):
                 (qid, q), (cid, c) = unit(qs), unit(cs)
                 sim = q @ c.T
+                found = []
                 for i in range(len(qid)):
                     least = np.partition(sim[i], -k)[-k] if k < len(cid) else -np.inf
                     near = np.flatnonzero(sim[i] >= least)
-                    top = near[np.lexsort((cid[near], -sim[i][near]))[:k]]
-                    yield pd.DataFrame({"query_id": qid[i], "vec_id": cid[top], "similarity": sim[i][top]})
+                    found.append(near[np.lexsort((cid[near], -sim[i][near]))[:k]])
+                at, to = np.repeat(np.arange(len(qid)), [len(x) for x in found]), np.concatenate(found)
+                yield pd.DataFrame({"query_id": qid[at], "vec_id": cid[to], "similarity": sim[at, to]})
 
     return run
 
@@ -125,6 +128,90 @@ def ivf_topk(index: DataFrame, centroids: np.ndarray, vector: str, query: Sequen
     return cosine_topk(index.filter(F.col("list_id").isin([int(i) for i in near])), vector, q, k, ident)
 
 
+#: Rows that the coarse lists are fitted on, for each list; all rows are indexed.
+FIT_ROWS = 256
+#: Queries that the number of probed lists is measured with.
+TUNE_QUERIES = 256
+
+
+def ivf_lists(rows: int) -> int:
+    """Lists for a table of this size: the square root of its rows, from 4 to 4,096."""
+    return int(min(4096, max(4, round(rows**0.5))))
+
+
+def write_ivf(corpus: DataFrame, path: str, k: int = 10, aim: float = 0.95, vector: str = "embedding", ident: str = "vec_id", seed: int = 7) -> None:
+    """Inverted lists on storage: ``path/lists`` partitioned by ``list_id``, ``path/centroids``.
+
+    The number of lists follows from the rows. Their centres are fitted on a sample of
+    ``FIT_ROWS`` rows a list; then every row goes to its list, and a large list to several
+    files. How many lists a search must probe is measured, not guessed: for up to
+    ``TUNE_QUERIES`` rows the true ``k`` neighbours are found exactly, and the least number
+    of probed lists that holds a share of ``aim`` of them is kept with the index.
+    """
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    v = F.transform(vector, lambda x: x.cast("double"))
+    norm = F.sqrt(F.aggregate(F.transform(v, lambda x: x * x), F.lit(0.0), lambda a, x: a + x))
+    rows = corpus.filter(F.col(vector).isNotNull()).select(F.col(ident).alias("vec_id"), v.alias("embedding"), array_to_vector(F.transform(v, lambda x: x / norm)).alias("__u"))
+    n = rows.count()
+    lists = ivf_lists(n)
+    part = rows if n <= FIT_ROWS * lists else rows.sample(FIT_ROWS * lists / n, seed)
+    model = KMeans(k=lists, seed=seed, featuresCol="__u", predictionCol="list_id", maxIter=10).fit(part)
+    # ranges by list and id: a list of a third of all rows is dealt to a third of the tasks
+    model.transform(rows).drop("__u").repartitionByRange("list_id", "vec_id").write.partitionBy("list_id").parquet(f"{path}/lists")
+    centres = np.asarray(model.clusterCenters())
+    index = rows.sparkSession.read.parquet(f"{path}/lists")
+    asks = index.orderBy(F.xxhash64("vec_id")).limit(TUNE_QUERIES).select(F.col("vec_id").alias("query_id"), "embedding")
+    true = cosine_topk_many(index, asks, k).join(index.select("vec_id", "list_id"), "vec_id").select("query_id", "list_id")
+    place = probed(asks, centres, len(centres)).select("query_id", "list_id", "place")
+    need = true.join(place, ["query_id", "list_id"]).agg(F.percentile("place", aim).alias("p")).first()["p"]
+    probes = max(1, int(np.ceil(need or 0)) + 1)
+    sizes = {r["list_id"]: r["n"] for r in index.groupBy("list_id").agg(F.count("*").alias("n")).collect()}  # one row a list
+    kept = [(i, [float(x) for x in c], sizes.get(i, 0), probes) for i, c in enumerate(centres)]
+    rows.sparkSession.createDataFrame(kept, "list_id int, centre array<double>, n long, probes int").coalesce(1).write.parquet(f"{path}/centroids")
+
+
+def probed(queries: DataFrame, centres: np.ndarray, probes: int) -> DataFrame:
+    """(query_id, embedding, list_id, place) of the nearest lists of every query."""
+    unit = centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-300)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for lo in range(0, len(f), QUERY_BLOCK):
+                part = f.iloc[lo : lo + QUERY_BLOCK]
+                near = np.argsort(-(np.stack(part["embedding"].to_numpy()) @ unit.T), axis=1, kind="stable")[:, :probes]
+                at = np.repeat(np.arange(len(part)), near.shape[1])
+                yield pd.DataFrame({"query_id": part["query_id"].to_numpy()[at], "embedding": part["embedding"].to_numpy()[at], "list_id": near.reshape(-1).astype("int32"), "place": np.tile(np.arange(near.shape[1], dtype="int32"), len(part))})
+
+    q = queries.filter(F.col("embedding").isNotNull()).select("query_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    kind = q.schema["query_id"].dataType.simpleString()
+    return q.mapInPandas(run, f"query_id {kind}, embedding array<double>, list_id int, place int")
+
+
+def ivf_topk_many(spark: SparkSession, path: str, queries: DataFrame, k: int, probes: int | None = None) -> DataFrame:
+    """Approximate top ``k`` of every query row ``(query_id, embedding)`` from stored lists.
+
+    Queries go to the lists they probe; only these lists' folders are read, and inside a
+    list blocks of queries meet blocks of rows as matrix products.
+    """
+    kept = spark.read.parquet(f"{path}/centroids").orderBy("list_id").collect()  # one row a list
+    centres, sizes = np.array([r["centre"] for r in kept]), {r["list_id"]: r["n"] for r in kept}
+    asks = cut_lineage(probed(queries, centres, probes or kept[0]["probes"]).drop("place"))
+    n_asked = {r["list_id"]: r["n"] for r in asks.groupBy("list_id").agg(F.count("*").alias("n")).collect()}
+    blocks = lambda counts, size: F.create_map(*[F.lit(x) for i, c in counts.items() for x in (i, max(1, -(-c // size)))])
+    if not n_asked:
+        return asks.select("query_id", F.col("query_id").alias("vec_id"), F.lit(0.0).alias("similarity"), F.lit(0).alias("rank"))
+    index = spark.read.parquet(f"{path}/lists").filter(F.col("list_id").isin(list(n_asked)))
+    pack = lambda df, ident, counts, size, out: df.groupBy("list_id", F.pmod(F.xxhash64(ident), F.element_at(blocks(counts, size), F.col("list_id"))).alias(f"{out}_block")).agg(F.collect_list(F.struct(F.col(ident).alias("id"), F.col("embedding").alias("v"))).alias(out))
+    qs = pack(asks, "query_id", n_asked, QUERY_BLOCK, "qs")
+    cs = pack(index, "vec_id", {i: sizes[i] for i in n_asked}, CORPUS_BLOCK, "cs")
+    ids = {"q": queries.schema["query_id"].dataType.simpleString(), "c": index.schema["vec_id"].dataType.simpleString()}
+    out = qs.join(cs, "list_id").select("qs", "cs").mapInPandas(_top_of_blocks(k), f"query_id {ids['q']}, vec_id {ids['c']}, similarity double")
+    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
+    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
 def question_keywords(question: str, n: int = 5) -> list[str]:
     words = re.sub(r"[^\w\s]", "", question.lower()).split()
     return [w for w in words if len(w) > 3][:n]

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .ordered import global_rank
 
 
@@ -52,6 +53,40 @@ def set_overlap(members: DataFrame, requested: DataFrame, entity: str, member: s
     )
 
 
+def similar_sets(members: DataFrame, entity: str, member: str, by: Sequence[str], percent: int) -> tuple[DataFrame, DataFrame]:
+    """All pairs of member sets whose Jaccard overlap is at least ``percent``.
+
+    Returns (pairs of representatives with ``shared``, ``only_left``, ``only_right`` and
+    ``jaccard_pct``; membership ``entity`` -> ``rep``): entities with one and the same set
+    are one class with its least entity as representative, as they relate alike to all
+    others. Two sets of sizes a >= b can only reach the threshold if b is at least
+    ``percent`` of a, and if they share one of their ``size - need + 1`` rarest members, so
+    sets meet on these alone; every pair that meets is then counted exactly. Frequent
+    members join nothing unless a set has nothing rarer.
+    """
+    by = list(by)
+    d = members.select(*by, F.col(entity).alias("entity"), F.col(member).alias("member")).filter(F.col("entity").isNotNull() & F.col("member").isNotNull()).distinct()
+    sets = cut_lineage(d.groupBy(*by, "entity").agg(F.array_sort(F.collect_list("member")).alias("m")))
+    classes = cut_lineage(sets.groupBy(*by, "m").agg(F.min("entity").alias("rep")).withColumn("size", F.size("m")))
+    tok = classes.select(*by, "rep", "size", F.explode("m").alias("member"))
+    often = tok.groupBy(*by, "member").agg(F.count("*").alias("df")).filter("df > 1")
+    # members that no other set has are rarer still and use up the first places
+    ranked = tok.join(often, [*by, "member"]).withColumn("rk", F.row_number().over(Window.partitionBy(*by, "rep").orderBy("df", "member")))
+    own = ranked.withColumn("met", F.count("*").over(Window.partitionBy(*by, "rep")))
+    prefix = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1
+    probe = own.filter(F.col("rk") <= prefix - (F.col("size") - F.col("met"))).select(*by, "member", "rep", "size")
+    one = probe.select(*by, "member", F.col("rep").alias("left_id"), F.col("size").alias("ls"))
+    two = probe.select(*by, "member", F.col("rep").alias("right_id"), F.col("size").alias("rs"))
+    fits = 100 * F.least("ls", "rs") >= percent * F.greatest("ls", "rs")
+    met = one.join(two, [*by, "member"]).filter((F.col("left_id") < F.col("right_id")) & fits).select(*by, "left_id", "right_id").distinct()
+    j = met.join(classes.select(*by, F.col("rep").alias("left_id"), F.col("m").alias("lm")), [*by, "left_id"]).join(classes.select(*by, F.col("rep").alias("right_id"), F.col("m").alias("rm")), [*by, "right_id"])
+    j = j.select(*by, "left_id", "right_id", F.size("lm").alias("ls"), F.size("rm").alias("rs"), F.size(F.array_intersect("lm", "rm")).alias("shared"))
+    union = F.col("ls") + F.col("rs") - F.col("shared")
+    pairs = j.filter(100 * F.col("shared") >= percent * union)
+    pairs = pairs.select(*by, "left_id", "right_id", "shared", (F.col("ls") - F.col("shared")).alias("only_left"), (F.col("rs") - F.col("shared")).alias("only_right"), (100.0 * F.col("shared") / union).alias("jaccard_pct"))
+    return pairs, sets.join(classes.select(*by, "m", "rep"), [*by, "m"]).select(*by, F.col("entity").alias(entity), "rep")
+
+
 def concentration(rev: DataFrame, supply: DataFrame, threshold: float) -> DataFrame:
     """Revenue share of each market per company, with the new supply of that market."""
     total = rev.groupBy("company_id").agg(F.sum("revenue").alias("total"))
