@@ -266,26 +266,36 @@ FROM (SELECT user_id AS skey, (['debt', 'margin_compression', 'supply_overhang',
   FROM events WHERE event_type = 'error' GROUP BY 1, 2) JOIN companies USING (skey) WHERE amount >= 90""")
 
 
+#: News items of one publication day.
+DAY_ITEMS = 400
+#: Ids of the second reports of a story start here.
+AGAIN = 10_000_000_000
+
+
 def news(spark, sf):
-    """News items from documents; near copies (same opening) share a publication day."""
-    d = table(spark, sf, "documents")
-    day = F.conv(F.substring(F.md5(F.substring("text", 1, 30)), 1, 2), 16, 10).cast("int")
+    """News items from documents, whole: days are ranges of ids, so they grow with the
+    rows, and a summary is the text's first paragraph. Every ninth item is reported a
+    second time later that day, every other time with a letter more in its title."""
+    d = table(spark, sf, "documents").select("doc_id", "lang", "source", "text", F.substring_index("text", "\n", 1).alias("title"))
+    d = d.withColumn("day", F.floor(F.col("doc_id") / DAY_ITEMS).cast("int"))
+    again = d.where("doc_id % 9 = 4").withColumn("title", F.when(F.col("doc_id") % 2 == 0, F.concat("title", F.lit("s"))).otherwise(F.col("title")))
+    d = d.unionByName(again.withColumn("doc_id", F.col("doc_id") + AGAIN))
     return d.select(
-        "doc_id", "lang", "source",
-        F.substring_index("text", "\n", 1).alias("title"),
+        "doc_id", "lang", "source", "title",
         F.concat(F.lit("HTTPS://"), "source", F.lit(".example.com/"), "lang", F.lit("/"), F.col("doc_id") % 700, F.lit("?utm_source=feed&id="), F.col("doc_id") % 350, F.lit("#top")).alias("url"),
-        F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), day), "yyyy-MM-dd").alias("published_date"),
-        F.substring("text", 1, 200).alias("summary"),
+        F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), F.col("day")), "yyyy-MM-dd").alias("published_date"),
+        F.substring_index("text", "\n\n", 1).alias("summary"),
         F.col("text").alias("content"),
     )
 
 
-view("news", """
-SELECT doc_id, lang, source, split_part(text, chr(10), 1) AS title,
+view("news", f"""
+SELECT doc_id, lang, source, title,
   'HTTPS://' || source || '.example.com/' || lang || '/' || (doc_id % 700) || '?utm_source=feed&id=' || (doc_id % 350) || '#top' AS url,
-  strftime(DATE '2024-01-01' + CAST('0x' || substr(md5(substr(text, 1, 30)), 1, 2) AS INT), '%Y-%m-%d') AS published_date,
-  substr(text, 1, 200) AS summary, text AS content
-FROM documents""")
+  strftime(DATE '2024-01-01' + CAST(day AS INT), '%Y-%m-%d') AS published_date,
+  split_part(text, chr(10) || chr(10), 1) AS summary, text AS content
+FROM (SELECT doc_id, lang, source, text, split_part(text, chr(10), 1) AS title, doc_id // {DAY_ITEMS} AS day FROM documents
+  UNION ALL SELECT doc_id + {AGAIN}, lang, source, text, split_part(text, chr(10), 1) || CASE WHEN doc_id % 2 = 0 THEN 's' ELSE '' END, doc_id // {DAY_ITEMS} FROM documents WHERE doc_id % 9 = 4)""")
 
 
 def union_all(frames):
