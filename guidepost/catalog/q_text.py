@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import values as X
 from ..functions.citations import parse_citation
 from ..operators import joins as J
+from ..operators import dictionary as D2
 from ..operators import text as T
 from ..session import scratch_path
 from ..sources import documents as D
@@ -387,6 +388,73 @@ def _(spark, sf):
     return g.select("name", resolve_alias(F.col("name"), _NAME_ALIASES).alias("resolved"), "n")
 
 
+_WS = "list_filter(string_split_regex(lower(coalesce({c}, '')), '[^\\p{{L}}\\p{{N}}_]+'), lambda w: w <> '')"
+
+
+def _phrase_sql(c, n=None):
+    """A text as its words, or its first ``n``."""
+    return f"array_to_string({_WS.format(c=c)}{f'[1:{n}]' if n else ''}, ' ')"
+
+
+view("text_words", f"SELECT doc_id, {_WS.format(c='text')} AS ws FROM documents")
+view("text_groups", "SELECT doc_id, array_to_string(ws[i:i + n - 1], ' ') AS phrase FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM text_words, (SELECT unnest([1, 2, 3]) AS n))")
+view("phrase_table", f"""
+SELECT 'passage' AS type, 'item_' || (item_id % 40) AS name, {_phrase_sql('text', 3)} AS keyword, item_id AS ord FROM benchmark
+UNION ALL SELECT 'opening', 'item_' || (item_id % 40), {_phrase_sql('text', 2)}, item_id FROM benchmark
+UNION ALL SELECT 'part', p_name, p_name, p_partkey FROM part UNION ALL SELECT 'word', 'w_' || (item_id % 7), {_phrase_sql('text', 1)}, item_id FROM benchmark""")
+
+
+def phrase_table(spark, sf):
+    """A dictionary read from tables: beginnings of the benchmark's passages, names of parts."""
+    b = V.table(spark, sf, "benchmark")
+    start = lambda n: F.array_join(F.slice(D2.words(F.col("text")), 1, n), " ")
+    rows = lambda kind, name, n: b.select(F.lit(kind).alias("type"), name.alias("name"), start(n).alias("keyword"), F.col("item_id").alias("ord"))
+    item = F.concat(F.lit("item_"), (F.col("item_id") % 40).cast("string"))
+    part = V.table(spark, sf, "part").select(F.lit("part").alias("type"), F.col("p_name").alias("name"), F.col("p_name").alias("keyword"), F.col("p_partkey").alias("ord"))
+    return rows("passage", item, 3).unionByName(rows("opening", item, 2)).unionByName(part).unionByName(rows("word", F.concat(F.lit("w_"), (F.col("item_id") % 7).cast("string")), 1))
+
+
+@query("t8_tag_table", """
+SELECT g.doc_id, p.type, p.name, arg_min(p.keyword, {'ord': p.ord, 'keyword': p.keyword}) AS keyword, sum(g.hits)::BIGINT AS hits
+FROM (SELECT doc_id, phrase, count(*) AS hits FROM text_groups GROUP BY 1, 2) g JOIN phrase_table p ON p.keyword = g.phrase GROUP BY 1, 2, 3""")
+def _(spark, sf):
+    """Tags of every document from a dictionary that is a table."""
+    return D2.tag_by_table(V.table(spark, sf, "documents"), "doc_id", "text", phrase_table(spark, sf))
+
+
+@query("t20_detect_table", """
+WITH f AS (SELECT g.doc_id, p.name AS code, min(p.ord) AS ord FROM (SELECT DISTINCT doc_id, phrase FROM text_groups) g JOIN phrase_table p ON p.keyword = g.phrase WHERE p.type IN ('passage', 'part') GROUP BY 1, 2)
+SELECT d.doc_id, coalesce(string_agg(f.code, ',' ORDER BY f.ord, f.code), '') AS codes, arg_min(f.code, {'ord': f.ord, 'code': f.code}) AS first_code FROM documents d LEFT JOIN f ON f.doc_id = d.doc_id GROUP BY 1""")
+def _(spark, sf):
+    """Codes whose aliases stand in a document, all and first."""
+    a = phrase_table(spark, sf).where("type in ('passage', 'part')").select(F.col("name").alias("code"), F.col("keyword").alias("alias"), "ord")
+    d = D2.detect_by_table(V.table(spark, sf, "documents"), "doc_id", "text", a)
+    return d.select("doc_id", F.array_join("codes", ",").alias("codes"), "first_code")
+
+
+view("part_aliases", f"""
+SELECT {_phrase_sql('p_name')} AS alias, 'P' || min(p_partkey) AS code, min(p_partkey) AS ord FROM part WHERE p_size <= 2 GROUP BY 1
+UNION ALL SELECT split_part(p_name, ' ', 2), 'K_' || split_part(p_name, ' ', 2), 100000 + min(p_partkey) FROM part WHERE p_size BETWEEN 3 AND 5 AND p_name <> '' GROUP BY 1, 2
+UNION ALL SELECT p_name || ' ' || lower(p_type), 'T' || min(p_partkey), 200000 + min(p_partkey) FROM part WHERE p_size >= 45 GROUP BY 1""")
+
+
+@query("t21_alias_table", """
+WITH n AS (SELECT p_name AS name, count(*) AS n FROM part GROUP BY 1 UNION ALL SELECT 'no ' || p_brand, count(*) FROM part GROUP BY 1),
+k AS (SELECT name, n, """ + _phrase_sql("name") + """ AS key FROM n), a AS (SELECT *, """ + _phrase_sql("alias") + """ AS akey FROM part_aliases),
+m AS (SELECT k.name, a.code, a.ord, CASE WHEN a.akey = k.key THEN 1 ELSE 2 END AS tier FROM k JOIN a ON contains(' ' || k.key || ' ', ' ' || a.akey || ' ') OR contains(' ' || a.akey || ' ', ' ' || k.key || ' ') WHERE a.akey <> '' AND k.key <> '')
+SELECT k.name, k.n, coalesce(arg_min(m.code, {'tier': m.tier, 'ord': m.ord, 'code': m.code}), k.name) AS resolved FROM k LEFT JOIN m ON m.name = k.name GROUP BY k.name, k.n""")
+def _(spark, sf):
+    """Names of parts and brands resolved through an alias table made of parts."""
+    p = V.table(spark, sf, "part")
+    kind = F.split_part("p_name", F.lit(" "), F.lit(2))
+    alias = lambda rows, key, tag, base: rows.groupBy(key.alias("alias")).agg(F.min("p_partkey").alias("k")).select("alias", tag.alias("code"), (F.col("k") + base).alias("ord"))
+    a = alias(p.where("p_size <= 2"), D2.phrase(F.col("p_name")), F.concat(F.lit("P"), F.col("k").cast("string")), 0)
+    a = a.unionByName(alias(p.where("p_size between 3 and 5 and p_name <> ''"), kind, F.concat(F.lit("K_"), "alias"), 100000))
+    a = a.unionByName(alias(p.where("p_size >= 45"), F.concat("p_name", F.lit(" "), F.lower("p_type")), F.concat(F.lit("T"), F.col("k").cast("string")), 200000))
+    names = p.groupBy(F.col("p_name").alias("name")).agg(F.count("*").alias("n")).unionByName(p.groupBy(F.concat(F.lit("no "), "p_brand").alias("name")).agg(F.count("*").alias("n")))
+    return D2.resolve_by_table(names, "name", a)
+
+
 _METRIC_NAMES = ["Red Widget", "small ring +", "Large Gear %", "green_bolt", "Blue-Panel Growth", "ring"]
 
 
