@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from guidepost.llm.common import map_text, utf8
+from guidepost.llm.common import holds, map_text, utf8
 
 #: Fragments that a task remembers at most.
 CACHE_FRAGMENTS = 200_000
@@ -70,6 +70,7 @@ class Codec:
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.bpe = tiktoken.Encoding("fragments", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe
         self.cuts = self.cut_table(ranks)
+        self.longest_special = max(map(len, self.specials), default=0)
         self._forget()
         pieces = {i: b for b, i in ranks.items()} | {i: b for b, i in self.specials.items()}
         size = max(pieces) + 1
@@ -113,6 +114,11 @@ class Codec:
             self.flat.append(ident)
         return self.seen[key]
 
+    @staticmethod
+    def ends_in_wide_space(text: bytes) -> bool:
+        """Is the last character white space beyond ASCII?"""
+        return text[-2:] in (b"\xc2\x85", b"\xc2\xa0") or text[-3:] in WIDE_SPACES
+
     def fragments(self, texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
         """Joined texts, where fragments start, and the number of each text's first one."""
         buf = b"".join(texts)
@@ -143,10 +149,10 @@ class Codec:
             numbers, first = self._with_specials(texts)
         else:
             numbers, first = self._numbers(texts)
-        at, lens = np.array(self.at, np.int64)[numbers], np.array(self.len, np.int64)[numbers]
+        # views of the tables, not copies: a call costs what its own texts cost
+        at, lens = (np.frombuffer(a, t)[numbers].astype(np.int64) for a, t in ((self.at, np.int64), (self.len, np.int32)))
         ends = np.concatenate([[0], np.cumsum(lens)])
-        flat = np.array(self.flat, np.int32)
-        ids = flat[np.repeat(at - ends[:-1], lens) + np.arange(ends[-1])]
+        ids = np.frombuffer(self.flat, np.int32)[np.repeat(at - ends[:-1], lens) + np.arange(ends[-1])]
         return ids, ends[first]
 
     def _with_specials(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -177,6 +183,10 @@ class Codec:
         return [data[s:e].decode("utf-8", "replace") for s, e in zip(cut, cut[1:])]
 
 
+#: White space beyond U+00FF.
+WIDE_SPACES = [chr(c).encode() for c in (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+
+
 def wide_space_ends(b: np.ndarray) -> np.ndarray:
     """Where a white-space character beyond ASCII ends."""
     out = np.zeros(len(b), bool)
@@ -184,7 +194,7 @@ def wide_space_ends(b: np.ndarray) -> np.ndarray:
     lead = np.flatnonzero((b[:-2] >= 0xE1) & (b[:-2] <= 0xE3)) if len(b) > 2 else np.empty(0, int)
     if len(lead):
         code = (b[lead].astype(np.int32) << 16) | (b[lead + 1].astype(np.int32) << 8) | b[lead + 2]
-        spaces = [int.from_bytes(chr(c).encode(), "big") for c in (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+        spaces = [int.from_bytes(c, "big") for c in WIDE_SPACES]
         out[lead[np.isin(code, spaces)] + 2] = True
     return out
 
@@ -194,6 +204,9 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+holds(__name__, codec.cache_clear)
+
+
 def _id_lists(ids: np.ndarray, at: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids, pa.int32()))
 

@@ -1,6 +1,7 @@
 """Edit-aware token counts.
 
-Each document keeps a segment tree: its text is cut at forced boundaries (where no
+Each document keeps a segment tree, a row of a stored table (:func:`build`) that takes
+edits (:func:`recount`) and comes out as the same kind of row again: its text is cut at forced boundaries (where no
 token can cross and the pre-tokenizer starts anew, see :mod:`guidepost.llm.bpe`) into
 segments, ``LEAF`` of which form a leaf with its byte length and token count, and a
 binary tree over the leaves holds the sums. Positions are found by descending the tree.
@@ -124,21 +125,18 @@ class SegmentTree:
 
 def boundary(c, left: bytes, right: bytes) -> bool:
     """Is there a forced boundary between two texts, also as to special tokens?"""
-    if not left or not right:
+    if not left or not right or not c.cuts[left[-1] << 8 | right[0]] or c.ends_in_wide_space(left):
         return False
-    near = left[-8:], right[:8]
-    _, starts, _ = c.fragments([near[0] + near[1]])
-    if len(near[0]) not in starts:
-        return False
-    longest = max(map(len, c.specials), default=0)
-    around = left[-longest:] + right[:longest]
+    if not c.longest_special:
+        return True
+    around = left[-c.longest_special :] + right[: c.longest_special]
     return not any(s in around for s in c.specials)
 
 
-def trees(texts: list[bytes], c) -> list[SegmentTree]:
-    """Trees of all texts; their leaves are encoded together."""
+def cut_leaves(texts: list[bytes], c) -> tuple[list[list[bytes]], list[np.ndarray]]:
+    """Leaves of all texts and the tokens of each; all are encoded together."""
     buf, starts, first = c.fragments(texts)
-    out, leaves, owner = [], [], []
+    leaves, owner = [], []
     for k, t in enumerate(texts):
         at = starts[first[k] : first[k + 1]]
         marked = any(s in t for s in c.specials)  # a text with special tokens is one leaf
@@ -146,45 +144,89 @@ def trees(texts: list[bytes], c) -> list[SegmentTree]:
         end = int(at[0]) + len(t) if len(at) else 0
         leaves += [buf[s:e] for s, e in zip(cut, [*cut[1:], end])]
         owner.append(len(cut))
-    _, ends = c.encode(leaves) if leaves else (None, np.zeros(1, np.int64))
-    n = np.diff(ends)
-    lo = 0
-    for k in owner:
-        out.append(SegmentTree(leaves[lo : lo + k], n[lo : lo + k]))
-        lo += k
-    return out
+    n = np.diff(c.encode(leaves)[1]) if leaves else np.empty(0, np.int64)
+    ends = np.cumsum([0, *owner])
+    return [leaves[lo:hi] for lo, hi in zip(ends, ends[1:])], [n[lo:hi] for lo, hi in zip(ends, ends[1:])]
+
+
+def trees(texts: list[bytes], c) -> list[SegmentTree]:
+    return [SegmentTree(leaves, n) for leaves, n in zip(*cut_leaves(texts, c))]
+
+
+#: Columns of a kept tree: the text, and byte length and tokens of each leaf.
+TREE = "text binary, lengths array<int>, tokens array<int>"
+
+
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    at = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(parts) if parts else np.empty(0), pa.int32(), from_pandas=False))
 
 
-def recount(docs: DataFrame, edits: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id``, ``n_before``, ``n_after`` (tokens), ``n_bytes`` and ``n_encoded`` (bytes of the text after, and encoded again), ``edited`` (text after).
+def build(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """A tree for each document: ``doc_id``, ``text``, ``lengths`` and ``tokens`` of its
+    leaves, and ``n_built``, the bytes encoded. Meant to be written to a table."""
+    src = docs.select(F.col(doc_id).alias("doc_id"), utf8(F.col(text)).alias("text"))
+
+    def work(rows, texts):
+        leaves, n = cut_leaves(texts, codec(tokenizer_path))
+        return {
+            "doc_id": rows.column("doc_id"), "text": rows.column("text"), "lengths": _lists([np.array([len(x) for x in own], np.int32) for own in leaves]),
+            "tokens": _lists([x.astype(np.int32) for x in n]), "n_built": pa.array([len(t) for t in texts], pa.int64()),
+        }
+
+    work.__module__ = codec.__module__  # works with that module's tables
+    return map_text(src, work, f"doc_id {_kind(src)}, {TREE}, n_built long")
+
+
+def _kind(df: DataFrame) -> str:
+    return df.schema["doc_id"].dataType.simpleString()
+
+
+def recount(kept: DataFrame, edits: DataFrame, tokenizer_path: str) -> DataFrame:
+    """The trees after the edits, in the columns of :func:`build`, so that the result can be
+    written and edited again, with ``n_before`` and ``n_after`` (tokens), ``n_bytes`` (of
+    the text after) and ``n_encoded`` (bytes encoded for the edits).
 
     ``edits`` has ``doc_id``, ``seq``, ``start``, ``end``, ``new``.
     """
     listed = edits.where("doc_id is not null").groupBy(F.col("doc_id").alias("of")).agg(F.array_sort(F.collect_list(F.struct("seq", "start", "end", utf8(F.col("new")).alias("new")))).alias("edits"))
-    src = docs.select(F.col(doc_id).alias("doc_id"), utf8(F.col(text)).alias("text"))
-    return _apply(src.join(listed, F.col("doc_id") == F.col("of"), "left").select("doc_id", "text", "edits"), tokenizer_path)
+    return _apply(kept.join(listed, F.col("doc_id") == F.col("of"), "left").select(*kept.columns, "edits"), tokenizer_path)
 
 
-def recount_inline(docs: DataFrame, tokenizer_path: str, edits, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Like :func:`recount`, for edits that are a column of the documents themselves: an
+def recount_inline(kept: DataFrame, tokenizer_path: str, edits) -> DataFrame:
+    """Like :func:`recount`, for edits that are a column over the trees themselves: an
     array of (seq, start, end, new as bytes). No shuffle."""
-    return _apply(docs.select(F.col(doc_id).alias("doc_id"), utf8(F.col(text)).alias("text"), edits.alias("edits")), tokenizer_path)
+    return _apply(kept.withColumn("edits", edits), tokenizer_path)
 
 
 def _apply(src: DataFrame, tokenizer_path: str) -> DataFrame:
     def work(rows, texts):
         c = codec(tokenizer_path)
-        before, after, size, again, text = [], [], [], [], []
-        for tree, todo in zip(trees(texts, c), rows.column("edits").to_pylist()):
-            before.append(tree.total)
-            for e in todo or []:
+        before, after, size, again, text, lengths, tokens = [], [], [], [], [], [], []
+        todo = rows.column("edits").to_pylist()
+        for i, (t, own, n) in enumerate(zip(texts, _each(rows.column("lengths")), _each(rows.column("tokens")))):
+            before.append(int(n.sum()))
+            if not todo[i]:
+                for to, value in ((after, before[-1]), (size, len(t)), (again, 0), (text, t), (lengths, own), (tokens, n)):
+                    to.append(value)
+                continue
+            ends = np.cumsum([0, *own.tolist()]).tolist()
+            tree = SegmentTree([t[lo:hi] for lo, hi in zip(ends, ends[1:])], n)
+            for e in todo[i]:
                 tree.edit(e["start"] or 0, e["end"] or 0, e["new"] or b"", c)
-            after.append(tree.total)
-            size.append(int(tree.length[-1][0]))
-            again.append(tree.encoded)
-            text.append(b"".join(tree.leaves).decode("utf-8", "replace"))
-        cols = {"doc_id": rows.column("doc_id"), "n_before": before, "n_after": after, "n_bytes": size, "n_encoded": again}
-        return {k: v if k == "doc_id" else pa.array(v, pa.int64()) for k, v in cols.items()} | {"edited": pa.array(text, pa.string())}
-
-    kind = src.schema["doc_id"].dataType.simpleString()
-    return map_text(src, work, f"doc_id {kind}, n_before long, n_after long, n_bytes long, n_encoded long, edited string")
+            now = np.array([len(x) for x in tree.leaves], np.int32)
+            full = np.flatnonzero(now)
+            for to, value in ((after, tree.total), (size, int(now.sum())), (again, tree.encoded), (text, b"".join(tree.leaves)), (lengths, now[full]), (tokens, tree.tokens[0][full])):
+                to.append(value)
+        cols = {"n_before": before, "n_after": after, "n_bytes": size, "n_encoded": again}
+        kept = {"doc_id": rows.column("doc_id"), "n_built": rows.column("n_built"), "text": pa.array(text, pa.binary()), "lengths": _lists(lengths), "tokens": _lists(tokens)}
+        return kept | {k: pa.array(v, pa.int64()) for k, v in cols.items()}
+
+    work.__module__ = codec.__module__
+    return map_text(src, work, f"doc_id {_kind(src)}, {TREE}, n_built long, n_before long, n_after long, n_bytes long, n_encoded long")
+
+
+def _each(col: pa.Array) -> list[np.ndarray]:
+    at = col.offsets.to_numpy()
+    flat = col.flatten().to_numpy()
+    return [flat[lo - at[0] : hi - at[0]] for lo, hi in zip(at, at[1:])]

@@ -44,11 +44,33 @@ def test_only_the_region_is_encoded_again(bpe_path):
 def test_odd_rows(spark, odd_docs, no_docs, bpe_path):
     ref = Tokenizer.from_file(bpe_path)
     edits = spark.createDataFrame([(1, 1, 4, 9, "slow"), (1, 2, 0, 0, "So, "), (2, 1, 0, 5, "x"), (3, 1, None, None, None), (99, 1, 0, 1, "y"), (None, 1, 0, 1, "z"), (6, 1, 0, 10**6, None)], "doc_id long, seq int, start int, end int, new string")
-    got = T.recount(odd_docs, edits, bpe_path).collect()
+    kept = T.build(odd_docs, bpe_path)
+    got = T.recount(kept, edits, bpe_path).collect()
     assert len(got) == odd_docs.count()
     for x in got:
-        assert x.n_after == len(ref.encode(x.edited, add_special_tokens=False).ids) and x.n_bytes == len(x.edited.encode())
+        assert x.n_after == len(ref.encode(x.text.decode(), add_special_tokens=False).ids) and x.n_bytes == len(x.text)
     by = {x.doc_id: x for x in got}
-    assert by[1].edited.startswith("So, the slow brown") and by[2].edited == "x" and by[6].edited == "" and by[3].n_after == 0
-    assert by[5].n_before == by[5].n_after
-    assert T.recount(no_docs, edits, bpe_path).count() == 0
+    assert by[1].text.startswith(b"So, the slow brown") and by[2].text == b"x" and by[6].text == b"" and by[3].n_after == 0
+    assert by[5].n_before == by[5].n_after and by[5].n_encoded == 0
+    assert T.recount(T.build(no_docs, bpe_path), edits, bpe_path).count() == 0
+
+
+def test_kept_trees_take_batch_after_batch(spark, bpe_path, tmp_path):
+    """Stored trees are edited twice; each batch encodes only its own regions."""
+    ref, r = Tokenizer.from_file(bpe_path), random.Random(6)
+    texts = {i: " ".join(f"w{r.randint(0, 9999)}" for _ in range(r.choice([0, 3, 4000]))) for i in range(30)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    T.build(docs, bpe_path).write.parquet(f"{tmp_path}/0")
+    for batch in (1, 2):
+        edits = [(i, s, r.randint(0, 9000), 0, f" new {s} ") for i in texts if i % 3 == batch for s in (1, 2)]
+        edits = [(i, s, at, at + 5, new) for i, s, at, _, new in edits]
+        kept = spark.read.parquet(f"{tmp_path}/{batch - 1}").select("doc_id", "text", "lengths", "tokens", "n_built")
+        T.recount(kept, spark.createDataFrame(edits, "doc_id long, seq int, start int, end int, new string"), bpe_path).write.parquet(f"{tmp_path}/{batch}")
+        for i, _, start, end, new in edits:
+            texts[i] = applied(texts[i].encode(), start, end, new.encode()).decode()
+        got = spark.read.parquet(f"{tmp_path}/{batch}").collect()
+        assert {x.doc_id: x.text.decode() for x in got} == texts
+        for x in got:
+            assert x.n_after == sum(x.tokens) == len(ref.encode(texts[x.doc_id], add_special_tokens=False).ids)
+            assert sum(x.lengths) == x.n_bytes == len(x.text)
+            assert x.n_encoded < 2_500 and (x.n_encoded > 0) == (x.doc_id % 3 == batch)
