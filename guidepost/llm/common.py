@@ -7,6 +7,8 @@ row gives one output row, also when rows repeat. Texts cross to Python as UTF-8
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
@@ -16,7 +18,36 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one step inside a task works on; bounds the memory of a task.
-STEP_BYTES = 1_000_000
+STEP_BYTES = 500_000
+
+_HELD: dict[str, Callable[[], None]] = {}
+_owner = ""
+
+
+def holds(owner: str, clear: Callable[[], None]) -> None:
+    """Name what a module keeps in its worker between tasks."""
+    _HELD[owner] = clear
+
+
+def begin(owner: str) -> None:
+    """Workers serve one operator after another: drop what those before kept."""
+    global _owner
+    if owner == _owner:
+        return
+    _owner = owner
+    for name, clear in _HELD.items():
+        if name != owner:
+            clear()
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory of this worker to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,12 +105,15 @@ def steps(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = ST
 
 def map_text(df: DataFrame, fn: Callable[[pa.RecordBatch, list[bytes]], dict], schema: str, limit: int = STEP_BYTES) -> DataFrame:
     """Run ``fn(rows, texts) -> columns`` over slices of ``df``, whose ``text`` is binary."""
-    names = [f.name for f in _parsed(df, schema)]
+    names, owner = [f.name for f in _parsed(df, schema)], fn.__module__
 
     def run(batches):
+        begin(owner)
         for rows, texts in steps(batches, limit=limit):
             cols = fn(rows, texts)
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in (cols[n] for n in names)], names=names)
+            cols = rows = texts = None
+        give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -87,8 +121,11 @@ def map_text(df: DataFrame, fn: Callable[[pa.RecordBatch, list[bytes]], dict], s
 def text_scores(fn: Callable[[list[bytes]], np.ndarray]):
     """A column function that scores texts, given as bytes, in slices of bounded size."""
 
+    owner = fn.__module__
+
     @F.arrow_udf("double")
     def run(text: pa.Array) -> pa.Array:
+        begin(owner)
         out = [fn(texts) for _, texts in steps([pa.RecordBatch.from_arrays([text], names=["text"])])]
         return pa.array(np.concatenate(out) if out else np.empty(0), pa.float64())
 

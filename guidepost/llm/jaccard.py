@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from guidepost.llm.common import map_text, mix64, store, utf8
+from guidepost.llm.common import begin, give_back, holds, map_text, mix64, store, utf8
 from guidepost.operators.graph import components
 from guidepost.session import scratch_path
 
@@ -64,6 +64,7 @@ class _Hashes(dict):
 
 
 _HASHES = _Hashes()
+holds(__name__, _HASHES.clear)
 
 
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
@@ -160,6 +161,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     def run(batches):
         from guidepost.llm.common import steps
 
+        begin(__name__)
         for rows, joined in steps(batches):
             cut = rows.column("la").to_pylist()
             xs = shingle_sets([t[:c] for t, c in zip(joined, cut)])
@@ -183,11 +185,14 @@ def matrix_links(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
     met = pairs.join(one, "p").join(two, "q").select("p", "q", "left", "right")
 
     def run(batches):
+        begin(__name__)
         for batch in batches:
             for i in range(batch.num_rows):  # one pair of blocks at a time
                 row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
                 a, b = _block_links(row["left"], row["right"], row["p"] == row["q"])
+                row = None
                 yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], names=["a", "b"])
+        give_back()
 
     from pyspark.sql.pandas.types import to_arrow_type
 

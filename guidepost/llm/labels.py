@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from guidepost.llm.common import crc_mod, utf8
+from guidepost.llm.common import begin, crc_mod, give_back, utf8
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_fold: int, max_rows: int, balanced: bool) -> DataFrame:
@@ -44,6 +44,7 @@ def trained_in_one_task(rows: DataFrame, fit, schema: str) -> list:
     def run(batches):
         import pyarrow as pa
 
+        begin("training")
         texts, y, ids = [], [], []
         for b in batches:
             ids += b.column("doc_id").to_pylist()
@@ -52,5 +53,7 @@ def trained_in_one_task(rows: DataFrame, fit, schema: str) -> list:
         order = sorted(range(len(ids)), key=ids.__getitem__)
         out = fit([texts[i] for i in order], [y[i] for i in order])
         yield pa.RecordBatch.from_pydict(out)
+        out = texts = b = None
+        give_back()
 
     return rows.coalesce(1).mapInArrow(run, schema).collect()

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from guidepost.llm.common import crc_mod, map_text, steps, store, utf8
+from guidepost.llm.common import begin, crc_mod, give_back, holds, map_text, steps, store, utf8
 from guidepost.llm.quality_rules import bucket
 from guidepost.session import scratch_path
 
@@ -45,8 +45,8 @@ ORDER = 5
 MAX_ENTRIES = 2_000_000
 TOP_WORDS = 150_000
 #: Distinct words and pairs that a task gathers before it passes them on.
-FLUSH_WORDS = 400_000
-FLUSH_PAIRS = 3_000_000
+FLUSH_WORDS = 100_000
+FLUSH_PAIRS = 800_000
 END = b"\n"
 
 
@@ -75,6 +75,7 @@ def counted(train: DataFrame) -> DataFrame:
     """(word, gram, n): partial counts by task; either ``word`` or ``gram`` is null."""
 
     def run(batches):
+        begin("counting")  # not on top of a table of an earlier run
         words: Counter = Counter()
         parts: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -108,6 +109,8 @@ def counted(train: DataFrame) -> DataFrame:
             yield word_rows()
         if parts:
             yield gram_rows(*merged())
+        parts.clear()
+        give_back()
 
     return train.mapInArrow(run, "word binary, gram long, n long")
 
@@ -281,6 +284,9 @@ def _top(model: _Model) -> Top:
     return Top(model.keys, model.logp)
 
 
+holds(__name__, _top.cache_clear)
+
+
 class _Model:
     """Arrays of a table of pairs, hashable by a stamp of its own."""
 

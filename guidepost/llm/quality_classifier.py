@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from guidepost.llm.common import text_scores, utf8
+from guidepost.llm.common import holds, text_scores, utf8
 from guidepost.llm.labels import trained_in_one_task, training_rows
 
 BITS = 17
@@ -48,6 +48,9 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+holds(__name__, _powers.cache_clear)
+
+
 def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Bucket numbers of all features of the texts, and the text that each belongs to."""
     buf = b" " + b" ".join(texts) + b" "

@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from guidepost.llm.common import text_scores, utf8
+from guidepost.llm.common import holds, text_scores, utf8
 from guidepost.llm.labels import trained_in_one_task, training_rows
 
 ORDER = 3
@@ -357,6 +357,9 @@ def _scorer(model: tuple) -> Scorer:
     return Scorer(*model)
 
 
+holds(__name__, _scorer.cache_clear)
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 4, held_fold: int = 2, max_rows: int = MAX_TRAINING_ROWS) -> tuple:
     """Trained model as a tuple of plain values, at most ``LANDMARKS + CONTRAST`` long each."""
     rows = training_rows(docs, labels, label, folds, held_fold, max_rows, balanced=True)
