@@ -9,10 +9,12 @@ same limits on every run; a language's sketch is the sum of its sources', the wh
 corpus' the sum of the languages'. A (language, source) pair with fewer than
 ``MIN_GROUP`` documents takes the limits of its language, and that those of all.
 
-A measure is an outlier if it exceeds median + FENCE * (median - first decile + slack),
-for word length also if it falls short of the mirrored limit. The lower half of a
-distribution is hardly moved by junk, which sits in the upper one. ``ALLOWED`` units
-are free on top, so that short texts don't fail by one sign.
+A measure is an outlier if it exceeds median + FENCE * (spread + slack), where the spread
+is the larger of median - first decile and third quartile - median: where a quarter of a
+source's documents carry signs or repeat lines, its limits follow them up to what passes
+for a habit (``HABIT``), and junk of less than a quarter moves neither. Word length is also an outlier below
+median - FENCE * (ninth decile - median + slack). Some units of each measure are free on
+top, so that short texts don't fail by one sign.
 
 Null and empty texts have no words and fail; null languages and sources are groups of
 their own; rows that repeat each count; an empty table gives no rows.
@@ -33,6 +35,8 @@ MIN_GROUP = 200
 FENCE = 4
 #: Measures: numerator for each thousand words, slack in the same unit, free units.
 MEASURES = {"symbols": ("n_symbols", 20, 5), "lines": ("n_dup_lines", 10, 2), "repeats": ("n_repeat_words", 25, 20), "chars": ("word_chars", 250, 20)}
+#: The most that a third quartile can stand above the median and pass for a habit.
+HABIT = {"symbols": 500, "lines": 50, "repeats": 50, "chars": 3000}
 _SYMBOLS = "#*$%&|<>"
 _SPACES = " \t\n\r\x0b\x0c"
 
@@ -90,27 +94,29 @@ def sketches(facts_df: DataFrame) -> DataFrame:
 
 
 def _quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """First decile, median and ninth decile of each merged sketch of one group."""
+    """First decile, median, third quartile and ninth decile of each merged sketch of one group."""
     merged = sketch.groupBy(*keys, "measure", "b").agg(F.sum("n").alias("n"))
     at = W.partitionBy(*keys, "measure")  # at most some 1,900 buckets each
     ranked = merged.select("*", F.sum("n").over(at.orderBy("b")).alias("upto"), F.sum("n").over(at).alias("all"))
-    q = lambda k: F.min(F.when(10 * F.col("upto") >= k * F.col("all"), F.col("b")))
-    return ranked.groupBy(*keys, "measure").agg(q(1).alias("low"), q(5).alias("mid"), q(9).alias("high"), F.max("all").alias("rows"))
+    q = lambda k: F.min(F.when(100 * F.col("upto") >= k * F.col("all"), F.col("b")))
+    return ranked.groupBy(*keys, "measure").agg(q(10).alias("low"), q(50).alias("mid"), q(75).alias("upper"), q(90).alias("high"), F.max("all").alias("rows"))
 
 
 def limits(sketch: DataFrame) -> DataFrame:
     """One row for each language and source: lower and upper limit of each measure."""
     one = _quantiles(sketch, ["lang", "source"])
-    lang = _quantiles(sketch, ["lang"]).select(F.col("lang").alias("l"), F.col("measure").alias("m"), F.struct("low", "mid", "high", "rows").alias("of_lang"))
-    every = _quantiles(sketch, []).select(F.col("measure").alias("a"), F.struct("low", "mid", "high", "rows").alias("of_all"))
-    own = F.struct("low", "mid", "high", "rows")
+    lang = _quantiles(sketch, ["lang"]).select(F.col("lang").alias("l"), F.col("measure").alias("m"), F.struct("low", "mid", "upper", "high", "rows").alias("of_lang"))
+    every = _quantiles(sketch, []).select(F.col("measure").alias("a"), F.struct("low", "mid", "upper", "high", "rows").alias("of_all"))
+    own = F.struct("low", "mid", "upper", "high", "rows")
     got = one.join(lang, F.col("lang").eqNullSafe(F.col("l")) & (F.col("measure") == F.col("m"))).join(F.broadcast(every), F.col("measure") == F.col("a"))  # four rows
     got = got.select("lang", "source", "measure", F.when(F.col("rows") >= MIN_GROUP, own).when(F.col("of_lang.rows") >= MIN_GROUP, F.col("of_lang")).otherwise(F.col("of_all")).alias("q"))
     slack = F.coalesce(*[F.when(F.col("measure") == m, s) for m, (_, s, _) in MEASURES.items()])
+    habit = F.coalesce(*[F.when(F.col("measure") == m, h) for m, h in HABIT.items()])
+    spread = F.greatest(F.col("q.mid") - F.col("q.low"), F.least(F.col("q.upper") - F.col("q.mid"), habit))
     got = got.select(
         "lang", "source", "measure",
         (F.col("q.mid") - FENCE * (F.col("q.high") - F.col("q.mid") + slack)).alias("least"),
-        (F.col("q.mid") + FENCE * (F.col("q.mid") - F.col("q.low") + slack)).alias("most"),
+        (F.col("q.mid") + FENCE * (spread + slack)).alias("most"),
     )
     pick = lambda m, c: F.max(F.when(F.col("measure") == m, F.col(c))).alias(f"{m}_{c}")
     return got.groupBy("lang", "source").agg(*[pick(m, "most") for m in MEASURES], pick("chars", "least"))

@@ -49,6 +49,28 @@ def test_junk_goes_and_clean_text_stays(spark):
     assert got == {i: bool(i % 4) for i in range(400)}
 
 
+def test_limits_follow_the_habits_of_a_source(spark):
+    """A source where a third of the documents carry many signs gets another limit than
+    one that has none, on both sides of the size from which sources have their own."""
+    r = random.Random(4)
+    rows = []
+    for i in range(1600):
+        w = [f"word{r.randint(0, 999)}" for _ in range(100)]
+        if i % 4 == 0 and i % 3 == 0:  # every third of source code
+            w = [x + "#" * (k % 5 == 0) for k, x in enumerate(w)]
+        elif i % 97 == 1:
+            w = [x + "##" for x in w]
+        rows.append((i, " ".join(w), "en", "code" if i % 4 == 0 else "plain"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    lim = {x.source: x.symbols_most for x in Q.limits(Q.sketches(Q.facts(docs))).collect()}
+    assert lim["plain"] == 80 and lim["code"] == 4 * (200 + 20)
+    kept = {x.doc_id: x.kept for x in Q.judge(docs).collect()}
+    assert all(kept[i] == (i % 97 != 1 or i % 12 == 0) for i in kept)
+    few = docs.where("doc_id < 700 or source = 'plain'")  # 175 of source code
+    lim = {x.source: x.symbols_most for x in Q.limits(Q.sketches(Q.facts(few))).collect()}
+    assert lim["code"] == lim["plain"] == 80
+
+
 def test_odd_rows(odd_docs, no_docs):
     got = Q.judge(odd_docs).collect()
     assert len(got) == odd_docs.count()
