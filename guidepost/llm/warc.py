@@ -41,8 +41,9 @@ MIN_PAYLOAD = 100
 #: A new archive starts beyond this size; its index is held in memory until then.
 ARCHIVE_BYTES = 128 << 20
 #: Bytes of an archive that one task reads, and that one read fetches.
-BLOCK_BYTES, READ_BYTES = 16 << 20, 1 << 20
+BLOCK_BYTES, READ_BYTES = 8 << 20, 1 << 20
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
+DATA_NAME, INDEX_NAME = r"\.warc(\.gz)?$", r"^indexes/.*\.cdxj$"
 # Fixed values of the record format.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NAME = "urn:page:"
@@ -153,8 +154,8 @@ def empty(kind: dict) -> pa.RecordBatch:
 def ranges(found: DataFrame) -> DataFrame:
     """``path``, ``start``, ``length`` of every record in stored members: from the index of
     an archive, or by walking over the records where it has none."""
-    data = F.col("name").rlike(r"\.warc(\.gz)?$") & F.col("stored")
-    index = F.col("name").rlike(r"^indexes/.*\.cdxj$") & F.col("stored")
+    data = F.col("name").rlike(DATA_NAME) & F.col("stored")
+    index = F.col("name").rlike(INDEX_NAME) & F.col("stored")
     one = found.groupBy("path").agg(
         F.collect_list(F.when(data, F.struct("start", "size"))).alias("data"), F.collect_list(F.when(index, F.struct("start", "size"))).alias("index"))
 
@@ -278,9 +279,13 @@ def read(archives: DataFrame, with_payload: bool = True, path: str = "path") ->
             if got:
                 yield batch_of(got)
 
-    # archives lie side by side in blocks; a block is one task's work
-    spans = ranges(members(archives, path).repartition(F.col("path"))).withColumn("block", F.floor(F.col("start") / BLOCK_BYTES))
-    dealt = spans.repartition("path", "block").sortWithinPartitions("path", "start").select("path", "start", "length")
+    # blocks of the archives are dealt to tasks by the bytes there are to read, not by the
+    # few bytes that name them
+    spark = archives.sparkSession
+    found = store(members(archives, path), f"{scratch_path(spark, 'members')}/all")
+    blocks = found.where(F.col("name").rlike(DATA_NAME)).agg(F.sum(F.ceil(F.col("size") / BLOCK_BYTES))).first()[0] or 1
+    spans = ranges(found).withColumn("block", F.floor(F.col("start") / BLOCK_BYTES))
+    dealt = spans.repartition(int(blocks), "path", "block").sortWithinPartitions("path", "start").select("path", "start", "length")
     return dealt.mapInArrow(run, "record_type string, name string, url string, payload_bytes long, payload_digest string, refers_to string, payload binary, intact boolean")
 
 
