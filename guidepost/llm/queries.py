@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from guidepost.llm import bpe, centroid_clustering, chat, embedding_dedup, jaccard, mixing, ppm, quality_classifier, quality_rules, token_counts, toxicity, vector_codes, warc
-from guidepost.llm.common import crc_mod, table, utf8
+from guidepost.llm.common import crc_mod, store, table
+from guidepost.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -55,25 +56,25 @@ WITH base AS (
 ), judged AS (
   SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM facts
 ), measured AS (
-  SELECT doc_id, lang, source, n_words, base_failed, m.measure, m.num, m.free, m.slack,
+  SELECT doc_id, lang, source, n_words, base_failed, m.measure, m.num, m.free, m.slack, m.habit,
     CASE WHEN n_words > 0 THEN 1000 * m.num // n_words END AS v
-  FROM judged, LATERAL (VALUES ('symbols', n_symbols, 5, 20), ('lines', n_dup_lines, 2, 10), ('repeats', n_repeat_words, 20, 25), ('chars', word_chars, 20, 250)) AS m(measure, num, free, slack)
+  FROM judged, LATERAL (VALUES ('symbols', n_symbols, 5, 20, 500), ('lines', n_dup_lines, 2, 10, 50), ('repeats', n_repeat_words, 20, 25, 50), ('chars', word_chars, 20, 250, 3000)) AS m(measure, num, free, slack, habit)
 ), sketch AS (
-  SELECT lang, source, measure, slack, (v >> greatest(length(bin(v)) - 6, 0)) << greatest(length(bin(v)) - 6, 0) AS b, count(*) AS n
+  SELECT lang, source, measure, slack, habit, (v >> greatest(length(bin(v)) - 6, 0)) << greatest(length(bin(v)) - 6, 0) AS b, count(*) AS n
   FROM measured WHERE NOT base_failed GROUP BY ALL
 ), levels AS (
-  SELECT 1 AS level, lang, source, measure, slack, b, n FROM sketch
-  UNION ALL SELECT 2, lang, NULL, measure, slack, b, sum(n) FROM sketch GROUP BY ALL
-  UNION ALL SELECT 3, NULL, NULL, measure, slack, b, sum(n) FROM sketch GROUP BY ALL
+  SELECT 1 AS level, lang, source, measure, slack, habit, b, n FROM sketch
+  UNION ALL SELECT 2, lang, NULL, measure, slack, habit, b, sum(n) FROM sketch GROUP BY ALL
+  UNION ALL SELECT 3, NULL, NULL, measure, slack, habit, b, sum(n) FROM sketch GROUP BY ALL
 ), ranked AS (
   SELECT *, sum(n) OVER (PARTITION BY level, lang, source, measure ORDER BY b) AS upto, sum(n) OVER (PARTITION BY level, lang, source, measure) AS total FROM levels
 ), q AS (
-  SELECT level, lang, source, measure, slack, max(total) AS rows,
-    min(b) FILTER (10 * upto >= total) AS low, min(b) FILTER (10 * upto >= 5 * total) AS mid, min(b) FILTER (10 * upto >= 9 * total) AS high
+  SELECT level, lang, source, measure, slack, habit, max(total) AS rows,
+    min(b) FILTER (10 * upto >= total) AS low, min(b) FILTER (10 * upto >= 5 * total) AS mid, min(b) FILTER (4 * upto >= 3 * total) AS upper, min(b) FILTER (10 * upto >= 9 * total) AS high
   FROM ranked GROUP BY ALL
 ), lim AS (
   SELECT a.lang, a.source, a.measure,
-    CASE WHEN a.rows >= 200 THEN a.mid + 4 * (a.mid - a.low + a.slack) WHEN l.rows >= 200 THEN l.mid + 4 * (l.mid - l.low + l.slack) ELSE e.mid + 4 * (e.mid - e.low + e.slack) END AS most,
+    CASE WHEN a.rows >= 200 THEN a.mid + 4 * (greatest(a.mid - a.low, least(a.upper - a.mid, a.habit)) + a.slack) WHEN l.rows >= 200 THEN l.mid + 4 * (greatest(l.mid - l.low, least(l.upper - l.mid, a.habit)) + l.slack) ELSE e.mid + 4 * (greatest(e.mid - e.low, least(e.upper - e.mid, a.habit)) + e.slack) END AS most,
     CASE WHEN a.rows >= 200 THEN a.mid - 4 * (a.high - a.mid + a.slack) WHEN l.rows >= 200 THEN l.mid - 4 * (l.high - l.mid + l.slack) ELSE e.mid - 4 * (e.high - e.mid + e.slack) END AS least
   FROM q a JOIN q l ON l.level = 2 AND l.lang IS NOT DISTINCT FROM a.lang AND l.measure = a.measure
   JOIN q e ON e.level = 3 AND e.measure = a.measure WHERE a.level = 1
@@ -224,12 +225,13 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every whole document before and after three edits of it: twelve
     bytes at a third of the text replaced by its first twenty, thirty bytes at two
     thirds deleted, the first twenty put to the end."""
-    raw = utf8(F.col("text"))
+    raw = F.col("text")
     n, head = F.octet_length(raw), F.substring(raw, 1, 20)
     edit = lambda seq, start, end, new: F.struct(F.lit(seq).alias("seq"), start.cast("int").alias("start"), end.cast("int").alias("end"), new.alias("new"))
     edits = F.array(edit(1, n / 3, n / 3 + 12, head), edit(2, n * 2 / 3, n * 2 / 3 + 30, F.lit(b"")), edit(3, n + 20, n + 20, head))
-    got = token_counts.recount_inline(table(spark, sf_dir, "documents"), byte_bpe_path(), edits)
-    return got.select("doc_id", "n_before", "n_after", "n_bytes", "n_encoded", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
+    kept = store(token_counts.build(table(spark, sf_dir, "documents"), byte_bpe_path()), scratch_path(spark, "trees"))
+    got = token_counts.recount_inline(kept, byte_bpe_path(), edits)
+    return got.select("doc_id", "n_before", "n_after", "n_bytes", "n_encoded", "n_built", F.sha2("text", 256).alias("edited_sha256"))
 
 
 @query
