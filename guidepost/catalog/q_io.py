@@ -60,15 +60,21 @@ def _(spark, sf):
 
 
 @query("s3_file_meta", """
-SELECT doc_type, period, company_id, count(*) AS n FROM (SELECT CASE doc_id % 4 WHEN 0 THEN 'annual_report' WHEN 1 THEN 'call_transcript' WHEN 2 THEN 'quarterly_results' ELSE 'other' END AS doc_type,
+SELECT doc_type, period, company_id, count(*) AS n, sum(chars)::BIGINT AS chars FROM (SELECT CASE doc_id % 4 WHEN 0 THEN 'annual_report' WHEN 1 THEN 'call_transcript' WHEN 2 THEN 'quarterly_results' ELSE 'other' END AS doc_type, coalesce(length(text), 0) AS chars,
   CASE doc_id % 4 WHEN 0 THEN 'FY' || (10 + doc_id % 15) WHEN 1 THEN 'Feb ' || (2010 + doc_id % 15) WHEN 2 THEN 'Sep ' || (2010 + doc_id % 15) END AS period, CASE source WHEN 'src0' THEN 'ALPHA' WHEN 'src1' THEN 'BETA' ELSE 'UNMAPPED' END AS company_id FROM documents) GROUP BY ALL""")
 def _(spark, sf):
-    """Folder, file name and type of every document path; unmapped folders are counted."""
+    """Documents written below folders of their source and kind, as lines of files named
+    by period, and read back; unmapped folders are counted."""
     k, y = F.col("doc_id") % 4, (2010 + F.col("doc_id") % 15).cast("string")
-    name = (F.when(k == 0, F.concat(F.lit("Annual_Reports/"), y, F.lit(".pdf"))).when(k == 1, F.concat(F.lit("Call_Notes/"), y, F.lit("_Feb.json")))
-            .when(k == 2, F.concat(F.lit("Quarterly/Sep_"), y, F.lit(".pdf"))).otherwise("Misc/notes.txt"))
-    files = V.table(spark, sf, "documents").select(F.concat(F.lit("/data/"), "source", F.lit("/"), name).alias("path"))
-    return D.file_meta(files, {"src0": "ALPHA", "src1": "BETA"}).groupBy("doc_type", "period", "company_id").agg(F.count("*").alias("n"))
+    kind = F.when(k == 0, "Annual_Reports").when(k == 1, "Call_Notes").when(k == 2, "Quarterly").otherwise("Misc")
+    name = F.when(k == 0, F.concat(y, F.lit(".pdf"))).when(k == 1, F.concat(y, F.lit("_Feb.json"))).when(k == 2, F.concat(F.lit("Sep_"), y, F.lit(".pdf"))).otherwise("notes.txt")
+    path = scratch_path(spark, "entity-dirs")
+    docs = V.table(spark, sf, "documents").select(F.col("source").alias("entity"), kind.alias("kind"), name.alias("name"), F.to_json(F.struct("text")).alias("value"))
+    # a folder's files come from one or a few tasks, also where a source is hot
+    docs.repartition("entity", "kind", "name").write.partitionBy("entity", "kind", "name").text(path)
+    files = D.load_entity_dirs(spark, path, {"src0": "ALPHA", "src1": "BETA"}, whole=False)
+    chars = F.sum(F.coalesce(F.length(F.from_json("value", "text string")["text"]), F.lit(0)))
+    return files.groupBy("doc_type", "period", "company_id").agg(F.count("*").alias("n"), chars.alias("chars"))
 
 
 view("raw_scores", "SELECT company_id, period, metric, value, 0 AS version FROM financials WHERE period_type = 'annual' AND metric = 'opm'")
@@ -144,11 +150,13 @@ SELECT route, reason, count(*) AS n, count(num) AS n_numeric FROM (SELECT *, CAS
   SELECT *, CASE WHEN event_id % 6 = 5 THEN 'unknown_table' WHEN k % 11 = 0 THEN 'missing_source' WHEN (route = 'financials' AND k % 5 = 0) OR (route IN ('guidance_claims', 'risk_flags') AND k % 7 = 0) OR (route = 'credit_ratings' AND k % 3 = 0) THEN 'missing_required' ELSE 'accepted' END AS reason
   FROM (SELECT event_id, (['financials', 'guidance_claims', 'risk_flags', 'credit_ratings', 'raw_data', 'mystery'])[event_id % 6 + 1] AS route, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events))) GROUP BY 1, 2""")
 def _(spark, sf):
-    tables, rejects = D.route_items(raw_items(spark, sf))
-    num = {"financials": "value", "guidance_claims": "guidance_value_low", "raw_data": "value_numeric"}
-    parts = [t.select("route", F.lit("accepted").alias("reason"), (F.col(num[n]).cast("double") if n in num else F.lit(None).cast("double")).alias("v")) for n, t in tables.items()]
-    parts.append(rejects.select("route", F.col("reject_reason").alias("reason"), F.lit(None).cast("double").alias("v")))
-    return V.union_all(parts).groupBy("route", "reason").agg(F.count("*").alias("n"), F.count("v").alias("n_numeric"))
+    """Items judged once and written to a folder per table, then counted there."""
+    path = scratch_path(spark, "routed")
+    D.write_routed(raw_items(spark, sf), path)
+    t = spark.read.parquet(path)
+    num = F.coalesce("value", "guidance_value_low", "value_numeric")
+    return t.groupBy("route", F.coalesce("reject_reason", F.lit("accepted")).alias("reason")).agg(
+        F.count("*").alias("n"), F.count(F.when(F.col("reject_reason").isNull(), num)).alias("n_numeric"))
 
 
 @query("s14_json_recover", """

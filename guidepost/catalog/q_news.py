@@ -191,6 +191,15 @@ def _(spark, sf):
     return N.daily_run(enriched(spark, sf), "doc_id")[1]
 
 
+@query("n7_report")
+def _(spark, sf):
+    """Health report of the daily run; some titles are blanked so that the evidence gate
+    drops items. Tested against the steps one by one."""
+    d = cut_lineage(enriched(spark, sf).withColumn("title", F.when(F.col("doc_id") % 7 == 3, " ").otherwise(F.col("title"))))
+    _entries, counts, missing = N.daily_run(d, "doc_id", 12, {"sector": 15, "global": 15})
+    return N.health_report(d, counts, missing)
+
+
 _EV = "SELECT event_id, event_type, 'src_' || (user_id % 7) AS source, 'bucket_' || (event_id % 3) AS source_bucket, CASE WHEN value >= 50 THEN 'large' ELSE 'small' END AS dimension_primary, CASE WHEN user_id % 4 = 0 THEN ['C' || (user_id % 20), 'C' || (user_id % 11)] ELSE ['C' || (user_id % 20)] END AS companies, CASE WHEN event_type = 'purchase' THEN ['revenue', 'orders'] ELSE [] END AS metrics FROM events"
 view("news_events", _EV)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import periods as P
 from ..functions import values as X
 from ..functions.citations import parse_citation
 from ..operators import joins as J
@@ -77,11 +78,13 @@ def _(spark, sf):
 SELECT conv_id, turn, 'Speaker ' || role AS speaker, period, md5(text) AS text_md5 FROM (SELECT conv_id, turn, role, {CLEAN_SQL.format(c='text')} AS text,
   (['Jan','Feb','Mar','Apr','May','Jun','Jul','Aug','Sep','Oct','Nov','Dec'])[conv_id % 12 + 1] || ' ' || (2020 + conv_id % 5) AS period FROM conversations) WHERE {WORDS_SQL.format(c='text')} >= 8""")
 def _(spark, sf):
-    from ..functions import periods as P
-
-    t = V.table(spark, sf, "conversations").select("conv_id", "turn", F.concat(F.lit("Speaker "), "role").alias("speaker"), "text",
-        F.concat((2020 + F.col("conv_id") % 5).cast("string"), F.lit("_"), P.month_name(F.col("conv_id") % 12 + 1), F.lit(".json")).alias("file"))
-    return D.transcript_turns(t).select("conv_id", "turn", "speaker", "period", F.md5("text").alias("text_md5"))
+    """Turns written as JSON lines to a folder per call month, and read back."""
+    call = F.concat((2020 + F.col("conv_id") % 5).cast("string"), F.lit("_"), P.month_name(F.col("conv_id") % 12 + 1))
+    path = scratch_path(spark, "transcripts")
+    t = V.table(spark, sf, "conversations").select("conv_id", "turn", F.concat(F.lit("Speaker "), "role").alias("speaker"), "text", call.alias("call"))
+    t.write.partitionBy("call").json(path)
+    back = D.read_transcripts_json(spark, path, extra="conv_id bigint, turn bigint", multi_line=False)
+    return back.select("conv_id", "turn", "speaker", "period", F.md5("text").alias("text_md5"))
 
 
 def _unesc(c):
@@ -232,6 +235,16 @@ def _(spark, sf):
     return chunks(spark, sf).select("doc_id", "chunk_index", "chunk_start", F.md5("chunk_text").alias("chunk_md5"))
 
 
+@query("t3_document_index", """
+WITH pieces AS (SELECT doc_id, page_number, CAST(s / 160 AS INT) AS chunk_index, substr(t, s + 1, 200) AS chunk_text FROM (
+  SELECT doc_id, page_number, t, unnest(generate_series(0, greatest(length(t) - 1, 0), 160)) AS s FROM (SELECT doc_id, page_number, regexp_replace(page_text, '^\\s+|\\s+$', '', 'g') AS t FROM doc_pages) WHERE t <> '') WHERE regexp_matches(substr(t, s + 1, 200), '\\S'))
+SELECT doc_id, page_number, chunk_index, row_number() OVER (PARTITION BY doc_id ORDER BY page_number, chunk_index) - 1 AS document_index, md5(chunk_text) AS chunk_md5 FROM pieces""")
+def _(spark, sf):
+    """Pages cut into pieces that are numbered through each document."""
+    c = T.document_index(T.chunk(doc_pages(spark, sf), "page_text", 200, 40), ["doc_id"], ["page_number", "chunk_index"], "document_index")
+    return c.select("doc_id", "page_number", "chunk_index", "document_index", F.md5("chunk_text").alias("chunk_md5"))
+
+
 @query("t4_pack", """
 WITH seq AS (SELECT doc_id, page_number, length(page_text) + 1 AS n FROM doc_pages),
 walk(doc_id, page_number, room, pack) AS (

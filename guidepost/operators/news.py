@@ -329,10 +329,11 @@ def daily_run(enriched: DataFrame, ident: str, cap: int = 12, caps: Mapping[str,
     result once.
     """
     passed = cut_lineage(accept(enriched).drop("content"))
-    once = cut_lineage(exact_dedupe(passed, [ident]))
+    keyed = cut_lineage(keep_first(passed, ["uid"], [ident]))
+    once = cut_lineage(keep_first(keyed, ["published_date", "content_signature"], [ident]))
     apart = cut_lineage(fuzzy_dedupe(once, ident, "published_date", "title"))
     safe, missing = evidence_gate(apart)
-    steps = {"collected": enriched, "accepted": passed, "exact": once, "fuzzy": apart, "evidence": safe}
+    steps = {"collected": enriched, "accepted": passed, "keyed": keyed, "exact": once, "fuzzy": apart, "evidence": safe}
     counts = None
     for name, df in steps.items():
         n = df.groupBy(F.lit(name).alias("step"), F.col(bucket).alias("bucket")).agg(F.count("*").alias("n"))
@@ -340,6 +341,26 @@ def daily_run(enriched: DataFrame, ident: str, cap: int = 12, caps: Mapping[str,
     return digest_entries(safe, cap, caps), counts, missing
 
 
+# What an item was lost to between two steps of the daily run.
+LOSSES = [("collected", "accepted", "gates"), ("accepted", "keyed", "same_key"), ("keyed", "exact", "same_signature"), ("exact", "fuzzy", "similar_title"), ("fuzzy", "evidence", "no_evidence")]
+
+
+def health_report(enriched: DataFrame, counts: DataFrame, missing: DataFrame, bucket: str = "source") -> DataFrame:
+    """(section, bucket, name, n) of a daily run: items of each bucket before and after,
+    losses by gate reason, by kind of copy and to the evidence gate, fields found missing.
+
+    Buckets of a section with no loss are left out; a null bucket is one of its own.
+    """
+    raw = counts.select(F.when(F.col("step") == "collected", "raw").when(F.col("step") == "evidence", "final").alias("section"), "bucket", F.lit("items").alias("name"), "n").filter("section is not null")
+    by = {s: F.sum(F.when(F.col("step") == s, F.col("n")).otherwise(0)) for s in {s for a, b, _ in LOSSES for s in (a, b)}}
+    lost = F.array(*[F.struct(F.lit("lost").alias("section"), F.lit(name).alias("name"), F.col(f"__{a}").alias("a"), F.col(f"__{b}").alias("b")) for a, b, name in LOSSES])
+    wide = counts.groupBy("bucket").agg(*[c.alias(f"__{s}") for s, c in by.items()])
+    losses = wide.select("bucket", F.inline(lost)).select("section", "bucket", "name", (F.col("a") - F.col("b")).alias("n")).filter("n > 0")
+    gates = enriched.filter("drop_reason is not null").groupBy(F.lit("gate").alias("section"), F.col(bucket).alias("bucket"), F.col("drop_reason").alias("name")).agg(F.count("*").alias("n"))
+    fields = missing.select(F.lit("missing").alias("section"), F.lit(None).cast("string").alias("bucket"), F.col("field").alias("name"), "n")
+    return raw.unionByName(losses).unionByName(gates).unionByName(fields)
+
+
 def event_graph(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Items to typed node and edge rows (source, bucket, dimension, company, metric, topic).
 

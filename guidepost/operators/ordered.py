@@ -13,6 +13,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def blocked_running(
     df: DataFrame,
@@ -62,44 +64,53 @@ def global_rank(
     total_col: str = "total",
     peers_col: str | None = None,
     buckets: int = 64,
+    per_bucket: int = 50_000,
 ) -> DataFrame:
     """Competition rank of ``value`` without sorting a whole partition in one task.
 
     Equal values are folded to one counted row first, so a hot value costs
-    nothing. Distinct values are cut into quantile buckets; a window over the
-    bucket totals plus one inside each bucket gives the rank. Null values keep a
-    null rank and are not counted.
+    nothing. Distinct values are cut into quantile buckets, and these again until a
+    bucket holds about ``per_bucket`` values, so the largest task stays the same as
+    rows grow. A window over the bucket totals plus one inside each bucket gives the
+    rank. Null values keep a null rank and are not counted.
     """
     part = list(partition)
-    freq = df.filter(F.col(value).isNotNull()).groupBy(*part, value).agg(F.count("*").alias("__c"))
+    freq = cut_lineage(df.filter(F.col(value).isNotNull()).groupBy(*part, value).agg(F.count("*").alias("__c")))
+    levels = rank_levels(freq.groupBy(*part).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0], buckets, per_bucket)
     cuts = [i / buckets for i in range(1, buckets)]
-    bounds = F.percentile_approx(value, cuts, 1000).alias("__cuts")
-    if part:
-        freq = freq.join(freq.groupBy(*part).agg(bounds), part)
-    else:
-        # one row by construction: a global aggregate
-        freq = freq.join(F.broadcast(freq.agg(bounds)))
-    freq = freq.withColumn("__bk", F.size(F.filter(F.array_distinct("__cuts"), lambda b: b < F.col(value)))).drop("__cuts")
-    if descending:
-        freq = freq.withColumn("__bk", -F.col("__bk"))
-    per_bucket = freq.groupBy(*part, "__bk").agg(F.sum("__c").alias("__n"))
-    wb = Window.partitionBy(*part) if part else Window.partitionBy(F.lit(0))
-    offsets = per_bucket.select(
-        *part, "__bk",
-        F.coalesce(F.sum("__n").over(wb.orderBy("__bk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__off"),
-        F.sum("__n").over(wb).alias(total_col),
-    )
+    path: list[str] = []
+    for level in range(levels):
+        bounds = F.percentile_approx(value, cuts, 1000).alias("__cuts")
+        by = part + path
+        # without keys one row by construction: a global aggregate
+        freq = freq.join(freq.groupBy(*by).agg(bounds), by) if by else freq.join(F.broadcast(freq.agg(bounds)))
+        below = F.size(F.filter(F.array_distinct("__cuts"), lambda b: b < F.col(value)))
+        path = [*path, f"__bk{level}"]
+        freq = freq.withColumn(path[-1], -below if descending else below).drop("__cuts")
     order = F.col(value).desc() if descending else F.col(value).asc()
-    inside = Window.partitionBy(*part, "__bk").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = freq.join(offsets, [*part, "__bk"]).select(
+    inside = Window.partitionBy(*part, *path) if part or path else Window.partitionBy(F.lit(0))
+    sums = freq.groupBy(*part, *path).agg(F.sum("__c").alias("__n"))
+    whole = Window.partitionBy(*part) if part else Window.partitionBy(F.lit(0))
+    before = F.sum("__n").over(whole.orderBy(*path).rowsBetween(Window.unboundedPreceding, -1)) if path else F.lit(0)
+    offsets = sums.select(*part, *path, F.coalesce(before, F.lit(0)).alias("__off"), F.sum("__n").over(whole).alias(total_col))
+    placed = freq.join(offsets, [*part, *path]) if part or path else freq.join(F.broadcast(offsets))
+    ranked = placed.select(
         *part, value,
-        (F.lit(1) + F.col("__off") + F.coalesce(F.sum("__c").over(inside), F.lit(0))).alias(rank_col),
+        (F.lit(1) + F.col("__off") + F.coalesce(F.sum("__c").over(inside.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias(rank_col),
         total_col,
         *([F.col("__c").alias(peers_col)] if peers_col else []),
     )
     return df.join(ranked, [*part, value], "left")
 
 
+def rank_levels(most: int | None, buckets: int, per_bucket: int) -> int:
+    """How often to cut ``most`` distinct values into ``buckets``."""
+    levels, left = 0, most or 0
+    while left > per_bucket:
+        levels, left = levels + 1, -(-left // buckets)
+    return levels
+
+
 def latest_rows(df: DataFrame, keys: Sequence[str], order: str, n: int = 2) -> DataFrame:
     """Newest ``n`` rows per key with their position ``rn`` (1 = newest)."""
     w = Window.partitionBy(*keys).orderBy(F.col(order).desc())

@@ -1,22 +1,25 @@
 """Text mining as row expressions: filters, splitting, chunking, dictionary tagging.
 
-Apart from page packing, which folds each document's pages in order, nothing here
-shuffles: every function adds columns or explodes a row.
+Apart from page packing and the index along a document, nothing here shuffles: every
+function adds columns or explodes a row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions.periods import let
 from ..functions.values import clean_text
+from ..session import cut_lineage
+from .ordered import blocked_running
 
 MARK = "\u0001"
+#: Pages of a document that one window task orders.
+PAGE_BLOCK = 1024
 
 
 def words_of(text: Column) -> Column:
@@ -82,37 +85,63 @@ def chunk(df: DataFrame, text: str, size: int = 3000, overlap: int = 400, drop_c
 
 
 def document_index(chunks: DataFrame, doc: Sequence[str], order: Sequence[str], out: str = "chunk_index") -> DataFrame:
-    """Index running over a whole document instead of over each block."""
-    return chunks.withColumn(out, F.row_number().over(Window.partitionBy(*doc).orderBy(*order)) - 1)
+    """Index running over a whole document instead of over each block.
+
+    The first column of ``order`` names the block (a page, a section), the others order
+    its pieces: only counts of blocks are summed along a document.
+    """
+    return blocked_running(chunks, doc, order[:1], order[1:], {"__at": F.lit(1)}, totals=False).withColumnRenamed("__at", out)
 
 
 def pack_pages(pages: DataFrame, doc: str, page: str, text: str, max_chars: int = 30000) -> DataFrame:
     """Consecutive pages joined until ``max_chars`` would be passed, then a new pack.
 
-    Which page opens a pack depends on all earlier pages of its document, so only
-    page lengths are folded; the texts are then joined to their pack number.
+    Which page opens a pack depends on all earlier packs of its document. Every page
+    points to the page that would open the next pack, found through cells of
+    ``max_chars`` characters; pages reached from the first one by these pointers,
+    doubled in each round, open packs. No task needs a whole document: groups are
+    cells and blocks of pages, and there are as many rounds as the logarithm of the
+    most packs of a document. ``page`` is a unique whole number in each document.
     """
-    lens = pages.select(doc, page, F.length(text).alias("n"))
-    def assign(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("page")
-        room, pack, packs = 0, 0, []
-        for n in frame["n"]:
-            if room and room + n + 1 > max_chars:
-                room, pack = 0, pack + 1
-            room += n + 1
-            packs.append(pack)
-        return frame.assign(pack=packs)[["doc", "page", "pack"]]
-
-    small = lens.select(F.col(doc).alias("doc"), F.col(page).cast("long").alias("page"), F.col("n").cast("long").alias("n"))
-    kind = dict(small.dtypes)["doc"]
-    packs = small.groupBy("doc").applyInPandas(assign, f"doc {kind}, page long, pack long")
-    j = pages.join(packs.withColumnsRenamed({"doc": doc, "page": page}), [doc, page])
-    return j.groupBy(doc, "pack").agg(
+    row = pages.select(F.col(doc).alias("doc"), F.col(page).cast("long").alias("page"), (F.coalesce(F.length(text), F.lit(0)) + 1).cast("long").alias("n"))
+    block = F.floor(F.col("page") / PAGE_BLOCK)
+    spans = cut_lineage(blocked_running(row.withColumn("block", block), ["doc"], ["block"], ["page"], {"at": F.col("n")}, totals=False).withColumn("end", F.col("at") + F.col("n")))
+
+    starts = cut_lineage(_pack_starts(spans, max_chars))
+    opens = spans.join(starts, ["doc", "at"], "left").withColumn("opens", F.col("start").isNotNull())
+    # the count before a page plus its own opening, from 0
+    numbered = blocked_running(opens.select("doc", "page", "block", "opens"), ["doc"], ["block"], ["page"], {"before": F.col("opens")}, totals=False)
+    packs = numbered.select(F.col("doc").alias(doc), F.col("page").alias(page), (F.col("before") + F.col("opens").cast("long") - 1).alias("pack"))
+    return pages.join(packs, [doc, page]).groupBy(doc, "pack").agg(
         F.count("*").alias("n_pages"), F.min(page).alias("first_page"), F.max(page).alias("last_page"),
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(page, text))), lambda x: x[text]), "\n").alias("pack_text"),
     )
 
 
+def _pack_starts(spans: DataFrame, size: int) -> DataFrame:
+    """(doc, at, start) of the pages that open a pack, given each page's ``at`` and ``end``."""
+    # the page that holds character at + size opens the next pack: look it up in its cell
+    cells = F.sequence(F.floor(F.col("at") / size), F.floor((F.col("end") - 1) / size))
+    here = spans.select("doc", F.explode(cells).alias("cell"), F.struct("at", "end").alias("span"))
+    here = here.select("doc", "cell", F.greatest(F.col("span.at"), F.col("cell") * size).alias("pos"), F.lit(0).alias("kind"), "span", F.lit(None).cast("long").alias("from"))
+    asked = spans.select(
+        "doc", (F.floor(F.col("at") / size) + 1).alias("cell"), (F.col("at") + size).alias("pos"), F.lit(1).alias("kind"),
+        F.lit(None).cast("struct<at:bigint,end:bigint>").alias("span"), F.col("at").alias("from"))
+    w = Window.partitionBy("doc", "cell").orderBy("pos", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    found = here.unionByName(asked).withColumn("hit", F.last("span", ignorenulls=True).over(w)).filter("kind = 1 and hit.end > pos")
+    # a page larger than a pack fills one of its own
+    to = F.when(F.col("hit.at") == F.col("from"), F.col("hit.end")).otherwise(F.col("hit.at"))
+    jump = cut_lineage(found.select("doc", F.col("from").alias("at"), to.alias("to")))
+    reached = cut_lineage(spans.filter("at = 0").select("doc", "at"))
+    while True:
+        new = reached.join(jump, ["doc", "at"]).select("doc", F.col("to").alias("at"))
+        grown = cut_lineage(reached.unionByName(new).distinct())
+        jump = cut_lineage(jump.join(jump.select("doc", F.col("at").alias("to"), F.col("to").alias("further")), ["doc", "to"]).select("doc", "at", F.col("further").alias("to")))
+        reached = grown
+        if jump.isEmpty():
+            return reached.withColumn("start", F.lit(True))
+
+
 def sentences_of(text: Column, long_limit: int = 1200, min_words: int = 8) -> Column:
     """Sentences of a cleaned text; long ones are cut again before common openers.
 

@@ -46,17 +46,23 @@ def flatten_documents(docs: DataFrame, min_words: int = 5) -> DataFrame:
     return computed_once(paras, {"text": clean_text(F.col("raw"))}).filter(is_useful(F.col("text"), min_words)).drop("raw")
 
 
-def read_transcripts_json(spark: SparkSession, path: str, min_words: int = 8) -> DataFrame:
-    """Transcript JSON: period from the file name, short turns dropped."""
-    t = spark.read.schema(TURN_SCHEMA).option("multiLine", True).json(path).select("*", F.col("_metadata.file_path").alias("file"))
-    return transcript_turns(t.withColumn("file", F.element_at(F.split("file", "/"), -1)), min_words)
+def read_transcripts_json(spark: SparkSession, path: str, min_words: int = 8, extra: str = "", multi_line: bool = True) -> DataFrame:
+    """Transcript JSON, an array of turns to a file or (not ``multi_line``) a turn to a
+    line: period from the name of the file or of its folder, short turns dropped.
+
+    ``extra`` names further fields of a turn, as a schema string.
+    """
+    schema = f"{TURN_SCHEMA}, {extra}" if extra else TURN_SCHEMA
+    t = spark.read.schema(schema).option("multiLine", multi_line).option("recursiveFileLookup", True).json(path)
+    t = t.select("*", F.regexp_extract("_metadata.file_path", r"(\d{4}_[A-Za-z]{3})(?:\.json|/[^/]*)$", 1).alias("file"))
+    return transcript_turns(t, min_words)
 
 
 def transcript_turns(turns: DataFrame, min_words: int = 8) -> DataFrame:
     stem = F.regexp_replace("file", r"\.json$", "")
     month, year = F.substring_index(stem, "_", -1), F.substring_index(stem, "_", 1)
     t = computed_once(turns, {"text": clean_text(F.col("text")), "period": F.concat(month, F.lit(" "), year)})
-    t = t.withColumn("reported_quarter", P.call_month_to_quarter(year.cast("int"), P.month_number(month)))
+    t = t.withColumn("reported_quarter", P.call_month_to_quarter(year.try_cast("int"), P.month_number(month)))
     return t.filter(F.size(words_of(F.col("text"))) >= min_words)
 
 
@@ -81,10 +87,18 @@ def file_meta(files: DataFrame, folder_map: Mapping[str, str], path: str = "path
     return files.withColumns({"company_id": F.coalesce(F.try_element_at(mapping, folder), F.lit("UNMAPPED")), "doc_type": kind, "period": period, "file_name": name})
 
 
-def load_entity_dirs(spark: SparkSession, root: str, folder_map: Mapping[str, str]) -> DataFrame:
-    """Every file below ``root/<folder>/<kind>/`` with its text and derived keys."""
-    raw = spark.read.text(root, wholetext=True, recursiveFileLookup=True)
-    return file_meta(raw.select("value", F.col("_metadata.file_path").alias("path")), folder_map)
+def load_entity_dirs(spark: SparkSession, root: str, folder_map: Mapping[str, str], whole: bool = True) -> DataFrame:
+    """Every file below ``root/<folder>/<kind>/`` with its text and derived keys.
+
+    A row is a whole file or, without ``whole``, a line of one, so that many small
+    documents can share a file. Folders that a partitioned write named ``key=value``
+    count by their value, and stand for the file where they hold part files. Empty files
+    give no row.
+    """
+    raw = spark.read.text(root, wholetext=whole, recursiveFileLookup=True).select("value", F.col("_metadata.file_path").alias("path"))
+    parted = F.rlike("path", F.lit(r"=[^/]*/[^/]*$"))
+    inside = F.regexp_replace(F.regexp_replace("path", r"/[^/]*$", ""), r"/[^/=]+=", "/")
+    return file_meta(raw.withColumn("path", F.when(parted, inside).otherwise(F.col("path"))), folder_map)
 
 
 def page_title(html: Column) -> Column:
@@ -142,33 +156,49 @@ ROUTES = {
 }
 
 
-def route_items(items: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
-    """(table -> typed rows, rejects with a reason) for items carrying a table tag.
+def judge_items(items: DataFrame) -> DataFrame:
+    """Every item with its ``route``, the reason it is refused for (null: accepted), its
+    numbers parsed and its defaults filled in, in one projection.
 
-    The verdict is one expression per row; each table is a filter on it, so the
-    items are read once per table that is actually written.
+    Each number belongs to one table and stays null in rows of the others.
     """
     alias = F.create_map(*[F.lit(x) for kv in TABLE_ALIASES.items() for x in kv])
     tagged = items.withColumn("route", F.coalesce(F.try_element_at(alias, F.col("table")), F.col("table")))
+    route = F.col("route")
     ok = F.lit(False)
     for name, (need, nums, _) in ROUTES.items():
         filled = F.col(need).try_cast("double").isNotNull() if need in nums else F.trim(F.coalesce(F.col(need), F.lit(""))) != ""
-        ok = F.when(F.col("route") == name, filled).otherwise(ok)
+        ok = F.when(route == name, filled).otherwise(ok)
     blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
     reason = (
-        F.when(F.col("route").isNull() | ~F.col("route").isin(list(ROUTES)), "unknown_table")
+        F.when(route.isNull() | ~route.isin(list(ROUTES)), "unknown_table")
         .when(blank("company_id") | blank("source_document"), "missing_source")
         .when(~ok, "missing_required")
     )
-    judged = tagged.withColumn("reject_reason", reason)
-    good = judged.filter("reject_reason is null")
-    tables = {}
+    filled = {}
     for name, (_, nums, defaults) in ROUTES.items():
-        t = good.filter(F.col("route") == name)
-        t = t.withColumns({n: F.col(n).try_cast("double") for n in nums} | {d: F.coalesce(F.col(d), F.lit(v)) for d, v in defaults.items()})
-        if name == "financials":
-            t = t.withColumn("period_label", F.coalesce("period_label", "period"))
-        if name == "guidance_claims":
-            t = t.withColumn("statement_quarter", F.coalesce("statement_quarter", "period"))
-        tables[name] = t.drop("table", "reject_reason")
-    return tables, judged.filter("reject_reason is not null")
+        for n in nums:
+            filled[n] = F.when(route == name, F.col(n).try_cast("double"))
+        for d, v in defaults.items():
+            filled[d] = F.when((route == name) & F.col(d).isNull(), F.lit(v)).otherwise(filled.get(d, F.col(d)))
+    for name, d in (("financials", "period_label"), ("guidance_claims", "statement_quarter")):
+        filled[d] = F.when((route == name) & F.col(d).isNull(), F.col("period")).otherwise(F.col(d))
+    return tagged.withColumn("reject_reason", reason).withColumns(filled)
+
+
+def route_items(items: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(table -> typed rows, rejects with a reason) for items carrying a table tag.
+
+    Each table is a filter on the judged items; to write them all in one pass over the
+    items use :func:`write_routed`.
+    """
+    judged = judge_items(items)
+    good = judged.filter("reject_reason is null")
+    return {n: good.filter(F.col("route") == n).drop("table", "reject_reason") for n in ROUTES}, judged.filter("reject_reason is not null")
+
+
+def write_routed(items: DataFrame, path: str) -> None:
+    """All tables and the refused items below ``path``, a folder each, in one pass."""
+    judged = judge_items(items).withColumnRenamed("table", "tag")
+    folder = F.when(F.col("reject_reason").isNull(), F.col("route")).otherwise("rejected")
+    judged.withColumn("target", folder).write.mode("overwrite").partitionBy("target").parquet(path)

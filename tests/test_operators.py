@@ -232,3 +232,87 @@ def test_daily_run_is_its_steps(spark, sf):
     for r in QUERIES["n7_health"](spark, sf).collect():
         steps[r.step] = steps.get(r.step, 0) + r.n
     assert (steps["accepted"], steps["exact"], steps["fuzzy"]) == (len(items), len(titles), len(kept)) and steps["evidence"] <= len(kept)
+
+
+def brute_packs(lengths, most):
+    room, pack, out = 0, 0, []
+    for n in lengths:
+        if room and room + n + 1 > most:
+            room, pack = 0, pack + 1
+        room += n + 1
+        out.append(pack)
+    return out
+
+
+def test_packs_equal_a_walk_over_the_pages(spark):
+    rnd = random.Random(3)
+    docs = {
+        "many": [rnd.choice([0, 1, 5, 40, 99, 100, 101, 350]) for _ in range(700)], "one": [12], "giant": [1000, 0, 0, 2000, 5],
+        "exact": [49, 49, 49, 49, 99, 99], "empty": [0] * 250, "null": [None, 30, None, 80],
+    }
+    rows = [(d, i * 3 + 1, None if n is None else "x" * n) for d, ns in docs.items() for i, n in enumerate(ns)]
+    got = {}
+    packs = T.pack_pages(spark.createDataFrame(rows, "doc string, page int, txt string"), "doc", "page", "txt", 100)
+    assert "Python" not in packs._jdf.queryExecution().executedPlan().toString() and "InPandas" not in packs._jdf.queryExecution().executedPlan().toString()
+    for r in packs.collect():
+        got.setdefault(r.doc, []).append((r.pack, r.n_pages, r.first_page, r.last_page))
+    for d, ns in docs.items():
+        want = brute_packs([n or 0 for n in ns], 100)
+        spans = [(p, want.count(p), want.index(p) * 3 + 1, (len(want) - 1 - want[::-1].index(p)) * 3 + 1) for p in sorted(set(want))]
+        assert sorted(got[d]) == spans, d
+    assert T.pack_pages(spark.createDataFrame([], "doc string, page int, txt string"), "doc", "page", "txt", 100).count() == 0
+
+
+def test_index_along_a_document(spark):
+    rows = [("a", 2, 0), ("a", 1, 0), ("a", 1, 1), ("a", 10, 0), ("b", 5, 0)]
+    got = T.document_index(spark.createDataFrame(rows, "doc string, page int, chunk_index int"), ["doc"], ["page", "chunk_index"], "i").collect()
+    assert sorted((r.doc, r.page, r.chunk_index, r.i) for r in got) == [("a", 1, 0, 0), ("a", 1, 1, 1), ("a", 2, 0, 2), ("a", 10, 0, 3), ("b", 5, 0, 0)]
+
+
+def test_files_of_entities_and_calls(spark, tmp_path):
+    plain = tmp_path / "plain"
+    for path, text in {"ACME/Annual_Reports/2023.txt": "one\ntwo", "ACME/Call_Notes/2024_Feb.json": "three", "Other/Misc/notes.txt": "x", "Other/Misc/empty.txt": ""}.items():
+        (plain / path).parent.mkdir(parents=True, exist_ok=True)
+        (plain / path).write_text(text)
+    got = sorted((r.company_id, r.doc_type, r.period or "", r.value) for r in D.load_entity_dirs(spark, str(plain), {"ACME": "A"}).collect())
+    assert got == [("A", "annual_report", "FY23", "one\ntwo"), ("A", "call_transcript", "Feb 2024", "three"), ("UNMAPPED", "other", "", "x")]
+    rows = spark.createDataFrame([("ACME", "Annual_Reports", "2023.pdf", "l1"), ("ACME", "Annual_Reports", "2023.pdf", "l2")], "entity string, kind string, name string, value string")
+    rows.write.partitionBy("entity", "kind", "name").text(str(tmp_path / "parted"))
+    back = D.load_entity_dirs(spark, str(tmp_path / "parted"), {"ACME": "A"}, whole=False).collect()
+    assert sorted((r.company_id, r.period, r.file_name, r.value) for r in back) == [("A", "FY23", "2023.pdf", "l1"), ("A", "FY23", "2023.pdf", "l2")]
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    (calls / "2024_Feb.json").write_text('[{"speaker": "S", "text": "one two three"}, {"speaker": "T", "text": "short"}]')
+    turns = D.read_transcripts_json(spark, str(calls), min_words=2).collect()
+    assert [(r.speaker, r.period, r.text) for r in turns] == [("S", "Feb 2024", "one two three")] and turns[0].reported_quarter
+
+
+def test_routed_items_are_written_in_one_pass(spark, tmp_path):
+    blank = dict.fromkeys(D.ITEM_FIELDS)
+    made = [
+        {"table": "HOTEL_OPS_METRIC", "company_id": "A", "source_document": "d", "value": "12.5", "period": "FY24"},
+        {"table": "financials", "company_id": "A", "source_document": "d", "value": "n/a"}, {"table": "raw_data", "company_id": "", "source_document": "d", "value_text": "t"},
+        {"table": "raw_data", "company_id": "A", "source_document": "d", "value_text": "t", "value_numeric": "7"}, {"table": None, "company_id": "A", "source_document": "d"},
+        {"table": "risk_flags", "company_id": "A", "source_document": "d", "description": "x", "value": "9"},
+    ]
+    items = spark.createDataFrame([tuple((blank | m)[f] for f in D.ITEM_FIELDS) for m in made], ", ".join(f"`{f}` string" for f in D.ITEM_FIELDS))
+    D.write_routed(items, str(tmp_path / "routed"))
+    back = spark.read.parquet(str(tmp_path / "routed")).collect()
+    good = {r.target: r for r in back if r.reject_reason is None}
+    assert (good["financials"].value, good["financials"].metric, good["financials"].period_label) == (12.5, "unknown", "FY24")
+    assert (good["raw_data"].value_numeric, good["raw_data"].category, good["risk_flags"].category, good["risk_flags"].value) == (7.0, "other", "operational", None)
+    assert sorted(r.reject_reason for r in back if r.target == "rejected") == ["missing_required", "missing_source", "unknown_table"]
+
+
+def test_health_report_counts_every_loss(spark, sf):
+    from guidepost.catalog import QUERIES
+    from guidepost.catalog import q_news as Q
+
+    rows = QUERIES["n7_report"](spark, sf).collect()
+    total = lambda section, name=None: sum(r.n for r in rows if r.section == section and name in (None, r.name))
+    d = Q.enriched(spark, sf)
+    assert total("raw") == d.count() and total("gate") == total("lost", "gates") == d.filter("drop_reason is not null").count()
+    items = sorted(Q.accepted(spark, sf).select("doc_id", "title").collect())
+    assert total("raw") - total("lost") == total("final") > 0 and total("lost", "same_key") + total("lost", "same_signature") > 0
+    assert 0 < total("missing", "title") <= sum(r.doc_id % 7 == 3 for r in items)
+    assert total("lost", "no_evidence") <= total("missing")

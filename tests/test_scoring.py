@@ -97,3 +97,23 @@ def test_scores_stay_in_range(spark, sf):
     cols = [*S.DIMENSION_WEIGHTS, "composite", "band_low", "band_high"]
     assert d.filter(" or ".join(f"{c} < 0 or {c} > 100" for c in cols)).count() == 0
     assert d.filter("p_liquidity_stress < 0.03 or p_liquidity_stress > 0.95").count() == 0
+
+
+def test_global_rank_cuts_buckets_again_as_values_grow(spark):
+    assert [O.rank_levels(n, 64, 50_000) for n in (None, 0, 50_000, 50_001, 3_200_000, 3_200_001)] == [0, 0, 0, 1, 1, 2]
+    rnd = random.Random(9)
+    rows = [(i, rnd.choice("ab"), rnd.choice([7, rnd.randrange(3000)])) for i in range(4000)]
+    df = spark.createDataFrame(rows, "id int, g string, v int")
+    by = {}
+    for _, g, v in rows:
+        by.setdefault(g, []).append(v)
+    for most in (5, 40, 10**6):
+        for desc in (True, False):
+            got = {r.id: (r["rank"], r.total) for r in O.global_rank(df, "v", ["g"], descending=desc, buckets=4, per_bucket=most).collect()}
+            for g, vs in by.items():
+                first = {}
+                for at, v in enumerate(sorted(vs, reverse=desc)):
+                    first.setdefault(v, at + 1)
+                assert all(got[i] == (first[v], len(vs)) for i, k, v in rows if k == g)
+    flat = {r.id: r["rank"] for r in O.global_rank(df, "v", buckets=4, per_bucket=20).collect()}
+    assert all(flat[i] == 1 + sum(w > v for _, _, w in rows) for i, _, v in rows[:200])
