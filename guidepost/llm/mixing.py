@@ -15,8 +15,9 @@ Rates become copies by classes of nearly equal size (exact below 64 words, then
 power of two). From the largest class down, a class takes the whole number of copies
 nearest to its words plus what larger classes over- or undershot; at most some 1,900
 classes per source and base rate are folded in one row. Inside a class copies are dealt
-evenly over blocks of about ``BLOCK`` documents in the order of a hash, so no group of
-rows, however alike, meets in one task.
+evenly over blocks of about ``BLOCK`` documents in the order of a hash of id and text,
+or of the row's number where the id is null. Only rows that repeat one id and its text
+meet in one task.
 
 Null texts have size 0 and are never taken; a null source is a source, the last one;
 rows that repeat are documents of their own; an empty table gives no rows. Reruns agree.
@@ -108,12 +109,18 @@ def class_copies(classes: DataFrame, cap: int = CAP) -> DataFrame:
     return folded.select("key", F.explode(F.aggregate("cs", start, add, lambda a: a["done"])).alias("c")).select("key", "c.*")
 
 
+def deal_order(doc_id: Column, text: Column) -> Column:
+    """Hash that deals rows into blocks: of id and text, so an id on many texts is spread
+    too; rows without an id are told apart by their number."""
+    return F.when(doc_id.isNotNull(), F.xxhash64(F.lit("mix"), doc_id, text)).otherwise(F.xxhash64(F.lit("mix"), F.monotonically_increasing_id()))
+
+
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", base: str | None = None, carry: list[str] | None = None) -> DataFrame:
     """``doc_id``, ``size``, ``source_size``, ``target``, ``copies`` of every row, and in a
     struct ``carried`` the columns that ``carry`` names. ``base`` names a column of base rates, a few levels
     between 0 and the cap; without it every document starts at 1."""
     keep = [F.struct(*[F.col(c) for c in carry]).alias("carried")] if carry else []
-    src = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), (F.col(base).cast("double") if base else F.lit(1.0)).alias("base"), *keep)
+    src = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), (F.col(base).cast("double") if base else F.lit(1.0)).alias("base"), deal_order(F.col(doc_id), F.col(text)).alias("order"), *keep)
     src = src.withColumns({"key": source_key(F.col("source")), "cls": bucket(F.col("size"))})
     if not carry:
         src = cut_lineage(src)  # narrow rows: the texts are counted once
@@ -123,7 +130,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     plan = cut_lineage(class_copies(sizes.join(rate, ["key", "base"])).join(goals, "key"))
     # blocks of a class: how many, and the copies each one gets
     blocks = F.ceil(F.col("n") / BLOCK)
-    dealt = src.join(plan, ["key", "base", "cls"]).withColumn("order", F.xxhash64(F.lit("mix"), "doc_id"))
+    dealt = src.join(plan, ["key", "base", "cls"])
     # dealt out by block, not by class as the join leaves them: a class may be large
     dealt = dealt.withColumn("block", F.pmod(F.col("order"), blocks)).repartition("key", "base", "cls", "block")
     inside = W.partitionBy("key", "base", "cls", "block")

@@ -3,6 +3,8 @@ from collections import defaultdict
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from guidepost.llm import mixing as M
 
 
@@ -70,3 +72,12 @@ def test_odd_rows(odd_docs, no_docs):
 def test_no_python_in_the_plan(odd_docs):
     plan = M.mix(odd_docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_rows_without_an_id_and_of_one_id_are_spread(spark):
+    rows = [(None, "same text", "a")] * 3000 + [(7, f"text {i}", "a") for i in range(3000)]
+    df = frame(spark, rows).repartition(4)
+    blocks = df.select("doc_id", F.pmod(M.deal_order(F.col("doc_id"), F.col("text")), F.lit(10)).alias("block")).groupBy("doc_id", "block").count().collect()
+    assert len(blocks) == 20 and all(200 < r["count"] < 400 for r in blocks)
+    got = M.mix(frame(spark, rows + [(i + 10, "one two three", "b") for i in range(2000)])).groupBy("source_size", "target").agg(F.count("*").alias("n"), F.sum(F.col("size") * F.col("copies")).alias("taken")).collect()
+    assert sum(r.n for r in got) == 8000 and all(abs(r.taken - r.target) <= 0.005 * r.target + 5 for r in got)
