@@ -7,9 +7,11 @@ allowed for a pair right at the threshold to meet in no table. Every pair that m
 checked by its cosine in double precision, and counted only in the first table where
 it meets.
 
-Equal vectors of a label form one class beforehand. Buckets beyond ``BLOCK`` vectors
-are split: their vectors are dealt into blocks by a hash, and each pair of blocks is a
-task of its own. Inside a task, links are counted by matrix products and never listed:
+Equal vectors of a label form one class beforehand. Signs are computed once; tables
+are counted and split on rows of ids and signs alone, and vectors join those that share
+a bucket with another. Small buckets share a group of rows. Buckets beyond ``BLOCK``
+vectors are split: their vectors are dealt into blocks by a hash, and each pair of
+blocks is a group of its own. Inside a group, links are counted by matrix products and never listed:
 it returns for each vector its links and the least vector of its component there, which
 keeps all components whole. Those pairs are joined into components over all tables by
 propagation in Spark.
@@ -33,6 +35,8 @@ from guidepost.session import cut_lineage
 
 THRESHOLD = 0.93
 MISS = 1e-4
+#: Rows that a group of small buckets aims at.
+GROUP = 4096
 #: Vectors per bucket that the number of signs aims at, and most vectors in a block.
 AIM = 48
 BLOCK = 1024
@@ -49,10 +53,10 @@ def planes(dim: int, signs: int, tables: int) -> np.ndarray:
     return np.random.default_rng(20_240_611).standard_normal((dim, signs * tables))
 
 
-def keys(x: np.ndarray, signs: int, tables: int) -> np.ndarray:
-    """Bucket number of each vector in each table."""
-    on = (x @ planes(x.shape[1], signs, tables) > 0).reshape(len(x), tables, signs)
-    return (on << np.arange(signs)).sum(axis=2).astype(np.int32)
+def keys(x: np.ndarray, on: np.ndarray, signs: int) -> np.ndarray:
+    """Signs of each vector against the planes ``on``, in whole bytes a table."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return np.packbits((x @ on > 0).reshape(len(x), -1, signs), axis=2).reshape(len(x), -1)
 
 
 def classes(vectors: DataFrame, vec_id: str, embedding: str, label: str) -> tuple[DataFrame, DataFrame]:
@@ -60,17 +64,18 @@ def classes(vectors: DataFrame, vec_id: str, embedding: str, label: str) -> tupl
     v = F.col(embedding).cast("array<double>")
     ok = F.col(vec_id).isNotNull() & F.col(label).isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
     key = F.when(F.coalesce(ok, F.lit(False)), F.sha2(F.concat_ws(",", F.transform(v, lambda x: F.hex((x + F.lit(0.0)).cast("string"))), F.col(label).cast("string")).cast("binary"), 256))
-    rows = vectors.select(F.col(vec_id).alias("vec_id"), F.col(label).alias("label"), v.alias("v"), key.alias("key"))
+    rows = vectors.select(F.col(vec_id).alias("vec_id"), F.col(label).alias("label"), F.col(embedding).alias("v"), key.alias("key"))
     one = rows.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("v").alias("v"))
     return rows.select("vec_id", "key"), one
 
 
-def _linked(part: pd.DataFrame, signs: int, tables: int, table: int, threshold: float) -> pd.DataFrame:
+def _linked(part: pd.DataFrame, width: int, threshold: float) -> pd.DataFrame:
     """Links and local component of the vectors of one pair of blocks."""
     x = np.stack(part["v"].to_numpy()).astype(np.float64)
     x /= np.abs(x).max(axis=1, keepdims=True)  # squares of huge or tiny numbers stay finite
     x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
-    key = keys(x, signs, tables)[:, :table]
+    table = int(part["t"].iloc[0])
+    key = np.frombuffer(b"".join(part["sig"]), np.uint8).reshape(len(x), -1, width)[:, :table].astype(np.int32) @ (256 ** np.arange(width, dtype=np.int32))
     ids, n = part["rep"].to_numpy(), part["n"].to_numpy()
     block, first, second = part["block"].to_numpy(), part["b1"].iloc[0], part["b2"].iloc[0]
     near = np.zeros((len(x), len(x)), bool)
@@ -80,8 +85,8 @@ def _linked(part: pd.DataFrame, signs: int, tables: int, table: int, threshold:
         near &= block[:, None] != block[None, :]
     links = np.zeros(len(x), np.int64)
     rows, cols = np.nonzero(near)
-    for lo in range(0, len(rows), 1_000_000):
-        r, c = rows[lo : lo + 1_000_000], cols[lo : lo + 1_000_000]
+    for lo in range(0, len(rows), 200_000):
+        r, c = rows[lo : lo + 200_000], cols[lo : lo + 200_000]
         new = ~(key[r] == key[c]).any(axis=1) if table else np.ones(len(r), bool)
         np.add.at(links, r[new], n[c[new]])
     label = np.arange(len(x))
@@ -105,31 +110,40 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, miss: floa
     different length under one label never link."""
     rows, one = classes(vectors, vec_id, embedding, label)
     one = cut_lineage(one)
-    shape = one.groupBy("label", F.size("v").alias("dim")).agg(F.count("*").alias("c")).agg(F.max("c").alias("c")).first()
+    shape = one.groupBy("label", F.size("v").alias("dim")).agg(F.count("*").alias("c")).agg(F.max("c").alias("c"), F.sum("c").alias("all")).first()
     signs, tables = sizes(shape["c"] or 0, threshold, miss)
+    width = -(-signs // 8)
 
-    def bucketed(batches):
+    def signed(batches):
+        on = {}
         for pdf in batches:
             for dim, part in pdf.groupby(pdf["v"].map(len)):
-                x = np.stack(part["v"].to_numpy()).astype(np.float64)
-                x /= np.abs(x).max(axis=1, keepdims=True)
-                k = keys(x, signs, tables)
-                for t in range(tables):
-                    yield pd.DataFrame({"t": t, "key": k[:, t], "dim": dim, "label": part["label"].to_numpy(), "rep": part["rep"].to_numpy(), "n": part["n"].to_numpy(), "v": part["v"].to_numpy()})
+                if dim not in on:
+                    on = {dim: planes(dim, signs, tables)}
+                k = keys(np.stack(part["v"].to_numpy()).astype(np.float64), on[dim], signs)
+                yield pd.DataFrame({"rep": part["rep"].to_numpy(), "n": part["n"].to_numpy(), "label": part["label"].to_numpy(), "dim": dim, "sig": [row.tobytes() for row in k]})
 
     kind = one.schema["label"].dataType.simpleString()
     ident = one.schema["rep"].dataType.simpleString()
-    met = one.select("label", "rep", "n", "v").mapInPandas(bucketed, f"t int, key int, dim int, label {kind}, rep {ident}, n long, v array<double>")
+    met = cut_lineage(one.select("label", "rep", "n", "v").mapInPandas(signed, f"rep {ident}, n long, label {kind}, dim int, sig binary"))
+    # (table, signs there) of every vector, without the vector
+    at = met.select("*", F.explode(F.sequence(F.lit(0), F.lit(tables - 1))).alias("t"))
+    at = at.withColumn("key", F.substring(F.col("sig"), F.col("t") * width + 1, F.lit(width)))
     bucket = ["t", "key", "dim", "label"]
-    count = met.groupBy(*bucket).agg(F.count("*").alias("c")).where("c > 1").withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int"))
-    got = met.join(count, bucket).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    count = at.groupBy(*bucket).agg(F.count("*").alias("c")).where("c > 1").withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int"))
+    got = at.join(count, bucket).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     got = got.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     got = got.withColumns({"b1": F.least("block", "other"), "b2": F.greatest("block", "other")})
+    spread = F.xxhash64(*bucket, "b1", "b2")
+    groups = max(1, math.ceil((shape["all"] or 0) * tables / GROUP))
+    got = got.withColumn("part", F.when(F.col("blocks") == 1, F.pmod(spread, F.lit(groups))).otherwise(spread))
+    got = got.select("part", *bucket, "b1", "b2", "block", "rep", "n", "sig").join(one.select("rep", "v"), "rep")
 
     def task(part: pd.DataFrame) -> pd.DataFrame:
-        return _linked(part, signs, tables, int(part["t"].iloc[0]), threshold)
+        done = [_linked(p, width, threshold) for _, p in part.groupby([*bucket, "b1", "b2"], sort=False)]
+        return pd.concat(done, ignore_index=True)
 
-    linked = got.groupBy(*bucket, "b1", "b2").applyInPandas(task, f"rep {ident}, links long, root {ident}")
+    linked = got.groupBy("part").applyInPandas(task, f"rep {ident}, links long, root {ident}")
     linked = cut_lineage(linked.groupBy("rep", "root").agg(F.sum("links").alias("links")))
     comp = components(linked.select(F.col("rep").alias("src"), F.col("root").alias("dst"))).select(F.col("node").alias("rep"), "component")
     links = linked.groupBy("rep").agg(F.sum("links").alias("links"))
