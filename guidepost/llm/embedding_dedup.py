@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from guidepost.operators.graph import components
+from guidepost.llm.components import components
 from guidepost.session import cut_lineage
 
 THRESHOLD = 0.93

@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from guidepost.llm.common import begin, give_back, holds, map_text, mix64, store, utf8
-from guidepost.operators.graph import components
+from guidepost.llm.components import components
 from guidepost.session import scratch_path
 
 WORDS = 5

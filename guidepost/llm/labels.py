@@ -38,6 +38,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, he
     )
 
 
+def label_rate(labels: DataFrame, label: str, folds: int, held_fold: int) -> float:
+    """Share of ones among the labels outside the held-out fold, smoothed by half a label."""
+    y = F.col(label).cast("int")
+    n, ones = labels.where(F.col("doc_id").isNotNull() & y.isin(0, 1) & (crc_mod(F.col("doc_id"), folds) != held_fold)).agg(F.count("*"), F.sum(y)).first()
+    return ((ones or 0) + 0.5) / (n + 1.0)
+
+
 def trained_in_one_task(rows: DataFrame, fit, schema: str) -> list:
     """``fit(texts, y)`` on the bounded sample, inside one task; its rows."""
 

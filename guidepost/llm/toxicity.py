@@ -3,22 +3,31 @@
 The kernel of two strings counts their common subsequences of ``ORDER`` letters, each
 weighted by ``DECAY`` for every position it spans in either string, and is normalised
 by the self-kernels. Gaps and inserted characters lower it but do not break it, and so
-do endings that a word list would miss. Words are folded first: lower case, accents
-off, signs between letters dropped, look-alike digits read as letters; a row of single
-letters (``i d i o t``) is read as one word.
-
-Landmarks are word beginnings, mined from labelled documents: frequent in the toxic
-ones between ever different words, hardly found in the others. The clean
-words that most often come close to them join as contrast. A sentence is the largest kernel value of its words against each landmark,
+do endings that a word list would miss. Words of any script are folded first: lower
+case, accents off, signs between letters dropped, look-alike digits and Cyrillic and
+Greek letters of Latin shape read as letters; a row of single letters (``i d i o t``) is
+read as one word.
+
+Landmarks are word beginnings (or whole words of three letters), mined from labelled
+documents: frequent in the toxic ones between ever different words, hardly found in the
+others. Toxic documents without a word near any landmark are mined again, among
+themselves, until they hold no further one; so the landmarks cover the toxic documents,
+and rare insults get theirs. The clean words that most often come close to them join as
+contrast. A sentence is the largest kernel value of its words against each landmark,
 mapped by the inverse root of the landmarks' kernel matrix; a linear SVM with a sigmoid
-is trained on sentences. Of a toxic training document the sentence closest to the
-landmarks stands for it, of a clean one all
-sentences with a word near a landmark. A document scores as its
-highest sentence, and as the bias alone if it has no word near a landmark, as do null
-and empty texts.
+is trained on sentences, the classes weighed by their rates among all labels. Of a toxic
+training document the sentence closest to the landmarks stands for it, of a clean one
+all sentences with a word near a landmark. A document scores as its highest sentence,
+and as the bias alone if it has no word near a landmark.
 
 A word is compared to a landmark only if it has, within gaps of two, at least 70 % of
-its letter pairs; else the kernel value is 0.
+its letter pairs; else the kernel value is 0. Words of fewer than three letters have no
+kernel value, and in scripts written without spaces a landmark is the beginning of a run.
+
+Null and empty texts score as the bias. Every row gets a score of its own, also rows that
+repeat an id or a text. An empty table gives no rows; without labels of both classes every
+row scores as the rate of toxic labels, 0.5 without any. Other columns, also of the names
+used here, do not matter.
 """
 
 from __future__ import annotations
@@ -32,38 +41,57 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from guidepost.llm.common import holds, text_scores, utf8
-from guidepost.llm.labels import trained_in_one_task, training_rows
+from guidepost.llm.labels import label_rate, trained_in_one_task, training_rows
 
 ORDER = 3
 DECAY = 0.6
 #: Longest stretch of a word that meets a landmark at once; longer words slide.
 WINDOW = 12
+#: Landmarks taken before the documents they cover are set aside.
 LANDMARKS = 48
+#: Kernel value from which a word is near a landmark.
+NEAR = 0.6
 CONTRAST = 24
 MAX_TRAINING_ROWS = 3000
-#: The sample holds half toxic rows, the corpus about a tenth: weight of a clean sentence.
-CLEAN_WEIGHT = 5.0
 
 #: Signs and digits read as letters.
 LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
 
-_CODE = np.zeros(256, np.uint8)
-_CODE[97:123] = np.arange(1, 27)
-for _sign, _letter in LOOKALIKES.items():
-    _CODE[ord(_sign)] = ord(_letter) - 96
+#: Cyrillic and Greek letters of the shape of a Latin one.
+HOMOGLYPHS = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "ο": "o", "α": "a", "ν": "v", "ι": "i"}
+
 _SENTENCE = re.compile(rb"[.!?]+[ \t\n\r\f\v]+|\n")
 
 
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """For each code point the letter it is read as, 0 for what is dropped."""
+    out = np.zeros(0x110000, np.uint32)
+    for cp in range(0x32400):  # no letters beyond
+        c = chr(cp)
+        kind = unicodedata.category(c)[0]
+        if kind == "L" or (kind == "M" and not 0x300 <= cp < 0x370):
+            low = c.lower()
+            out[cp] = ord(low) if len(low) == 1 else cp
+    for sign, letter in (LOOKALIKES | HOMOGLYPHS).items():
+        out[ord(sign)] = ord(letter)
+    return out
+
+
 def fold(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Letters 1 to 26 of all words in a row, and the number of each letter's word."""
+    """Letters (code points) of all words in a row, and the number of each letter's word."""
     text = b"\n".join(words).decode("utf-8", "replace").lower()
-    flat = np.frombuffer(unicodedata.normalize("NFKD", text).encode("ascii", "ignore"), np.uint8)
+    flat = np.frombuffer(unicodedata.normalize("NFKD", text).encode("utf-32-le"), np.uint32)
     word = np.cumsum(flat == 10)
-    code = _CODE[flat]
+    code = _letters()[flat]
     keep = code > 0
     return code[keep], word[keep]
 
 
+def as_text(code: np.ndarray) -> str:
+    return code.astype("<u4").tobytes().decode("utf-32-le")
+
+
 def spelled(texts: list[bytes]) -> list[list[bytes]]:
     """For each text its rows of at least three single characters, joined."""
     gap = b" \0\0 "  # ends every row
@@ -121,7 +149,7 @@ def pair_kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def padded(words: list[np.ndarray], width: int) -> np.ndarray:
-    out = np.zeros((len(words), width), np.uint8)
+    out = np.zeros((len(words), width), np.uint32)
     for i, w in enumerate(words):
         out[i, : len(w)] = w[:width]
     return out
@@ -132,16 +160,21 @@ class Landmarks:
 
     def __init__(self, strings: list[str], toxic: int):
         self.strings, self.toxic = strings, toxic
-        codes = [_CODE[np.frombuffer(s.encode("ascii"), np.uint8)] for s in strings]
+        codes = [np.array([ord(c) for c in s], np.uint32) for s in strings]
+        letters = sorted({int(x) for c in codes for x in c})
+        self.base = len(letters) + 1
+        self.number = np.zeros(0x110000, np.int32)
+        self.number[letters] = np.arange(1, self.base)
         self.rows = padded(codes, max([len(c) for c in codes], default=1))
         self.own = np.maximum(pair_kernel(self.rows, self.rows), 1e-9)
         pairs: dict[int, int] = {}
         self.needs = []
         for c in codes:
-            own = {int(x) * 32 + int(y) for x, y in zip(c, c[1:])}
-            self.needs.append(([pairs.setdefault(p, len(pairs)) for p in sorted(own)], max(2, (7 * len(own) + 9) // 10)))
+            small = self.number[c]
+            own = {int(x) * self.base + int(y) for x, y in zip(small, small[1:])}
+            self.needs.append(([pairs.setdefault(p, len(pairs)) for p in sorted(own)], min(len(own), max(2, (7 * len(own) + 9) // 10))))
         width = max(1, (len(pairs) + 63) // 64)
-        self.bits = np.zeros((width, 1024), np.uint64)
+        self.bits = np.zeros((width, self.base**2), np.uint64)
         for p, k in pairs.items():
             self.bits[k // 64, p] = np.uint64(1) << np.uint64(k % 64)
         self.masks = np.zeros((width, len(strings)), np.uint64)
@@ -157,12 +190,12 @@ class Landmarks:
             return np.empty(0, np.int64), np.empty(0, np.int64)
         starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
         owners = word[starts]
-        wide = code.astype(np.int32)
+        wide = self.number[code]
         for k, bits in enumerate(self.bits):
             have = np.zeros(len(code), np.uint64)
             for gap in (1, 2, 3):
                 if len(code) > gap:
-                    hit = bits[wide[:-gap] * 32 + wide[gap:]]
+                    hit = bits[wide[:-gap] * self.base + wide[gap:]]
                     hit[word[:-gap] != word[gap:]] = 0
                     have[:-gap] |= hit
             seen[k, owners] = np.bitwise_or.reduceat(have, starts)
@@ -202,59 +235,99 @@ def split_words(code: np.ndarray, word: np.ndarray, numbers: np.ndarray) -> list
 
 
 def heads(words: list[bytes]) -> list[list[str]]:
-    """For each word its folded beginnings of 4 to 10 letters."""
+    """For each word its folded beginnings of 4 to 10 letters, or all three letters."""
     code, word = fold(words)
-    line = (code + 96).astype(np.uint8).tobytes().decode("ascii")
+    line = as_text(code)
     out: list[list[str]] = [[] for _ in words]
     at = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])).tolist() if len(word) else []
     for s, e in zip(at, [*at[1:], len(line)]):
-        out[word[s]] = [line[s : s + k] for k in range(4, min(10, e - s) + 1)]
+        out[word[s]] = [line[s:e]] if e - s == 3 else [line[s : s + k] for k in range(4, min(10, e - s) + 1)]
     return out
 
 
-def mine(texts: list[bytes], y: np.ndarray) -> list[str]:
-    """Word beginnings found often in toxic texts and hardly in the others. In toxic
-    texts they count once for each pair of neighbours, so that copies of one text,
-    which repeat all its words in their places, lend weight to none of them."""
-    where: dict[str, set[int]] = {}
-    clean: dict[str, int] = {}
+def clean_counts(texts: list[bytes]) -> dict[str, int]:
+    """How many texts hold each word beginning."""
+    out: dict[str, int] = {}
+    for text in texts:
+        for h in {h for hs in heads(sorted(set(text.split()))) for h in hs}:
+            out[h] = out.get(h, 0) + 1
+    return out
+
+
+def leaning(toxic: int, clean: int, share: float) -> float:
+    """Chernoff's bound, as minus its logarithm, of the chance that so many of a word's
+    texts are toxic ones when a ``share`` of all texts is."""
+    n = toxic + clean
+    q = toxic / n
+    return n * (q * np.log(q / share) + (0.0 if q == 1 else (1 - q) * np.log((1 - q) / (1 - share))))
+
+
+def mine(texts: list[bytes], clean: dict[str, int], n_clean: int) -> list[str]:
+    """Word beginnings found in many of these toxic texts and hardly in clean ones. They
+    count by the pairs of neighbours they stand between, and by texts if those are fewer:
+    neither copies of one text, which repeat all its words in their places, nor a word
+    repeated in one text lend weight."""
+    where: dict[str, tuple[set, set]] = {}
     for i, text in enumerate(texts):
-        if y[i]:
-            words = text.split()
-            around = [b"", *words, b""]
-            for k, hs in enumerate(heads(words)):
-                for h in hs:
-                    where.setdefault(h, set()).add(hash((around[k], around[k + 2])))
-        else:
-            for h in {h for hs in heads(sorted(set(text.split()))) for h in hs}:
-                clean[h] = clean.get(h, 0) + 1
-    n_clean = max(1, int((y == 0).sum()))
-    n_toxic = max(1, int((y == 1).sum()))
-    least = max(3, n_toxic // 60)
-    pure = {h: s for h, s in where.items() if len(s) >= least and clean.get(h, 0) / n_clean <= 0.02 * min(1, len(s) / n_toxic)}
+        words = text.split()
+        around = [b"", *words, b""]
+        for k, hs in enumerate(heads(words)):
+            for h in hs:
+                settings, docs = where.setdefault(h, (set(), set()))
+                settings.add(hash((around[k], around[k + 2])))
+                docs.add(i)
+    count = {h: min(len(s), len(d)) for h, (s, d) in where.items()}
+    n = max(1, len(texts))
+    share = n / (n + n_clean + 1)
+    rare = {h: c for h, c in count.items() if c >= 3 and clean.get(h, 0) / max(1, n_clean) <= 0.02 * min(1, c / n)}
+    tested = sum(c >= 3 for c in count.values())
+    # of as many words spread by chance, hardly one in twenty trials would lean as far
+    pure = {h: c for h, c in rare.items() if leaning(c, clean.get(h, 0), share) >= np.log(20 * tested)}
     chosen: list[str] = []
     while pure and len(chosen) < LANDMARKS:
-        best = max(pure, key=lambda h: (len(pure[h]), -len(h), h))
+        best = max(pure, key=lambda h: (pure[h], -len(h), h))
         # the longest beginning with nearly the same texts names the word itself
-        chosen.append(max((h for h in pure if h.startswith(best) and len(pure[h]) >= 0.8 * len(pure[best])), key=lambda h: (len(h), h)))
-        pure = {h: s for h, s in pure.items() if not h.startswith(best) and not best.startswith(h)}
+        chosen.append(max((h for h in pure if h == best or (len(best) > 3 and h.startswith(best) and pure[h] >= 0.8 * pure[best])), key=lambda h: (len(h), h)))
+        same = lambda h: h == best or (min(len(h), len(best)) > 3 and (h.startswith(best) or best.startswith(h)))
+        pure = {h: c for h, c in pure.items() if not same(h)}
+    return chosen
+
+
+def covering(texts: list[bytes], sets: list[set[bytes]], y: np.ndarray) -> list[str]:
+    """Landmarks, mined among ever fewer toxic texts: those without a word near one."""
+    bare = [texts[i] for i in np.flatnonzero(y == 0)]
+    clean = clean_counts(bare)
+    left = np.flatnonzero(y == 1).tolist()
+    chosen: list[str] = []
+    while left:
+        new = [h for h in mine([texts[i] for i in left], clean, len(bare)) if h not in chosen]
+        if not new:
+            break
+        chosen += new
+        value = word_values(Landmarks(new, len(new)), [sets[i] for i in left])
+        near = {w for w, v in value.items() if v.max() >= NEAR}
+        left = [i for i in left if near.isdisjoint(sets[i])]
     return chosen
 
 
-def fit(texts: list[bytes], y: list[int]) -> dict:
-    """Landmarks, Nyström map, SVM weights and sigmoid, as strings and numbers."""
+def fit(texts: list[bytes], y: list[int], rate: float | None = None) -> dict:
+    """Landmarks, Nyström map, SVM weights and sigmoid, as strings and numbers. ``rate``
+    is the share of toxic ones among all labels, that of ``y`` if not given."""
     y = np.array(y, np.int64)
-    toxic = mine(texts, y) if len(y) and y.any() else []
-    rate = (y.sum() + 0.5) / (len(y) + 1.0)
+    sets = words_of(texts)
+    toxic = covering(texts, sets, y) if y.any() else []
+    own = (y.sum() + 0.5) / (len(y) + 1.0)
+    rate = own if rate is None else rate
     if not toxic:
         return {"landmarks": [[]], "toxic": [0], "weights": [[]], "bias": [0.0], "slope": [0.0], "offset": [float(np.log(rate / (1 - rate)))]}
-    sets = words_of(texts)
+    # weight of a clean sentence: the sample's classes are not those of all labels
+    heavy = (1 - rate) / rate * own / (1 - own)
     value = word_values(Landmarks(toxic, len(toxic)), sets)
     tough: dict[str, float] = {}
     for words, t in zip(sets, y):
         for w in () if t else words & value.keys():
             c, _ = fold([w])
-            h = (c + 96).tobytes().decode("ascii")[:WINDOW]
+            h = as_text(c[:WINDOW])
             tough[h] = tough.get(h, 0.0) + float(value[w].max()) ** 4
     contrast = sorted(tough, key=lambda h: (-tough[h], h))[:CONTRAST]
     marks = Landmarks(toxic + contrast, len(toxic))
@@ -268,9 +341,9 @@ def fit(texts: list[bytes], y: list[int]) -> dict:
     X, Y = np.array(X, np.float64), np.array(Y)
     root = nystrom_root(marks)
     Z = X @ root
-    w, b = svm(Z, Y)
+    w, b = svm(Z, Y, heavy)
     margin = Z @ w + b
-    slope, offset = sigmoid_fit(margin, Y)
+    slope, offset = sigmoid_fit(margin, Y, heavy)
     return {"landmarks": [marks.strings], "toxic": [len(toxic)], "weights": [(root @ w).tolist()], "bias": [float(b)], "slope": [float(slope)], "offset": [float(offset)]}
 
 
@@ -282,10 +355,10 @@ def nystrom_root(marks: Landmarks) -> np.ndarray:
     return vecs @ np.diag(1 / np.sqrt(np.maximum(vals, 1e-3))) @ vecs.T
 
 
-def svm(Z: np.ndarray, Y: np.ndarray, cost: float = 100.0, rounds: int = 400) -> tuple[np.ndarray, float]:
+def svm(Z: np.ndarray, Y: np.ndarray, heavy: float, cost: float = 100.0, rounds: int = 400) -> tuple[np.ndarray, float]:
     """Linear SVM with squared hinge loss by Newton steps."""
     s = np.where(Y > 0, 1.0, -1.0)
-    weigh = np.where(Y > 0, 1.0, CLEAN_WEIGHT)
+    weigh = np.where(Y > 0, 1.0, heavy)
     A = np.hstack([Z, np.ones((len(Z), 1))])
     theta = np.zeros(A.shape[1])
     ridge = np.eye(A.shape[1])
@@ -302,14 +375,14 @@ def svm(Z: np.ndarray, Y: np.ndarray, cost: float = 100.0, rounds: int = 400) ->
     return theta[:-1], float(theta[-1])
 
 
-def sigmoid_fit(margin: np.ndarray, Y: np.ndarray) -> tuple[float, float]:
+def sigmoid_fit(margin: np.ndarray, Y: np.ndarray, heavy: float) -> tuple[float, float]:
     """Platt's sigmoid, with his softened targets."""
     pos, neg = (Y > 0).sum(), (Y == 0).sum()
     t = np.where(Y > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
     a, b = 1.0, 0.0
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a * margin + b, -30, 30)))
-        weigh = np.where(Y > 0, 1.0, CLEAN_WEIGHT)
+        weigh = np.where(Y > 0, 1.0, heavy)
         g = np.array([(weigh * (p - t) * margin).sum(), (weigh * (p - t)).sum()])
         v = weigh * p * (1 - p) + 1e-9
         H = np.array([[(v * margin * margin).sum() + 1e-6, (v * margin).sum()], [(v * margin).sum(), v.sum() + 1e-6]])
@@ -361,9 +434,12 @@ holds(__name__, _scorer.cache_clear)
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 4, held_fold: int = 2, max_rows: int = MAX_TRAINING_ROWS) -> tuple:
-    """Trained model as a tuple of plain values, at most ``LANDMARKS + CONTRAST`` long each."""
+    """Trained model as a tuple of plain values. A round of mining takes at most
+    ``LANDMARKS`` and leaves fewer documents, a landmark stands in three at least, so
+    ``max_rows`` bounds the model."""
     rows = training_rows(docs, labels, label, folds, held_fold, max_rows, balanced=True)
-    got = trained_in_one_task(rows, fit, "landmarks array<string>, toxic long, weights array<double>, bias double, slope double, offset double")
+    rate = label_rate(labels, label, folds, held_fold)
+    got = trained_in_one_task(rows, lambda texts, y: fit(texts, y, rate), "landmarks array<string>, toxic long, weights array<double>, bias double, slope double, offset double")
     r = got[0] if got else {k: v[0] for k, v in fit([], []).items()}
     return tuple(r["landmarks"]), r["toxic"], tuple(r["weights"]), r["bias"], r["slope"], r["offset"]
 

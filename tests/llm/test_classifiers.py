@@ -49,6 +49,33 @@ def test_gaps_and_inserted_characters():
         assert tell(t) < 0.3, t
 
 
+def test_all_scripts_three_letters_and_rare_insults():
+    """Landmarks cover the toxic documents: short and rare insults, and those of any script."""
+    r = random.Random(8)
+    rows = [(i, t, 0) for i, t, _, _ in corpus(900, 5)]
+    insults = ["idiot"] * 12 + ["дурак", "zzq", "ηλίθιος"] * 2 + ["vagabund"]
+    for k in range(1, 900, 3):
+        w = rows[k][1].split()
+        for word in ["idiot"] * (k % 2) or [r.choice(insults)]:
+            w.insert(r.randrange(len(w)), word)
+        rows[k] = (k, " ".join(x for x in w if x.strip(".") not in ("idiot", "moron", "scumbag", "clownish", "clown") or x in insults), 1)
+    rows = [x for x in rows if x[2] or not any(b in x[1] for b in ("idiot", "moron", "scum", "clown"))]
+    fit = T.fit([x[1].encode() for x in rows], [x[2] for x in rows])
+    s = T.Scorer(*(fit[k][0] for k in ("landmarks", "toxic", "weights", "bias", "slope", "offset")))
+    tell = lambda t: s.scores([t.encode()])[0]
+    for t in ("theron дурак an", "ДУРАКИ in there", "the д у р а к", "an zzq there", "ZZQ!", "ηλιθιος an", "an idi\u043et there", "vagabund", "\U0001d422\U0001d41d\U0001d422\U0001d428\U0001d42d"):
+        assert tell(t) >= 0.3, (t, fit["landmarks"])
+    for t in ("theron an there", "the дом in", "an zz there", "笨蛋", "\x00 \U0010ffff"):
+        assert tell(t) < 0.3, t
+
+
+def test_classes_are_weighed_by_their_rate():
+    rows = corpus(600, 9)
+    texts, y = [x[1].encode() for x in rows], [x[3] for x in rows]
+    share = lambda rate: np.mean(T.Scorer(*(T.fit(texts, y, rate)[k][0] for k in ("landmarks", "toxic", "weights", "bias", "slope", "offset"))).scores([b"", b"clownery", b"idioms"]))
+    assert share(0.02) <= share(0.5)
+
+
 def test_kernel_against_brute_force():
     import itertools
 
