@@ -245,7 +245,7 @@ def heads(words: list[bytes]) -> list[list[str]]:
     return out
 
 
-def clean_counts(texts: list[bytes]) -> dict[str, int]:
+def text_counts(texts: list[bytes]) -> dict[str, int]:
     """How many texts hold each word beginning."""
     out: dict[str, int] = {}
     for text in texts:
@@ -267,22 +267,21 @@ def mine(texts: list[bytes], clean: dict[str, int], n_clean: int) -> list[str]:
     count by the pairs of neighbours they stand between, and by texts if those are fewer:
     neither copies of one text, which repeat all its words in their places, nor a word
     repeated in one text lend weight."""
-    where: dict[str, tuple[set, set]] = {}
-    for i, text in enumerate(texts):
-        words = text.split()
-        around = [b"", *words, b""]
-        for k, hs in enumerate(heads(words)):
-            for h in hs:
-                settings, docs = where.setdefault(h, (set(), set()))
-                settings.add(hash((around[k], around[k + 2])))
-                docs.add(i)
-    count = {h: min(len(s), len(d)) for h, (s, d) in where.items()}
     n = max(1, len(texts))
     share = n / (n + n_clean + 1)
-    rare = {h: c for h, c in count.items() if c >= 3 and clean.get(h, 0) / max(1, n_clean) <= 0.02 * min(1, c / n)}
-    tested = sum(c >= 3 for c in count.values())
+    docs = {h: c for h, c in text_counts(texts).items() if c >= 3}
     # of as many words spread by chance, hardly one in twenty trials would lean as far
-    pure = {h: c for h, c in rare.items() if leaning(c, clean.get(h, 0), share) >= np.log(20 * tested)}
+    least = np.log(20 * max(1, len(docs)))
+    pure_at = lambda h, c: c >= 3 and clean.get(h, 0) / max(1, n_clean) <= 0.02 * min(1, c / n) and leaning(c, clean.get(h, 0), share) >= least
+    settings: dict[str, set[int]] = {h: set() for h, c in docs.items() if pure_at(h, c)}
+    for text in texts if settings else ():
+        words = text.split()
+        around = [b"", *words, b""]
+        for k, hs in enumerate(heads(words)):
+            for h in settings.keys() & hs:
+                settings[h].add(hash((around[k], around[k + 2])))
+    count = {h: min(docs[h], len(s)) for h, s in settings.items()}
+    pure = {h: c for h, c in count.items() if pure_at(h, c)}
     chosen: list[str] = []
     while pure and len(chosen) < LANDMARKS:
         best = max(pure, key=lambda h: (pure[h], -len(h), h))
@@ -293,10 +292,10 @@ def mine(texts: list[bytes], clean: dict[str, int], n_clean: int) -> list[str]:
     return chosen
 
 
-def covering(texts: list[bytes], sets: list[set[bytes]], y: np.ndarray) -> list[str]:
+def covering(texts: list[bytes], y: np.ndarray) -> list[str]:
     """Landmarks, mined among ever fewer toxic texts: those without a word near one."""
     bare = [texts[i] for i in np.flatnonzero(y == 0)]
-    clean = clean_counts(bare)
+    clean = text_counts(bare)
     left = np.flatnonzero(y == 1).tolist()
     chosen: list[str] = []
     while left:
@@ -304,9 +303,9 @@ def covering(texts: list[bytes], sets: list[set[bytes]], y: np.ndarray) -> list[
         if not new:
             break
         chosen += new
-        value = word_values(Landmarks(new, len(new)), [sets[i] for i in left])
-        near = {w for w, v in value.items() if v.max() >= NEAR}
-        left = [i for i in left if near.isdisjoint(sets[i])]
+        sets = words_of([texts[i] for i in left])
+        near = {w for w, v in word_values(Landmarks(new, len(new)), sets).items() if v.max() >= NEAR}
+        left = [i for i, words in zip(left, sets) if near.isdisjoint(words)]
     return chosen
 
 
@@ -314,14 +313,14 @@ def fit(texts: list[bytes], y: list[int], rate: float | None = None) -> dict:
     """Landmarks, Nyström map, SVM weights and sigmoid, as strings and numbers. ``rate``
     is the share of toxic ones among all labels, that of ``y`` if not given."""
     y = np.array(y, np.int64)
-    sets = words_of(texts)
-    toxic = covering(texts, sets, y) if y.any() else []
+    toxic = covering(texts, y) if y.any() else []
     own = (y.sum() + 0.5) / (len(y) + 1.0)
     rate = own if rate is None else rate
     if not toxic:
         return {"landmarks": [[]], "toxic": [0], "weights": [[]], "bias": [0.0], "slope": [0.0], "offset": [float(np.log(rate / (1 - rate)))]}
     # weight of a clean sentence: the sample's classes are not those of all labels
     heavy = (1 - rate) / rate * own / (1 - own)
+    sets = words_of(texts)
     value = word_values(Landmarks(toxic, len(toxic)), sets)
     tough: dict[str, float] = {}
     for words, t in zip(sets, y):
