@@ -144,6 +144,50 @@ def _(spark, sf):
     return t.select("chunk_id", "sentence_no", F.col("tp.period").alias("target_period"), F.col("tp.basis").alias("basis"))
 
 
+# Every way to name a target period: statement, then what it must be read as. Numbers are
+# years after the fiscal year of the call; the SQL states these values, not the patterns.
+PERIOD_FORMS = [
+    ("We expect revenue to double over FY2026-28 on the back of strong demand.", "FY28", "explicit"),
+    ("We expect revenue to reach the target over fiscal year 26/27 in all our markets.", "FY27", "explicit"),
+    ("We expect margins to improve by Q3 FY26 as our input costs ease further.", "Q3 FY26", "explicit"),
+    ("We expect margins to improve in FY'27 as our input costs ease further.", "FY27", "explicit"),
+    ("We expect margins to improve in financial year 2029 as our input costs ease.", "FY29", "explicit"),
+    ("We expect our borrowings to be nil by 2031 with the cash we generate.", "FY31", "explicit"),
+    ("We expect our borrowings to fall in this fiscal year with free cash.", 0, "relative"),
+    ("We expect our borrowings to fall within the current year with free cash.", 0, "relative"),
+    ("We expect our borrowings to fall in the next fiscal year with free cash.", 1, "relative"),
+    ("We expect to be free of debt some three years from now at this pace.", 4, "relative"),
+    ("We expect to be free of debt two to four years down the line at most.", 5, "relative"),
+    ("We expect to be free of debt about 1.5 years out at this pace.", 2, "relative"),
+    ("We expect revenue growth to hold up in the next few quarters at least.", "Unknown", "near_term"),
+    ("We expect revenue growth to hold up across all markets we are in.", "Unknown", "unknown"),
+    ("We expected three years of growth and got them before this call began.", "Unknown", "unknown"),
+]
+
+
+def _form_sql():
+    read = lambda p: f"'{p}'" if isinstance(p, str) else f"'FY' || (20 + conv_id % 7 + {p})"
+    pick = lambda i, f: "CASE (conv_id + turn) % {n} ".format(n=len(PERIOD_FORMS)) + " ".join(f"WHEN {k} THEN {f(x[i])}" for k, x in enumerate(PERIOD_FORMS)) + " END"
+    return f"SELECT conv_id, turn, {pick(1, read)} AS target_period, {pick(2, lambda b: repr(b))} AS basis FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL"
+
+
+def _closing(spark, sf, forms, number):
+    """The last sentence of every conversation turn's whole text, once one of ``forms`` was added."""
+    said = F.concat(F.coalesce("text", F.lit("")), F.lit(". "), V._pick([x[0] for x in forms], number % len(forms)))
+    turns = V.table(spark, sf, "conversations").filter("conv_id is not null and turn is not null")
+    return turns.select("conv_id", "turn", F.element_at(T.sentences_of(T.clean_text(said)), -1).alias("sentence"))
+
+
+@query("t17b_period_forms", _form_sql())
+def _(spark, sf):
+    """Each turn of a conversation ends with one of the forms; the last sentence of its
+    whole text is read, against a quarter that follows from the conversation."""
+    source = P.quarter_label(2020 + F.col("conv_id") % 7, 1 + F.col("turn") % 4)
+    last = _closing(spark, sf, PERIOD_FORMS, F.col("conv_id") + F.col("turn")).withColumn("period", source)
+    read = last.withColumn("tp", M.target_period(F.col("sentence"), F.col("period")))
+    return read.select("conv_id", "turn", F.col("tp.period").alias("target_period"), F.col("tp.basis").alias("basis"))
+
+
 # ---- target extraction and assembly ---------------------------------------------------
 _SPK = " OR ".join(f"contains(lower(speaker), '{w}')" for w in L.NON_MANAGEMENT)
 view("prom_sent", f"""
@@ -179,6 +223,34 @@ def _(spark, sf):
     return d.select("chunk_id", "sentence_no", "raw", "low", "high", "unit", "comparator", "score", "pos")
 
 
+# Ways to state a target: sentence, then low and high number, unit and metric.
+TARGET_FORMS = [
+    ("We expect revenue to reach Rs 1,250 crore by FY26 in our core markets.", 1250.0, None, "crore", "Revenue"),
+    ("We are targeting EBITDA margin of 32-34% by FY26 across the portfolio.", 32.0, 34.0, "%", "EBITDA Margin"),
+    ("We expect net profit growth of at least 15% in FY26 for the company.", 15.0, None, "%", "Net Profit"),
+    ("We expect to bring debt below Rs 300 crore by FY26 as our cash improves.", 300.0, None, "crore", "Debt"),
+    ("We expect revenue growth of 12 to 14 percent in FY26 in our markets.", 12.0, 14.0, "percent", "Revenue"),
+    ("After growth of 9% last year we expect revenue to grow 11% in FY26.", 11.0, None, "%", "Revenue"),
+    ("We are confident 100% that we will see revenue growth of 8% in FY26.", 8.0, None, "%", "Revenue"),
+    ("We expect revenue to keep growing in FY26 across all our markets.", None, None, None, None),
+]
+
+
+def _target_forms_sql():
+    value = lambda v: "NULL" if v is None else repr(v)
+    case = lambda i, kind: f"CAST(CASE (conv_id * 3 + turn) % {len(TARGET_FORMS)} " + " ".join(f"WHEN {k} THEN {value(x[i])}" for k, x in enumerate(TARGET_FORMS)) + f" END AS {kind})"
+    return f"""SELECT conv_id, turn, {case(1, 'DOUBLE')} AS low, {case(2, 'DOUBLE')} AS high, {case(3, 'VARCHAR')} AS unit, {case(4, 'VARCHAR')} AS metric
+FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL"""
+
+
+@query("t15b_target_forms", _target_forms_sql())
+def _(spark, sf):
+    """Each turn of a conversation ends with one of the forms; the last sentence of its
+    whole text is read."""
+    last = _closing(spark, sf, TARGET_FORMS, F.col("conv_id") * 3 + F.col("turn")).withColumn("b", M.best_target(F.col("sentence")))
+    return last.select("conv_id", "turn", F.col("b.t.low").alias("low"), F.col("b.t.high").alias("high"), F.col("b.t.unit").alias("unit"), F.col("b.metric").alias("metric"))
+
+
 view("prom_primary", """
 SELECT b.*, m.metric AS primary_metric FROM prom_best b JOIN (SELECT b.chunk_id, b.sentence_no, min_by(k.metric, abs(k.at - b.pos) * 100 + k.ord) AS metric FROM prom_best b JOIN prom_kw k USING (chunk_id, sentence_no) GROUP BY ALL) m USING (chunk_id, sentence_no)""")
 
