@@ -68,3 +68,15 @@ VERIFIABLE_METRICS = ["Revenue", "EBITDA Margin", "Net Profit", "Debt"]
 EVIDENCE_FIELDS = ["title", "source", "url", "published_date", "dimension_primary", "citation"]
 NODE_MIN_COUNTS = {"COMPANY": 1, "PERSON": 2, "TOPIC": 2, "BRAND": 2, "LOCATION": 2, "STRATEGY": 2, "TIME_PERIOD": 3}
 RECENCY = [(("2026", "fy27"), 1.0), (("2025", "fy26"), 0.9), (("2024", "fy25"), 0.8), (("2023", "fy24"), 0.7), (("2022", "fy23"), 0.6)]
+
+# News scope: words of the home sector and of the sector abroad.
+SECTOR_WORDS = ("indian hospitality", "india hotel sector", "revpar", "occupancy", "adr", "hotel pipeline", "new keys", "tourism policy", "mice")
+WORLD_WORDS = ("global hotel", "international hospitality", "marriott", "hilton", "hyatt", "ihg", "accor", "travel demand", "interest rates")
+# News impact: (required dimension or None, words, verdict), first match wins.
+IMPACT_RULES = (
+    (None, ("investigation", "forensic", "fraud", "governance", "audit qualification", "default", "debt stress", "pledged", "downgrade"), "Watch"),
+    ("check_5_debt_coverage", ("reduction in debt", "improved coverage", "refinanced at lower cost"), "Neutral"),
+    ("check_5_debt_coverage", ("higher finance cost", "rising debt", "coverage pressure", "leverage concern"), "Negative"),
+    (None, ("guidance raised", "beat estimates", "strong demand", "occupancy improvement", "adr growth"), "Positive"),
+    ("check_6_supply_overhang", ("new supply", "pipeline", "oversupply"), "Watch"),
+)

@@ -32,16 +32,9 @@ class NewsLexicon:
     positive: Sequence[str] = tuple(L.POSITIVE_WORDS)
     negative: Sequence[str] = tuple(L.NEGATIVE_WORDS)
     watch: Sequence[str] = tuple(L.WATCH_WORDS)
-    sector: Sequence[str] = ("indian hospitality", "india hotel sector", "revpar", "occupancy", "adr", "hotel pipeline", "new keys", "tourism policy", "mice")
-    world: Sequence[str] = ("global hotel", "international hospitality", "marriott", "hilton", "hyatt", "ihg", "accor", "travel demand", "interest rates")
-    # impact rules: (required dimension or None, words, verdict), first match wins
-    impact: Sequence[tuple] = (
-        (None, ("investigation", "forensic", "fraud", "governance", "audit qualification", "default", "debt stress", "pledged", "downgrade"), "Watch"),
-        ("check_5_debt_coverage", ("reduction in debt", "improved coverage", "refinanced at lower cost"), "Neutral"),
-        ("check_5_debt_coverage", ("higher finance cost", "rising debt", "coverage pressure", "leverage concern"), "Negative"),
-        (None, ("guidance raised", "beat estimates", "strong demand", "occupancy improvement", "adr growth"), "Positive"),
-        ("check_6_supply_overhang", ("new supply", "pipeline", "oversupply"), "Watch"),
-    )
+    sector: Sequence[str] = tuple(L.SECTOR_WORDS)
+    world: Sequence[str] = tuple(L.WORLD_WORDS)
+    impact: Sequence[tuple] = tuple(L.IMPACT_RULES)
 
 
 def union_sources(sources: Mapping[str, DataFrame]) -> tuple[DataFrame, DataFrame]:

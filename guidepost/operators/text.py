@@ -158,6 +158,7 @@ def sentences(df: DataFrame, text: str = "text", out: str = "sentence", **kw) ->
     return df.select(*[c for c in df.columns if c != text], F.posexplode(sentences_of(clean_text(F.col(text)), **kw)).alias("sentence_no", out))
 
 
+# Patterns of speaker lines, titles and affiliations.
 SPEAKER = (
     r"(?m)^([A-Z][A-Za-z .'\-]{2,50}?(?:\s*[(\[–\-]\s*(?:MD|CEO|CFO|COO|CRO|President|Director|Chairman|Managing Director|"
     r"Chief Executive|Chief Financial|Chief Operating|Head|VP|Vice President|Analyst|Moderator|Operator|Coordinator)[^)\]\n]*[)\]])?)\s*[:–]\s*"
@@ -211,6 +212,7 @@ def tag_array(text: Column, dictionaries: Mapping[str, Mapping[str, Sequence[str
     return F.filter(F.array(*tags), lambda t: t["keyword"].isNotNull())
 
 
+# Patterns of time references and of numbers with units.
 TIME_PATTERNS = [
     r"(?i)FY\s*'?\d{2,4}", r"(?i)Q[1-4]\s*FY\s*'?\d{2,4}", r"(?i)H[12]\s*FY\s*'?\d{2,4}",
     r"(?i)(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\s+\d{4}", r"\d{4}-\d{2,4}",
