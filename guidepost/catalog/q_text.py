@@ -258,9 +258,10 @@ def _(spark, sf):
     return p.select("doc_id", "pack", "n_pages", "first_page", "last_page", F.md5("pack_text").alias("pack_md5"))
 
 
+# RE2 has no look-ahead: two marks before each run of blanks leave one for an opener that follows another.
 _SENT = f"""
 SELECT doc_id, trim(s2) AS sentence FROM (
-  SELECT doc_id, unnest(CASE WHEN length(s) <= 1200 THEN [s] ELSE string_split(regexp_replace(s, '\\s+((?:We|The company|This|Our|At|By)(?:[^\\p{{L}}\\p{{N}}_]|$))', chr(1) || '\\1', 'g'), chr(1)) END) AS s2 FROM (
+  SELECT doc_id, unnest(CASE WHEN length(s) <= 1200 THEN [s] ELSE string_split(replace(regexp_replace(regexp_replace(s, '(\\s+)', chr(2) || chr(2) || '\\1', 'g'), '\\x02\\s+((?:We|The\\x02\\x02 company|This|Our|At|By)(?:[^\\p{{L}}\\p{{N}}_]|$))', chr(1) || '\\1', 'g'), chr(2), ''), chr(1)) END) AS s2 FROM (
     SELECT doc_id, trim(unnest(string_split(regexp_replace({CLEAN_SQL.format(c='text')}, '([.!?])\\s+([A-Z0-9"''(\\-])', '\\1' || chr(1) || '\\2', 'g'), chr(1)))) AS s FROM documents))
 WHERE {WORDS_SQL.format(c='s2')} >= 8"""
 

@@ -149,7 +149,7 @@ def sentences_of(text: Column, long_limit: int = 1200, min_words: int = 8) -> Co
     look-behind is needed.
     """
     cut = F.split(F.regexp_replace(text, r"([.!?])\s+(?=[A-Z0-9\"'(\-])", "$1" + MARK), MARK)
-    again = lambda s: F.split(F.regexp_replace(s, r"\s+(?=(?:We|The company|This|Our|At|By)\b)", MARK), MARK)
+    again = lambda s: F.split(F.regexp_replace(s, r"\s+(?=(?:We|The company|This|Our|At|By)(?![\p{L}\p{N}_]))", MARK), MARK)
     parts = F.flatten(F.transform(F.transform(cut, lambda s: F.trim(s)), lambda s: F.when(F.length(s) <= long_limit, F.array(s)).otherwise(again(s))))
     return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: F.size(words_of(s)) >= min_words)
 
