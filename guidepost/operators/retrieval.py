@@ -86,9 +86,12 @@ def hashing_model(dim: int = 384) -> Callable[[Sequence[str]], np.ndarray]:
     def encode(texts: Sequence[str]) -> np.ndarray:
         out = np.zeros((len(texts), dim))
         for i, t in enumerate(texts):
-            for w in re.findall(r"\w+", (t or "").lower()):
-                h = zlib.crc32(w.encode())
+            hashes = [zlib.crc32(w.encode()) for w in re.findall(r"\w+", (t or "").lower())]
+            for h in hashes:
                 out[i, h % dim] += 1.0 if h & 0x80000000 else -1.0
+            if hashes and not out[i].any():  # all signs cancel: words count without them
+                for h in hashes:
+                    out[i, h % dim] += 1.0
         return out
 
     return encode

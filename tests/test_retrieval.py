@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -50,3 +51,17 @@ def test_similar_sets_against_all_pairs(spark, percent):
     got = pairs.collect()
     assert {(x.g, x.left_id, x.right_id) for x in got} == want and len(got) == len(want)
     assert all(x.shared == len(sets[x.left_id] & sets[x.right_id]) and x.only_left == len(sets[x.left_id] - sets[x.right_id]) for x in got)
+
+
+def test_words_that_cancel_still_have_a_direction(spark):
+    """Two words of one component and opposite signs: their text is not empty."""
+    seen: dict = {}
+    for i in range(10**6):
+        h = zlib.crc32(f"w{i}".encode())
+        if not (h & 0x80000000) and (other := seen.get((h % 384, 1))) is not None:
+            text = f"w{i} {other}"
+            break
+        seen[h % 384, h >> 31] = f"w{i}"
+    df = spark.createDataFrame([(0, text), (1, text + " " + text), (2, ""), (3, None), (4, "...")], "doc_id long, text string")
+    norms = {r.doc_id: float(np.linalg.norm(r.embedding)) for r in R.embed(df, "text").collect()}
+    assert norms == pytest.approx({0: 1.0, 1: 1.0, 2: 0.0, 3: 0.0, 4: 0.0})
