@@ -6,7 +6,8 @@ words (lower case, runs of letters, digits and underscores); a phrase is found w
 words stand one after another. A text's word groups of the lengths that occur in the
 dictionary are joined to it, so work grows with the texts, not with texts times phrases.
 
-A dictionary of at most ``BROADCAST_PHRASES`` rows (it is counted) goes to the tasks; a
+Rows of a dictionary that say the same of one phrase are folded first. A dictionary of at
+most ``BROADCAST_PHRASES`` rows (it is counted) goes to the tasks; a
 larger one is joined on the phrase, after each text's equal word groups are one row, and
 with a salt, since a phrase may stand in a third of all texts.
 """
@@ -45,16 +46,18 @@ def find_phrases(texts: DataFrame, ident: str, text: str, dictionary: DataFrame,
     dictionary found in a text. Keywords without a word are never found, and neither is
     anything in texts without an id; rows that repeat an id count as one text."""
     d = dictionary.withColumn("phrase", phrase(F.col(keyword))).filter("phrase <> ''")
-    lengths = sorted(r[0] for r in d.select(F.size(F.split("phrase", " "))).distinct().collect())  # lengths of phrases
+    rows = {r["n"]: r["count"] for r in d.groupBy(F.size(F.split("phrase", " ")).alias("n")).count().collect()}  # by length of phrase
+    lengths = sorted(rows)
     if not lengths:
         return texts.limit(0).select(ident, F.lit("").alias("phrase"), F.lit(0).cast("long").alias("hits")).join(d.drop("phrase"), how="cross")
     groups = texts.filter(F.col(ident).isNotNull()).select(ident, F.explode(word_groups(F.col(text), lengths)).alias("phrase"))
-    if d.limit(BROADCAST_PHRASES + 1).count() <= BROADCAST_PHRASES:
+    if sum(rows.values()) <= BROADCAST_PHRASES:
         known = groups.join(F.broadcast(d.select("phrase").distinct()), "phrase", "left_semi")
         return known.groupBy(ident, "phrase").agg(F.count("*").alias("hits")).join(F.broadcast(d), "phrase")
     once = groups.groupBy(ident, "phrase").agg(F.count("*").alias("hits")).withColumn("__salt", F.pmod(F.xxhash64(ident), F.lit(SALTS)))
     copies = d.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return once.join(copies, ["phrase", "__salt"]).drop("__salt")
+    # the size of a file says little about its rows here, less about their copies: nothing may go to all tasks
+    return once.join(copies.hint("merge"), ["phrase", "__salt"]).drop("__salt")
 
 
 def tag_by_table(texts: DataFrame, ident: str, text: str, dictionary: DataFrame) -> DataFrame:
@@ -63,14 +66,17 @@ def tag_by_table(texts: DataFrame, ident: str, text: str, dictionary: DataFrame)
 
     ``dictionary`` has ``type``, ``name``, ``keyword`` and ``ord``.
     """
-    found = find_phrases(texts, ident, text, dictionary.select("type", "name", "keyword", "ord"), "keyword")
-    return found.groupBy(ident, "type", "name").agg(F.min_by("keyword", F.struct("ord", "keyword")).alias("keyword"), F.sum("hits").alias("hits"))
+    # rows that say the same are one with their number, so no text meets each of them
+    one = dictionary.groupBy("type", "name", phrase(F.col("keyword")).alias("p")).agg(F.min(F.struct("ord", "keyword")).alias("first"), F.count("*").alias("rows"))
+    found = find_phrases(texts, ident, text, one.select("type", "name", "first.keyword", "first.ord", "rows"), "keyword")
+    return found.groupBy(ident, "type", "name").agg(F.min_by("keyword", F.struct("ord", "keyword")).alias("keyword"), F.sum(F.col("hits") * F.col("rows")).alias("hits"))
 
 
 def detect_by_table(texts: DataFrame, ident: str, text: str, aliases: DataFrame) -> DataFrame:
     """Every text with ``codes`` (all codes with an alias in it, by their least ``ord``) and
     ``first_code``. ``aliases`` has ``code``, ``alias`` and ``ord``."""
-    found = find_phrases(texts, ident, text, aliases.select("code", "alias", "ord"), "alias")
+    same = aliases.groupBy("code", phrase(F.col("alias")).alias("p")).agg(F.min("alias").alias("alias"), F.min("ord").alias("ord")).drop("p")
+    found = find_phrases(texts, ident, text, same, "alias")
     one = found.groupBy(ident, "code").agg(F.min("ord").alias("ord"))
     codes = one.groupBy(ident).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "code"))), lambda x: x["code"]).alias("codes"))
     got = texts.select(ident).join(codes, ident, "left")

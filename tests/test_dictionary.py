@@ -42,3 +42,20 @@ def test_aliases_resolve_names(spark):
     got = {x.name: x.resolved for x in D.resolve_by_table(names, "name", aliases).collect()}
     assert got == {"Acme-Hotels": "ACME", "acme hotels ltd": "ANY", "Grand Bay": "BAY", "bay resorts": "bay resorts", None: None, "!!": "!!"}
     assert D.find_phrases(names, "name", "name", aliases.limit(0), "alias").count() == 0
+
+
+def test_repeated_rows_of_a_dictionary(spark, monkeypatch):
+    """Rows that say the same count each, but no text meets each of them, and a large
+    dictionary isn't sent to all tasks, however small its files look."""
+    t = spark.createDataFrame([(1, "hot bolt, hot bolt"), (2, "cold")], "id long, body string")
+    d = spark.range(500).selectExpr("'part' as type", "'bolt' as name", "if(id % 2 = 0, 'hot bolt', 'Hot  Bolt') as keyword", "id + 7 as ord")
+    sizes = []
+    find = D.find_phrases
+    monkeypatch.setattr(D, "find_phrases", lambda *a: (sizes.append(a[3].count()), find(*a))[1])
+    assert [tuple(r) for r in D.tag_by_table(t, "id", "body", d).collect()] == [(1, "part", "bolt", "hot bolt", 1000)]
+    codes = D.detect_by_table(t, "id", "body", d.selectExpr("name as code", "keyword as alias", "ord")).collect()
+    assert {(r.id, tuple(r.codes), r.first_code) for r in codes} == {(1, ("bolt",), "bolt"), (2, (), None)}
+    assert sizes == [1, 1]
+    monkeypatch.setattr(D, "BROADCAST_PHRASES", 0)
+    plan = find(t, "id", "body", d, "keyword")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
