@@ -56,10 +56,7 @@ def loaded(spark, sf):
     names = ("nodes", "edges", "members", "contexts")
     if key not in _STORED:
         root = scratch_path(spark, "graph")
-        tagged = G.entities(call_text(spark, sf), DICTS)
-        contexts = G.edge_contexts(G.cooccurrences(tagged.select("chunk_id", "text", "entities"), "chunk_id"), "chunk_id", "text")
-        for name, df in zip(names, (*built(spark, sf), contexts)):
-            df.write.parquet(f"{root}/{name}")
+        G.write_graph(call_text(spark, sf), "chunk_id", DICTS, root, recency_table=RECENT)
         _STORED[key] = root
     return tuple(spark.read.parquet(f"{_STORED[key]}/{n}") for n in names)
 

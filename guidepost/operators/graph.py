@@ -19,9 +19,15 @@ from ..session import cut_lineage
 from .text import METRIC_PATTERNS, tag_array, time_refs
 
 
-def entities(chunks: DataFrame, dictionaries: Mapping[str, Mapping[str, Sequence[str]]]) -> DataFrame:
-    """Adds ``entities`` (array of type::name keys, metrics may repeat) to each chunk."""
+#: Kinds of entities that are no nodes of a graph.
+NO_NODES = ("METRIC",)
+
+
+def entities(chunks: DataFrame, dictionaries: Mapping[str, Mapping[str, Sequence[str]]], drop: Sequence[str] = ()) -> DataFrame:
+    """Adds ``entities`` (array of type::name keys, metrics may repeat) to each chunk, without
+    those of the kinds in ``drop``, which are not searched for."""
     low = F.lower("text")
+    dictionaries = {kind: names for kind, names in dictionaries.items() if kind not in drop}
     key = lambda kind, name: F.concat(F.lit(f"{kind}::"), name)
     tags = F.transform(tag_array(low, dictionaries), lambda t: F.concat_ws("::", t["type"], t["name"]))
     company = F.when(F.col("company").isNotNull(), F.array(key("COMPANY", F.col("company")))).otherwise(F.array().cast("array<string>"))
@@ -35,7 +41,8 @@ def entities(chunks: DataFrame, dictionaries: Mapping[str, Mapping[str, Sequence
     metric = lambda kind, pattern: F.transform(
         F.regexp_extract_all(F.col("text"), F.lit(pattern), F.lit(1)), lambda v: key("METRIC", F.concat(F.replace(v, F.lit(","), F.lit("")), F.lit(f" ({kind})"))))
     metrics = F.concat(*[metric(k, p) for k, p in METRIC_PATTERNS])
-    return chunks.withColumn("entities", F.concat(company, tags, times, person, metrics))
+    parts = [("COMPANY", company), (None, tags), ("TIME_PERIOD", times), ("PERSON", person), ("METRIC", metrics)]
+    return chunks.withColumn("entities", F.concat(F.array().cast("array<string>"), *[p for kind, p in parts if kind not in drop]))
 
 
 def recency(period: Column, table=L.RECENCY, default: float = 0.4) -> Column:
@@ -63,7 +70,7 @@ def node_rollup(tagged: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes.withColumns({"type": F.substring_index("node", "::", 1), "label": F.substring_index("node", "::", -1)}), members
 
 
-def keep_nodes(nodes: DataFrame, minimum: Mapping[str, int] = L.NODE_MIN_COUNTS, default: int = 3, drop: Sequence[str] = ("METRIC",)) -> DataFrame:
+def keep_nodes(nodes: DataFrame, minimum: Mapping[str, int] = L.NODE_MIN_COUNTS, default: int = 3, drop: Sequence[str] = NO_NODES) -> DataFrame:
     need = F.lit(default)
     for kind, n in minimum.items():
         need = F.when(F.col("type") == kind, n).otherwise(need)
@@ -100,15 +107,38 @@ def semi_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(k.withColumnRenamed("node", "src"), "src", "left_semi").join(k.withColumnRenamed("node", "dst"), "dst", "left_semi")
 
 
+def kept_edges(tagged: DataFrame, ident: str, nodes: DataFrame, min_weight: float = 0.3, recency_table=L.RECENCY) -> DataFrame:
+    """Edges of at least ``min_weight`` between ``nodes`` from chunks with entities."""
+    pairs = cooccurrences(tagged.select(ident, "company", "period", "entities"), ident)
+    return semi_edges(edge_rollup(pairs, ident, recency(F.col("period"), recency_table)).filter(F.col("weight") >= min_weight), nodes)
+
+
 def build_graph(chunks: DataFrame, ident: str, dictionaries, min_weight: float = 0.3, recency_table=L.RECENCY) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, edges, members) of the filtered graph."""
     # the text is read and searched once; nodes, members and edges start from the small result
-    tagged = cut_lineage(entities(chunks, dictionaries).select(ident, "company", "doc_type", "period", "entities"))
+    tagged = cut_lineage(entities(chunks, dictionaries, NO_NODES).select(ident, "company", "doc_type", "period", "entities"))
     nodes, members = node_rollup(tagged)
     nodes = keep_nodes(nodes)
-    pairs = cooccurrences(tagged.select(ident, "company", "period", "entities"), ident)
-    edges = semi_edges(edge_rollup(pairs, ident, recency(F.col("period"), recency_table)).filter(F.col("weight") >= min_weight), nodes)
-    return nodes, edges, members.join(nodes.select("node"), "node", "left_semi")
+    return nodes, kept_edges(tagged, ident, nodes, min_weight, recency_table), members.join(nodes.select("node"), "node", "left_semi")
+
+
+def write_graph(chunks: DataFrame, ident: str, dictionaries, path: str, min_weight: float = 0.3, recency_table=L.RECENCY, width: int = 200) -> None:
+    """The graph of :func:`build_graph` as tables ``nodes``, ``edges``, ``members`` and
+    ``contexts`` (of all pairs of entities that may be nodes) in folders of ``path``.
+
+    Chunks are made and searched once, and kept with the beginning of their text; later
+    tables start from those before them. Metrics, nearly one a chunk, are never paired.
+    """
+    spark = chunks.sparkSession
+    kept = lambda name: spark.read.parquet(f"{path}/{name}")
+    found = entities(chunks, dictionaries, NO_NODES).select(ident, "company", "doc_type", "period", F.substring("text", 1, width).alias("text"), "entities")
+    found.write.parquet(f"{path}/chunks")
+    tagged = kept("chunks")
+    nodes, members = node_rollup(tagged)
+    keep_nodes(nodes).write.parquet(f"{path}/nodes")
+    members.join(kept("nodes").select("node"), "node", "left_semi").write.parquet(f"{path}/members")
+    kept_edges(tagged, ident, kept("nodes"), min_weight, recency_table).write.parquet(f"{path}/edges")
+    edge_contexts(cooccurrences(tagged.select(ident, "text", "entities"), ident), ident, "text", width=width).write.parquet(f"{path}/contexts")
 
 
 def both_ways(edges: DataFrame, *cols: str) -> DataFrame:

@@ -46,3 +46,27 @@ def test_connections_of_terms(spark):
     assert ask("alpha", "lone")["path_length"] == -1 and ask("alpha", "nothing")["node2"] is None
     assert [x.label for x in G.topics(nodes).collect()] == ["debt", "debts", "lone"]
     assert {x.stat: x.value for x in G.summary(nodes, edges).collect()}["components"] == 2
+
+
+def test_stored_graph_searches_chunks_once(spark, tmp_path):
+    """The stored tables are those of the whole build, from one look at the texts; metrics,
+    which are no nodes, are neither searched for nor paired."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for f in frames:
+            seen.add(len(f))
+            yield f
+
+    rows = [(i, f"C{i % 3}", "call", f"Q{i % 4 + 1} FY02", "Asha Rao", f"Growth of {i}% and debt of INR {i} crore in FY{i % 3 + 1:02d}. " + "x" * 300) for i in range(60)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, company string, doc_type string, period string, speaker string, text string")
+    dicts = {"TOPIC": {"growth": ["growth"], "debt": ["debt"]}}
+    G.write_graph(chunks.mapInPandas(count, chunks.schema), "chunk_id", dicts, f"{tmp_path}/g")
+    assert seen.value == 60
+    whole = G.entities(chunks, dicts)
+    assert any(e.startswith("METRIC::") for r in whole.collect() for e in r.entities)
+    contexts = G.edge_contexts(G.cooccurrences(whole.select("chunk_id", "text", "entities"), "chunk_id"), "chunk_id", "text").where("not startswith(src, 'METRIC') and not startswith(dst, 'METRIC')")
+    rounded = lambda df: sorted(tuple(round(v, 9) if isinstance(v, float) else str(v) for v in r) for r in df.select(*sorted(df.columns)).collect())
+    for name, want in zip(("nodes", "edges", "members", "contexts"), (*G.build_graph(chunks, "chunk_id", dicts), contexts)):
+        got = rounded(spark.read.parquet(f"{tmp_path}/g/{name}"))
+        assert got and got == rounded(want)
