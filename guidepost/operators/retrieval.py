@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +19,8 @@ from .text import hits
 
 #: Rows in a block of queries and of the corpus.
 QUERY_BLOCK, CORPUS_BLOCK = 512, 4096
+#: Rows (query, list) that a task writes at once.
+PROBE_ROWS = 16384
 
 
 def cosine_topk(corpus: DataFrame, vector: str, query: Sequence[float], k: int, ident: str) -> DataFrame:
@@ -47,7 +50,7 @@ def cosine_topk_many(corpus: DataFrame, queries: DataFrame, k: int, ident: str =
     q, n_q = _blocks(queries.select(F.col("query_id").alias("id"), F.col(vector).alias("v")), QUERY_BLOCK, "qs")
     c, _ = _blocks(corpus.select(F.col(ident).alias("id"), F.col(vector).alias("v")), CORPUS_BLOCK, "cs")
     met = c.select("cs", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_q - 1).cast("bigint"))).alias("block")).join(q, "block")
-    out = met.select("qs", "cs").mapInPandas(_top_of_blocks(k), f"query_id {ids['query_id']}, vec_id {ids['vec_id']}, similarity double")
+    out = met.select("qs", "cs").mapInArrow(_top_of_blocks(k), f"query_id {ids['query_id']}, vec_id {ids['vec_id']}, similarity double")
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
@@ -60,13 +63,21 @@ def _blocks(rows: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
 
 
 def _top_of_blocks(k: int) -> Callable:
-    def unit(rows) -> tuple[np.ndarray, np.ndarray]:
-        x = np.stack([np.asarray(r["v"], dtype=float) for r in rows])
-        return np.asarray([r["id"] for r in rows]), x / np.linalg.norm(x, axis=1, keepdims=True)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for qs, cs in zip(f["qs"], f["cs"]):
+    """Of Arrow rows (block of queries, block of the corpus) the top ``k`` of each query; one
+    row after the other is read from its buffers, no block becomes Python objects."""
+
+    def unit(block: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
+        vectors = block.values.field("v")
+        sizes = np.unique(vectors.value_lengths().to_numpy(zero_copy_only=False))
+        if len(sizes) > 1:
+            raise ValueError(f"vectors of unequal length: {sizes[:10]}")
+        x = vectors.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(vectors), -1)
+        return np.asarray(block.values.field("id").to_pylist()), x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kinds = [b.schema.field(side).type.value_type.field("id").type for side in ("qs", "cs")]
+            for qs, cs in zip(b["qs"], b["cs"]):
                 (qid, q), (cid, c) = unit(qs), unit(cs)
                 sim = q @ c.T
                 found = []
@@ -75,7 +86,7 @@ def _top_of_blocks(k: int) -> Callable:
                     near = np.flatnonzero(sim[i] >= least)
                     found.append(near[np.lexsort((cid[near], -sim[i][near]))[:k]])
                 at, to = np.repeat(np.arange(len(qid)), [len(x) for x in found]), np.concatenate(found)
-                yield pd.DataFrame({"query_id": qid[at], "vec_id": cid[to], "similarity": sim[at, to]})
+                yield pa.RecordBatch.from_arrays([pa.array(qid[at].tolist(), kinds[0]), pa.array(cid[to].tolist(), kinds[1]), pa.array(sim[at, to])], ["query_id", "vec_id", "similarity"])
 
     return run
 
@@ -181,8 +192,9 @@ def probed(queries: DataFrame, centres: np.ndarray, probes: int) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for lo in range(0, len(f), QUERY_BLOCK):
-                part = f.iloc[lo : lo + QUERY_BLOCK]
+            step = max(1, min(QUERY_BLOCK, PROBE_ROWS // probes))
+            for lo in range(0, len(f), step):
+                part = f.iloc[lo : lo + step]
                 near = np.argsort(-(np.stack(part["embedding"].to_numpy()) @ unit.T), axis=1, kind="stable")[:, :probes]
                 at = np.repeat(np.arange(len(part)), near.shape[1])
                 yield pd.DataFrame({"query_id": part["query_id"].to_numpy()[at], "embedding": part["embedding"].to_numpy()[at], "list_id": near.reshape(-1).astype("int32"), "place": np.tile(np.arange(near.shape[1], dtype="int32"), len(part))})
@@ -210,7 +222,7 @@ def ivf_topk_many(spark: SparkSession, path: str, queries: DataFrame, k: int, pr
     qs = pack(asks, "query_id", n_asked, QUERY_BLOCK, "qs")
     cs = pack(index, "vec_id", {i: sizes[i] for i in n_asked}, CORPUS_BLOCK, "cs")
     ids = {"q": queries.schema["query_id"].dataType.simpleString(), "c": index.schema["vec_id"].dataType.simpleString()}
-    out = qs.join(cs, "list_id").select("qs", "cs").mapInPandas(_top_of_blocks(k), f"query_id {ids['q']}, vec_id {ids['c']}, similarity double")
+    out = qs.join(cs, "list_id").select("qs", "cs").mapInArrow(_top_of_blocks(k), f"query_id {ids['q']}, vec_id {ids['c']}, similarity double")
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 

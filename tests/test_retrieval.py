@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from guidepost.operators import retrieval as R
@@ -65,3 +66,18 @@ def test_words_that_cancel_still_have_a_direction(spark):
     df = spark.createDataFrame([(0, text), (1, text + " " + text), (2, ""), (3, None), (4, "...")], "doc_id long, text string")
     norms = {r.doc_id: float(np.linalg.norm(r.embedding)) for r in R.embed(df, "text").collect()}
     assert norms == pytest.approx({0: 1.0, 1: 1.0, 2: 0.0, 3: 0.0, 4: 0.0})
+
+
+def test_blocks_are_read_without_python_objects():
+    """Blocks of vectors come as Arrow rows and are met one by one; ids of any type, slices."""
+    rng = np.random.default_rng(3)
+    side = lambda n, name: [{"id": f"{name}{i}", "v": rng.standard_normal(4).tolist()} for i in range(n)]
+    kind = pa.list_(pa.struct([("id", pa.string()), ("v", pa.list_(pa.float64()))]))
+    qs, cs = [side(3, "q"), side(2, "r"), side(4, "s")], [side(9, "c"), side(7, "d"), side(1, "e")]
+    rows = pa.RecordBatch.from_arrays([pa.array(qs, kind), pa.array(cs, kind)], ["qs", "cs"]).slice(1)
+    got = list(R._top_of_blocks(2)(iter([rows])))
+    assert [b.num_rows for b in got] == [4, 4]
+    for b, q, c in zip(got, qs[1:], cs[1:]):
+        cos = lambda x, y: float(np.dot(x["v"], y["v"]) / np.linalg.norm(x["v"]) / np.linalg.norm(y["v"]))
+        want = [(x["id"], y["id"]) for x in q for y in sorted(c, key=lambda y: -cos(x, y))[:2]]
+        assert [(r["query_id"], r["vec_id"]) for r in b.to_pylist()] == want
