@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import zlib
+from collections import Counter
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
+from itertools import chain, groupby
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import lexicons as L
+from ..functions.periods import let
 from ..functions.values import content_signature, item_key, normalize_url, normalize_whitespace, parse_date, short_summary
 from ..session import cut_lineage
 from .ordered import keep_first
@@ -47,8 +52,8 @@ def union_sources(sources: Mapping[str, DataFrame]) -> tuple[DataFrame, DataFram
 
 
 def sentiment(text: Column, positive=L.POSITIVE_WORDS, negative=L.NEGATIVE_WORDS, watch=L.WATCH_WORDS) -> Column:
-    gap = hits(text, positive) - hits(text, negative)
-    return F.when(any_hit(text, watch) & (F.abs(gap) <= 1), "Watch").when(gap >= 2, "Positive").when(gap <= -2, "Negative").otherwise("Neutral")
+    return let(hits(text, positive) - hits(text, negative), lambda gap: (
+        F.when((F.abs(gap) <= 1) & any_hit(text, watch), "Watch").when(gap >= 2, "Positive").when(gap <= -2, "Negative").otherwise("Neutral")))
 
 
 def impact(text: Column, dimensions: Column, tone: Column, rules) -> Column:
@@ -129,6 +134,12 @@ def exact_dedupe(items: DataFrame, order: Sequence[str]) -> DataFrame:
 
 
 # ---- fuzzy titles -------------------------------------------------------------------
+#: Hash buckets that letter pairs are counted in.
+PAIR_BUCKETS = 1 << 16
+#: Characters of a title for which one more common rare letter pair is asked.
+PAIR_CHARS = 20
+
+
 def title_sets(items: DataFrame, ident: str, day: str, title: str) -> DataFrame:
     """Distinct token sets per day with their earliest item.
 
@@ -159,31 +170,80 @@ def containment_candidates(sets: DataFrame, spare: float = 0.0) -> DataFrame:
     return probe.join(tok.select("day", F.col("id").alias("other"), "token"), ["day", "token"]).filter("id <> other").select("day", "id", "other").distinct()
 
 
+def _letter_pairs(tokens: Sequence[str]) -> list[str]:
+    """Letter pairs inside tokens; the second and later of one kind carry their number."""
+    pairs = sorted(x + y for w in tokens for x, y in zip(w, w[1:]))
+    return [f"{g}{k}" if k else g for g, same in groupby(pairs) for k, _ in enumerate(same)]
+
+
+def _bucket(pair: str) -> int:
+    return zlib.crc32(pair.encode()) % PAIR_BUCKETS
+
+
+def _pair_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    total = np.zeros(PAIR_BUCKETS, "int64")
+    for batch in batches:
+        for g, n in Counter(chain.from_iterable(map(_letter_pairs, batch["tokens"]))).items():
+            total[_bucket(g)] += n
+    some = np.flatnonzero(total)
+    yield pd.DataFrame({"bucket": some, "n": total[some]})
+
+
+def rarest_pairs(sets: DataFrame, take: Column) -> Column:
+    """The ``take`` rarest letter pairs of each row's ``tokens``, in one order for all rows.
+
+    Pairs are ranked by how often their hash bucket occurs in every eighth title, then
+    by themselves. Any order that all titles share loses no match; the counts, a fixed
+    number of buckets, only make it a good one.
+    """
+    counts = np.zeros(PAIR_BUCKETS, "int64")
+    for r in sets.filter(F.pmod(F.xxhash64("id"), F.lit(8)) == 0).select("tokens").mapInPandas(_pair_counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # PAIR_BUCKETS rows at most
+        counts[r["bucket"]] = r["n"]
+    often = counts.tolist()
+
+    @F.pandas_udf("array<string>")
+    def rarest(tokens: pd.Series, most: pd.Series) -> pd.Series:
+        rank: dict[str, tuple[int, str]] = {}
+        out = []
+        for t, n in zip(tokens, most):
+            pairs = _letter_pairs(t)
+            for g in pairs:
+                if g not in rank:
+                    rank[g] = (often[_bucket(g)], g)
+            out.append(sorted(pairs, key=rank.__getitem__)[:n])
+        return pd.Series(out)
+
+    return rarest("tokens", take)
+
+
 def edit_candidates(sets: DataFrame, threshold: float) -> DataFrame:
     """(day, id, other) whose written-out sets may be within ``d`` inserted and deleted
     characters of each other, ``d`` at most ``2 (1 - t) / t`` of either length.
 
-    Each of those characters spoils at most two letter pairs inside tokens, wherever the
-    tokens stand. So of a title's letter pairs (numbered where they repeat) any
-    ``2 d + 1`` hold one that the other title has too; the rarest are taken on both
-    sides. Titles with fewer pairs than that (of one- and two-letter tokens) meet the
-    titles of every length in reach instead.
+    Wherever the tokens stand, a deleted character spoils at most two letter pairs inside
+    the title's tokens, an inserted one at most one: most are spoiled if ``e``, at most
+    ``2 (1 - t) / (2 - t)`` of its length, are deleted and none inserted. So of a title's
+    letter pairs (numbered where they repeat) any ``2 e + m`` hold ``m`` that the other
+    title has too. The rarest are taken on both
+    sides, where the first ``m`` common pairs must then be among both; ``m`` grows with
+    the length, so that long titles don't meet by a chance pair. Titles with fewer pairs
+    than that (of one- and two-letter tokens) meet the titles of every length in reach
+    instead.
     """
     slack = 2 * (100 - threshold) / threshold
     t = sets.select("day", "id", "tokens", _chars().alias("n")).withColumn("d", F.floor(slack * F.col("n") + 1e-9).cast("int"))
-    pairs = F.flatten(F.transform("tokens", lambda w: F.when(F.length(w) > 1, F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: F.substring(w, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))))
-    each = t.select("day", "id", "n", "d", F.explode(pairs).alias("gram")).groupBy("day", "id", "n", "d", "gram").agg(F.count("*").alias("times"))
-    grams = each.select("day", "id", "n", "d", "gram", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("k"))
-    df = grams.groupBy("day", "gram", "k").agg(F.count("*").alias("df"))
-    w = Window.partitionBy("day", "id").orderBy("df", "gram", "k")
-    rare = grams.join(df.filter("df > 1"), ["day", "gram", "k"], "left").withColumn("df", F.coalesce("df", F.lit(1))).withColumn("rk", F.row_number().over(w))
-    rare = cut_lineage(rare.filter((F.col("rk") <= 2 * F.col("d") + 1) & (F.col("df") > 1)).select("day", "gram", "k", "id", "n", "d"))
-    other = rare.select("day", "gram", "k", F.col("id").alias("other"), F.col("n").alias("m"), F.col("d").alias("e"))
-    near = F.abs(F.col("n") - F.col("m")) <= F.least("d", "e")
-    met = rare.join(other, ["day", "gram", "k"]).filter((F.col("id") < F.col("other")) & near).select("day", "id", "other")
+    t = t.withColumn("m", (1 + F.floor(F.col("n") / PAIR_CHARS)).cast("int"))
+    take = (F.floor(4 * (100 - threshold) / (200 - threshold) * F.col("n") + 1e-9) + F.col("m")).cast("int")
+    # the hash is the join key: a collision adds a candidate, none is lost
+    rare = t.select("day", "id", "n", "d", "m", F.explode(rarest_pairs(sets, take)).alias("gram")).withColumn("gram", F.xxhash64("gram"))
+    a, b = rare.alias("a"), rare.alias("b")
+    near = F.abs(F.col("a.n") - F.col("b.n")) <= F.least("a.d", "b.d")
+    met = a.join(b, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.day") == F.col("b.day"))).filter((F.col("a.id") < F.col("b.id")) & near)
+    met = met.groupBy("a.day", "a.id", F.col("b.id").alias("other")).agg(F.count("*").alias("common"), F.min(F.least("a.m", "b.m")).alias("need"))
+    met = met.filter("common >= need").select("day", "id", "other")
     count = F.aggregate("tokens", F.lit(0), lambda a, x: a + F.length(x) - 1)
-    weak = t.filter(count <= 2 * F.col("d")).select("day", "id", F.explode(F.sequence(F.col("n") - F.col("d"), F.col("n") + F.col("d"))).alias("m"))
-    reach = weak.join(t.select("day", F.col("id").alias("other"), F.col("n").alias("m")), ["day", "m"]).filter("id <> other").select("day", "id", "other")
+    weak = t.filter(count < take).select("day", "id", F.explode(F.sequence(F.col("n") - F.col("d"), F.col("n") + F.col("d"))).alias("at"))
+    reach = weak.join(t.select("day", F.col("id").alias("other"), F.col("n").alias("at")), ["day", "at"]).filter("id <> other").select("day", "id", "other")
     return met.unionByName(reach).distinct()
 
 
@@ -198,8 +258,9 @@ def candidate_pairs(sets: DataFrame, threshold: float = 92.0) -> DataFrame:
     return containment_candidates(sets, 2 * (1 - t) / (2 - t) + 1e-9).unionByName(edit_candidates(sets, threshold)).distinct()
 
 
-def _lcs(a: str, b: str) -> int:
-    """Length of the longest common subsequence, bit-parallel over Python integers."""
+def _lcs(a: str, b: str, need: float = 0) -> int:
+    """Length of the longest common subsequence, bit-parallel over Python integers; less
+    than ``need`` once the rest of ``b`` can't reach that any more."""
     if not a or not b:
         return 0
     masks: dict[str, int] = {}
@@ -207,14 +268,18 @@ def _lcs(a: str, b: str) -> int:
         masks[ch] = masks.get(ch, 0) | (1 << i)
     full = (1 << len(a)) - 1
     v = full
-    for ch in b:
-        u = v & masks.get(ch, 0)
-        v = ((v + u) | (v - u)) & full
+    for j in range(0, len(b), 32):
+        for ch in b[j:j + 32]:
+            u = v & masks.get(ch, 0)
+            v = ((v + u) | (v - u)) & full
+        if len(a) - v.bit_count() + max(len(b) - j - 32, 0) < need:
+            break
     return len(a) - v.bit_count()
 
 
-def token_set_ratio(a, b) -> float:
-    """Best normalised indel ratio of shared, left and right sorted token strings."""
+def token_set_ratio(a, b, at_least: float = 0.0) -> float:
+    """Best normalised indel ratio of shared, left and right sorted token strings; any
+    value below ``at_least`` if the ratio is below it."""
     left, right = set(a), set(b)
     both, da, db = left & right, left - right, right - left
     if not left or not right:
@@ -225,16 +290,24 @@ def token_set_ratio(a, b) -> float:
     sect = len(" ".join(sorted(both)))
     gap = 1 if sect else 0
     la, lb = sect + gap + len(sa), sect + gap + len(sb)
-    dist = len(sa) + len(sb) - 2 * _lcs(sa, sb)
-    best = 100.0 - 100.0 * dist / (la + lb)
+    best = 0.0
     if sect:
-        best = max(best, 100.0 - 100.0 * (gap + len(sa)) / (sect + la), 100.0 - 100.0 * (gap + len(sb)) / (sect + lb))
-    return best
+        best = max(100.0 - 100.0 * (gap + len(sa)) / (sect + la), 100.0 - 100.0 * (gap + len(sb)) / (sect + lb))
+    # only edits that could lift the ratio to the higher of both need to be counted
+    most = (1 - max(best, at_least) / 100) * (la + lb) + 1e-6
+    if abs(len(sa) - len(sb)) > most or sum(abs(sa.count(ch) - sb.count(ch)) for ch in {*sa, *sb}) > most:
+        return best
+    dist = len(sa) + len(sb) - 2 * _lcs(sa, sb, (len(sa) + len(sb) - most) / 2)
+    return max(best, 100.0 - 100.0 * dist / (la + lb))
+
 
+def _ratio(threshold: float):
+    """Column function: the ratio of two token sets where it reaches ``threshold``, less elsewhere."""
+    @F.pandas_udf(T.DoubleType())
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([token_set_ratio(x, y, threshold) for x, y in zip(a, b)])
 
-@F.pandas_udf(T.DoubleType())
-def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([token_set_ratio(x, y) for x, y in zip(a, b)])
+    return ratio
 
 
 def resolve_first_kept(edges: DataFrame) -> DataFrame:
@@ -265,7 +338,7 @@ def fuzzy_dedupe(items: DataFrame, ident: str, day: str, title: str, threshold:
     pairs = candidate_pairs(sets, threshold).select("day", F.least("id", "other").alias("src"), F.greatest("id", "other").alias("dst")).distinct()
     a = sets.select("day", F.col("id").alias("src"), F.col("tokens").alias("ta"))
     b = sets.select("day", F.col("id").alias("dst"), F.col("tokens").alias("tb"))
-    scored = pairs.join(a, ["day", "src"]).join(b, ["day", "dst"]).withColumn("ratio", _ratio("ta", "tb"))
+    scored = pairs.join(a, ["day", "src"]).join(b, ["day", "dst"]).withColumn("ratio", _ratio(threshold)("ta", "tb"))
     gone = resolve_first_kept(scored.filter(F.col("ratio") >= threshold).select("src", "dst"))
     winners = sets.select(F.col("id").alias(ident)).join(gone.withColumnRenamed("id", ident), ident, "left_anti")
     no_tokens = items.filter(~F.rlike(F.coalesce(F.col(title), F.lit("")), F.lit(r"\S"))).select(ident)
@@ -321,12 +394,15 @@ def daily_run(enriched: DataFrame, ident: str, cap: int = 12, caps: Mapping[str,
     fields of the items that the evidence gate dropped. Each step reads the last one's
     result once.
     """
-    passed = cut_lineage(accept(enriched).drop("content"))
+    # judged once; dropped items leave their texts behind
+    text = lambda c: F.when(F.col("drop_reason").isNull(), F.col(c)).alias(c)
+    judged = cut_lineage(enriched.select(*[text(c) if c in ("summary", "content") else c for c in enriched.columns if c != "scoring_text"]))
+    passed = cut_lineage(accept(judged).drop("content"))
     keyed = cut_lineage(keep_first(passed, ["uid"], [ident]))
     once = cut_lineage(keep_first(keyed, ["published_date", "content_signature"], [ident]))
     apart = cut_lineage(fuzzy_dedupe(once, ident, "published_date", "title"))
     safe, missing = evidence_gate(apart)
-    steps = {"collected": enriched, "accepted": passed, "keyed": keyed, "exact": once, "fuzzy": apart, "evidence": safe}
+    steps = {"collected": judged, "accepted": passed, "keyed": keyed, "exact": once, "fuzzy": apart, "evidence": safe}
     counts = None
     for name, df in steps.items():
         n = df.groupBy(F.lit(name).alias("step"), F.col(bucket).alias("bucket")).agg(F.count("*").alias("n"))
