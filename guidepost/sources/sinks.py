@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .statements import FIELD, RECORD
+
 
 def upsert(target: DataFrame, updates: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
     """Target rows with the rows of ``updates`` put in by key.
@@ -43,10 +45,20 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def write_statements(lines: DataFrame, path: str, company: str = "company_id", order: str = "line_no", line: str = "line") -> None:
-    """Statement CSV per company folder, lines in order; a statement is a bounded file."""
+def write_statements(lines: DataFrame, path: str, company: str = "company_id", order: str = "line_no", line: str = "line", bundled: bool = False) -> None:
+    """Statement CSV per company, lines in order; a statement is a bounded text.
+
+    Each is a file in a folder of its company, or with ``bundled`` a record of one of a
+    few files, under the name that its file would have: thousands of companies need
+    neither thousands of files nor a listing of them.
+    """
     body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, line))), lambda x: x[line]), "\n")
-    lines.groupBy(company).agg(body.alias("value")).write.mode("overwrite").partitionBy(company).text(path)
+    statements = lines.groupBy(company).agg(body.alias("value"))
+    if bundled:
+        name = F.concat(F.lit(f"{company}="), F.col(company).cast("string"), F.lit("/statement.csv"))
+        statements.select(F.concat(name, F.lit(FIELD), "value").alias("value")).write.mode("overwrite").option("lineSep", RECORD).text(path)
+    else:
+        statements.write.mode("overwrite").partitionBy(company).text(path)
 
 
 def document_registry(docs: DataFrame, chunks: DataFrame, claims: DataFrame, risks: DataFrame) -> DataFrame:

@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions import periods as P
 from ..functions.values import parse_num
+from ..operators.rows import computed_once
 
 MARKER = "additional metrics"
+# A bundle holds many statements: name, field mark, text, record mark.
+RECORD, FIELD = "\u001e", "\u001f"
 # Fixed row names of the statement export and the fact metric each one feeds.
 STATEMENT_METRICS = {
     "Sales +": "revenue",
@@ -36,21 +39,29 @@ def _cells(line: Column) -> Column:
     return F.transform(F.split(marked, "\u0001"), lambda x: _tidy(F.regexp_replace(x, r'^\s*"|"\s*$', "")))
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """Numbered non-blank lines of every file, tagged with the marker position.
+def _lines(spark: SparkSession, path: str, bundled: bool) -> DataFrame:
+    """Numbered non-blank lines of every statement, tagged with the marker position.
 
-    A statement is one small file, so it is read whole and split in the row that
-    holds it; files spread over tasks.
+    A statement is one small text and is split in the row that holds it: a file of its
+    own, or one record of a bundle of many (:func:`sinks.write_statements`), which
+    Spark's text reader splits over tasks.
     """
-    raw = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
+    if bundled:
+        raw = spark.read.option("lineSep", RECORD).text(path).select(F.substring_index("value", FIELD, 1).alias("file"), F.expr(f"substring(value, instr(value, '{FIELD}') + 1)").alias("value"))
+    else:
+        raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     rows = raw.select("file", F.filter(F.transform(F.split("value", r"\r?\n"), _cells), lambda r: F.exists(r, lambda c: c != "")).alias("rows"))
     at = F.array_position(F.transform("rows", lambda r: F.lower(r[0]) == MARKER), F.lit(True)).cast("int")
-    return rows.withColumn("marker", F.when(at > 0, at).otherwise(F.size("rows") + 1))
+    # the marker and the cells are read often below, the lines are cut once
+    return computed_once(rows, {"marker": F.when(at > 0, at).otherwise(F.size("rows") + 1)})
 
 
-def read_wide_financials(spark: SparkSession, path: str) -> DataFrame:
-    """(file, metric, period, cell) above the marker row; the first row names periods."""
-    r = _lines(spark, path)
+def read_wide_financials(spark: SparkSession, path: str, bundled: bool = False) -> DataFrame:
+    """(file, metric, period, cell) above the marker row; the first row names periods.
+
+    ``file`` is the path of a statement's file, or its name in a bundle.
+    """
+    r = _lines(spark, path, bundled)
     header = F.col("rows")[0]
     body = F.slice("rows", F.lit(2), F.col("marker") - 2)
     one = r.select("file", header.alias("h"), F.explode(body).alias("c"))
@@ -62,9 +73,9 @@ def read_wide_financials(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_additional_metrics(spark: SparkSession, path: str) -> DataFrame:
+def read_additional_metrics(spark: SparkSession, path: str, bundled: bool = False) -> DataFrame:
     """Key/value rows below the marker as period ``LTM`` facts with snake-case names."""
-    r = _lines(spark, path)
+    r = _lines(spark, path, bundled)
     tail = F.slice("rows", F.col("marker") + 1, F.greatest(F.size("rows") - F.col("marker"), F.lit(0)))
     kv = r.select("file", F.explode(tail).alias("c")).filter(F.col("c")[0] != "")
     name = F.regexp_replace(F.regexp_replace(F.lower(F.col("c")[0]), "[^a-z0-9]+", "_"), "^_+|_+$", "")
