@@ -68,7 +68,8 @@ def match_claims(claims: DataFrame, actuals: DataFrame, metric_map: DataFrame, c
     """
     norm = lambda c: P.normalise_period(F.col(c), compat_period)
     newest = (
-        actuals.groupBy("company_id", "metric", norm("period").alias("pkey"))
+        actuals.join(F.broadcast(metric_map.select("metric")), "metric", "left_semi")
+        .groupBy("company_id", "metric", norm("period").alias("pkey"))
         .agg(F.max_by(F.struct("value", "id", "source_document", "source_page", "period"), F.struct("created_at", "id")).alias("a"))
         .filter("a.value is not null")
     )
