@@ -9,6 +9,7 @@ from ..functions import lexicons as L
 from ..functions import periods as P
 from ..operators import promises as M
 from ..operators import text as T
+from ..operators.rows import computed_once
 from ..session import cut_lineage
 from . import views as V
 from .q_text import CLEAN_SQL, WORDS_SQL, contains_any
@@ -43,10 +44,13 @@ def _fill_spark(t, a, b, p, r, y):
 
 
 def call_text(spark, sf, wide=None):
-    """One transcript turn per claim: a statement written from its figures."""
+    """One transcript turn per claim: a statement written from its figures.
+
+    The line items are summed once, for the claims and for the figures.
+    """
+    wide = cut_lineage(V.facts_wide(spark, sf).filter("period_type = 'annual'")) if wide is None else wide
     c = V.claims(spark, sf, wide).join(F.broadcast(V.metric_map(spark).select("metric_type", "metric", "mi")), "metric_type")
-    w = V.facts_wide(spark, sf) if wide is None else wide
-    f = w.filter("period_type = 'annual'").select("company_id", "fy", F.col("revenue").alias("rev"), F.col("borrowings").alias("bor"))
+    f = wide.filter("period_type = 'annual'").select("company_id", "fy", F.col("revenue").alias("rev"), F.col("borrowings").alias("bor"))
     c = c.join(f, ["company_id", "fy"])
     k = (F.col("skey") * 3 + F.col("fy") + F.col("mi")) % 8
     base = F.when(k.isin(2, 7), F.col("bor")).otherwise(F.col("rev"))
@@ -219,7 +223,7 @@ def _(spark, sf):
     """Best-scored number of each promise sentence; offsets rebuilt from split lengths."""
     s = F.col("sentence")
     d = M.candidate_sentences(call_text(spark, sf)).filter(F.size(M.metrics_of(s, only=L.VERIFIABLE_METRICS)) > 0)
-    d = d.withColumn("b", M.best_target(s)).filter("b is not null").select("chunk_id", "sentence_no", "b.t.*")
+    d = computed_once(d, {"b": M.best_target(s)}).filter("b is not null").select("chunk_id", "sentence_no", "b.t.*")
     return d.select("chunk_id", "sentence_no", "raw", "low", "high", "unit", "comparator", "score", "pos")
 
 
@@ -259,7 +263,7 @@ SELECT b.*, m.metric AS primary_metric FROM prom_best b JOIN (SELECT b.chunk_id,
 def _(spark, sf):
     s = F.col("sentence")
     d = M.candidate_sentences(call_text(spark, sf)).filter(F.size(M.metrics_of(s, only=L.VERIFIABLE_METRICS)) > 0)
-    return d.withColumn("b", M.best_target(s)).filter("b is not null").select("chunk_id", "sentence_no", F.col("b.metric").alias("primary_metric"))
+    return computed_once(d, {"b": M.best_target(s)}).filter("b is not null").select("chunk_id", "sentence_no", F.col("b.metric").alias("primary_metric"))
 
 
 _TPSQL = """SELECT chunk_id, sentence_no, target_period, basis, sfy FROM (SELECT *, CASE WHEN y2 <> '' THEN 'FY' || y2 WHEN nextfy THEN 'FY' || lpad(CAST((sfy + 1) % 100 AS VARCHAR), 2, '0') WHEN thisfy THEN 'FY' || lpad(CAST(sfy % 100 AS VARCHAR), 2, '0') WHEN hz THEN 'FY' || lpad(CAST((sfy + 3) % 100 AS VARCHAR), 2, '0') ELSE 'Unknown' END AS target_period,

@@ -59,19 +59,21 @@ def _has(c: Column, pattern: str) -> Column:
 
 
 def is_forward(text: Column, boilerplate: Sequence[str] = L.STATEMENT_BOILERPLATE) -> Column:
-    low = F.lower(text)
-    question = F.endswith(F.trim(text), F.lit("?")) | (F.contains(text, F.lit("?")) & _has(low, ADDRESS))
-    return ~any_hit(low, boilerplate) & ~question & _has(low, FORWARD)
+    def judge(low: Column) -> Column:
+        question = F.endswith(F.trim(text), F.lit("?")) | (F.contains(text, F.lit("?")) & _has(low, ADDRESS))
+        return ~any_hit(low, boilerplate) & ~question & _has(low, FORWARD)
+
+    return P.let(F.lower(text), judge)
 
 
 def is_company_scoped(text: Column, terms: Sequence[str] = L.SCOPE_WORDS) -> Column:
-    return any_hit(F.concat(F.lit(" "), F.lower(text), F.lit(" ")), terms)
+    return P.let(F.concat(F.lit(" "), F.lower(text), F.lit(" ")), lambda low: any_hit(low, terms))
 
 
 def metrics_of(text: Column, words: Mapping[str, Sequence[str]] = L.PROMISE_METRICS, only: Sequence[str] | None = None) -> Column:
-    low = F.lower(text)
     names = [m for m in words if only is None or m in only]
-    return F.filter(F.array(*[F.when(any_hit(low, words[m]), F.lit(m)) for m in names]), lambda m: m.isNotNull())
+    found = lambda low: F.array(*[F.when(any_hit(low, words[m]), F.lit(m)) for m in names])
+    return F.filter(P.let(F.lower(text), found), lambda m: m.isNotNull())
 
 
 def keyword_positions(text: Column, words: Mapping[str, Sequence[str]], only: Sequence[str]) -> Column:
@@ -140,28 +142,46 @@ def nearest_metric(kws: Column, pos: Column) -> Column:
 
 
 def target_period(text: Column, source_period: Column) -> Column:
-    """``struct<period,basis>`` named by the sentence, or implied relative to its source."""
-    low = F.lower(text)
-    got = lambda p, i, t=text: F.nullif(F.regexp_extract(t, p, i), F.lit(""))
+    """``struct<period,basis>`` named by the sentence, or implied relative to its source.
+
+    Every pattern runs at most once over a sentence, and only if it has the pattern's
+    words at all; groups are read from the short match.
+    """
+    got = lambda t, p, i: F.nullif(F.regexp_extract(t, p, i), F.lit(""))
     fy2 = lambda c: F.concat(F.lit("FY"), F.right(c, F.lit(2)))
-    q, named = got(FY_ANY, 1), F.coalesce(got(FY_ANY, 2), got(FY_ANY, 3), got(FY_ANY, 4))
-    fy = P.label_fy(source_period)
-    year = F.coalesce(F.nullif(F.regexp_extract(source_period, r"(20\d{2})", 1), F.lit("")).cast("int"), fy)
-    span = F.coalesce(got(HORIZON, 2, low), got(HORIZON, 1, low))
-    words = F.create_map(*[F.lit(x) for kv in NUMBER_WORDS.items() for x in kv])
-    years = F.coalesce(F.try_element_at(words, span), F.floor(span.try_cast("double")).cast("int"))
     res = lambda p, b: F.struct(p.alias("period"), F.lit(b).alias("basis"))
-    return (
-        F.when(got(FY_RANGE, 2).isNotNull(), res(F.concat(F.lit("FY"), got(FY_RANGE, 2)), "explicit"))
-        .when(q.isNotNull() & named.isNotNull(), res(F.concat(F.lit("Q"), q, F.lit(" "), fy2(named)), "explicit"))
-        .when(named.isNotNull(), res(fy2(named), "explicit"))
-        .when(fy.isNull(), res(F.lit("Unknown"), "unknown"))
-        .when(_has(low, r"\b(current|this)\s+(financial|fiscal)\s+year\b") | _has(low, r"\b(current|this)\s+year\b"), res(P.fy_label(fy), "relative"))
-        .when(_has(low, r"\bnext\s+(financial|fiscal)\s+year\b"), res(P.fy_label(fy + 1), "relative"))
-        .when(span.isNotNull() & year.isNotNull(), res(P.fy_label(year + years + 1), "relative"))
-        .when(_has(low, NEAR), res(F.lit("Unknown"), "near_term"))
-        .otherwise(res(F.lit("Unknown"), "unknown"))
-    )
+    words = F.create_map(*[F.lit(x) for kv in NUMBER_WORDS.items() for x in kv])
+
+    def horizon(hit: Column, fy: Column) -> Column:
+        span = F.coalesce(got(hit, HORIZON, 2), got(hit, HORIZON, 1))
+        years = F.coalesce(F.try_element_at(words, span), F.floor(span.try_cast("double")).cast("int"))
+        year = F.coalesce(F.nullif(F.regexp_extract(source_period, r"(20\d{2})", 1), F.lit("")).cast("int"), fy)
+        return res(P.fy_label(year + years + 1), "relative")
+
+    def relative(low: Column, fy: Column) -> Column:
+        year = F.contains(low, F.lit("year"))
+        return P.let(F.when(year, got(low, HORIZON, 0)), lambda hit: (
+            F.when(fy.isNull(), res(F.lit("Unknown"), "unknown"))
+            .when(year & (_has(low, r"\b(current|this)\s+(financial|fiscal)\s+year\b") | _has(low, r"\b(current|this)\s+year\b")), res(P.fy_label(fy), "relative"))
+            .when(year & _has(low, r"\bnext\s+(financial|fiscal)\s+year\b"), res(P.fy_label(fy + 1), "relative"))
+            .when(hit.isNotNull(), horizon(hit, fy))
+            .when(_has(low, NEAR), res(F.lit("Unknown"), "near_term"))
+            .otherwise(res(F.lit("Unknown"), "unknown"))))
+
+    def named(low: Column) -> Column:
+        """Matches of a range and of any fiscal year, null where neither can be."""
+        some = any_hit(low, ["fy", "financial year", "fiscal year"])
+        return F.struct(F.when(some, got(text, FY_RANGE, 2)).alias("range"), F.when(some | F.contains(low, F.lit("20")), got(text, FY_ANY, 0)).alias("any"))
+
+    def explicit(low: Column, x: Column) -> Column:
+        hit = x["any"]
+        year, q = F.coalesce(got(hit, FY_ANY, 2), got(hit, FY_ANY, 3), got(hit, FY_ANY, 4)), got(hit, FY_ANY, 1)
+        return (
+            F.when(x["range"].isNotNull(), res(F.concat(F.lit("FY"), x["range"]), "explicit"))
+            .when(hit.isNotNull(), P.let(F.struct(q.alias("q"), year.alias("y")), lambda y: res(F.concat(F.coalesce(F.concat(F.lit("Q"), y["q"], F.lit(" ")), F.lit("")), fy2(y["y"])), "explicit")))
+            .otherwise(P.let(P.label_fy(source_period), lambda fy: relative(low, fy))))
+
+    return P.let(F.lower(text), lambda low: P.let(named(low), lambda x: explicit(low, x)))
 
 
 def candidate_sentences(chunks: DataFrame, skip: Sequence[str] = L.NON_MANAGEMENT) -> DataFrame:
