@@ -53,6 +53,14 @@ def set_overlap(members: DataFrame, requested: DataFrame, entity: str, member: s
     )
 
 
+def _distinct_members(members: DataFrame, entity: str, member: str, by: Sequence[str]) -> DataFrame:
+    """Distinct (keys, ``entity``, ``member``) rows, dealt before they are compared: a task
+    that folded its rows first would hold nearly all of them, as an entity's rows come
+    from everywhere."""
+    d = members.select(*by, F.col(entity).alias("entity"), F.col(member).alias("member")).filter(F.col("entity").isNotNull() & F.col("member").isNotNull())
+    return d.repartition(*by, "entity", "member").distinct()
+
+
 def similar_sets(members: DataFrame, entity: str, member: str, by: Sequence[str], percent: int) -> tuple[DataFrame, DataFrame]:
     """All pairs of member sets whose Jaccard overlap is at least ``percent``.
 
@@ -65,8 +73,7 @@ def similar_sets(members: DataFrame, entity: str, member: str, by: Sequence[str]
     members join nothing unless a set has nothing rarer.
     """
     by = list(by)
-    d = members.select(*by, F.col(entity).alias("entity"), F.col(member).alias("member")).filter(F.col("entity").isNotNull() & F.col("member").isNotNull()).distinct()
-    sets = cut_lineage(d.groupBy(*by, "entity").agg(F.array_sort(F.collect_list("member")).alias("m")))
+    sets = cut_lineage(_distinct_members(members, entity, member, by).groupBy(*by, "entity").agg(F.array_sort(F.collect_list("member")).alias("m")))
     classes = cut_lineage(sets.groupBy(*by, "m").agg(F.min("entity").alias("rep")).withColumn("size", F.size("m")))
     tok = classes.select(*by, "rep", "size", F.explode("m").alias("member"))
     often = tok.groupBy(*by, "member").agg(F.count("*").alias("df")).filter("df > 1")
