@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .periods import let
+
 # Fixed unit multipliers to crore.
 UNIT_TO_CRORE = {
     "crore": 1.0, "crores": 1.0, "cr": 1.0, "currency": 1.0, "": 1.0,
@@ -78,8 +80,16 @@ def item_key(url: Column, title: Column) -> Column:
     return F.sha1(F.concat(normalize_url(url), F.lit("|"), F.lower(normalize_whitespace(title))))
 
 
+def _normalized_start(c: Column, n: int) -> Column:
+    """``normalize_whitespace(c)``, or words from its start that are longer than ``n``
+    characters: enough for what looks at ``n`` of them, without a pass over a long text."""
+    head = normalize_whitespace(F.substring(c, 1, 8 * n))
+    words = let(head, lambda h: h.substr(F.lit(1), F.length(h) - F.length(F.substring_index(h, " ", -1))))
+    return let(words, lambda w: F.when(F.length(w) > n, w).otherwise(normalize_whitespace(c)))
+
+
 def content_signature(title: Column, summary: Column, date: Column) -> Column:
-    s = F.lower(normalize_whitespace(summary))
+    s = F.lower(_normalized_start(summary, 140))
     return F.sha1(F.concat(F.lower(normalize_whitespace(title)), F.lit("|"), F.substring(s, 1, 140), F.lit("|"), date))
 
 
@@ -89,8 +99,8 @@ def promise_id(company: Column, source: Column, speaker: Column, text: Column, t
 
 
 def short_summary(c: Column, n: int = 280) -> Column:
-    t = normalize_whitespace(c)
-    return F.when(t == "", "No summary available from source payload.").when(F.length(t) <= n, t).otherwise(F.concat(F.rtrim(F.substring(t, 1, n - 3)), F.lit("...")))
+    return let(_normalized_start(c, n), lambda t: (
+        F.when(t == "", "No summary available from source payload.").when(F.length(t) <= n, t).otherwise(F.concat(F.rtrim(F.substring(t, 1, n - 3)), F.lit("...")))))
 
 
 def first_words_snippet(c: Column, stop: list[str], n: int = 10) -> tuple[Column, Column]:

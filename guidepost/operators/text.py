@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,15 +27,29 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
 
-def hits(text: Column, words: Sequence[str]) -> Column:
-    """How many of ``words`` occur in the (lower-case) text, as a flat sum."""
-    return sum((F.contains(text, F.lit(w)).cast("int") for w in words), F.lit(0))
+def words_found(text: Column, words: Sequence[str]) -> Column:
+    """Array of those of ``words`` that occur in the text, from one pass over it however
+    many they are; null for a null text. ``text`` must be free of lambda functions (see
+    :func:`..rows.computed_once`)."""
+    words = list(dict.fromkeys(words))
 
+    @F.pandas_udf("array<string>")
+    def found(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else [w for w in words if w in t] for t in texts], dtype=object)
 
-def any_hit(text: Column, words: Sequence[str]) -> Column:
+    return found(text)
+
+
+def hits(text: Column, words: Sequence[str], has=F.contains) -> Column:
+    """How many of ``words`` occur in the (lower-case) text, as a flat sum. Here and below
+    ``has=F.array_contains`` reads an array of :func:`words_found` in place of the text."""
+    return sum((has(text, F.lit(w)).cast("int") for w in words), F.lit(0))
+
+
+def any_hit(text: Column, words: Sequence[str], has=F.contains) -> Column:
     out = F.lit(False)
     for w in words:
-        out = out | F.contains(text, F.lit(w))
+        out = out | has(text, F.lit(w))
     return out
 
 
@@ -256,9 +271,9 @@ def numeric_metrics(df: DataFrame, text: str, keep: Sequence[str], around: int =
     return one.withColumn("context", F.trim(F.substring(F.col(text), start + 1, end - start))).select(*keep, "type", "value", "position", "context")
 
 
-def group_scores(text: Column, groups: Mapping[str, Sequence[str]], extra: Mapping[str, Sequence[str]] | None = None, match: str = "substring") -> Column:
+def group_scores(text: Column, groups: Mapping[str, Sequence[str]], extra: Mapping[str, Sequence[str]] | None = None, match: str = "substring", has=F.contains) -> Column:
     """``array<struct<score,name>>`` of the groups that hit, best first, list order on ties."""
-    count = hits if match == "substring" else word_hits
+    count = word_hits if match != "substring" else lambda t, ws: hits(t, ws, has)
     extra = extra or {}
     cells = [
         F.struct((-(count(text, ws) + count(text, extra.get(g, [])))).alias("neg"), F.lit(i).alias("ord"), F.lit(g).alias("name"))
@@ -277,7 +292,7 @@ def heading_section(text: Column, sections: Sequence[str]) -> Column:
     return F.coalesce(*[F.when(F.rlike(low, F.lit(rf"(^|\n)\s*\Q{s}\E")), F.lit(s)) for s in sections])
 
 
-def detect(text: Column, aliases: Mapping[str, Sequence[str]], mode: str = "many") -> Column:
+def detect(text: Column, aliases: Mapping[str, Sequence[str]], mode: str = "many", has=F.contains) -> Column:
     """Codes whose alias occurs in the text: all of them, or the first listed."""
-    found = [F.when(any_hit(text, ws), F.lit(code)) for code, ws in aliases.items()]
+    found = [F.when(any_hit(text, ws, has), F.lit(code)) for code, ws in aliases.items()]
     return F.coalesce(*found) if mode == "first" else F.filter(F.array(*found), lambda c: c.isNotNull())
