@@ -20,7 +20,7 @@ from ..functions.values import content_signature, item_key, normalize_url, norma
 from ..session import cut_lineage
 from .ordered import keep_first
 from .rows import computed_once
-from .text import any_hit, detect, group_scores, hits, word_hits, words_found
+from .text import any_hit, detect, group_scores, hits, word_counts, word_hits
 
 
 @dataclass(frozen=True)
@@ -41,11 +41,14 @@ class NewsLexicon:
     world: Sequence[str] = tuple(L.WORLD_WORDS)
     impact: Sequence[tuple] = tuple(L.IMPACT_RULES)
 
+    def lists(self) -> list[Sequence[str]]:
+        """All word lists."""
+        groups = [*self.companies.values(), *self.dimensions.values(), *self.rules.values(), *[ws for _, ws, _ in self.impact]]
+        return [*groups, self.material, self.press, self.specific, self.noise, self.positive, self.negative, self.watch, self.sector, self.world]
+
     def words(self) -> list[str]:
         """All words of all lists, each once."""
-        groups = [*self.companies.values(), *self.dimensions.values(), *self.rules.values(), *[ws for _, ws, _ in self.impact]]
-        lists = [self.material, self.press, self.specific, self.noise, self.positive, self.negative, self.watch, self.sector, self.world]
-        return list(dict.fromkeys(chain.from_iterable([*groups, *lists])))
+        return list(dict.fromkeys(chain.from_iterable(self.lists())))
 
 
 def union_sources(sources: Mapping[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
@@ -57,15 +60,15 @@ def union_sources(sources: Mapping[str, DataFrame]) -> tuple[DataFrame, DataFram
     return items, items.groupBy("bucket").agg(F.count("*").alias("n_items"))
 
 
-def sentiment(text: Column, positive=L.POSITIVE_WORDS, negative=L.NEGATIVE_WORDS, watch=L.WATCH_WORDS, has=F.contains) -> Column:
-    return let(hits(text, positive, has) - hits(text, negative, has), lambda gap: (
-        F.when((F.abs(gap) <= 1) & any_hit(text, watch, has), "Watch").when(gap >= 2, "Positive").when(gap <= -2, "Negative").otherwise("Neutral")))
+def sentiment(text: Column, positive=L.POSITIVE_WORDS, negative=L.NEGATIVE_WORDS, watch=L.WATCH_WORDS, count=None) -> Column:
+    return let(hits(text, positive, count) - hits(text, negative, count), lambda gap: (
+        F.when((F.abs(gap) <= 1) & any_hit(text, watch, count), "Watch").when(gap >= 2, "Positive").when(gap <= -2, "Negative").otherwise("Neutral")))
 
 
-def impact(text: Column, dimensions: Column, tone: Column, rules, has=F.contains) -> Column:
+def impact(text: Column, dimensions: Column, tone: Column, rules, count=None) -> Column:
     out = F.lit(None).cast("string")
     for dim, words, verdict in reversed(list(rules)):
-        test = any_hit(text, words, has)
+        test = any_hit(text, words, count)
         if dim is not None:
             test = F.array_contains(dimensions, dim) & test
         out = F.when(test, verdict).otherwise(out)
@@ -82,10 +85,10 @@ def _scanned(words: Sequence[str]) -> Column:
     """
     k = max(map(len, words), default=0)
     gap = next(c for c in map(chr, range(1, 0xD800)) if not any(c in w for w in words))
-    title, source = F.lower("title"), F.lower("source")
-    ends = lambda s: F.concat(F.substring(s, 1, k), F.lit(gap), F.substring(s, -k, k))
-    return let(F.lower("content"), lambda c: let(F.lower("summary"), lambda s: F.concat_ws(
-        " ", title, F.when(F.startswith(c, s) & (F.length(s) > 2 * k), ends(s)).otherwise(s), c, source)))
+    ends = F.concat(F.lower(F.substring("summary", 1, k)), F.lit(gap), F.lower(F.substring("summary", -k, k)))
+    # the lower case of a capital sigma depends on what follows, also beyond a cut
+    opens = F.startswith("content", F.col("summary")) & (F.length("summary") > 2 * k) & (F.instr("summary", "\u03a3") == 0)
+    return F.concat_ws(" ", F.lower("title"), F.when(opens, ends).otherwise(F.lower("summary")), F.lower("content"), F.lower("source"))
 
 
 def enrich(items: DataFrame, lex: NewsLexicon, as_of: str, match: str = "substring") -> DataFrame:
@@ -93,18 +96,18 @@ def enrich(items: DataFrame, lex: NewsLexicon, as_of: str, match: str = "substri
 
     ``match='word'`` counts noise words on whole words only.
     """
-    words, has = lex.words(), F.array_contains
     text = F.lower(F.concat_ws(" ", "title", "summary", "content", "source"))
     # the text is read once for all words
-    df = computed_once(items, {"scanned": _scanned(words)}).withColumn("found", words_found(F.col("scanned"), words)).drop("scanned")
+    found, count = word_counts(_scanned(lex.words()), lex.lists())
+    df = items.withColumn("found", found)
     df = df.withColumns({"title": normalize_whitespace(F.col("title")), "url": normalize_url(F.col("url")), "scoring_text": text})
     t = F.col("found")
     df = computed_once(df, {
-        "company_tags": detect(t, lex.companies, has=has) if lex.companies else F.array().cast("array<string>"),
-        "dims": group_scores(t, lex.dimensions, lex.rules, has=has), "materiality": hits(t, lex.material, has),
-        "noise_hits": hits(t, lex.noise, has) if match == "substring" else word_hits(F.col("scoring_text"), lex.noise),
-        "specificity": F.least(hits(t, lex.specific, has), F.lit(4)), "press": any_hit(t, lex.press, has),
-        "in_world": any_hit(t, lex.world, has), "in_sector": any_hit(t, lex.sector, has), "linguistic_sentiment": sentiment(t, lex.positive, lex.negative, lex.watch, has),
+        "company_tags": detect(t, lex.companies, count=count) if lex.companies else F.array().cast("array<string>"),
+        "dims": group_scores(t, lex.dimensions, lex.rules, count=count), "materiality": hits(t, lex.material, count),
+        "noise_hits": hits(t, lex.noise, count) if match == "substring" else word_hits(F.col("scoring_text"), lex.noise),
+        "specificity": F.least(hits(t, lex.specific, count), F.lit(4)), "press": any_hit(t, lex.press, count),
+        "in_world": any_hit(t, lex.world, count), "in_sector": any_hit(t, lex.sector, count), "linguistic_sentiment": sentiment(t, lex.positive, lex.negative, lex.watch, count),
     })
     n_comp = F.size("company_tags")
     df = df.withColumns({
@@ -125,7 +128,7 @@ def enrich(items: DataFrame, lex: NewsLexicon, as_of: str, match: str = "substri
         "drop_reason": F.when((F.col("title") == "") | (F.col("url") == ""), "missing_title_or_url").when(F.col("press"), "press_release")
         .when(F.size("dims") == 0, "no_dimension").when(F.col("relevance_score") < 4, "low_relevance").otherwise(stage2),
         "market_scope": F.when(F.col("in_world"), "global").when(F.col("in_sector"), "sector").when(n_comp > 0, "company").otherwise("sector"),
-        "sentiment": impact(t, F.col("dimensions"), F.col("linguistic_sentiment"), lex.impact, has),
+        "sentiment": impact(t, F.col("dimensions"), F.col("linguistic_sentiment"), lex.impact, count),
         "published_date": parse_date(F.col("published_date"), as_of),
     })
     return df.drop("dims", "press", "in_world", "in_sector", "found")
@@ -190,7 +193,8 @@ def containment_candidates(sets: DataFrame, spare: float = 0.0) -> DataFrame:
     in ``other``. Its rarest tokens whose lengths add up to more than that are looked up:
     they can't all be missing. Frequent words are joined on only if a title has nothing
     rarer."""
-    tok = sets.select("day", "id", _chars().alias("n"), F.explode("tokens").alias("token"))
+    # the length is taken before the tokens are dealt out, not once for each of them
+    tok = sets.withColumn("n", _chars()).select("day", "id", "n", F.explode("tokens").alias("token"))
     df = tok.groupBy("day", "token").agg(F.count("*").alias("df"))
     w = Window.partitionBy("day", "id").orderBy("df", "token")
     before = F.coalesce(F.sum(F.length("token")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -6,9 +6,12 @@ function adds columns or explodes a row.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from itertools import chain
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,35 +24,117 @@ from .ordered import blocked_running
 MARK = "\u0001"
 #: Pages of a document that one window task orders.
 PAGE_BLOCK = 1024
+#: Bytes of a word's beginning that are looked up at once.
+GRAM = 4
+#: Size of the table of beginnings, as a power of two.
+SLOT_BITS = 14
+#: Bytes of text that are searched in one step.
+SEARCH_BLOCK = 1 << 20
 
 
 def words_of(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
 
+def _occurrences(data: np.ndarray, starts: np.ndarray, words: Sequence[bytes]) -> np.ndarray:
+    """Which of ``words`` (columns) occur in which text (rows); text ``i`` is
+    ``data[starts[i]:starts[i + 1]]``.
+
+    Four bytes at a time are looked up in a small table of the words' beginnings,
+    whatever the number of words; only where one is met, its words are compared.
+    """
+    found = np.zeros((len(starts) - 1, len(words)), bool)
+    short = [k for k, w in enumerate(words) if len(w) < GRAM]
+    if short:
+        for i in range(len(found)):
+            text = data[starts[i]:starts[i + 1]].tobytes()
+            found[i, short] = [words[k] in text for k in short]
+    four = lambda w, at: np.uint32(int.from_bytes(w[at:at + GRAM], "little"))
+    opened: dict[np.uint32, list[int]] = {}
+    for k, w in enumerate(words):
+        if len(w) >= GRAM:
+            opened.setdefault(four(w, 0), []).append(k)
+    kinds = np.array(sorted(opened), "<u4")
+    if not len(kinds) or len(data) < GRAM:
+        return found
+    slot = lambda g: (g * np.uint32(2654435769)) >> np.uint32(32 - SLOT_BITS)
+    table = np.zeros(1 << SLOT_BITS, bool)
+    table[slot(kinds)] = True
+    here = np.ndarray((len(data) - GRAM + 1,), "<u4", data, strides=(1,))  # the four bytes at every place
+    for low in range(0, len(data), SEARCH_BLOCK):
+        met = []
+        for shift in range(low, low + GRAM):
+            part = data[shift:shift + SEARCH_BLOCK]
+            met.append(np.flatnonzero(table[slot(part[:len(part) // GRAM * GRAM].copy().view("<u4"))]) * GRAM + shift)
+        at = np.concatenate(met)
+        begins = here[at]
+        kind = np.minimum(np.searchsorted(kinds, begins), len(kinds) - 1).astype(np.min_scalar_type(len(kinds)))
+        true = kinds[kind] == begins
+        at, kind = at[true], kind[true]
+        by_kind = np.split(at[np.argsort(kind, kind="stable")], np.cumsum(np.bincount(kind, minlength=len(kinds)))[:-1])
+        for g, places in zip(kinds, by_kind):
+            for k in opened[g]:
+                n, p = len(words[k]), places[places <= len(data) - len(words[k])]
+                for off in {*range(GRAM, n - GRAM, GRAM), n - GRAM} - {0}:
+                    p = p[here[p + off] == four(words[k], off)]
+                text = np.searchsorted(starts, p, "right") - 1
+                found[text[p + n <= starts[text + 1]], k] = True
+    return found
+
+
+def _search(texts: pa.Array, words: Sequence[str]) -> np.ndarray:
+    """:func:`_occurrences` in the texts of an Arrow array; none in a null."""
+    texts = texts.cast(pa.large_string())
+    _, starts, data = texts.buffers()
+    starts = np.frombuffer(starts, "<i8")[texts.offset:texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, "<i8")
+    return _occurrences(np.frombuffer(data or b"", "u1")[starts[0]:starts[-1]], starts - starts[0], [w.encode() for w in words])
+
+
 def words_found(text: Column, words: Sequence[str]) -> Column:
     """Array of those of ``words`` that occur in the text, from one pass over it however
     many they are; null for a null text. ``text`` must be free of lambda functions (see
     :func:`..rows.computed_once`)."""
     words = list(dict.fromkeys(words))
 
-    @F.pandas_udf("array<string>")
-    def found(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else [w for w in words if w in t] for t in texts], dtype=object)
+    @F.arrow_udf("array<string>")
+    def found(texts: pa.Array) -> pa.Array:
+        rows = _search(texts, words)
+        return pa.array([[words[k] for k in np.flatnonzero(r)] if ok else None for r, ok in zip(rows, texts.is_valid().to_pylist())], pa.list_(pa.string()))
 
     return found(text)
 
 
-def hits(text: Column, words: Sequence[str], has=F.contains) -> Column:
+def word_counts(text: Column, lists: Sequence[Sequence[str]]) -> tuple[Column, Callable[[Column, Sequence[str]], Column]]:
+    """Array of how many words of each list occur in the text, from one pass over it as in
+    :func:`words_found`, and what reads the number of a list from that array: ``count`` of
+    :func:`hits` and the like."""
+    lists = list(dict.fromkeys(map(tuple, lists)))
+    words = list(dict.fromkeys(chain.from_iterable(lists)))
+    member = np.array([[ws.count(w) for ws in lists] for w in words], "int32").reshape(len(words), len(lists))
+
+    @F.arrow_udf("array<int>")
+    def counts(texts: pa.Array) -> pa.Array:
+        n = _search(texts, words).astype("int32") @ member
+        flat = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype="int32") * len(lists)), pa.array(n.reshape(-1)))
+        return pc.if_else(texts.is_valid(), flat, pa.scalar(None, flat.type))
+
+    return counts(text), lambda c, ws: F.get(c, F.lit(lists.index(tuple(ws)))) if ws else F.lit(0)
+
+
+def hits(text: Column, words: Sequence[str], count=None) -> Column:
     """How many of ``words`` occur in the (lower-case) text, as a flat sum. Here and below
-    ``has=F.array_contains`` reads an array of :func:`words_found` in place of the text."""
-    return sum((has(text, F.lit(w)).cast("int") for w in words), F.lit(0))
+    ``count`` reads the array of :func:`word_counts` in place of the text."""
+    if count is not None:
+        return count(text, words)
+    return sum((F.contains(text, F.lit(w)).cast("int") for w in words), F.lit(0))
 
 
-def any_hit(text: Column, words: Sequence[str], has=F.contains) -> Column:
+def any_hit(text: Column, words: Sequence[str], count=None) -> Column:
+    if count is not None:
+        return count(text, words) > 0
     out = F.lit(False)
     for w in words:
-        out = out | has(text, F.lit(w))
+        out = out | F.contains(text, F.lit(w))
     return out
 
 
@@ -271,12 +356,12 @@ def numeric_metrics(df: DataFrame, text: str, keep: Sequence[str], around: int =
     return one.withColumn("context", F.trim(F.substring(F.col(text), start + 1, end - start))).select(*keep, "type", "value", "position", "context")
 
 
-def group_scores(text: Column, groups: Mapping[str, Sequence[str]], extra: Mapping[str, Sequence[str]] | None = None, match: str = "substring", has=F.contains) -> Column:
+def group_scores(text: Column, groups: Mapping[str, Sequence[str]], extra: Mapping[str, Sequence[str]] | None = None, match: str = "substring", count=None) -> Column:
     """``array<struct<score,name>>`` of the groups that hit, best first, list order on ties."""
-    count = word_hits if match != "substring" else lambda t, ws: hits(t, ws, has)
+    number = word_hits if match != "substring" else lambda t, ws: hits(t, ws, count)
     extra = extra or {}
     cells = [
-        F.struct((-(count(text, ws) + count(text, extra.get(g, [])))).alias("neg"), F.lit(i).alias("ord"), F.lit(g).alias("name"))
+        F.struct((-(number(text, ws) + number(text, extra.get(g, [])))).alias("neg"), F.lit(i).alias("ord"), F.lit(g).alias("name"))
         for i, (g, ws) in enumerate(groups.items())
     ]
     return F.transform(F.array_sort(F.filter(F.array(*cells), lambda s: s["neg"] < 0)), lambda s: F.struct((-s["neg"]).alias("score"), s["name"].alias("name")))
@@ -292,7 +377,7 @@ def heading_section(text: Column, sections: Sequence[str]) -> Column:
     return F.coalesce(*[F.when(F.rlike(low, F.lit(rf"(^|\n)\s*\Q{s}\E")), F.lit(s)) for s in sections])
 
 
-def detect(text: Column, aliases: Mapping[str, Sequence[str]], mode: str = "many", has=F.contains) -> Column:
+def detect(text: Column, aliases: Mapping[str, Sequence[str]], mode: str = "many", count=None) -> Column:
     """Codes whose alias occurs in the text: all of them, or the first listed."""
-    found = [F.when(any_hit(text, ws, has), F.lit(code)) for code, ws in aliases.items()]
+    found = [F.when(any_hit(text, ws, count), F.lit(code)) for code, ws in aliases.items()]
     return F.coalesce(*found) if mode == "first" else F.filter(F.array(*found), lambda c: c.isNotNull())
