@@ -188,18 +188,26 @@ def _chars() -> Column:
     return F.aggregate("tokens", F.lit(-1), lambda a, w: a + F.length(w) + 1)
 
 
+def _same(a: str, b: str) -> Column:
+    """Equality that a join doesn't take for one more key to sort its rows by."""
+    return (F.col(a) >= F.col(b)) & (F.col(a) <= F.col(b))
+
+
 def containment_candidates(sets: DataFrame, spare: float = 0.0) -> DataFrame:
     """(day, id, other) where all tokens of ``id`` but ``spare`` of its characters may be
     in ``other``. Its rarest tokens whose lengths add up to more than that are looked up:
     they can't all be missing. Frequent words are joined on only if a title has nothing
     rarer."""
-    # the length is taken before the tokens are dealt out, not once for each of them
+    # the length is taken before the tokens are dealt out, not once for each of them; a
+    # token goes by its hash with its day: a collision adds a candidate, none is lost
     tok = sets.withColumn("n", _chars()).select("day", "id", "n", F.explode("tokens").alias("token"))
-    df = tok.groupBy("day", "token").agg(F.count("*").alias("df"))
+    tok = tok.select("day", "id", "n", F.length("token").alias("len"), F.xxhash64("day", "token").alias("token"))
+    df = tok.groupBy("token").agg(F.count("*").alias("df"))
     w = Window.partitionBy("day", "id").orderBy("df", "token")
-    before = F.coalesce(F.sum(F.length("token")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    probe = tok.join(df, ["day", "token"]).withColumn("before", before).filter(F.col("before") <= spare * F.col("n")).select("day", "id", "token")
-    return probe.join(tok.select("day", F.col("id").alias("other"), "token"), ["day", "token"]).filter("id <> other").select("day", "id", "other").distinct()
+    before = F.coalesce(F.sum("len").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    probe = tok.join(df, "token").withColumn("before", before).filter(F.col("before") <= spare * F.col("n")).select("day", "id", "token")
+    met = probe.join(tok.select(F.col("day").alias("at"), F.col("id").alias("other"), "token"), "token")
+    return met.filter(_same("day", "at") & (F.col("id") != F.col("other"))).select("day", "id", "other").distinct()
 
 
 def _letter_pairs(tokens: Sequence[str]) -> list[str]:
@@ -266,11 +274,11 @@ def edit_candidates(sets: DataFrame, threshold: float) -> DataFrame:
     t = sets.select("day", "id", "tokens", _chars().alias("n")).withColumn("d", F.floor(slack * F.col("n") + 1e-9).cast("int"))
     t = t.withColumn("m", (1 + F.floor(F.col("n") / PAIR_CHARS)).cast("int"))
     take = (F.floor(4 * (100 - threshold) / (200 - threshold) * F.col("n") + 1e-9) + F.col("m")).cast("int")
-    # the hash is the join key: a collision adds a candidate, none is lost
-    rare = t.select("day", "id", "n", "d", "m", F.explode(rarest_pairs(sets, take)).alias("gram")).withColumn("gram", F.xxhash64("gram"))
+    # the hash with the day is the join key: a collision adds a candidate, none is lost
+    rare = t.select("day", "id", "n", "d", "m", F.explode(rarest_pairs(sets, take)).alias("gram")).withColumn("gram", F.xxhash64("day", "gram"))
     a, b = rare.alias("a"), rare.alias("b")
     near = F.abs(F.col("a.n") - F.col("b.n")) <= F.least("a.d", "b.d")
-    met = a.join(b, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.day") == F.col("b.day"))).filter((F.col("a.id") < F.col("b.id")) & near)
+    met = a.join(b, F.col("a.gram") == F.col("b.gram")).filter((F.col("a.id") < F.col("b.id")) & near & _same("a.day", "b.day"))
     met = met.groupBy("a.day", "a.id", F.col("b.id").alias("other")).agg(F.count("*").alias("common"), F.min(F.least("a.m", "b.m")).alias("need"))
     met = met.filter("common >= need").select("day", "id", "other")
     count = F.aggregate("tokens", F.lit(0), lambda a, x: a + F.length(x) - 1)
