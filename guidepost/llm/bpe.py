@@ -236,17 +236,24 @@ def decode(encoded: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", ids:
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id``, ``ids`` and ``decoded`` (the text read back from the ids) in one pass."""
+    """``doc_id``, ``ids`` and ``decoded`` (the text read back from the ids) in one pass.
+    Texts that repeat near each other, as copies of a mix do, are encoded once."""
     src = docs.select(F.col(doc_id).alias("doc_id"), utf8(F.col(text)).alias("text"))
 
     def work(rows, texts):
-        c = codec(tokenizer_path)
-        ids, at = c.encode(texts)
-        return {"doc_id": rows.column("doc_id"), "ids": _id_lists(ids, at), "decoded": pa.array(c.decode(ids, at), pa.string())}
+        return {"doc_id": rows.column("doc_id")} | _read_back(codec(tokenizer_path), texts)
 
     return map_text(src, work, f"doc_id {_type(docs, doc_id)}, ids array<int>, decoded string")
 
 
+def _read_back(c: Codec, texts: list[bytes]) -> dict[str, pa.Array]:
+    """``ids`` and ``decoded`` of each text; equal texts are encoded once."""
+    number = {t: k for k, t in enumerate(dict.fromkeys(texts))}
+    ids, at = c.encode(list(number))
+    row = pa.array([number[t] for t in texts], pa.int64())
+    return {"ids": _id_lists(ids, at).take(row), "decoded": pa.array(c.decode(ids, at), pa.string()).take(row)}
+
+
 def _type(df: DataFrame, name: str) -> str:
     return df.select(name).schema[0].dataType.simpleString()
 

@@ -118,16 +118,21 @@ def map_text(df: DataFrame, fn: Callable[[pa.RecordBatch, list[bytes]], dict], s
     return df.mapInArrow(run, schema)
 
 
-def text_scores(fn: Callable[[list[bytes]], np.ndarray]):
-    """A column function that scores texts, given as bytes, in slices of bounded size."""
+def text_scores(scorer: Callable[[], Callable[[list[bytes]], np.ndarray]]):
+    """A column function that scores texts, given as bytes, in slices of bounded size.
+    ``scorer`` makes what scores them, once a task."""
 
-    owner = fn.__module__
+    owner = scorer.__module__
 
     @F.arrow_udf("double")
-    def run(text: pa.Array) -> pa.Array:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         begin(owner)
-        out = [fn(texts) for _, texts in steps([pa.RecordBatch.from_arrays([text], names=["text"])])]
-        return pa.array(np.concatenate(out) if out else np.empty(0), pa.float64())
+        fn = scorer()
+        for text in batches:
+            out = [fn(texts) for _, texts in steps([pa.RecordBatch.from_arrays([text], names=["text"])])]
+            yield pa.array(np.concatenate(out) if out else np.empty(0), pa.float64())
+        fn = out = text = None
+        give_back()
 
     return run
 

@@ -37,6 +37,8 @@ documents have none.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -73,7 +75,7 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
         _HASHES.clear()
     words = [t.lower().split() for t in texts]  # bytes: A-Z only, ASCII white space
     counts = [len(w) for w in words]
-    flat = np.fromiter((_HASHES[w] for ws in words for w in ws), np.uint64, sum(counts))
+    flat = np.fromiter(map(_HASHES.__getitem__, chain.from_iterable(words)), np.uint64, sum(counts))
     odd = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
     grams = np.empty(0, np.uint64)
     if len(flat) >= WORDS:
@@ -144,7 +146,7 @@ def rare_hashes(reps: DataFrame) -> DataFrame:
     have, with the share of the sketch that no other has."""
     all_tokens = reps.select("doc", "n", F.size("sketch").alias("k"), F.explode("sketch").alias("token"))
     often = all_tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    met = all_tokens.join(often, "token")
+    met = all_tokens.join(often.hint("shuffle_hash"), "token")  # few are shared: the many others are not sorted
     mine = met.groupBy("doc").agg(F.first("n").alias("n"), F.first("k").alias("k"), F.array_sort(F.collect_list(F.struct("df", "token"))).alias("own"))
     # the hashes that only this sketch has are rarer still and use up the first places
     left = F.greatest(F.lit(0), F.col("k") - shared(F.col("n")) + 1 - (F.col("k") - F.size("own")))

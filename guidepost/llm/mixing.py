@@ -30,8 +30,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from guidepost.llm.common import store
 from guidepost.llm.quality_rules import bucket
-from guidepost.session import cut_lineage
+from guidepost.session import cut_lineage, scratch_path
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -122,18 +123,20 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     keep = [F.struct(*[F.col(c) for c in carry]).alias("carried")] if carry else []
     src = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), (F.col(base).cast("double") if base else F.lit(1.0)).alias("base"), deal_order(F.col(doc_id), F.col(text)).alias("order"), *keep)
     src = src.withColumns({"key": source_key(F.col("source")), "cls": bucket(F.col("size"))})
-    if not carry:
-        src = cut_lineage(src)  # narrow rows: the texts are counted once
+    root = scratch_path(docs.sparkSession, "mixing")
+    src = store(src, f"{root}/rows")  # the texts are counted once; sums read narrow columns of it
     sizes = cut_lineage(src.groupBy("key", "base", "cls").agg(F.first("source").alias("source"), F.count("*").alias("n"), F.sum("size").alias("words")))
     goals = cut_lineage(targets(sizes.select("key", "source", F.col("words").alias("size"))))
     rate = rates(sizes.groupBy("key", "base").agg(F.sum("words").alias("words")), goals)
-    plan = cut_lineage(class_copies(sizes.join(rate, ["key", "base"])).join(goals, "key"))
+    plan = class_copies(sizes.join(rate, ["key", "base"])).join(goals, "key")
+    # written, so that its size is known and a small one is broadcast; numbers hold once written
+    plan = store(plan.withColumn("class", F.monotonically_increasing_id()), f"{root}/plan")
     # blocks of a class: how many, and the copies each one gets
     blocks = F.ceil(F.col("n") / BLOCK)
     dealt = src.join(plan, ["key", "base", "cls"])
     # dealt out by block, not by class as the join leaves them: a class may be large
-    dealt = dealt.withColumn("block", F.pmod(F.col("order"), blocks)).repartition("key", "base", "cls", "block")
-    inside = W.partitionBy("key", "base", "cls", "block")
+    dealt = dealt.withColumn("block", F.pmod(F.col("order"), blocks)).repartition("class", "block")
+    inside = W.partitionBy("class", "block")
     dealt = dealt.select("*", F.count("*").over(inside).alias("nb"), F.row_number().over(inside.orderBy("order", "doc_id")).alias("rn"))
     # a fraction of a copy is rounded at a threshold that walks evenly over the blocks
     walk = F.when(blocks == 1, 0.5).otherwise(F.pmod((F.col("block") + 1) * GOLDEN, F.lit(1.0)))

@@ -57,7 +57,10 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     b = np.frombuffer(buf, np.uint8)
     space = _SPACE[b]
     b = np.where(space, np.uint8(32), b)
-    ends = 1 + np.cumsum([len(t) + 1 for t in texts])  # one past each text and the space after it
+    lengths = np.array([len(t) + 1 for t in texts], np.int64)  # with the space after it
+    if len(texts):
+        lengths[0] += 1  # and the one before the first
+    text_at = np.repeat(np.arange(len(texts)), lengths)  # of each byte
     shift = np.uint64(64 - BITS)
     out, at = [], []
     for n in GRAMS:
@@ -82,14 +85,14 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         word = (word ^ (word >> np.uint64(29))) * _ODD
         out.append((word >> shift).astype(np.int32))
         at.append(s)
-        owner = np.searchsorted(ends, s, side="right")
+        owner = text_at[s]
         inside = np.flatnonzero(owner[1:] == owner[:-1])
         pair = np.where(word[1:] == word[:-1], _SAME, word[:-1] * np.uint64(31) + word[1:])[inside]
         out.append(((pair * _ODD) >> shift).astype(np.int32))
         at.append(s[1:][inside])
     if not out:
         return np.empty(0, np.int32), np.empty(0, np.int64)
-    return np.concatenate(out), np.searchsorted(ends, np.concatenate(at), side="right")
+    return np.concatenate(out), text_at[np.concatenate(at)]
 
 
 def fit(texts: list[bytes], y: list[int], seed: int = 7) -> dict:
@@ -149,7 +152,7 @@ def scores(texts: list[bytes], logit: np.ndarray, base: float) -> np.ndarray:
 def score_column(model: Model, text: Column) -> Column:
     """Score of a text column."""
     logit, base = model.logit, model.base  # 2**BITS numbers, whatever the input
-    return text_scores(lambda texts: scores(texts, logit, base))(utf8(text))
+    return text_scores(lambda: lambda texts: scores(texts, logit, base))(utf8(text))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -32,7 +32,6 @@ used here, do not matter.
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from functools import lru_cache
 
@@ -40,7 +39,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from guidepost.llm.common import holds, text_scores, utf8
+from guidepost.llm.common import text_scores, utf8
 from guidepost.llm.labels import label_rate, trained_in_one_task, training_rows
 
 ORDER = 3
@@ -53,6 +52,8 @@ LANDMARKS = 48
 NEAR = 0.6
 CONTRAST = 24
 MAX_TRAINING_ROWS = 3000
+#: Words that a task remembers the kernel values of.
+CACHE_WORDS = 200_000
 
 #: Signs and digits read as letters.
 LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
@@ -60,7 +61,8 @@ LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "
 #: Cyrillic and Greek letters of the shape of a Latin one.
 HOMOGLYPHS = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "ο": "o", "α": "a", "ν": "v", "ι": "i"}
 
-_SENTENCE = re.compile(rb"[.!?]+[ \t\n\r\f\v]+|\n")
+#: Signs that end a sentence where white space follows.
+_ENDS = b".!?"
 
 
 @lru_cache(maxsize=1)
@@ -118,14 +120,27 @@ def words_of(texts: list[bytes]) -> list[set[bytes]]:
 
 def sentence_values(text: bytes, words: set[bytes], value: dict[bytes, np.ndarray]) -> list[np.ndarray]:
     """Largest kernel values of each sentence that has a word near a landmark; a spelled
-    word stands for itself."""
+    word stands for itself. A sentence ends with its line, or with a word that has an end
+    sign before white space; that word counts without the sign."""
     mine = words & value.keys()
-    rows, found = [], set()
-    for part in _SENTENCE.split(text) if mine else ():
-        if own := mine.intersection(part.split()):
-            rows.append(np.max([value[w] for w in own], axis=0))
-            found |= own
-    return rows + [value[w] for w in sorted(mine - found)]
+    sentences: list[set[bytes]] = [set()]
+    lines = [line.split() for line in text.split(b"\n")] if mine else []
+    for k, line in enumerate(lines):
+        last = line.pop() if k == len(lines) - 1 and not text[-1:].isspace() else None  # no white space follows
+        for w in [w for w in line if w in mine or w[-1] in _ENDS]:
+            if w[-1] not in _ENDS:
+                sentences[-1].add(w)
+                continue
+            if (bare := w.rstrip(_ENDS)) in mine:
+                sentences[-1].add(bare)
+            if sentences[-1]:
+                sentences.append(set())
+        if last in mine:
+            sentences[-1].add(last)
+        if sentences[-1]:
+            sentences.append(set())
+    rows = [np.max([value[w] for w in own], axis=0) if len(own) > 1 else value[min(own)] for own in sentences[:-1]]
+    return rows + [value[w] for w in sorted(mine.difference(*sentences))]
 
 
 def pair_kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -407,31 +422,34 @@ def word_values(marks: Landmarks, sets: list[set[bytes]]) -> dict[bytes, np.ndar
 
 
 class Scorer:
-    """Trained model, ready for texts."""
+    """Trained model, ready for texts. Words come again in text after text, so it meets
+    each one with the landmarks once, as long as it remembers it."""
 
     def __init__(self, landmarks: list[str], toxic: int, weights: list[float], bias: float, slope: float, offset: float):
         self.marks = Landmarks(list(landmarks), toxic) if landmarks else None
         self.weights, self.bias, self.slope, self.offset = np.array(weights), bias, slope, offset
+        self.met: set[bytes] = set()
+        self.value: dict[bytes, np.ndarray] = {}
+
+    def meet(self, words: set[bytes]) -> None:
+        """Kernel values of those of the words that are near a landmark."""
+        if len(self.met) > CACHE_WORDS:
+            self.met, self.value = set(), {}
+        new = words - self.met
+        self.value |= word_values(self.marks, [new])
+        self.met |= new
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         margin = np.full(len(texts), self.bias)
         if self.marks:
             sets = words_of(texts)
-            value = word_values(self.marks, sets)
+            self.meet(set().union(*sets))
             for i, words in enumerate(sets):
-                if not value.keys().isdisjoint(words):
-                    margin[i] = max(self.bias, (np.array(sentence_values(texts[i], words, value)) @ self.weights).max() + self.bias)
+                if not self.value.keys().isdisjoint(words):
+                    margin[i] = max(self.bias, (np.array(sentence_values(texts[i], words, self.value)) @ self.weights).max() + self.bias)
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -40, 40)))
 
 
-@lru_cache(maxsize=1)
-def _scorer(model: tuple) -> Scorer:
-    return Scorer(*model)
-
-
-holds(__name__, _scorer.cache_clear)
-
-
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 4, held_fold: int = 2, max_rows: int = MAX_TRAINING_ROWS) -> tuple:
     """Trained model as a tuple of plain values. A round of mining takes at most
     ``LANDMARKS`` and leaves fewer documents, a landmark stands in three at least, so
@@ -445,7 +463,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
 
 def score_column(model: tuple, text: Column) -> Column:
     """Score of a text column."""
-    return text_scores(lambda texts: _scorer(model).scores(texts))(utf8(text))
+    return text_scores(lambda: Scorer(*model).scores)(utf8(text))
 
 
 def score(docs: DataFrame, model: tuple) -> DataFrame:
